@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspan.llm.shared import documents
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), with_bytes=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.substring_dedup import remove_repeats
 

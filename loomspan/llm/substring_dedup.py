@@ -170,11 +170,14 @@ def remove_repeats(
     apart by their text); a row that is there twice counts twice, so that its windows are repeats. An empty table
     gives an empty table."""
     names = ["n_words", "n_removed", "n_spans", "kept_text", "kept_sha256"]
-    extra = [F.col(c) for c in docs.columns if c not in (*names, text_column)]
-    keyed = docs.select(row_key(id_column, text_column).alias("key"), F.coalesce(text_column, F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *extra).alias("row"))
+    others = [c for c in docs.columns if c not in (*names, text_column)]
+    keyed = docs.select(
+        row_key(id_column, text_column).alias("key"), F.coalesce(text_column, F.lit("")).alias("text"),
+        F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"),
+    )
     spans = anchors.spans_to_rows(repeated_spans(keyed.select("key", "text"), window, seed))
     joined = keyed.join(spans, "key", "left").select("text", "spans", "row")
     schema = f"row {joined.schema['row'].dataType.simpleString()}, n_words long, n_removed long, n_spans long, kept_sha256 string"
     out = joined.mapInArrow(_without(with_text), schema + ", kept_text binary" * with_text)
     text = [F.col("kept_text").cast("string").alias("kept_text")] * with_text
-    return out.select(*(f"row.`{c}`" for c in docs.columns if c not in (*names, text_column)), "n_words", "n_removed", "n_spans", *text, "kept_sha256")
+    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(others)), "n_words", "n_removed", "n_spans", *text, "kept_sha256")
