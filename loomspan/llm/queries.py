@@ -27,6 +27,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.embedding_dedup import near_duplicates
+
+    out = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.source_mix import mix
+
+    return mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
