@@ -27,6 +27,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.packing import pack
+
+    out = pack(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.embedding_dedup import near_duplicates
 
