@@ -27,6 +27,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.pair_rank import classify, learn
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return classify(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.packing import pack
 
@@ -47,6 +54,14 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.fertility import quality_rules
+
+    out = quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*columns, "chars_per_token", "byte_share", "token_entropy")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
