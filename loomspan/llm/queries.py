@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspan.llm.shared import documents
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.html_extract import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.suffix_dedup import remove_repeats
 

@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
 
 
 def _without(with_text: bool):
-    """From (text, spans, row) the row, its counts and the words that stay, joined by one space."""
+    """From (text, spans, row) the row, its counts and what stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
@@ -143,7 +143,11 @@ def _without(with_text: bool):
                 gone[high] -= 1
                 kept = np.cumsum(gone[:n]) == 0
                 text = b" ".join([raw[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist())])
-                found = (n, n - int(kept.sum()), len(low), hashlib.sha256(text).hexdigest(), text)
+                sha = hashlib.sha256(text).hexdigest()
+                if with_text:  # the rest as it stands, without the removed words and the white space after them
+                    next_ = np.concatenate((starts, [len(raw)]))
+                    text = b"".join([raw[a:b] for a, b in zip([0, *next_[high].tolist()], [*next_[low].tolist(), len(raw)])])
+                found = (n, n - int(kept.sum()), len(low), sha, text)
                 for name, x in zip(kinds, found):
                     out[name].append(x)
             yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(out[x], k) for x, k in kinds.items())], ["row", *kinds])
@@ -164,9 +168,9 @@ def remove_repeats(
 ) -> DataFrame:
     """Each row of docs with the words of repeated windows removed.
 
-    The text column gives way to n_words, n_removed, n_spans (maximal removed runs), kept_sha256 and, unless
-    with_text is false, kept_text (the kept words joined by one space); other columns of these names are replaced,
-    the rest is kept as it is. A null or blank text has no words. The id tells documents apart (null ids are told
+    The text column gives way to n_words, n_removed, n_spans (maximal removed runs), kept_sha256 (of the kept words
+    joined by one space) and, unless with_text is false, kept_text (the text without the removed words and the white
+    space after each run); other columns of these names are replaced, the rest is kept as it is. A null or blank text has no words. The id tells documents apart (null ids are told
     apart by their text); a row that is there twice counts twice, so that its windows are repeats. An empty table
     gives an empty table."""
     names = ["n_words", "n_removed", "n_spans", "kept_text", "kept_sha256"]
