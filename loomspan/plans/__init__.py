@@ -1,0 +1,6 @@
+"""Registered queries, by what they read."""
+
+from loomspan.plans import metrics, pages, texts
+from loomspan.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "metrics", "pages", "texts"]
