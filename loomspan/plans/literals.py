@@ -1,0 +1,242 @@
+"""Queries over small tables of literals: each shows one scalar rule, with the same rule as SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomspan.functions import colors
+from loomspan.plans.registry import duck_values, query, sql_text
+
+_COLORS = ["#FFF", "#0a0b0c", "#11223344", "rgb(255, 0, 16)", "rgba(300,-4,12.9,.5)", "red", " Inherit ", "#12", "transparent", "rgb(a,b,c)", "#ff0000 url(x.png)", "", "12px", "rgb(1,2)"]
+_DUCK_COLORS = "(select unnest([" + ", ".join(map(sql_text, _COLORS)) + "]) as value)"
+_CHANNEL = "lpad(to_hex(greatest(0, least(255, trunc(trim(c[{i}])::double)::int))), 2, '0')"
+_RGB = f"case when regexp_matches(v,'^rgba?[(][^)]+[)]') then case when len(c) >= 3 and regexp_matches(trim(c[1]) || ',' || trim(c[2]) || ',' || trim(c[3]),'^[-+0-9.]+,[-+0-9.]+,[-+0-9.]+$') then '#' || {' || '.join('lower(' + _CHANNEL.format(i=i) + ')' for i in (1, 2, 3))} end"
+_FROM_COLORS = f"(select *, case when length(substr(t,2)) = 3 then substr(t,2,1)||substr(t,2,1)||substr(t,3,1)||substr(t,3,1)||substr(t,4,1)||substr(t,4,1) else substr(t,2) end as h from (select value, v, string_split(regexp_extract(v,'^rgba?[(]([^)]+)[)]',1),',') as c, regexp_extract(v,'^([^ ]*)',1) as t from (select value, lower(trim(value)) as v from {_DUCK_COLORS})))"
+
+
+@query("color_normalize", f"""select value, {_RGB} when t like '#%' then case when regexp_matches(h,'^([0-9a-f]{{6}}|[0-9a-f]{{8}})$') then '#' || substr(h,1,6) end when t in ('inherit','initial','transparent','none','unset','currentcolor') then null when regexp_matches(t,'^[a-z]+$') then t end as color from {_FROM_COLORS}""")
+def color_normalize(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in _COLORS], "value string").select("value", colors.normalize(F.col("value")).alias("color"))
+
+
+@query("color_normalize_hex", f"""select value, {_RGB} when v like '#%' and regexp_matches(h,'^[0-9a-f]{{6}}$') and t = v then '#' || h end as color from {_FROM_COLORS}""")
+def color_normalize_hex(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in _COLORS], "value string").select("value", colors.normalize_hex(F.col("value")).alias("color"))
+
+
+_KNOWN = [("a", "colors", "primary", "#ff0000"), ("a", "colors", "secondary", "fe0a05"), ("a", "colors", "accent", "#00f"), ("b", "typography", "base", "Inter, sans-serif"), ("b", "spacing", "sm", "8px"), ("b", "colors", "bad", "red")]
+
+
+@query("knowledge_color_query", f"""select url, key, round(sqrt(pow(('0x'||substr(h,1,2))::int - 255, 2) + pow(('0x'||substr(h,3,2))::int - 5, 2) + pow(('0x'||substr(h,5,2))::int - 5, 2)), 2) as color_distance from (select *, case when length(x) = 3 then substr(x,1,1)||substr(x,1,1)||substr(x,2,1)||substr(x,2,1)||substr(x,3,1)||substr(x,3,1) else x end as h from (select *, ltrim(lower(trim(value)),'#') as x from {duck_values('url, category, key, value', _KNOWN)})) where category = 'colors' and regexp_matches(h,'^[0-9a-f]{{6}}$') and sqrt(pow(('0x'||substr(h,1,2))::int - 255, 2) + pow(('0x'||substr(h,3,2))::int - 5, 2) + pow(('0x'||substr(h,5,2))::int - 5, 2)) <= 20""")
+def knowledge_color_query(spark, sf_dir):
+    """Entries within a distance of #ff0505; values that are no colour fall away."""
+    x = spark.createDataFrame(_KNOWN, "url string, category string, key string, value string").where("category = 'colors'").withColumn("c", colors.channels_of_hex(F.col("value")))
+    d = colors.distance(F.col("c"), F.array(F.lit(255), F.lit(5), F.lit(5)))
+    return x.where("c is not null").select("url", "key", d.alias("d")).where("d <= 20").select("url", "key", F.round("d", 2).alias("color_distance"))
+
+
+@query("knowledge_token_query", f"select url, key from {duck_values('url, category, key, value', _KNOWN)} where contains(lower(value),'sans-serif') or contains(lower(key),'sans-serif')")
+def knowledge_token_query(spark, sf_dir):
+    x = spark.createDataFrame(_KNOWN, "url string, category string, key string, value string")
+    return x.where(F.lower("value").contains("sans-serif") | F.lower("key").contains("sans-serif")).select("url", "key")
+
+
+_LENGTHS = ["16px", "1.5rem", "-2em", "12", ".5px", "auto", "10 px", "100%", "", "3.px"]
+
+
+@query("length_to_px", r"select value, case when regexp_matches(v,'^(-?[0-9]*\.?[0-9]+)\s*(px|rem|em)?$') then regexp_extract(v,'^(-?[0-9]*\.?[0-9]+)',1)::double * case when regexp_matches(v,'em$') then 16 else 1 end end::double as px from (select value, lower(trim(value)) as v from (select unnest([" + ", ".join(map(sql_text, _LENGTHS)) + "]) as value))")
+def length_to_px(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in _LENGTHS], "value string").select("value", colors.to_px(F.col("value")).cast("double").alias("px"))
+
+
+_SELECTORS = ["div", "#a .b", "ul li:nth-child(2)", "a[href].x:hover", "div > p + span", ".a.b.c", "h1#t.big[data-x]", "*", "nav ul li a"]
+
+
+@query("selector_specificity", r"select selector, length(s) - length(replace(s,'#','')) as ids, length(s) - length(replace(s,'.','')) + length(s) - length(replace(s,'[','')) as classes, len(regexp_extract_all(s,'(^|[\s>+~]+)[a-zA-Z0-9]+'))::int as tags from (select selector, case when contains(selector,':') then regexp_replace(selector,':[a-zA-Z0-9_-]+(\([^)]*\))?','','g') else selector end as s from (select unnest([" + ", ".join(map(sql_text, _SELECTORS)) + "]) as selector))")
+def selector_specificity(spark, sf_dir):
+    return spark.createDataFrame([(s,) for s in _SELECTORS], "selector string").select("selector", colors.specificity(F.col("selector")).alias("s")).select("selector", "s.*")
+
+
+_STATES = [(1, "none", ""), (2, "0px", "0"), (3, "rgb(0, 0, 0)", "#000000"), (4, "rgba(1,2,3,1)", "#010203"), (5, "rgba(1,2,3,0.5)", "#010203"), (6, "red", "RED "), (7, "1px", "2px")]
+
+
+@query("style_diff", "select id, id in (5, 7) as differs from " + duck_values("id, a, b", _STATES))
+def style_diff(spark, sf_dir):
+    """Whether two style values differ in more than their notation; the SQL states the answer for each pair."""
+    a, b = (colors.normalize_style_value(F.col(c)) for c in "ab")
+    return spark.createDataFrame(_STATES, "id int, a string, b string").select("id", (a != b).alias("differs"))
+
+
+# Properties that are dropped whatever their value.
+DENIED = ("behavior", "-moz-binding", "will-change", "pointer-events", "user-select", "-webkit-user-select", "-webkit-tap-highlight-color", "-webkit-touch-callout", "touch-action", "scroll-behavior", "content")
+_PROPERTIES = ["color", "--brand", "content", "will-change", "margin", "--content", "behavior", "touch-action"]
+
+
+@query("property_denylist", "select p from (select unnest([" + ", ".join(map(sql_text, _PROPERTIES)) + "]) as p) where p like '--%' or p not in (" + ", ".join(map(sql_text, DENIED)) + ")")
+def property_denylist(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p in _PROPERTIES], "p string").where(F.col("p").startswith("--") | ~F.col("p").isin(*DENIED))
+
+
+# First bytes of media files.
+_FILES = ["89504E470D0A1A0A", "FFD8FFE000104A46", "524946460000000057454250", "52494646000000004156492030", "000000186674797069736F6D", "1A45DFA3", "4F676753", "49443303", "664C6143", "FFFB9000", "25504446", "504B0304", "00"]
+
+
+@query("media_format", "select f, case when f like '89504E47%' then 'png' when f like 'FFD8FF%' then 'jpeg' when f like '52494646%' and substr(f,17,8) = '57454250' then 'webp' when substr(f,9,8) = '66747970' then 'mp4' when f like '1A45DFA3%' then 'webm' when f like '4F676753%' then 'ogg' when f like '52494646%' and substr(f,17,8) = '57415645' then 'wav' when f like '494433%' or f like 'FFFB%' then 'mp3' when f like '664C6143%' then 'flac' when f like '25504446%' then 'pdf' when f like '504B0304%' then 'zip' end as format from (select unnest([" + ", ".join(map(sql_text, _FILES)) + "]) as f)")
+def media_format(spark, sf_dir):
+    data = F.try_to_binary("f", F.lit("hex"))
+    x = spark.createDataFrame([(f,) for f in _FILES], "f string").select("f", F.hex(F.substring(data, 1, 12)).alias("h"))
+    h = F.col("h")
+    riff = lambda kind: h.startswith("52494646") & (F.substring(h, 17, 8) == kind)
+    return x.select("f", F.when(h.startswith("89504E47"), "png").when(h.startswith("FFD8FF"), "jpeg").when(riff("57454250"), "webp").when(F.substring(h, 9, 8) == "66747970", "mp4").when(h.startswith("1A45DFA3"), "webm")
+                    .when(h.startswith("4F676753"), "ogg").when(riff("57415645"), "wav").when(h.startswith("494433") | h.startswith("FFFB"), "mp3").when(h.startswith("664C6143"), "flac").when(h.startswith("25504446"), "pdf").when(h.startswith("504B0304"), "zip").alias("format"))
+
+
+_UPLOADS = [(1, "aGVsbG8="), (2, "data:text/plain;base64,d29ybGQ="), (3, "not base64!"), (4, ""), (5, "iVBORw0KGgo=")]
+
+
+@query("upload_decode", "select id, case id when 1 then 5 when 2 then 5 when 4 then 0 when 5 then 8 end as n_bytes from " + duck_values("id, payload", _UPLOADS))
+def upload_decode(spark, sf_dir):
+    """Bytes of a base64 payload with or without a data: prefix; null if it is none. The SQL states the sizes."""
+    data = F.try_to_binary(F.regexp_replace("payload", "^data:[^,]*,", ""), F.lit("base64"))
+    return spark.createDataFrame(_UPLOADS, "id int, payload string").select("id", F.octet_length(data).alias("n_bytes"))
+
+
+_IMAGES = [(1, "hero_banner-1.png", 200, 100), (2, "me.jpg", 100, 100), (3, "tall photo.webp", 90, 300), (4, "x", 0, 10)]
+
+
+@query("image_facts", r"select id, regexp_replace(regexp_replace(name,'\.[^.]*$',''),'[_-]+',' ','g') as alt, case when w > 0 and h > 0 then round(w::double / h, 3) end as aspect, case when w > 0 and h > 0 then case when w::double/h > 1.05 then 'landscape' when w::double/h < 0.95 then 'portrait' else 'square' end end as orientation from " + duck_values("id, name, w, h", _IMAGES))
+def image_facts(spark, sf_dir):
+    x = spark.createDataFrame(_IMAGES, "id int, name string, w int, h int")
+    sized, ratio = (F.col("w") > 0) & (F.col("h") > 0), F.col("w") / F.nullif(F.col("h"), F.lit(0))
+    alt = F.regexp_replace(F.regexp_replace("name", r"\.[^.]*$", ""), "[_-]+", " ")
+    return x.select("id", alt.alias("alt"), F.when(sized, F.round(ratio, 3)).alias("aspect"), F.when(sized, F.when(ratio > 1.05, "landscape").when(ratio < 0.95, "portrait").otherwise("square")).alias("orientation"))
+
+
+_SLOTS = [
+    (1, "text", True, 80, "text", "Hello"), (2, "text", True, 80, "text", " "), (3, "text", False, 80, "text", ""), (4, "image", True, None, "text", "x"), (5, "text", False, 5, "text", "too long"),
+    (6, "text", False, 80, "text", "Lorem ipsum"), (7, None, False, None, "text", "x"), (8, "image", False, None, "image", "https://placehold.it/3"), (9, "text", False, 80, "document", "cv.pdf"),
+]
+
+
+@query("slot_validation", f"""select id, case when slot is null then 'hard:unknown slot' when required and trim(value) = '' then 'hard:required' when trim(value) = '' then 'ok:empty' when slot <> given and not (slot = 'text' and given = 'document') then 'hard:type mismatch' when slot = 'image' and regexp_matches(lower(value),'placehold') then 'soft:placeholder image' when length(value) > coalesce(most, 1000000) then 'soft:too long' when contains(lower(value),'lorem ipsum') then 'soft:placeholder text' else 'ok' end as verdict from {duck_values('id, slot, required, most, given, value', _SLOTS)}""")
+def slot_validation(spark, sf_dir):
+    """Ordered rules for a value in a slot; the first that holds decides."""
+    x = spark.createDataFrame(_SLOTS, "id int, slot string, required boolean, most int, given string, value string")
+    blank = F.trim("value") == ""
+    verdict = (
+        F.when(F.col("slot").isNull(), "hard:unknown slot").when(F.col("required") & blank, "hard:required").when(blank, "ok:empty")
+        .when((F.col("slot") != F.col("given")) & ~((F.col("slot") == "text") & (F.col("given") == "document")), "hard:type mismatch")
+        .when((F.col("slot") == "image") & F.lower("value").contains("placehold"), "soft:placeholder image").when(F.length("value") > F.col("most"), "soft:too long")
+        .when(F.lower("value").contains("lorem ipsum"), "soft:placeholder text").otherwise("ok")
+    )
+    return x.select("id", verdict.alias("verdict"))
+
+
+_TYPES = [(1, "text", 80), (2, "text", 201), (3, "image", None), (4, "video", None), (5, "audio", None), (6, "document", None), (7, "text", None)]
+
+
+@query("field_types", f"select id, case when t = 'text' and n > 200 then 'textarea' when t = 'image' then 'image' when t in ('video','audio') then 'url' else 'text' end as field_type from {duck_values('id, t, n', _TYPES)}")
+def field_types(spark, sf_dir):
+    x = spark.createDataFrame(_TYPES, "id int, t string, n int")
+    return x.select("id", F.when((F.col("t") == "text") & (F.col("n") > 200), "textarea").when(F.col("t") == "image", "image").when(F.col("t").isin("video", "audio"), "url").otherwise("text").alias("field_type"))
+
+
+# Inline elements, and block elements that must not be inside them.
+INLINE = ("span", "a", "strong", "em", "b", "i", "small", "label", "code", "abbr", "cite", "s", "sub", "sup", "mark")
+BLOCK = ("div", "p", "section", "article", "header", "footer", "main", "aside", "nav", "ul", "ol", "li", "table", "form", "h1", "h2", "h3", "h4", "h5", "h6")
+_NESTED = [(1, "span", "<b>x</b><div>y</div>"), (2, "div", "<div>y</div>"), (3, "A", "< P>text"), (4, "em", "plain"), (5, "mark", None)]
+
+
+@query("nesting_errors", "select id, b as nested from (select id, list_filter(list_transform(regexp_extract_all(coalesce(content,''),'<\\s*([a-zA-Z0-9]+)',1), lambda t: lower(t)), lambda t: list_contains([" + ", ".join(map(sql_text, BLOCK)) + "], t))[1] as b, tag from " + duck_values("id, tag, content", _NESTED) + ") where b is not null and lower(tag) in (" + ", ".join(map(sql_text, INLINE)) + ")")
+def nesting_errors(spark, sf_dir):
+    x = spark.createDataFrame(_NESTED, "id int, tag string, content string")
+    tags = F.transform(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"<\s*([a-zA-Z0-9]+)"), F.lit(1)), F.lower)
+    first = F.get(F.filter(tags, lambda t: t.isin(*BLOCK)), F.lit(0))
+    return x.where(F.lower("tag").isin(*INLINE)).select("id", first.alias("nested")).where("nested is not null")
+
+
+_BRAND_A, _BRAND_B = [("primary", "#f00"), ("accent", "rgb(0, 0, 255)"), ("only_a", "#123456")], [("primary", "#00FF00"), ("accent", "nope"), ("only_b", "#000000")]
+_VALUES = [(1, "rgb(255,0,0)"), (2, "#FF0000"), (3, "#0000ff"), (4, "red")]
+
+
+@query("brand_remap", "select id, case id when 1 then 'rgb(0, 255, 0)' when 2 then '#00ff00' else v end as value from " + duck_values("id, v", _VALUES))
+def brand_remap(spark, sf_dir):
+    """Colours of one palette replaced by those of another with the same role, in the notation that they had.
+
+    Palettes have a few rows; the remap joins the values by equality, without a hint. The SQL states the answer."""
+    palette = lambda rows, name: spark.createDataFrame(rows, "role string, c string").select("role", colors.normalize_hex(F.col("c")).alias(name))
+    remap = palette(_BRAND_A, "old").join(palette(_BRAND_B, "new"), "role").where("old is not null and new is not null").groupBy("old").agg(F.max_by("new", "role").alias("new"))
+    x = spark.createDataFrame(_VALUES, "id int, v string").withColumn("old", colors.normalize_hex(F.col("v")))
+    c = colors.channels_of_hex(F.col("new"))
+    like = F.when(F.lower(F.trim("v")).startswith("rgb"), F.format_string("rgb(%d, %d, %d)", c[0], c[1], c[2])).otherwise(F.col("new"))
+    return x.join(remap, "old", "left").select("id", F.coalesce(F.when(F.col("new").isNotNull(), like), "v").alias("value"))
+
+
+# What a section is in a personal portfolio; sections without an entry are left out.
+PORTFOLIO = {"hero": "bio_header", "about": "bio", "portfolio": "projects", "testimonials": "testimonials", "contact": "contact", "social_links": "social_links", "media_gallery": "projects", "feature_grid": "skills", "services": "services"}
+ROLES = ("hero", "about", "portfolio", "team", "testimonials", "contact", "social_links", "navigation", "footer", "sidebar", "media_gallery", "cta", "faq", "blog_feed", "feature_grid", "pricing", "services", "unknown")
+
+
+@query("portfolio_categories", "select role, case role " + " ".join(f"when '{k}' then '{v}'" for k, v in PORTFOLIO.items()) + " end as category from (select unnest([" + ", ".join(map(sql_text, ROLES)) + "]) as role)")
+def portfolio_categories(spark, sf_dir):
+    mapping = F.create_map(*(F.lit(x) for kv in PORTFOLIO.items() for x in kv))
+    return spark.createDataFrame([(r,) for r in ROLES], "role string").select("role", F.try_element_at(mapping, F.col("role")).alias("category"))
+
+
+_GRIDS = [(1, "repeat(3, 1fr)"), (2, "1fr 2fr"), (3, ""), (4, "repeat(auto-fill, 10px)"), (5, "200px")]
+
+
+@query("grid_columns", r"select id, coalesce(try_cast(nullif(regexp_extract(v,'repeat\(\s*([0-9]+)',1),'') as int), greatest(1, len(list_filter(string_split(v,' '), lambda x: x <> ''))))::int as columns from " + duck_values("id, v", _GRIDS))
+def grid_columns(spark, sf_dir):
+    x = spark.createDataFrame(_GRIDS, "id int, v string")
+    n = F.regexp_extract("v", r"repeat\(\s*([0-9]+)", 1).try_cast("int")
+    return x.select("id", F.coalesce(n, F.greatest(F.lit(1), F.size(F.filter(F.split("v", " "), lambda t: t != "")))).alias("columns"))
+
+
+_DISPLAYS = [(1, "grid", ""), (2, "flex", "column"), (3, "inline-flex", "row"), (4, "block", ""), (5, None, None)]
+
+
+@query("container_type", "select id, case when contains(d,'grid') then 'grid' when contains(d,'flex') then case when coalesce(f,'') like '%column%' then 'flex_column' else 'flex_row' end else 'stack' end as kind from (select id, coalesce(d,'') as d, f from " + duck_values("id, d, f", _DISPLAYS) + ")")
+def container_type(spark, sf_dir):
+    x = spark.createDataFrame(_DISPLAYS, "id int, d string, f string")
+    d, f = F.coalesce("d", F.lit("")), F.coalesce("f", F.lit(""))
+    return x.select("id", F.when(d.contains("grid"), "grid").when(d.contains("flex"), F.when(f.contains("column"), "flex_column").otherwise("flex_row")).otherwise("stack").alias("kind"))
+
+
+_ROBOTS = [(1, "User-agent: *\nDisallow: /"), (2, "User-agent: *\nDisallow: /private"), (3, "DISALLOW: /*"), (4, ""), (5, "Allow: /"), (6, "  disallow:   /  ")]
+
+
+@query("robots_class", r"select id, case when len(list_filter(string_split(lower(txt),chr(10)), lambda l: regexp_matches(l,'^\s*disallow:\s*/\*?\s*$'))) > 0 then 'restricted' else 'safe_to_reconstruct' end as verdict from " + duck_values("id, txt", _ROBOTS))
+def robots_class(spark, sf_dir):
+    closed = F.exists(F.split(F.lower("txt"), "\n"), lambda line: line.rlike(r"^\s*disallow:\s*/\*?\s*$"))
+    return spark.createDataFrame(_ROBOTS, "id int, txt string").select("id", F.when(closed, "restricted").otherwise("safe_to_reconstruct").alias("verdict"))
+
+
+_PATHS = [(1, "root > div:nth-child(2) > p:nth-child(1)", 2), (2, "root > ul:nth-child(4)", 1), (3, "root", 3)]
+
+
+@query("path_shift", "select id, case id when 1 then 'root > div:nth-child(2) > p:nth-child(3)' when 2 then 'root > ul:nth-child(5)' else p end as path from " + duck_values("id, p, i", _PATHS))
+def path_shift(spark, sf_dir):
+    """The last index of a path moved by the number of an instance. The SQL states the answer."""
+    n = F.regexp_extract("p", r"^.*nth-child\(([0-9]+)\)", 1).try_cast("int")
+    moved = F.concat(F.regexp_extract("p", r"^(.*nth-child\()[0-9]+\)", 1), (n + F.col("i")).cast("string"), F.regexp_extract("p", r"^.*nth-child\([0-9]+(\).*)$", 1))
+    return spark.createDataFrame(_PATHS, "id int, p string, i int").select("id", F.coalesce(F.when(n.isNotNull(), moved), "p").alias("path"))
+
+
+_SRCSETS = [(1, "a.png 1x, b.png 2x"), (2, "c.jpg 480w,  d.jpg 800w"), (3, "e.gif")]
+
+
+@query("srcset_parts", r"select id, pos, regexp_extract(x,'^(\S+)',1) as url, trim(regexp_extract(x,'^\S+(.*)$',1)) as descriptor from (select id, trim(unnest(string_split(s,','))) as x, generate_subscripts(string_split(s,','),1) as pos from " + duck_values("id, s", _SRCSETS) + ")")
+def srcset_parts(spark, sf_dir):
+    x = spark.createDataFrame(_SRCSETS, "id int, s string").select("id", F.posexplode(F.split("s", ",")).alias("pos", "x"))
+    return x.select("id", (F.col("pos") + 1).cast("long").alias("pos"), F.regexp_extract(F.trim("x"), r"^(\S+)", 1).alias("url"), F.trim(F.regexp_extract(F.trim("x"), r"^\S+(.*)$", 1)).alias("descriptor"))
+
+
+_IMPORTS = [(1, '@import url("a.css") screen; @import "b.css"; p{}'), (2, "@IMPORT url(c.css);"), (3, "p{color:red}")]
+
+
+@query("css_imports", """select id, array_to_string(list_concat(regexp_extract_all(css,'(?i)@import\\s+url\\(\\s*["'']?([^"'')]+)["'']?\\s*\\)',1), regexp_extract_all(css,'(?i)@import\\s+["'']([^"'']+)["'']',1)),',') as refs from """.replace("\\\\", "\\") + duck_values("id, css", _IMPORTS))
+def css_imports(spark, sf_dir):
+    x = spark.createDataFrame(_IMPORTS, "id int, css string")
+    found = [F.regexp_extract_all("css", F.lit(p), F.lit(1)) for p in (r"""(?i)@import\s+url\(\s*["']?([^"')]+)["']?\s*\)""", r"""(?i)@import\s+["']([^"']+)["']""")]
+    return x.select("id", F.array_join(F.concat(*found), ",").alias("refs"))
