@@ -1,6 +1,6 @@
 """Registered queries, by what they read."""
 
-from loomspan.plans import literals, metrics, pages, rasters, texts
+from loomspan.plans import literals, metrics, pages, rasters, texts, trees
 from loomspan.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "literals", "metrics", "pages", "rasters", "texts"]
+__all__ = ["ORACLES", "QUERIES", "literals", "metrics", "pages", "rasters", "texts", "trees"]
