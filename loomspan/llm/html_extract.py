@@ -56,6 +56,10 @@ class Block:
     banned: bool
     holder: int  # number of the article or main element around it, or 0
 
+    @property
+    def heading(self) -> bool:
+        return bool(self.before) and self.before[-1] in ("h1", "h2", "h3", "h4", "h5", "h6")
+
 
 def _banned(tag: str, attrs: str, in_content: bool) -> bool:
     if tag in _NEVER or (tag == "header" and not in_content):
@@ -193,7 +197,7 @@ def learn_weights(inside: Counter, outside: Counter) -> Weights:
 
 def best_run(found: list[Block], weights: Weights) -> tuple[int, int]:
     """First and last block of the run of tokens with the largest sum (the first of equal ones); (0, -1) if empty."""
-    best, best_run_, total, start = 0.0, (0, -1), 0.0, 0
+    best, run, total, start = 0.0, (0, -1), 0.0, 0
     for i, b in enumerate(found):
         total += sum(map(weights.tag, b.before))
         for kind in b.words:
@@ -202,8 +206,8 @@ def best_run(found: list[Block], weights: Weights) -> tuple[int, int]:
             # Words of parts that are never content count as tags do.
             total += -weights.word(kind) if b.banned else weights.word(kind)
             if total > best:
-                best, best_run_ = total, (start, i)
-    return best_run_
+                best, run = total, (start, i)
+    return run
 
 
 def main_text(page: str | None, weights: Weights = DEFAULT) -> str:
@@ -216,9 +220,10 @@ def main_text(page: str | None, weights: Weights = DEFAULT) -> str:
         return ""
     holders = Counter(b.holder for b in found[first : last + 1] if b.holder and not b.banned)
     if holders:
-        chosen = {h for h in holders}
-        keep = [b for b in found if b.holder in chosen and not b.banned]
+        keep = [b for b in found if b.holder in holders and not b.banned]
     else:
+        while first and found[first - 1].heading and not found[first - 1].banned:  # few words, many tags: yet they belong
+            first -= 1
         keep = [b for b in found[first : last + 1] if not b.banned]
     return " ".join(b.text for b in keep)
 
