@@ -1,17 +1,19 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes). Sets that link (Jaccard >= t) share a
-shingle within their prefixes, the first n - ceil(t n) + 1 shingles in one order that holds for all documents;
-and the shorter one shares one of its first n - ceil(2t/(1+t) n) + 1 (the positional filter). The order is rare
-first. To shuffle few rows it puts the quarter of the shingles with the smallest hashes before all others, as a
-prefix holds a fifth of a set: document frequencies are counted for that quarter alone, over all documents. Of
-these the most frequent (a bounded list, ORDERED) are ranked by frequency, the others come before them.
-
-Prefix shingles that no other document has are dropped, then equal sets are reduced to one representative each.
-In the list of a shingle every member is first paired with one pivot; then, once components are known, members
-outside a list's largest component are paired with those of other components. So a large group of near copies
-costs pairs in proportion to its size, yet every pair that could join two components is looked at. Each pair is
-verified once: by the suffix filter (set sizes by hash range bound the overlap), then by intersection.
+shingle within their prefixes, the first n - ceil(t n) + 1 shingles in one order that holds for all documents. The
+order is rare first: the most frequent shingles (a bounded list, ORDERED) come last, by frequency, the others before
+them by hash. Frequencies for this list are summed from batches in which a shingle is found FREQUENT times; any order
+gives the same links, a good one gives short lists.
+
+Prefix shingles that no other document has are dropped: exact counts are kept for the quarter of the shingles with the
+smallest hashes, which nearly all prefixes keep to. Equal sets are reduced to one representative each. In the list of
+a shingle only members that could have it as their first shared shingle are paired (positional filter: enough shingles
+must follow in both). Every member is first paired with at most PIVOTS others (of random parts of the list those with the fewest rarer
+shingles, as they link with most); then, once components
+are known, members outside a list's largest component are paired with those of other components. So a large group of
+near copies costs pairs in proportion to its size, yet every pair that could join two components is looked at. Each
+pair is verified once: by the suffix filter (set sizes by hash range bound the overlap), then by intersection.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from loomspan.llm.textscan import mix, shingle_set, text_bytes, word_codes, word
 
 SHINGLE = 5
 THRESHOLD = 80
-#: Hashes (as signed numbers) from 0 up to this are counted and come first in the order.
+#: Hashes (as signed numbers) from 0 up to this are counted.
 COUNTED = 1 << 62
-#: Shingles ranked by frequency, at most, and the least frequency at which ranking pays: bounds the broadcast to 320 kB.
-ORDERED, FREQUENT = 20_000, 16
+#: Shingles ranked by frequency, at most (bounds the broadcast to 480 kB), and how often a batch must have one.
+ORDERED, FREQUENT = 40_000, 4
+#: Members of a list that the others are first paired with, at most.
+PIVOTS = 8
 
 
 def shingles(data: np.ndarray) -> np.ndarray:
@@ -62,8 +66,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], ["h"])
 
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [x for x in map(shingles, text_bytes(batch.column(1))) if len(x)]
+        h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        often = n >= FREQUENT
+        yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
+
+
 def _prefixes(frequent, percent: int):
-    """(key, text) -> a row for each prefix shingle: (h, key, n, index), index: whether it is in the shorter, indexed prefix."""
+    """(key, text) -> a row for each prefix shingle: (h, key, n, pos), pos from 0 in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = frequent.value
@@ -75,16 +87,15 @@ def _prefixes(frequent, percent: int):
                 if not n:
                     continue
                 length = n - _needed(n, percent) + 1
-                index = n - -(-2 * percent * n // (100 + percent)) + 1
                 rank = np.zeros(n, dtype=np.int32)
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     rank = np.where(hashes[at] == h, ranks[at], 0)
-                first = np.lexsort((rank, h >= np.uint64(COUNTED)))[:length]  # h is sorted: it breaks ties
-                out.append((h[first], np.full(length, key), np.full(length, n, np.int32), np.arange(length) < index))
+                first = np.argsort(rank, kind="stable")[:length]  # h is sorted: it breaks ties
+                out.append((h[first], np.full(length, key), np.full(length, n, np.int32), np.arange(length, dtype=np.int32)))
             if out:
-                h, key, n, index = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(n), pa.array(index)], ["h", "key", "n", "index"])
+                h, key, n, pos = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(n), pa.array(pos)], ["h", "key", "n", "pos"])
 
     return run
 
@@ -124,23 +135,33 @@ def _verify(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _enough_in_prefixes(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes share enough: what they share besides must follow the prefix that ends first."""
+    for end, x in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(prefixes.select(F.col("key").alias(end), F.col("n").alias(f"n{x}"), F.col("shingles").alias(x)), end)
+    needed = F.ceil((F.col("nx") + F.col("ny")) * percent / F.lit(100 + percent) - 1e-9)
+    after = F.greatest(*(F.ceil(F.col(n) * percent / F.lit(100) - 1e-9) - 1 for n in ("nx", "ny")))
+    return pairs.where(F.size(F.array_intersect("x", "y")) + after >= needed).select("a", "b")
+
+
+def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) that link."""
+    pairs = keep(_enough_in_prefixes(pairs, prefixes, percent))
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     sets = keep(docs.join(ends, "key", "left_semi").select("key", "text").dropDuplicates(["key"]).mapInArrow(_arrays, "key long, hashes binary"))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
     out = keep(both.mapInArrow(_verify(percent), "a long, b long"))
-    discard(sets)
+    discard(sets, pairs)
     return out
 
 
 def _can_link(x: str, y: str, percent: int) -> F.Column:
-    """Length and positional filters of two members of one list."""
+    """Length filter, and positional filter if the list's shingle is the first that two members share."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    x_shorter = (n < m) | ((n == m) & (F.col(f"{x}.key") < F.col(f"{y}.key")))
-    index = F.when(x_shorter, F.col(f"{x}.index")).otherwise(F.col(f"{y}.index"))
-    return index & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.col(f"{x}.key") != F.col(f"{y}.key"))
+    needed = F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
+    after = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
+    return (F.col(f"{x}.key") != F.col(f"{y}.key")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (after >= needed)
 
 
 def _pair(x: str, y: str) -> list[F.Column]:
@@ -154,20 +175,19 @@ def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _lists(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(h, key, n, index): prefix shingles of representatives, of lists that could hold a link."""
-    spark = docs.sparkSession
-    counts = keep(docs.mapInArrow(_counted, "h long").groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    top = counts.where(F.col("df") >= FREQUENT).orderBy(F.desc("df"), "h").limit(ORDERED).collect()  # bounded
+    """(h, key, n, pos): prefix shingles of representatives, of lists with two members at least."""
+    often = docs.mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = often.orderBy(F.desc("n"), "h").limit(ORDERED).collect()  # bounded
     hashes = np.array([r.h for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    frequent = spark.sparkContext.broadcast((hashes[order], (len(top) - np.arange(len(top), dtype=np.int32))[order]))
-    prefixes = docs.mapInArrow(_prefixes(frequent, percent), "h long, key long, n int, index boolean")
+    frequent = docs.sparkSession.sparkContext.broadcast((hashes[order], (len(top) - np.arange(len(top), dtype=np.int32))[order]))
+    counts = keep(docs.mapInArrow(_counted, "h long").groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"))
+    prefixes = docs.mapInArrow(_prefixes(frequent, percent), "h long, key long, n int, pos int")
     counted = F.col("h").between(0, COUNTED - 1)
-    shared = prefixes.where(counted).join(counts.select("h"), "h").unionByName(prefixes.where(~counted))
-    shared = keep(shared)
-    members = keep(shared.distinct().join(reps.select(F.col("rep").alias("key")), "key", "left_semi"))
-    lists = keep(members.groupBy("h").agg(F.count("*").alias("size"), F.bool_or("index").alias("any")).where("size > 1 and any").select("h"))
-    out = keep(members.join(lists, "h"))
+    shared = keep(prefixes.where(counted).join(counts, "h").unionByName(prefixes.where(~counted)))
+    members = keep(shared.dropDuplicates(["h", "key"]).join(reps.select(F.col("rep").alias("key")), "key", "left_semi"))
+    lists = keep(members.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h"))
+    out = keep(members.join(lists, "h").select("h", "key", "n", "pos"))
     discard(counts, shared, members, lists)
     return out
 
@@ -175,23 +195,27 @@ def _lists(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def set_links(docs: DataFrame, reps: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between representatives that connect every component of the join: a spanning part of all links."""
     lists = _lists(docs, reps, percent)
-    pivot = keep(lists.where("index").groupBy("h").agg(F.min_by(F.struct("key", "n", "index"), F.xxhash64("key", "h")).alias("p")).select("h", "p.*"))
-    x, y = lists.alias("x"), pivot.alias("y")
+    prefixes = keep(lists.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("h").alias("shingles")))
+    bucket = F.pmod(F.xxhash64("key", "h"), F.lit(PIVOTS)).alias("bucket")
+    pivots = lists.groupBy("h", bucket).agg(F.min_by(F.struct("key", "n", "pos"), F.struct("pos", F.xxhash64("h", "key"))).alias("p")).select("h", "p.*")
+    pivots = keep(pivots)
+    x, y = lists.alias("x"), pivots.alias("y")
     first = keep(x.join(y, F.col("x.h") == F.col("y.h")).where(_can_link("x", "y", percent)).select(*_pair("x", "y")).distinct())
-    links = _verified(first, docs, percent)
+    links = _verified(first, prefixes, docs, percent)
     parts = keep(components(links))
 
-    labelled = keep(lists.join(parts.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", "index", F.coalesce("component", "key").alias("part")))
+    labelled = keep(lists.join(parts.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", "pos", F.coalesce("component", "key").alias("part")))
     sizes = labelled.groupBy("h", "part").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("largest"))
+    largest = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.sum("size").alias("members"), F.max_by("part", F.struct("size", "part")).alias("largest"))
+    # Lists of few members were paired in full above if each had a bucket of its own; others are looked at again.
     largest = keep(largest.where("parts > 1").select("h", "largest"))
     open_lists = keep(labelled.join(largest, "h"))
     x, y = open_lists.where("part <> largest").alias("x"), open_lists.alias("y")
     twice = (F.col("y.part") != F.col("y.largest")) & (F.col("x.key") > F.col("y.key"))
     rest = x.join(y, F.col("x.h") == F.col("y.h")).where((F.col("x.part") != F.col("y.part")) & ~twice & _can_link("x", "y", percent))
     rest = keep(rest.select(*_pair("x", "y")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = _verified(rest, docs, percent)
-    discard(lists, pivot, labelled, largest, open_lists)
+    more = _verified(rest, prefixes, docs, percent)
+    discard(lists, prefixes, pivots, labelled, largest, open_lists)
     return links.unionByName(more)
 
 
