@@ -13,6 +13,13 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.lm_score import score
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "n_words", "target_loss", "background_loss", "score")
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.suffix_dedup import remove_repeats
 
