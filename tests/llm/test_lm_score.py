@@ -5,6 +5,8 @@ import math
 import re
 import zlib
 
+import numpy as np
+
 from loomspan.llm import lm_score
 from tests.llm.test_operators import ROWS, prose, table
 
@@ -15,27 +17,31 @@ def test_lm_score(spark):
     out = lm_score.score(table(spark, "score", rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     split = lambda t: [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
     good = {i for i, q in labels if q == 1 and i is not None and zlib.crc32(str(i).encode()) % 3 != 1}
+    # Pairs share counters as they do in the operator; all else is counted by word.
+    vocabulary = np.unique(np.concatenate([lm_score._words(np.frombuffer((r[1] or "").encode(), np.uint8)) for r in rows]))
+    counters = lambda r: lm_score.buckets(lm_score.ids(np.frombuffer((r[1] or "").encode(), np.uint8), vocabulary)).tolist()
     words, pairs = ({True: collections.Counter(), False: collections.Counter()} for _ in range(2))
     for r in rows:
         w = split(r[1])
         for target in (True, False) if r[0] in good else (False,):
             words[target].update(w)
-            pairs[target].update(zip([None, *w], w))
+            pairs[target].update(counters(r))
     scale = {True: 1.0, False: sum(words[True].values()) / sum(words[False].values())}
 
-    def loss(w, target):
+    def loss(r, target):
+        w = split(r[1])
         total, s = sum(words[target].values()) * scale[target], scale[target]
         bits, before = 0.0, None
-        for x in w:
+        for x, counter in zip(w, counters(r)):
             prior = (words[target][x] * s + 1) / (total + lm_score.VOCABULARY + 1)
             seen = words[target][before] * s if before is not None else 0.0
-            pair = min(pairs[target][before, x] * s, seen)
+            pair = min(pairs[target][counter] * s, seen)
             bits -= math.log2((pair + lm_score.SMOOTHING * prior) / (seen + lm_score.SMOOTHING))
             before = x
         return bits / len(w) if w else 0.0
 
     assert len(out) == len(rows)
-    expected = collections.Counter((r[0], len(split(r[1])), round(loss(split(r[1]), True), 2), round(loss(split(r[1]), False), 2)) for r in rows)
+    expected = collections.Counter((r[0], len(split(r[1])), round(loss(r, True), 2), round(loss(r, False), 2)) for r in rows)
     assert collections.Counter((r.doc_id, r.n_words, round(r.target_loss, 2), round(r.background_loss, 2)) for r in out) == expected
     assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-9 for r in out)
     assert lm_score.score(table(spark, "x").where("false"), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
