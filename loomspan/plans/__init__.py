@@ -1,6 +1,6 @@
 """Registered queries, by what they read."""
 
-from loomspan.plans import literals, metrics, pages, rasters, texts, trees, workflows
+from loomspan.plans import evaluation, literals, metrics, pages, rasters, texts, trees, workflows
 from loomspan.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "literals", "metrics", "pages", "rasters", "texts", "trees", "workflows"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "literals", "metrics", "pages", "rasters", "texts", "trees", "workflows"]
