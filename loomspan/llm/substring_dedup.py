@@ -105,15 +105,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     alive = keep(alive)
 
     # Last level, whole runs first: copies count together.
-    distinct = keep(alive.groupBy("h", "run").agg(F.count("*").alias("n")))
+    alive = alive.withColumn("place", F.xxhash64("key", "low"))
+    distinct = keep(alive.groupBy("h", "run").agg(F.count("*").alias("n"), F.min("place").alias("place")))
     shared = keep(distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h"))
     copies = alive.join(keep(distinct.where("n > 1").select("h", "run")), ["h", "run"], "left_semi").select("key", "low", "high")
     # Then the windows of runs found once whose anchor is in other runs too; one row stands for each kind of run.
     kinds = distinct.join(shared, "h", "left_semi")
     once = keep(alive.join(keep(kinds.where("n = 1").select("h", "run")), ["h", "run"], "left_semi"))
-    many = (
-        alive.join(keep(kinds.where("n > 1")), ["h", "run"]).groupBy("h", "run").agg(F.max("n").alias("n"), F.first("windows").alias("windows"))
-    )
+    many = alive.join(keep(kinds.where("n > 1")), ["h", "run", "place"])  # the one that stands for its kind
     single = once.select("key", "h", "low", F.posexplode("windows").alias("i", "w"))
     counts = (
         single.select("h", "w", F.lit(1).cast("long").alias("n"))
