@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.shared import components, discard, keep, row_key
@@ -36,6 +36,8 @@ COUNTED = 1 << 62
 ORDERED, FREQUENT = 40_000, 4
 #: Members of a list that the others are first paired with, at most.
 PIVOTS = 8
+#: Shingles of a member that are remembered in each list, to leave out pairs that an earlier list has.
+BEFORE = 8
 
 
 def shingles(data: np.ndarray) -> np.ndarray:
@@ -209,10 +211,14 @@ def set_links(docs: DataFrame, reps: DataFrame, percent: int = THRESHOLD) -> Dat
     largest = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.sum("size").alias("members"), F.max_by("part", F.struct("size", "part")).alias("largest"))
     # Lists of few members were paired in full above if each had a bucket of its own; others are looked at again.
     largest = keep(largest.where("parts > 1").select("h", "largest"))
-    open_lists = keep(labelled.join(largest, "h"))
+    # Each member carries the BEFORE shingles that it has before the list's. If two members share one of these, the pair
+    # was met in that list already; so a pair is left to the lists where its shared shingles begin.
+    before = F.collect_list("h").over(Window.partitionBy("key").orderBy("pos").rowsBetween(-BEFORE, -1))
+    open_lists = keep(labelled.join(largest, "h").withColumn("before", before))
     x, y = open_lists.where("part <> largest").alias("x"), open_lists.alias("y")
     twice = (F.col("y.part") != F.col("y.largest")) & (F.col("x.key") > F.col("y.key"))
-    rest = x.join(y, F.col("x.h") == F.col("y.h")).where((F.col("x.part") != F.col("y.part")) & ~twice & _can_link("x", "y", percent))
+    fits = (F.col("x.part") != F.col("y.part")) & ~twice & _can_link("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before")
+    rest = x.join(y, F.col("x.h") == F.col("y.h")).where(fits)
     rest = keep(rest.select(*_pair("x", "y")).distinct().join(first, ["a", "b"], "left_anti"))
     more = _verified(rest, prefixes, docs, percent)
     discard(lists, prefixes, pivots, labelled, largest, open_lists)
