@@ -3,13 +3,14 @@
 Equal 200-byte strings have the same minimising 96-byte gram at the same place (see anchors.py). Around each gram
 that occurs twice the text of its windows is cut out (300 bytes at most); equal cuts are pre-aggregated into one with
 a weight. The cuts of one gram form a bucket. A bucket with many different cuts is dealt anew, by the bytes that eight
-neighbouring windows share, so that a very frequent passage in ever new surroundings doesn't meet in one task.
+neighbouring windows share, and where that is not enough by single windows, so that a very frequent passage in ever new surroundings doesn't meet in one task.
 Each task then builds the suffix array of its buckets (suffix_sort.py), a few megabytes at a time, and takes the
 adjacent common prefixes of 200 bytes and more.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ WINDOW = 200
 GRAM = 96
 #: A bucket with more different cuts than this is dealt anew by smaller cuts.
 BUCKET = 32
-#: Windows in a smaller cut.
-STEP = 8
+#: Windows in a smaller cut, and in the cuts of buckets that are crowded still.
+STEPS = (8, 1)
 #: Bytes of whole buckets that one suffix array holds (a single larger bucket is still one array).
 SORTED_BYTES = 2_000_000
 
@@ -105,41 +106,45 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     # Equal cuts with their anchor at the same place hold the same windows. They are told apart by h, at and the bytes.
     cuts = keep(cuts)
     kinds = keep(cuts.groupBy("h", "at", "cut").agg(F.count("*").alias("n")))
-    sizes = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    large = keep(sizes.where(F.col("kinds") > BUCKET).select("h"))
-    small = kinds.join(large, "h", "left_anti")
-    found = _suffix_stage(small.select(F.col("h").alias("bucket"), "cut", "n"), window)
-    found = found.select(F.col("bucket").alias("h"), "cut", "low", "high")
-
-    # Large buckets: cuts of STEP windows each, told apart by the bytes that their windows share.
-    windows = F.length("cut") - window + 1
-    pieces = kinds.join(large, "h").select(
-        "h", "at", "cut", "n",
-        # Pieces keep to a grid relative to the anchor, so that equal windows are in pieces of the same place.
-        F.explode(F.sequence(F.floor((F.lit(0) - F.col("at")) / STEP).cast("int"), F.floor((windows - 1 - F.col("at")) / STEP).cast("int"))).alias("cell"),
-    )
-    start = F.greatest(F.lit(0), F.col("cell") * STEP + F.col("at"))
-    end = F.least(windows - 1, F.col("cell") * STEP + F.col("at") + STEP - 1)
-    core = F.substring("cut", F.col("cell") * STEP + F.col("at") + STEP, F.lit(window - STEP + 1))
-    pieces = pieces.select(
-        "h", "at", "cut", "n", start.alias("start"),
-        F.xxhash64("h", "cell", core).alias("bucket"),
-        F.substring("cut", start + 1, end - start + window).alias("piece"),
-    )
-    pieces = keep(pieces)
-    piece_kinds = pieces.groupBy("bucket", F.col("piece").alias("cut")).agg(F.sum("n").alias("n"))
-    in_pieces = _suffix_stage(piece_kinds, window).withColumnRenamed("cut", "piece")
-    found_large = pieces.join(keep(in_pieces), ["bucket", "piece"]).select(
-        "h", "cut", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")
-    )
-    found = keep(found.unionByName(found_large).select("h", "cut", F.col("low").alias("from"), F.col("high").alias("to")))
+    large = keep(_crowded(kinds.select(F.col("h").alias("bucket"))))
+    small = kinds.select(F.col("h").alias("bucket"), "cut", "n").join(large, "bucket", "left_anti")
+    found = [_suffix_stage(small, window).select(F.col("bucket").alias("h"), F.xxhash64("cut").alias("c"), F.col("low").alias("from"), F.col("high").alias("to"))]
+    left = kinds.join(large.withColumnRenamed("bucket", "h"), "h").select("h", F.xxhash64("cut").alias("c"), F.lit(0).alias("start"), "at", "cut", "n")
+    for step in STEPS:
+        pieces = keep(_pieces(left, window, step))
+        distinct = pieces.groupBy("bucket", "cut").agg(F.sum("n").alias("n"))
+        if step > 1:  # pieces of one window are alike throughout their bucket
+            large = keep(_crowded(distinct.select("bucket")))
+            left = pieces.join(large, "bucket").drop("bucket")
+            distinct = distinct.join(large, "bucket", "left_anti")
+        hits = keep(_suffix_stage(distinct, window))
+        found.append(pieces.join(hits, ["bucket", "cut"]).select("h", "c", (F.col("start") + F.col("low")).alias("from"), (F.col("start") + F.col("high")).alias("to")))
     # Back to the documents: a cut is known by the hashes of its gram and of its bytes, 128 bits.
-    found = found.select("h", F.xxhash64("cut").alias("c"), "from", "to")
+    found = keep(functools.reduce(DataFrame.unionByName, found))
     return cuts.select("key", "low", "h", F.xxhash64("cut").alias("c")).join(found, ["h", "c"]).select(
         "key", (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to") + window).alias("high")
     )
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Buckets with more rows than one task should sort together."""
+    return rows.groupBy("bucket").agg(F.count("*").alias("kinds")).where(F.col("kinds") > BUCKET).select("bucket")
+
+
+def _pieces(cuts: DataFrame, window: int, step: int) -> DataFrame:
+    """(h, c, start, at, cut, n) cut further, `step` windows each, and dealt by the bytes that those windows share.
+
+    Pieces keep to a grid relative to the anchor, so that equal windows are in pieces of the same place; c and start
+    still tell the whole cut and the place in it."""
+    windows = F.length("cut") - window + 1
+    cells = F.sequence(F.floor((F.lit(0) - F.col("at")) / step).cast("int"), F.floor((windows - 1 - F.col("at")) / step).cast("int"))
+    first = F.col("cell") * step + F.col("at")
+    begin, end = F.greatest(F.lit(0), first), F.least(windows - 1, first + step - 1)
+    core = F.substring("cut", first + step, F.lit(window - step + 1))
+    x = cuts.withColumn("cell", F.explode(cells))
+    return x.select("h", "c", (F.col("start") + begin).alias("start"), (F.col("at") - begin).alias("at"), F.substring("cut", begin + 1, end - begin + window).alias("cut"), "n", F.xxhash64("h", "cell", core).alias("bucket"))
+
+
 def _without(with_text: bool):
     """From (text, spans, row) the row, its counts and the bytes that stay."""
 
