@@ -84,7 +84,7 @@ def _measure(path: str):
                 pieces.learn(set().union(*split))
                 for data, raw, words in zip(part, raws, split):
                     starts, ends = word_spans(data)
-                    ids = np.frombuffer(b"".join(map(pieces.words.__getitem__, words)), dtype=np.int32)
+                    ids = pieces.ids(words)
                     counts = np.unique(ids, return_counts=True)[1] / max(1, len(ids))
                     chars = int(((data & 0xC0) != 0x80).sum()) - int(np.isin(data, (9, 10, 11, 12, 13, 32)).sum())
                     row = (

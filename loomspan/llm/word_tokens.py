@@ -6,73 +6,98 @@ other; words repeat, and one look-up is far cheaper than one encoding.
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 
-#: Words remembered at most by a worker (some 200 bytes each); beyond it all are forgotten.
-REMEMBERED = 300_000
-_TRAILING = ".,"
+#: Words in each of two generations that a worker remembers (some 250 bytes each): when one is full, the one before it
+#: is forgotten, so that words which keep coming stay.
+GENERATION = 450_000
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level models write for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    out, more = [], 0x100
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174:
+            out.append(chr(byte))
+        else:
+            out.append(chr(more))
+            more += 1
+    return out
+
+
+class Remembered:
+    """Values of words, in two generations."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def unknown(self, words: set) -> list:
+        """Words of which neither generation has a value; those of the older one move to the newer."""
+        if len(self.new) + len(words) > GENERATION:
+            self.new, self.old = {}, self.new
+        new, old, out = self.new, self.old, []
+        for w in words:
+            if w not in new:
+                if (value := old.get(w)) is None:
+                    out.append(w)
+                else:
+                    new[w] = value
+        return out
 
 
 class WordBpe:
-    """Word ids (little-endian unsigned 32-bit, as bytes) of a word-end BPE of the tokenizers library."""
+    """Word ids (little-endian unsigned 32-bit, as bytes) of a byte-level BPE with word ends of the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
-        self.bodies: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(_byte_letters()))
+        self.words, self.bodies, self.tails = Remembered(), Remembered(), {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _encode_bodies(self, bodies: list[str]) -> None:
-        """Lower-case runs of plain letters: each is one pre-token and ends with a word-end token, so that many
-        are encoded as one text and cut there."""
-        for i in range(0, len(bodies), 2000):
-            part = bodies[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                self.bodies.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
-            else:
-                self.bodies.update((x, self._encode(x)) for x in part)
+    def _encode_body(self, body: str) -> bytes:
+        """Of a lower-case run of plain letters, which is one pre-token: the model alone gives its ids."""
+        letters = body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-            self.bodies.clear()
-        new = [w for w in words if w not in self.words]
-        split, plain = [], []
-        for w in new:
+        split, known = [], self.words
+        for w in known.unknown(words):
             text = w.decode("utf-8", "replace").lower()
-            body = text.rstrip(_TRAILING)
-            # Letters below U+0250 are lower-cased and composed alike by every library.
+            body = text.rstrip(string.punctuation)
+            # Letters below U+0250 are lower-cased and composed alike by every library; a run of marks after them
+            # is one pre-token.
             if body.isalpha() and max(body) < "ɐ":
                 split.append((w, body, text[len(body) :]))
             else:
-                plain.append(w)
-        self._encode_bodies(list({b for _, b, _ in split if b not in self.bodies} | {t for *_, t in split if t and t.isalpha()}))
+                known.new[w] = self._encode(w.decode("utf-8", "replace"))
+        bodies = self.bodies
+        for body in bodies.unknown({b for _, b, _ in split}):
+            bodies.new[body] = self._encode_body(body)
         for w, body, tail in split:
-            if tail and tail not in self.bodies:
-                self.bodies[tail] = self._encode(tail)
-            self.words[w] = self.bodies[body] + (self.bodies[tail] if tail else b"")
-        for w in plain:
-            self.words[w] = self._encode(w.decode("utf-8", "replace"))
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._encode(tail) if tail else b""
+            known.new[w] = bodies.new[body] + self.tails[tail]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
         words = [t.split() for t in texts]  # at ASCII white space
         self.learn(set().union(*words))
-        get = self.words.__getitem__
+        get = self.words.new.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
 class Pieces:
-    """Word ids of a sentencepiece model with byte fallback: for each word (ids, how many are bytes)."""
+    """Word ids of a sentencepiece model with byte fallback."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -80,14 +105,16 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) or self.model.is_unknown(i) for i in range(n)])
-        self.words: dict[bytes, np.ndarray] = {}
+        self.words = Remembered()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
+        new = self.words.unknown(words)
         for w, ids in zip(new, self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)):
-            self.words[w] = np.array(ids, dtype=np.int32).tobytes()
+            self.words.new[w] = np.array(ids, dtype=np.int32).tobytes()
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """The ids of words that were learnt just before."""
+        return np.frombuffer(b"".join(map(self.words.new.__getitem__, words)), dtype=np.int32)
 
 
 def portions(texts: list, most: int = 2_000_000):
