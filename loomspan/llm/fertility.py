@@ -1,8 +1,8 @@
 """Quality rules from tokeniser fertility.
 
 A public vocabulary with byte fallback, not trained on this corpus, is a cheap model of ordinary text: each word is
-encoded by itself, and a text is measured by its characters per token, the share of its tokens that are byte
-fallbacks, and the entropy of its tokens. What is ordinary differs by language and script and (entropy) by length,
+encoded by itself, and a text is measured by its characters per token, its tokens per word, the share of its tokens
+that are byte fallbacks, and the entropy of its tokens. What is ordinary differs by language and script and (entropy) by length,
 so that bands are set for each: the median over all documents of the group, and so many interquartile ranges to
 either side. Markup, symbol runs, shouting and boilerplate lists fall outside. Groups with few documents take the
 bands of their script, and of all documents.
@@ -24,8 +24,8 @@ from loomspan.llm.word_tokens import Pieces, portions
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: Interquartile ranges to either side of the median, and least widths of a band.
-CHARS_SPREAD, ENTROPY_SPREAD, BYTE_SPREAD = 5.0, 4.0, 5.0
-CHARS_WIDTH, ENTROPY_WIDTH, BYTE_WIDTH = 0.1, 0.4, 0.1
+CHARS_SPREAD, WORD_SPREAD, ENTROPY_SPREAD, BYTE_SPREAD = 4.0, 5.0, 3.0, 5.0
+CHARS_WIDTH, WORD_WIDTH, ENTROPY_WIDTH, BYTE_WIDTH = 0.1, 0.5, 0.4, 0.1
 #: Documents that a group must have for bands of its own.
 LEAST_GROUP = 100
 
@@ -100,7 +100,7 @@ def _measure(path: str):
 
 def _bands(measured: DataFrame, of: list[str], name: str) -> DataFrame:
     quartiles = lambda c: F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000).alias(f"q_{c}")
-    q = measured.groupBy(*of).agg(F.count("*").alias("n"), *map(quartiles, ("chars_per_token", "byte_share", "token_entropy"))).where(F.col("n") >= LEAST_GROUP)
+    q = measured.groupBy(*of).agg(F.count("*").alias("n"), *map(quartiles, ("chars_per_token", "tokens_per_word", "byte_share", "token_entropy"))).where(F.col("n") >= LEAST_GROUP)
 
     def edge(c: str, spread: float, width: float, sign: int) -> F.Column:
         q1, q2, q3 = (F.col(f"q_{c}")[i] for i in range(3))
@@ -108,7 +108,7 @@ def _bands(measured: DataFrame, of: list[str], name: str) -> DataFrame:
 
     return q.select(*of, F.struct(
         edge("chars_per_token", CHARS_SPREAD, CHARS_WIDTH, -1).alias("low_chars"), edge("chars_per_token", CHARS_SPREAD, CHARS_WIDTH, 1).alias("high_chars"),
-        edge("byte_share", BYTE_SPREAD, BYTE_WIDTH, 1).alias("high_byte"), edge("token_entropy", ENTROPY_SPREAD, ENTROPY_WIDTH, -1).alias("low_entropy"),
+        edge("tokens_per_word", WORD_SPREAD, WORD_WIDTH, 1).alias("high_words"), edge("byte_share", BYTE_SPREAD, BYTE_WIDTH, 1).alias("high_byte"), edge("token_entropy", ENTROPY_SPREAD, ENTROPY_WIDTH, -1).alias("low_entropy"),
     ).alias(name))
 
 
@@ -117,7 +117,7 @@ def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str |
 
     A null text has no words and fails the base rules. A null language goes by its script. Ties, repeated rows and
     other columns have no influence; columns of these names are replaced. An empty table gives an empty table."""
-    new = [*_MEASURES, "chars_per_token", "base_failed", "reasons", "kept"]
+    new = [*_MEASURES, "chars_per_token", "tokens_per_word", "base_failed", "reasons", "kept"]
     others = [c for c in docs.columns if c not in (*new, text_column)]
     lang = F.col(f"`{lang_column}`") if lang_column and lang_column in docs.columns else F.lit(None).cast("string")
     row = F.struct(lang.alias("lang"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
@@ -127,6 +127,7 @@ def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str |
     x = rows.mapInArrow(_measure(vocabulary or default_vocabulary()), schema).withColumns(
         {
             "chars_per_token": F.when(F.col("n_tokens") > 0, F.col("word_chars") / F.col("n_tokens")),
+            "tokens_per_word": F.when(F.col("n_words") > 0, F.col("n_tokens") / F.col("n_words")),
             "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
             "g": F.coalesce(F.col("row.lang"), F.concat(F.lit("script "), "script")),
             "octave": F.floor(F.log2(F.greatest(F.lit(1), "n_tokens"))).cast("int"),
@@ -144,6 +145,7 @@ def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str |
     reasons = F.array_compact(F.array(
         F.when(F.col("base_failed"), F.lit("base")),
         F.when(~F.col("chars_per_token").between(band["low_chars"], band["high_chars"]), F.lit("characters per token")),
+        F.when(F.col("tokens_per_word") > band["high_words"], F.lit("tokens per word")),
         F.when(F.col("byte_share") > band["high_byte"], F.lit("byte fallback")),
         F.when(F.col("token_entropy") < length_band["low_entropy"], F.lit("token entropy")),
     ))

@@ -72,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return out.select(*columns, "chars_per_token", "byte_share", "token_entropy")
+    return out.select(*columns, "chars_per_token", "tokens_per_word", "byte_share", "token_entropy")
 
 
 def queries() -> dict:
