@@ -241,10 +241,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(pages: DataFrame, html_column: str = "html", sample: int = SAMPLE) -> Weights:
-    """Weights from the labelled ones of a bounded sample of pages, in order of a hash of the page."""
-    known = pages.where(F.col(html_column).rlike("(?i)<(article|main)[\\s>]")).select(html_column)
-    known = known.orderBy(F.xxhash64(html_column)).limit(sample)
-    rows = known.mapInArrow(_count, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy("kind").limit(2000).collect()
+    """Weights from the labelled ones of a bounded sample of pages: those with the smallest hashes. Only hashes are
+    sorted; the pages themselves stay where they are read."""
+    known = pages.where(F.col(html_column).rlike("(?i)<(article|main)[\\s>]")).select(html_column, F.xxhash64(html_column).alias("hash"))
+    last = known.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    if last is None:
+        return DEFAULT
+    counts = known.where(F.col("hash") <= last).select(html_column).mapInArrow(_count, "kind string, inside long, outside long")
+    rows = counts.groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc("i"), F.desc("o"), "kind").limit(2000).collect()
     if not any(r.i for r in rows):
         return DEFAULT
     return learn_weights(Counter({r.kind: r.i for r in rows}), Counter({r.kind: r.o for r in rows}))
