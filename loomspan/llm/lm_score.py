@@ -1,22 +1,24 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models, of the target (rows labelled good) and of the background (all rows), share one vocabulary (the
-VOCABULARY most frequent words of all documents; the rest are one unknown word) and one table of bigram counters
-(hashed into BUCKETS), and are smoothed alike: p(w | v) = (c(v, w) + SMOOTHING * p(w)) / (c(v) + SMOOTHING), with
-add-one unigrams. They are matched in size by scaling the background's counts to the target's tokens. A document's score is
-its mean loss a word under the target less that under the background: the lower, the more target-like.
-
-Counts are taken over all documents: each batch sends one row for each counter that it has touched, which are added up
-by partial aggregates. The models have a fixed size (VOCABULARY + BUCKETS counters), and so does what is broadcast.
+Two bigram models, of the target (rows labelled good) and of the background (all rows), hold exact counts of all words
+and of all pairs of neighbours, and are smoothed alike: p(w | v) = (c(v, w) + SMOOTHING * p(w)) / (c(v) + SMOOTHING),
+with add-one unigrams over the words that there are (VOCABULARY at least). They are matched in size by scaling the
+background's counts to the target's tokens. A document's score is its mean loss a word under the target less that under
+the background: the lower, the more target-like.
+
+Words and pairs are keyed by 63 bits of hash, and their counts are a table that grows with the input. Each chunk of
+2**CHUNK_BITS rows sends every distinct key once, so that the commonest key has as many rows as there are chunks; keys
+are summed and go back to the chunks that have them, where the rows are scored. Nothing but three totals is collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.pair_rank import held_out
@@ -24,21 +26,16 @@ from loomspan.llm.shared import keep
 from loomspan.llm.textscan import mix, text_bytes, word_codes, word_spans
 
 VOCABULARY = 1 << 15
-BUCKETS = 1 << 19
 SMOOTHING = 50.0
+CHUNK_BITS = 12
+#: Keys are counted in so many passes over the texts, each of which has its share of them on disk.
+PARTS = 2
 
 
 def _words(data: np.ndarray) -> np.ndarray:
     return word_codes(data, *word_spans(data), lower=True)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [x for x in map(_words, text_bytes(batch.column(0))) if len(x)]
-        w, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
-
-
 def ids(data: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Word ids of a text: places in the sorted vocabulary from 1 on, 0 for an unknown word."""
     words = _words(data)
@@ -49,61 +46,82 @@ def ids(data: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 
 
 def buckets(words: np.ndarray) -> np.ndarray:
-    """Counter of each pair of neighbours; the first word follows the unknown one."""
+    """Key of each pair of neighbours; the first word follows no word (0)."""
     before = np.concatenate(([0], words[:-1])) if len(words) else words
-    return (mix(before.astype(np.uint64) * np.uint64(VOCABULARY * 2) + words.astype(np.uint64)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return (mix(mix(before.astype(np.uint64)) + words.astype(np.uint64)) & ~np.uint64(1)).view(np.int64)
 
 
-def _counts(vocabulary):
-    """(text, target) -> (counter, target, background): counters below VOCABULARY + 1 are words, the others bigrams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = VOCABULARY + 1 + BUCKETS
-        for batch in batches:
-            sums = [np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)]
-            good = batch.column(1).to_numpy(zero_copy_only=False)
-            texts = text_bytes(batch.column(0))
-            for target in (True, False):
-                found = [ids(x, vocabulary.value) for x, g in zip(texts, good) if bool(g) == target]
-                found = [x for x in found if len(x)]
-                if found:
-                    counters = np.concatenate([*found, *(buckets(x) + VOCABULARY + 1 for x in found)])
-                    sums[not target] += np.bincount(counters, minlength=size)
-            everything = sums[0] + sums[1]
-            at = np.flatnonzero(everything)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(everything[at])], ["counter", "target", "background"])
+def _keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a text's words (odd) and of its pairs (even), word by word; the first word ends no pair."""
+    return (words | np.uint64(1)).view(np.int64), buckets(words)
 
-    return run
 
+def _tally(keys: list[tuple[np.ndarray, np.ndarray]], target: list[bool], part: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of some texts, of one of the PARTS or of all, with their counts in the target and in all."""
 
-class Model:
-    """Loss tables of one model."""
+    def merged(of: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        every = np.concatenate([np.empty(0, np.int64), *(x for words, pairs in of for x in (words, pairs[1:]))])
+        return every if part is None else every[(every >> 1) % PARTS == part]
 
-    def __init__(self, counts: np.ndarray, scale: float):
-        words = counts[: VOCABULARY + 1] * scale
-        self.prior = (words + 1) / (words.sum() + VOCABULARY + 1)
-        self.after = words + SMOOTHING  # a word is followed as often as it is there, to within the ends of texts
-        self.pairs = counts[VOCABULARY + 1 :] * scale
+    found, background = np.unique(merged(keys), return_counts=True)
+    good, n = np.unique(merged([k for k, t in zip(keys, target) if t]), return_counts=True)
+    counts = np.zeros(len(found), dtype=np.int64)
+    counts[np.searchsorted(found, good)] = n
+    return found, counts, background
 
-    def loss(self, words: np.ndarray, bucket: np.ndarray) -> float:
-        """Mean of -log2 p over the words."""
-        before = np.concatenate(([0], words[:-1]))
-        p = (np.minimum(self.pairs[bucket], self.after[before] - SMOOTHING) + SMOOTHING * self.prior[words]) / self.after[before]
-        return float(-np.log2(p).mean())
 
+def _counts(part: int):
+    """(text, target, at) -> (key, at, target, background), once for each key of the rows of a chunk that follow each other."""
 
-def _scores(vocabulary, models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = (Model(*m) for m in models.value)
+        keys, target, first = [], [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            found, good, everything = _tally(keys, target, part)
+            for i in range(0, len(found), 1 << 17):
+                columns = [x[i : i + (1 << 17)] for x in (found, np.full(len(found), first), good, everything)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "at", "target", "background"])
+
         for batch in batches:
-            n, losses = [], ([], [])
-            for data in text_bytes(batch.column(0)):
-                words = ids(data, vocabulary.value)
-                n.append(len(words))
-                bucket = buckets(words)
-                for out, model in zip(losses, (target, background)):
-                    out.append(model.loss(words, bucket) if len(words) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in losses)], ["row", "n_words", "target_loss", "background_loss"])
+            good, at = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for data, g, a in zip(text_bytes(batch.column(0)), good, at):
+                if keys and a >> CHUNK_BITS != first >> CHUNK_BITS:
+                    yield from send()
+                    keys, target = [], []
+                if not keys:
+                    first = a
+                keys.append(_keys(_words(data)))
+                target.append(g)
+        if keys:
+            yield from send()
+
+    return run
+
+
+def _scores(tokens: tuple[int, int], distinct: int):
+    """The rows of a chunk, and the counts of its keys that other chunks have too, -> losses."""
+    unseen = max(VOCABULARY, distinct) + 1
+
+    def run(rows: pa.Table, counted: pa.Table) -> pa.Table:
+        keys = [_keys(_words(x)) for x in text_bytes(rows["text"])]
+        found, *counts = _tally(keys, rows["target"].to_pylist())
+        at = np.searchsorted(found, counted["key"].to_numpy())
+        losses = []
+        for name, own, total in zip(("target", "background"), counts, tokens):
+            own[at] = counted[name].to_numpy()
+            scale = tokens[0] / total if total else 0.0
+            n, out = own * scale, []
+            for words, pairs in keys:
+                if not len(words):
+                    out.append(0.0)
+                    continue
+                seen = n[np.searchsorted(found, words)]
+                before, pair = np.concatenate(([0.0], seen[:-1])), np.concatenate(([0.0], n[np.searchsorted(found, pairs[1:])]))
+                prior = (seen + 1) / (total * scale + unseen)
+                out.append(float(-np.log2((pair + SMOOTHING * prior) / (before + SMOOTHING)).mean()))
+            losses.append(pa.array(out, pa.float64()))
+        n_words = pa.array([len(words) for words, _ in keys], pa.int64())
+        return pa.table([rows["row"], n_words, *losses], ["row", "n_words", "target_loss", "background_loss"])
 
     return run
 
@@ -116,22 +134,23 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     count and score as often as they are there; columns of these names are replaced. An empty table gives an empty one."""
     new = ["n_words", "target_loss", "background_loss", "score"]
     others = [c for c in docs.columns if c not in (*new, text_column)]
-    context = docs.sparkSession.sparkContext
-    texts = docs.select(F.coalesce(text_column, F.lit("")).alias("text"), F.col(id_column).alias("doc_id"))
-    top = texts.select("text").mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()
-    vocabulary = context.broadcast(np.sort(np.array([r.w for r in top], dtype=np.int64).view(np.uint64)))
-
-    good = labels.where((F.col("quality") == 1) & ~held_out()).select("doc_id", F.lit(True).alias("good")).distinct()
-    marked = texts.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))
-    counted = keep(marked.mapInArrow(_counts(vocabulary), "counter long, target long, background long").groupBy("counter").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
-    table = counted.toArrow()  # VOCABULARY + BUCKETS rows at most
-    sums = np.zeros((2, VOCABULARY + 1 + BUCKETS), dtype=np.float32)
-    for i, name in enumerate(("target", "background")):
-        sums[i, table["counter"].to_numpy()] = table[name].to_numpy()
-    tokens = sums[:, : VOCABULARY + 1].sum(axis=1, dtype=np.float64)
-    models = context.broadcast(((sums[0], 1.0), (sums[1], float(tokens[0] / tokens[1]) if tokens[1] else 0.0)))
-
     row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
-    rows = docs.select(F.coalesce(text_column, F.lit("")).alias("text"), row.alias("row"))
-    out = rows.mapInArrow(_scores(vocabulary, models), f"row {rows.schema['row'].dataType.simpleString()}, n_words long, target_loss double, background_loss double")
+    texts = docs.select(F.coalesce(text_column, F.lit("")).alias("text"), F.col(id_column).alias("doc_id"), row.alias("row"))
+    good = labels.where((F.col("quality") == 1) & ~held_out()).select("doc_id", F.lit(True).alias("good")).distinct()
+    marked = texts.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"), "row", F.monotonically_increasing_id().alias("at"))
+    marked = keep(marked)  # what "at" is must not change any more
+
+    every, counted = Window.partitionBy("key"), []
+    for part in range(PARTS):
+        x = marked.select("text", "target", "at").mapInArrow(_counts(part), "key long, at long, target long, background long")
+        x = x.select("key", "at", F.sum("target").over(every).alias("target"), F.sum("background").over(every).alias("background"), F.col("background").alias("own"), ((F.min("at").over(every) == F.col("at")) & (F.col("key") % 2 != 0)).alias("word"))
+        # What one chunk alone has it counts again by itself.
+        counted.append(keep(x.where("word or background > own")))
+    counts = reduce(DataFrame.unionByName, counted)
+    total = counts.where("word").agg(F.sum("target"), F.sum("background"), F.count("*")).first()
+    back = counts.where("background > own").select(F.shiftright("at", CHUNK_BITS).alias("chunk"), "key", "target", "background")
+    rows = marked.select(F.shiftright("at", CHUNK_BITS).alias("chunk"), "text", "target", "row")
+    out = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
+        _scores((total[0] or 0, total[1] or 0), total[2]), f"row {rows.schema['row'].dataType.simpleString()}, n_words long, target_loss double, background_loss double"
+    )
     return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(others)), *new[:3], (F.col("target_loss") - F.col("background_loss")).alias("score"))

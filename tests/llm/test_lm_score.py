@@ -45,3 +45,30 @@ def test_lm_score(spark):
     assert collections.Counter((r.doc_id, r.n_words, round(r.target_loss, 2), round(r.background_loss, 2)) for r in out) == expected
     assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-9 for r in out)
     assert lm_score.score(table(spark, "x").where("false"), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
+
+
+def test_lm_score_counts_rare_words(spark):
+    """More words than VOCABULARY, each of them rare: every word and pair has its own counts."""
+    docs = [(i, " ".join(f"w{(i * 2000 + j * (1 + i % 3)) % 45_000}" for j in range(2000))) for i in range(30)] + [(30 + i, "w1 w2 w44999") for i in range(3)] + [(40, None)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in docs], "doc_id long, quality int")
+    out = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(docs, "doc_id long, text string"), labels).collect()}
+    counts = []
+    for target in (True, False):
+        words, pairs = collections.Counter(), collections.Counter()
+        for i, t in docs:
+            if not target or i % 2 == 0 and zlib.crc32(str(i).encode()) % 3 != 1:
+                w = (t or "").split()
+                words.update(w)
+                pairs.update(zip(w, w[1:]))
+        counts.append((words, pairs))
+    n, distinct = [sum(words.values()) for words, _ in counts], len(counts[1][0])
+    assert distinct > lm_score.VOCABULARY and len(out) == len(docs)
+    for i, t in docs:
+        w, losses = (t or "").split(), []
+        for (words, pairs), total in zip(counts, n):
+            s, bits = n[0] / total, 0.0
+            for v, x in zip([None, *w], w):
+                prior = (words[x] * s + 1) / (n[0] + distinct + 1)
+                bits -= math.log2((pairs[v, x] * s + lm_score.SMOOTHING * prior) / (words[v] * s + lm_score.SMOOTHING))
+            losses.append(bits / max(1, len(w)))
+        assert np.allclose(losses, [out[i].target_loss, out[i].background_loss], atol=1e-9)
