@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.pair_rank import held_out
-from loomspan.llm.shared import keep
+from loomspan.llm.shared import discard, keep
 from loomspan.llm.textscan import mix, text_bytes, word_codes, word_spans
 
 VOCABULARY = 1 << 15
@@ -30,6 +30,8 @@ SMOOTHING = 50.0
 CHUNK_BITS = 12
 #: Keys are counted in so many passes over the texts, each of which has its share of them on disk.
 PARTS = 2
+#: Chunks are scored in so many groups, so that the texts and counts of one group at a time are on disk in a shuffle.
+GROUPS = 6
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -150,7 +152,12 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     total = counts.where("word").agg(F.sum("target"), F.sum("background"), F.count("*")).first()
     back = counts.where("background > own").select(F.shiftright("at", CHUNK_BITS).alias("chunk"), "key", "target", "background")
     rows = marked.select(F.shiftright("at", CHUNK_BITS).alias("chunk"), "text", "target", "row")
-    out = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
-        _scores((total[0] or 0, total[1] or 0), total[2]), f"row {rows.schema['row'].dataType.simpleString()}, n_words long, target_loss double, background_loss double"
-    )
+    scores = _scores((total[0] or 0, total[1] or 0), total[2])
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, target_loss double, background_loss double"
+    done = []
+    for group in range(GROUPS):
+        x, y = (t.where(F.pmod(F.xxhash64("chunk"), F.lit(GROUPS)) == group).groupBy("chunk") for t in (rows, back))
+        done.append(keep(x.cogroup(y).applyInArrow(scores, schema)))
+    discard(marked, *counted)
+    out = reduce(DataFrame.unionByName, done)
     return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(others)), *new[:3], (F.col("target_loss") - F.col("background_loss")).alias("score"))
