@@ -3,13 +3,14 @@
 A public vocabulary with byte fallback, not trained on this corpus, is a cheap model of ordinary text: each word is
 encoded by itself, and a text is measured by its characters per token, its tokens per word, the share of its tokens
 that are byte fallbacks, and the entropy of its tokens. What is ordinary differs by language and script and (entropy) by length,
-so that bands are set for each: the median over all documents of the group, and so many interquartile ranges to
+so that bands are set for each: the median over all distinct texts of the group (copies have one vote), and so many interquartile ranges to
 either side. Markup, symbol runs, shouting and boilerplate lists fall outside. Groups with few documents take the
 bands of their script, and of all documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ MOST_REPEATED = 50
 #: Interquartile ranges to either side of the median, and least widths of a band.
 CHARS_SPREAD, WORD_SPREAD, ENTROPY_SPREAD, BYTE_SPREAD = 4.0, 5.0, 3.0, 5.0
 CHARS_WIDTH, WORD_WIDTH, ENTROPY_WIDTH, BYTE_WIDTH = 0.1, 0.5, 0.4, 0.1
-#: Documents that a group must have for bands of its own.
+#: Distinct texts that a group must have for bands of its own.
 LEAST_GROUP = 100
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -78,6 +79,7 @@ def _measure(path: str):
         pieces = Pieces(path)
         for batch in batches:
             out: dict[str, list] = {x: [] for x in _MEASURES}
+            text_keys = []
             for part in portions(text_bytes(batch.column(0))):
                 raws = [x.tobytes() for x in part]
                 split = [x.split() for x in raws]
@@ -93,7 +95,8 @@ def _measure(path: str):
                     )
                     for name, x in zip(out, row):
                         out[name].append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(out[x], k) for x, k in _MEASURES.items())], ["row", *out])
+                    text_keys.append(hashlib.blake2b(raw, digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(out[x], k) for x, k in _MEASURES.items()), pa.array(text_keys, pa.binary())], ["row", *out, "text_key"])
 
     return run
 
@@ -123,7 +126,7 @@ def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str |
     row = F.struct(lang.alias("lang"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
     rows = docs.select(F.coalesce(text_column, F.lit("")).alias("text"), row.alias("row"))
     kinds = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string"}
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} {kinds[v]}" for k, v in _MEASURES.items())
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} {kinds[v]}" for k, v in _MEASURES.items()) + ", text_key binary"
     x = rows.mapInArrow(_measure(vocabulary or default_vocabulary()), schema).withColumns(
         {
             "chars_per_token": F.when(F.col("n_tokens") > 0, F.col("word_chars") / F.col("n_tokens")),
@@ -134,12 +137,15 @@ def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str |
         }
     )
     x = keep(x)
-    sound = x.where("not base_failed")
+    # All but the language follows from the text, so that distinct rows are distinct texts (of a language, of all).
+    measures = ["text_key", "script", "octave", "chars_per_token", "tokens_per_word", "byte_share", "token_entropy"]
+    by_lang = keep(x.where("not base_failed").select("g", *measures).distinct())
+    by_text = keep(by_lang.select(*measures).distinct())
     # Bands of the language and length, else of the language, the script, all: as many rows as there are such groups.
     tiers = [(["g", "octave"], "b0"), (["g"], "b1"), (["script", "octave"], "b2"), (["script"], "b3")]
     y = x
     for of, name in tiers:
-        y = y.join(keep(_bands(sound, of, name)), of, "left")
+        y = y.join(keep(_bands(by_lang if "g" in of else by_text, of, name)), of, "left")
     band = F.coalesce(*(name for _, name in tiers))
     length_band = F.coalesce("b0", "b2", "b1", "b3")
     reasons = F.array_compact(F.array(
