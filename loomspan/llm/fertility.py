@@ -5,7 +5,7 @@ encoded by itself, and a text is measured by its characters per token, its token
 that are byte fallbacks, and the entropy of its tokens. What is ordinary differs by language and script and (entropy) by length,
 so that bands are set for each: the median over all distinct texts of the group (copies have one vote), and so many interquartile ranges to
 either side. Markup, symbol runs, shouting and boilerplate lists fall outside. Groups with few documents take the
-bands of their script, and of all documents.
+bands of their script, and at last those of all documents, however few these are.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def _measure(path: str):
 
 def _bands(measured: DataFrame, of: list[str], name: str) -> DataFrame:
     quartiles = lambda c: F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000).alias(f"q_{c}")
-    q = measured.groupBy(*of).agg(F.count("*").alias("n"), *map(quartiles, ("chars_per_token", "tokens_per_word", "byte_share", "token_entropy"))).where(F.col("n") >= LEAST_GROUP)
+    q = measured.groupBy(*of).agg(F.count("*").alias("n"), *map(quartiles, ("chars_per_token", "tokens_per_word", "byte_share", "token_entropy"))).where(F.col("n") >= (LEAST_GROUP if of else 1))
 
     def edge(c: str, spread: float, width: float, sign: int) -> F.Column:
         q1, q2, q3 = (F.col(f"q_{c}")[i] for i in range(3))
@@ -142,12 +142,13 @@ def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str |
     by_lang = keep(x.where("not base_failed").select("g", *measures).distinct())
     by_text = keep(by_lang.select(*measures).distinct())
     # Bands of the language and length, else of the language, the script, all: as many rows as there are such groups.
-    tiers = [(["g", "octave"], "b0"), (["g"], "b1"), (["script", "octave"], "b2"), (["script"], "b3")]
+    tiers = [(["g", "octave"], "b0"), (["g"], "b1"), (["script", "octave"], "b2"), (["script"], "b3"), ([], "b4")]
     y = x
     for of, name in tiers:
-        y = y.join(keep(_bands(by_lang if "g" in of else by_text, of, name)), of, "left")
+        bands = keep(_bands(by_lang if "g" in of else by_text, of, name))
+        y = y.join(bands, of, "left") if of else y.join(F.broadcast(bands), how="left")  # one row
     band = F.coalesce(*(name for _, name in tiers))
-    length_band = F.coalesce("b0", "b2", "b1", "b3")
+    length_band = F.coalesce("b0", "b2", "b1", "b3", "b4")
     reasons = F.array_compact(F.array(
         F.when(F.col("base_failed"), F.lit("base")),
         F.when(~F.col("chars_per_token").between(band["low_chars"], band["high_chars"]), F.lit("characters per token")),

@@ -19,3 +19,11 @@ def test_copies_have_one_vote(spark):
     out = fertility.quality_rules(docs(spark, clean + [copied] * 600)).collect()
     assert len(out) == 750 and not any(r.base_failed for r in out)
     assert all(r.kept for r in out if r.doc_id < 150)
+
+
+def test_small_groups_have_bands(spark):
+    clean = [" ".join(RNG.choice(WORDS, 90)) for _ in range(60)]
+    junk = " | ".join("$$$" + "".join(RNG.choice(list("qxzjkv#$%&<>"), 9)) for _ in range(60))
+    out = fertility.quality_rules(docs(spark, [*clean, junk])).collect()
+    assert not any(r.base_failed for r in out)
+    assert {r.doc_id for r in out if not r.kept} == {60}
