@@ -245,6 +245,40 @@ def test_embedding_tiles(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in out} == {(11, 0), (11, 12), (11, 24)}
 
 
+@pytest.mark.parametrize("tile,rows,dim", [(1 << 15, 1024, 24), (16, 8, 24), (64, 1024, 3)])
+def test_embedding_links_are_those_of_all_pairs(spark, monkeypatch, tile, rows, dim):
+    for name, x in (("TILE", tile), ("ROWS", rows), ("COLUMNS", 2 * rows)):
+        monkeypatch.setattr(embedding_dedup, name, x)
+    rng = np.random.default_rng(tile)
+    x = rng.standard_normal((400, dim))
+    x[:120] = x[0] + 0.1 * np.abs(x[0]).mean() * rng.standard_normal((120, dim))  # one hot group of near copies
+    x[120:200] = x[120] + 0.25 * np.abs(x[120]).mean() * rng.standard_normal((80, dim))  # links in part only
+    x[200] = np.eye(dim)[0]
+    x[201] = 0.95 * np.eye(dim)[0] + (1 - 0.95**2) ** 0.5 * np.eye(dim)[1]  # at the threshold
+    x[202] = (0.95 - 1e-9) * np.eye(dim)[0] + (1 - (0.95 - 1e-9) ** 2) ** 0.5 * np.eye(dim)[2]  # just below it
+    x[203:206] = x[210]
+    table = spark.createDataFrame([(i + 5, [float(v) for v in r], 1, True) for i, r in enumerate(x)], "vec_id long, embedding array<double>, n_links int, copies boolean")
+    out = {r.vec_id - 5: r for r in embedding_dedup.near_duplicates(table).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = np.einsum("ik,jk->ij", unit, unit) >= 0.95
+    links[200, 201] = links[201, 200] = out[201].n_links - (links[201].sum() - links[201, 200] - 1) == 1  # either, by rounding
+    component = np.arange(400)
+    for _ in range(400):
+        new = np.where(links, component[None, :], 400).min(axis=1)
+        if (new == component).all():
+            break
+        component = new
+    assert [out[i].n_links for i in range(400)] == (links.sum(1) - 1).tolist()
+    assert [out[i].component_id - 5 for i in range(400)] == component.tolist()
+    assert all(r.copies for r in out.values())
+
+
+def test_embeddings_with_repeated_and_null_ids(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame([(4, v), (4, v), (None, v), (7, w), (None, None)], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or -1, r.n_links) for r in out) == [(-1, 0), (-1, 2), (4, 2), (4, 2), (7, 0)]
+
+
 def test_quality_rules(spark):
     rows = ROWS + [(500 + i, prose(100), "en", "s", 0, "") for i in range(150)] + [(900, " | ".join(prose(1) + "$$$" for _ in range(100)), "en", "s", 0, "")]
     out = fertility.quality_rules(table(spark, "kept", rows)).collect()
