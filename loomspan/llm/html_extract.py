@@ -1,27 +1,38 @@
 """Main text of HTML pages by maximum-scoring subsequence.
 
-A page is a sequence of tokens: each word scores positive, each tag negative. How much is learned from labelled
-pages, which say themselves where their content is (exactly one `article` or `main` element): the log-odds of a token
-class inside against outside it. A single linear scan finds the contiguous run with the largest sum. The run is
-widened to whole blocks, and to the article or main element around it, and what is not content wherever it stands
-(menus, forms, comments, ...) is left out by its element, role, class or id.
+A page is a sequence of tokens: words score positive, tags negative, and a single linear scan finds the contiguous run
+with the largest sum. What a token scores is learned from labelled pages, which say themselves where their content is
+(exactly one `article` or `main` element): the log-odds, inside against outside, of each tag, of link words, and of each
+class, id and role that words stand under. A name that says so itself (`cookie-notice`, `related-posts`) starts low,
+where it is made of nothing but such words (`has-sidebar`, `long-form` or `social-science` say nothing).
+
+A low name lowers the words under it; it bans nothing. Blocks of the run that score below zero are left out, an element
+with most of the page's prose is never held against it, and only what is certain is banned: scripts, styles, menus,
+footers, asides, form controls, what is hidden, and ARIA roles of such parts. Reader comments are known by names, by an
+article inside an article, by a heading that says so, or by links to reply.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that the weights are learned from, at most.
+from loomspan.llm.shared import discard, keep
+
+#: Labelled pages that the weights are learned from, at most; a class counts that so many of them have (a share, and a number).
 SAMPLE = 2000
+SHARE, PAGES = 0.01, 3
+#: Share of a page's prose from which an element is the page rather than a part, and words that are no content yet.
+MOST, FEW = 0.5, 10
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -29,91 +40,144 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">]|['\"](?=[^'\"]*>))*)(?:>|$)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that never hold main text, and names in class, id or role that mark such parts.
-_NEVER = frozenset("head nav footer aside form button select fieldset dialog menu object canvas audio video map datalist".split())
-_PART = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|banner|promos?|promotion|sponsor(?:ed|s)?|sidebars?|side-?bar|widgets?|menus?|nav|navbar|navigation|breadcrumbs?"
-    r"|footer|site-?header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social"
-    r"|comments?|commentlist|comment-?section|respond|replies|reply|disqus|related|recommended|recommendations|pagination|pager|skip-?link|search|contentinfo|complementary|dialog|form)(?:$|[\s_-])",
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements and roles that never hold main text.
+_NEVER = frozenset("head nav footer aside button select option datalist fieldset dialog menu object canvas audio video map".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist status".split())
+#: Words that name a part by themselves, and words that such names are made of besides.
+_PART = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot banner promo promos promotion promotions sponsor sponsors sponsored sidebar sidebars widget widgets menu menus nav navbar navigation "
+    "breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup signin "
+    "login share sharing social related recommended recommendations pagination pager skiplink search form copyright disclaimer".split()
+)
+_COMMENT = frozenset("comment comments commentlist commentary respond reply replies disqus".split())
+_NEUTRAL = frozenset(
+    "site page main global top bottom left right primary secondary inner outer wrapper wrap container box block area section list item items row col column content body text title heading post posts article articles "
+    "entry story blog news link links button buttons bar panel group holder unit slot module media user users reader readers email mail count thread feed view skip to up sign on-page success info warning danger".split()
+)
+#: Parts of an article may be named like those of a page: `entry-header`.
+_OWN = frozenset("entry post article story section".split())
+_REPLY = re.compile(r"\W*(?:reply|reply to \S+|antworten|répondre|responder)\W*", re.I)
+_COMMENTS_HEAD = re.compile(
+    r"\W*(?:reader |user |latest |recent |top |all )?(?:comments?|kommentare?|commentaires?|comentarios?)[\W\d]*|\W*\d+\s+(?:responses?|replies|thoughts|comments?|kommentare?|commentaires?|comentarios?)\b.*"
+    r"|\W*(?:leave|post|write|add|submit) (?:a|your) (?:reply|comment|response)\b.*",
     re.I,
 )
 #: Closed by the start of another block.
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
+@functools.lru_cache(50_000)
+def judge_name(name: str, in_article: bool) -> str:
+    """What a class, id or role says of its element: "part", "comment" or nothing."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if len(w) > 1]
+    known = set(words)
+    if not known or not known <= _PART | _COMMENT | _NEUTRAL:
+        return ""
+    if known & _COMMENT:
+        return "comment"
+    if "header" in known and (known & _OWN or in_article) and not known & (_PART - {"header"}):
+        return ""
+    return "part" if known & _PART else ""
+
+
+@dataclass
+class Element:
+    """An open element that may say something of what is in it."""
+
+    tag: str
+    names: tuple[str, ...] = ()
+    judged: str = ""
+    around: tuple[int, ...] = ()
+
+
 @dataclass
 class Block:
     """A run of text between block-level tags, with the token classes that lead to and through it."""
 
     text: str
-    words: list[str]  # token class of each word
-    before: list[str]  # token classes of the tags before it
+    words: int
+    link_words: int
+    before: list[str]  # classes of the tags before it
     banned: bool
-    holder: int  # number of the article or main element around it, or 0
+    inside: tuple[int, ...]  # numbers of the elements around it
 
     @property
     def heading(self) -> bool:
-        return bool(self.before) and self.before[-1] in ("h1", "h2", "h3", "h4", "h5", "h6")
+        return bool(self.before) and self.before[-1] in _HEADINGS
+
+    @property
+    def prose(self) -> int:
+        return self.words - self.link_words
 
 
-def _banned(tag: str, attrs: str, in_content: bool) -> bool:
-    if tag in _NEVER or (tag == "header" and not in_content):
-        return True
-    if attrs and tag not in ("html", "body", "article", "main") and ("=" in attrs):
-        for name, *values in _ATTR.findall(attrs):
-            name = name.lower()
-            value = "".join(values)
-            if name in ("class", "id", "role") and _PART.search(value) or name == "aria-hidden" and value.lower() == "true":
-                return True
-    if tag == "article" and attrs and any(n.lower() in ("class", "id") and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|ad|promo|related)(?:$|[\s_-])", "".join(v), re.I) for n, *v in _ATTR.findall(attrs)):
-        return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs)) if attrs else False
+@dataclass
+class _Open:
+    tag: str
+    banned: bool = False
+    inside: tuple[int, ...] = ()
+    article: bool = False
+    comments: tuple[int, int] | None = None  # element that a heading began, and the heading's rank
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in order."""
+def _attributes(raw: str) -> dict[str, str]:
+    return {n.lower(): a or b or c for n, a, b, c in reversed(_ATTR.findall(raw))}
+
+
+def parse(page: str) -> tuple[list[Block], list[Element]]:
+    """The text blocks of a page in order, and the elements that they name."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: (tag, banned from here on, holder)
+    elements: list[Element] = []
+    stack: list[_Open] = [_Open("")]
     parts: list[str] = []
-    words: list[str] = []
     before: list[str] = []
-    holders = 0
+    n_words = n_links = links = at = 0
 
-    def state() -> tuple[bool, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+    def element(tag: str, names: tuple[str, ...], judged: str, around: tuple[int, ...]) -> int:
+        elements.append(Element(tag, names, judged, around))
+        return len(elements) - 1
 
     def flush() -> None:
-        nonlocal parts, words, before
-        text = " ".join(html.unescape("".join(parts)).split())
+        nonlocal n_words, n_links, before
+        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            banned, holder = state()
-            out.append(Block(text, words or ["word"], before, banned, holder))
+            top = stack[-1]
+            inside = top.inside
+            if top.tag in _HEADINGS and len(stack) > 1 and len(text) < 120 and _COMMENTS_HEAD.fullmatch(text):
+                parent = stack[-2]
+                parent.comments = (element("", (), "comment", parent.inside), int(top.tag[1]))
+            for over in stack:
+                if over.comments and over.comments[0] not in inside:
+                    inside = (*inside, over.comments[0])
+            out.append(Block(text, n_words, n_links, before, top.banned, inside))
             before = []
-        parts, words = [], []
+        parts.clear()
+        n_words = n_links = 0
+
+    def say(raw: str) -> None:
+        nonlocal n_words, n_links
+        if raw:
+            parts.append(raw)
+            n = len(raw.split())
+            n_words += n
+            n_links += n if links else 0
 
     def pop(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == tag:
                 del stack[i:]
                 return
-            if stack[i][0] in ("article", "main", "td", "table", "body") and tag in ("p", "li", "b", "i"):
+            if stack[i].tag in ("article", "main", "td", "table", "body") and tag in ("p", "li", "b", "i"):
                 return
 
-    at = 0
-    links = 0
-
-    def text(raw: str) -> None:
-        if raw:
-            parts.append(raw)
-            words.extend(["link word" if links else "word"] * len(raw.split()))
-
     for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
+        say(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
@@ -133,125 +197,231 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if tag in _INLINE:
-            if tag == "a":
-                links += 1
+            links += tag == "a"
             continue
         flush()
         links = 0
         before.append(tag)
         if tag in _VOID:
             continue
-        if tag in _CLOSES_P and stack and stack[-1][0] == "p" or tag in ("li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
+        if tag in _CLOSES_P and stack[-1].tag == "p" or tag in ("li", "option", "tr", "td", "th", "dt", "dd") and stack[-1].tag == tag:
             stack.pop()
         if tag == "body":  # whatever the head left open
-            stack.clear()
-        banned, holder = state()
-        if tag in ("article", "main"):
-            holders += 1
-            holder = holder or holders
-        stack.append((tag, banned or _banned(tag, m["attrs"], holder > 0), holder))
-    text(page[at:])
+            del stack[1:]
+        over = stack[-1]
+        if over.comments and tag in _HEADINGS and int(tag[1]) <= over.comments[1]:  # the next section begins
+            over.comments = None
+        said = _attributes(m["attrs"]) if "=" in m["attrs"] or "hidden" in m["attrs"].lower() else {}
+        role = said.get("role", "").lower()
+        banned = (
+            over.banned or tag in _NEVER or role in _ROLES or tag == "header" and not over.article
+            or "hidden" in said and said["hidden"].lower() != "until-found" or said.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(said.get("style", "")))
+        )
+        article = over.article or tag in ("article", "main") or role in ("article", "main")
+        names = tuple(dict.fromkeys(re.sub(r"\d+", "#", x) for x in (*said.get("class", "").split(), *said.get("id", "").split(), *role.split())))
+        inside = over.inside
+        if over.comments and over.comments[0] not in inside:
+            inside = (*inside, over.comments[0])
+        if names or tag in ("article", "main", "form", "section", "ol", "ul", "div"):
+            judged = ""
+            if tag not in (*_HEADINGS, "html", "body", "main"):
+                verdicts = {judge_name(x, over.article) for x in names}
+                judged = "comment" if "comment" in verdicts else "part" if "part" in verdicts or tag == "form" else ""
+                if tag == "article" and any(elements[i].tag == "article" for i in over.inside):
+                    judged = "comment"
+            inside = (*inside, element("main" if role == "main" else tag, () if tag in ("html", "body") else names, judged, inside))
+        stack.append(_Open(tag, banned, inside, article))
+    say(page[at:])
     flush()
-    return out
+    return out, elements
 
 
 @dataclass
 class Weights:
-    """Score of each token class; of tags never above -least, of words never below least."""
+    """Scores of token classes: of tags (never above -least), of words and link words, and what a class, id or role
+    adds to the words under it (between -3 and 1)."""
 
-    scores: dict[str, float]
+    tags: dict[str, float]
+    link: float = 0.2
+    names: dict[str, float] = field(default_factory=dict)
     least: float = 0.05
 
-    def word(self, kind: str) -> float:
-        return max(self.least, self.scores.get(kind, 1.0))
-
     def tag(self, kind: str) -> float:
-        return min(-self.least, self.scores.get(kind, -1.0))
+        return min(-self.least, self.tags.get(kind, -0.2))
+
+    def name(self, name: str) -> float:
+        return self.names.get(name, 0.0)
 
 
 #: Used where no page is labelled.
-DEFAULT = Weights({"word": 1.0, "link word": 0.2, "p": -0.1, "/p": -0.1, "nav": -5.0, "/nav": -5.0, "footer": -5.0, "/footer": -5.0, "li": -1.0, "/li": -1.0})
+DEFAULT = Weights({"p": -0.1, "/p": -0.1, "li": -0.5, "/li": -0.5, "div": -0.2, "/div": -0.2})
+#: What words score under a name that says it is a part, besides what is learned of it.
+_LOW = -2.0
 
 
-def count_classes(page: str) -> tuple[Counter, Counter] | None:
-    """Token classes inside and outside the content of a page that marks it, else None."""
-    found = blocks(page)
-    holders = {b.holder for b in found} - {0}
-    if len(holders) != 1:
-        return None
-    inside, outside = Counter(), Counter()
+def _prose(found: list[Block], n: int) -> tuple[int, list[int]]:
+    """Words outside links and banned parts: of the page, and under each element."""
+    under = [0] * n
     for b in found:
-        side = inside if b.holder else outside
-        side.update(b.words)
-        side.update(b.before)
-    return inside, outside
-
-
-def learn_weights(inside: Counter, outside: Counter) -> Weights:
-    """Log-odds of each token class, scaled so that a word scores one."""
-    a, b = sum(inside.values()) + 1, sum(outside.values()) + 1
-    odds = {k: math.log((inside[k] + 1) / a) - math.log((outside[k] + 1) / b) for k in {*inside, *outside}}
-    unit = max(odds.get("word", 1.0), 0.1)
-    return Weights({k: max(-10.0, min(1.0, v / unit)) for k, v in odds.items()})
+        if not b.banned:
+            for i in b.inside:
+                under[i] += b.prose
+    return sum(b.prose for b in found if not b.banned), under
 
 
-def best_run(found: list[Block], weights: Weights) -> tuple[int, int]:
+def _comments(found: list[Block], elements: list[Element], total: int, under: list[int]) -> set[int]:
+    """Elements that hold reader comments; none if there would be nothing else."""
+    out = {i for i, e in enumerate(elements) if e.judged == "comment"}
+    for b in found:
+        if b.words <= 4 and not b.banned and _REPLY.fullmatch(b.text):
+            held = None
+            for i in reversed(b.inside):  # the largest section or list around it that isn't the page
+                if elements[i].tag in ("main", "article") and elements[i].judged != "comment" or under[i] > MOST * total:
+                    break
+                held = i if elements[i].tag in ("section", "ol", "ul", "div") else held
+            out |= {held} - {None}
+    left = sum(b.prose for b in found if not b.banned and not out.intersection(b.inside))
+    return out if left > FEW else set()
+
+
+def block_scores(found: list[Block], elements: list[Element], weights: Weights) -> list[float]:
+    """What a word of each block scores (a link word less)."""
+    total, under = _prose(found, len(elements))
+    comments = _comments(found, elements, total, under)
+    parts = [0.0] * len(elements)
+    for i, e in enumerate(elements):
+        if i in comments:
+            parts[i] = _LOW
+        elif under[i] < total:  # what holds all or most is the page rather than a part of it, whatever its name says
+            low = _LOW if e.judged == "part" and under[i] <= MOST * total else 0.0
+            parts[i] = max(-3.0, min(1.0, sum(map(weights.name, e.names)))) + low
+    return [-1.0 if b.banned else max(-2.0, min(2.0, 1.0 + sum(parts[i] for i in b.inside))) for b in found]
+
+
+def best_run(found: list[Block], scores: list[float], weights: Weights) -> tuple[int, int]:
     """First and last block of the run of tokens with the largest sum (the first of equal ones); (0, -1) if empty."""
     best, run, total, start = 0.0, (0, -1), 0.0, 0
-    for i, b in enumerate(found):
+    for i, (b, score) in enumerate(zip(found, scores)):
         total += sum(map(weights.tag, b.before))
-        for kind in b.words:
-            if total <= 0:
-                total, start = 0.0, i
-            # Words of parts that are never content count as tags do.
-            total += -weights.word(kind) if b.banned else weights.word(kind)
-            if total > best:
-                best, run = total, (start, i)
+        if total <= 0:
+            total, start = 0.0, i
+        if b.banned:  # left out wherever it stands
+            continue
+        # The words of a block follow each other: its first word opens a run, its last one ends it.
+        total += b.prose * score + b.link_words * (min(score, weights.link) if score > 0 else score)
+        if total > best:
+            best, run = total, (start, i)
     return run
 
 
+def _holder(found: list[Block], scores: list[float], elements: list[Element], first: int, last: int) -> int | None:
+    """The article or main element that the run is in: the smallest with most of the run's words."""
+    words, run = Counter(), 0
+    for b, score in zip(found[first : last + 1], scores[first : last + 1]):
+        if score > 0:
+            run += b.words
+            words.update({i: b.words for i in b.inside if elements[i].tag in ("article", "main")})
+    for i in words:
+        if elements[i].tag == "main":  # one article in it is what it is about, whatever stands beside
+            own = [k for k in words if elements[k].tag == "article" and i in elements[k].around and not any(elements[j].tag == "article" for j in elements[k].around)]
+            if len(own) == 1 and words[own[0]] >= 0.25 * words[i] and words[i] >= 0.7 * run:
+                return own[0]
+    large = [i for i, n in words.items() if n >= 0.7 * run]
+    return min(large, key=lambda i: (words[i], -i)) if large else None
+
+
 def main_text(page: str | None, weights: Weights = DEFAULT) -> str:
     """Main text of a page; empty if it has none."""
     if not page:
         return ""
-    found = blocks(page)
-    first, last = best_run(found, weights)
+    found, elements = parse(page)
+    scores = block_scores(found, elements, weights)
+    first, last = best_run(found, scores, weights)
     if last < first:
         return ""
-    holders = Counter(b.holder for b in found[first : last + 1] if b.holder and not b.banned)
-    if holders:
-        keep = [b for b in found if b.holder in holders and not b.banned]
+    holder = _holder(found, scores, elements, first, last)
+    if holder is not None:
+        keep = [b for b, score in zip(found, scores) if score > 0 and holder in b.inside]
     else:
-        while first and found[first - 1].heading and not found[first - 1].banned:  # few words, many tags: yet they belong
+        while first and found[first - 1].heading and scores[first - 1] > 0:  # few words, many tags: yet they belong
             first -= 1
-        keep = [b for b in found[first : last + 1] if not b.banned]
+        title = next((i for i in range(first, last + 1) if found[i].before and found[i].before[-1] == "h1"), first)
+        if sum(b.words for b in found[first:title]) < 0.1 * sum(b.words for b in found[first : last + 1]):
+            first = title  # what little stands above the title isn't of the article
+        keep = [b for b, score in zip(found[first : last + 1], scores[first : last + 1]) if score > 0]
     return " ".join(b.text for b in keep)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_classes(page: str) -> tuple[Counter, Counter] | None:
+    """Token classes ("tag p", "name ad", "link", "word") inside and outside the content of a page that marks it, else None."""
+    found, elements = parse(page)
+    holders = [i for i, e in enumerate(elements) if e.tag in ("article", "main")]
+    tops = [i for i in holders if not set(holders).intersection(elements[i].around)]
+    if len(tops) != 1:
+        return None
     inside, outside = Counter(), Counter()
+    for b in found:
+        if b.banned:
+            continue
+        side = inside if tops[0] in b.inside else outside
+        side.update(f"tag {t}" for t in b.before)
+        side.update({"word": b.prose, "link": b.link_words})
+        side.update({f"name {x}": b.words for x in {x for i in b.inside for x in elements[i].names}})
+    return inside, outside
+
+
+def learn_weights(inside: Counter, outside: Counter) -> Weights:
+    """Log-odds of each token class, scaled so that a word scores one."""
+    words, tokens = ([c["word"] + c["link"] + 1 for c in (inside, outside)], [sum(n for x, n in c.items() if x.startswith("tag ")) + 1 for c in (inside, outside)])
+
+    def odds(kind: str, of: list[int]) -> float:
+        """One more of the class is shared out as all are, so that what was never seen says nothing."""
+        a, b = (c[kind] + n / sum(of) for c, n in zip((inside, outside), of))
+        return math.log(a / of[0]) - math.log(b / of[1])
+
+    tags, names = {}, {}
+    for kind in {*inside, *outside}:
+        group, _, name = kind.partition(" ")
+        if group == "tag":
+            tags[name] = max(-2.0, 0.25 * odds(kind, tokens) - 0.2)
+        elif group == "name":
+            names[name] = max(-3.0, min(1.0, odds(kind, words)))
+    return Weights(tags, max(0.05, min(1.0, 0.5 + 0.25 * (odds("link", words) - odds("word", words)))), names)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
     for batch in batches:
         for page in batch.column(0).to_pylist():
             if page and (found := count_classes(page)):
-                inside.update(found[0])
-                outside.update(found[1])
-    kinds = sorted({*inside, *outside})
-    columns = [pa.array(kinds, pa.string()), pa.array([inside[k] for k in kinds], pa.int64()), pa.array([outside[k] for k in kinds], pa.int64())]
-    yield pa.RecordBatch.from_arrays(columns, ["kind", "inside", "outside"])
+                for kind in {*found[0], *found[1], "pages"}:
+                    x = sums[kind]
+                    x[0] += found[0][kind]
+                    x[1] += found[1][kind]
+                    x[2] += 1
+    kinds = sorted(sums)
+    columns = [pa.array(kinds, pa.string()), *(pa.array([sums[k][i] for k in kinds], pa.int64()) for i in range(3))]
+    yield pa.RecordBatch.from_arrays(columns, ["kind", "inside", "outside", "pages"])
 
 
 def learn(pages: DataFrame, html_column: str = "html", sample: int = SAMPLE) -> Weights:
     """Weights from the labelled ones of a bounded sample of pages: those with the smallest hashes. Only hashes are
-    sorted; the pages themselves stay where they are read."""
+    sorted; the pages themselves stay where they are read. A class counts if one labelled page in a hundred has it (and
+    three have), so that what comes to the driver is bounded by a hundred pages' classes."""
     known = pages.where(F.col(html_column).rlike("(?i)<(article|main)[\\s>]")).select(html_column, F.xxhash64(html_column).alias("hash"))
     last = known.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
     if last is None:
         return DEFAULT
-    counts = known.where(F.col("hash") <= last).select(html_column).mapInArrow(_count, "kind string, inside long, outside long")
-    rows = counts.groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc("i"), F.desc("o"), "kind").limit(2000).collect()
-    if not any(r.i for r in rows):
+    counts = known.where(F.col("hash") <= last).dropDuplicates(["hash"]).select(html_column).mapInArrow(_count, "kind string, inside long, outside long, pages long")
+    counts = counts.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("inside", "outside", "pages")))
+    counts = keep(counts)
+    labelled = counts.where("kind = 'pages'").first()
+    rows = counts.where(F.col("pages") >= max(PAGES, SHARE * labelled.pages)).collect() if labelled else []
+    discard(counts)
+    found = {r.kind: r for r in rows}
+    if "word" not in found or not found["word"].inside:
         return DEFAULT
-    return learn_weights(Counter({r.kind: r.i for r in rows}), Counter({r.kind: r.o for r in rows}))
+    return learn_weights(Counter({k: r.inside for k, r in found.items() if k != "pages"}), Counter({k: r.outside for k, r in found.items() if k != "pages"}))
 
 
 def _extract(weights: Weights):
