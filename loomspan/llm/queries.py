@@ -17,7 +17,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.lm_score import score
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "n_words", "target_loss", "background_loss", "score")
+    return score(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

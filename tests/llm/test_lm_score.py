@@ -1,74 +1,61 @@
-"""Cross-entropy difference against models that are counted word by word."""
+"""Cross-entropy difference against models that are counted gram by gram."""
 
 import collections
 import math
-import re
 import zlib
 
 import numpy as np
+import pytest
 
 from loomspan.llm import lm_score
 from tests.llm.test_operators import ROWS, prose, table
 
 
-def test_lm_score(spark):
-    rows = ROWS + [(700 + i, prose(40), "en", "s", 0, "") for i in range(40)]
-    labels = [(i, int(i % 2 == 0)) for i, *_ in rows if i is not None] + [(701, None), (None, 1)]
-    out = lm_score.score(table(spark, "score", rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
-    split = lambda t: [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+def brute_force(rows, labels):
+    """(doc_id, bytes, target loss, background loss) of rows(doc_id, text, ...)."""
     good = {i for i, q in labels if q == 1 and i is not None and zlib.crc32(str(i).encode()) % 3 != 1}
-    # Pairs share counters as they do in the operator; all else is counted by word.
-    vocabulary = np.unique(np.concatenate([lm_score._words(np.frombuffer((r[1] or "").encode(), np.uint8)) for r in rows]))
-    counters = lambda r: lm_score.buckets(lm_score.ids(np.frombuffer((r[1] or "").encode(), np.uint8), vocabulary)).tolist()
-    words, pairs = ({True: collections.Counter(), False: collections.Counter()} for _ in range(2))
-    for r in rows:
-        w = split(r[1])
-        for target in (True, False) if r[0] in good else (False,):
-            words[target].update(w)
-            pairs[target].update(counters(r))
-    scale = {True: 1.0, False: sum(words[True].values()) / sum(words[False].values())}
+    counts, sizes = {True: collections.Counter(), False: collections.Counter()}, collections.Counter()
+    for i, text, *_ in rows:
+        data = (text or "").encode()
+        for target in (True, False) if i in good else (False,):
+            sizes[target] += len(data)
+            padded = bytes(4) + data
+            for k in range(len(data)):
+                x = padded[k : k + 5]
+                counts[target].update((x, x[:4], x[2:], x[2:4] + b"|pair"))
+    out = collections.Counter()
+    for i, text, *_ in rows:
+        padded, losses = bytes(4) + (text or "").encode(), []
+        for target in (True, False):
+            s, c, bits = sizes[True] / sizes[target] if sizes[target] else 0.0, counts[target], 0.0
+            for k in range(len(padded) - 4):
+                x = padded[k : k + 5]
+                prior = (c[x[2:]] * s + 50 / 256) / (c[x[2:4] + b"|pair"] * s + 50)
+                bits -= math.log2((c[x] * s + 50 * prior) / (c[x[:4]] * s + 50))
+            losses.append(round(bits / max(1, len(padded) - 4), 6) + 0.0)
+        out[i, len(padded) - 4, *losses] += 1
+    return out
+
+
+@pytest.mark.parametrize("chunk,slice_", [(1 << 23, 1 << 22), (900, 1 << 22), (3000, 700)])
+def test_lm_score(spark, chunk, slice_):
+    """Whole chunks, many chunks, and texts that are longer than a chunk and a slice."""
+    rows = ROWS + [(700 + i, prose(40), "en", "s", 0, "") for i in range(40)]
+    labels = [(i, int(i % 2 == 0)) for i, *_ in rows if i is not None] + [(701, None), (None, 1), (2, 1)]
+    out = lm_score.score(table(spark, "score", rows), spark.createDataFrame(labels, "doc_id long, quality int"), chunk=chunk, most=slice_).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, round(r.target_loss, 6) + 0.0, round(r.background_loss, 6) + 0.0) for r in out) == brute_force(rows, labels)
+    assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-9 for r in out)
 
-    def loss(r, target):
-        w = split(r[1])
-        total, s = sum(words[target].values()) * scale[target], scale[target]
-        bits, before = 0.0, None
-        for x, counter in zip(w, counters(r)):
-            prior = (words[target][x] * s + 1) / (total + lm_score.VOCABULARY + 1)
-            seen = words[target][before] * s if before is not None else 0.0
-            pair = min(pairs[target][counter] * s, seen)
-            bits -= math.log2((pair + lm_score.SMOOTHING * prior) / (seen + lm_score.SMOOTHING))
-            before = x
-        return bits / len(w) if w else 0.0
 
-    assert len(out) == len(rows)
-    expected = collections.Counter((r[0], len(split(r[1])), round(loss(r, True), 2), round(loss(r, False), 2)) for r in rows)
-    assert collections.Counter((r.doc_id, r.n_words, round(r.target_loss, 2), round(r.background_loss, 2)) for r in out) == expected
-    assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-9 for r in out)
-    assert lm_score.score(table(spark, "x").where("false"), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
+def test_lm_score_without_rows_or_labels(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert lm_score.score(table(spark, "x").where("false"), labels).count() == 0
+    out = lm_score.score(spark.createDataFrame([(1, "aab"), (2, None), (3, "")], "doc_id long, text string"), labels.where("false")).collect()
+    assert {r.doc_id: r.target_loss for r in out} == {1: pytest.approx(8.0), 2: 0.0, 3: 0.0}
 
 
-def test_lm_score_counts_rare_words(spark):
-    """More words than VOCABULARY, each of them rare: every word and pair has its own counts."""
-    docs = [(i, " ".join(f"w{(i * 2000 + j * (1 + i % 3)) % 45_000}" for j in range(2000))) for i in range(30)] + [(30 + i, "w1 w2 w44999") for i in range(3)] + [(40, None)]
-    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in docs], "doc_id long, quality int")
-    out = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(docs, "doc_id long, text string"), labels).collect()}
-    counts = []
-    for target in (True, False):
-        words, pairs = collections.Counter(), collections.Counter()
-        for i, t in docs:
-            if not target or i % 2 == 0 and zlib.crc32(str(i).encode()) % 3 != 1:
-                w = (t or "").split()
-                words.update(w)
-                pairs.update(zip(w, w[1:]))
-        counts.append((words, pairs))
-    n, distinct = [sum(words.values()) for words, _ in counts], len(counts[1][0])
-    assert distinct > lm_score.VOCABULARY and len(out) == len(docs)
-    for i, t in docs:
-        w, losses = (t or "").split(), []
-        for (words, pairs), total in zip(counts, n):
-            s, bits = n[0] / total, 0.0
-            for v, x in zip([None, *w], w):
-                prior = (words[x] * s + 1) / (n[0] + distinct + 1)
-                bits -= math.log2((pairs[v, x] * s + lm_score.SMOOTHING * prior) / (words[v] * s + lm_score.SMOOTHING))
-            losses.append(bits / max(1, len(w)))
-        assert np.allclose(losses, [out[i].target_loss, out[i].background_loss], atol=1e-9)
+def test_slices_cut_long_texts_without_loss():
+    text = np.frombuffer(prose(300).encode(), np.uint8)
+    whole = lm_score.tally([text, text[:50], text[:0]], [True, False, True])
+    for a, b in zip(whole, lm_score.tally([text, text[:50], text[:0]], [True, False, True], 64)):
+        assert (a == b).all()
