@@ -21,35 +21,49 @@ STATES = ("confirmed_placeholder", "confirmed_real", "needs_user_confirmation")
 
 
 def stripped(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(" \t\n\x0b\f\r"))
 
 
-def rules(value: Column, kind: Column) -> list[tuple[Column, Column, float, str]]:
-    """(condition, signal, confidence, state), in order; the first that holds decides."""
-    v, low = stripped(value), F.lower(stripped(value))
+def rules(value: Column, v: Column, low: Column, kind: Column) -> list[tuple[Column, Column, float, str]]:
+    """(condition, signal, confidence, state), in order; the first that holds decides. v is the stripped value and low
+    the same in lower case.
+
+    A list of patterns is one alternation first: a text that has none of them, as most, is scanned once for all."""
     fake, real, ask = STATES
     text = kind.isin("text", "textarea")
+    any_of = lambda patterns: low.rlike("|".join(f"(?:{p})" for p in patterns))
     first = lambda prefix, patterns: F.coalesce(*(F.when(low.rlike(p), prefix + p) for p in patterns))
     has = lambda prefix, parts: F.coalesce(*(F.when(low.contains(p), prefix + p) for p in parts))
-    found = [
-        (text, first("text_pattern:", TEXT_PATTERNS), 0.95), (text, first("email_pattern:", EMAIL_PATTERNS), 0.90),
-        (kind == "image", has("placeholder_image_host:", IMAGE_HOSTS), 0.95), (kind == "image", first("placeholder_image_filename:", IMAGE_NAMES), 0.85),
-        (kind == "url", has("url_pattern:", URL_PARTS), 0.90), (kind == "url", F.when(v == "#", "hash_only_url"), 0.90),
-    ]
-    out = [(value.isNull() | (v == ""), F.lit("empty_value"), 0.95, fake)]
-    out += [(when & signal.isNotNull(), signal, confidence, fake) for when, signal, confidence in found[:2]]
-    out += [(text & (F.length(v) <= 2), F.lit("suspiciously_short_text"), 0.70, ask), (text & (F.length(v) > 20), F.lit("substantial_text_no_patterns"), 0.80, real)]
-    out += [(when & signal.isNotNull(), signal, confidence, fake) for when, signal, confidence in found[2:]]
-    out += [(kind == "color", F.lit("color_value_assumed_real"), 0.80, real), (kind == "image", F.lit("image_inconclusive_no_vision_model"), 0.50, ask)]
-    return [*out, (F.lit(True), F.lit("llm_unavailable_or_failed"), 0.50, ask)]
+    within = lambda parts: F.coalesce(*(F.when(low.contains(p), True) for p in parts), F.lit(False))
+    return [
+        (value.isNull() | (v == ""), F.lit("empty_value"), 0.95, fake),
+        (text & any_of(TEXT_PATTERNS), first("text_pattern:", TEXT_PATTERNS), 0.95, fake),
+        (text & any_of(EMAIL_PATTERNS), first("email_pattern:", EMAIL_PATTERNS), 0.90, fake),
+        (text & (F.length(v) <= 2), F.lit("suspiciously_short_text"), 0.70, ask),
+        (text & (F.length(v) > 20), F.lit("substantial_text_no_patterns"), 0.80, real),
+        ((kind == "image") & within(IMAGE_HOSTS), has("placeholder_image_host:", IMAGE_HOSTS), 0.95, fake),
+        ((kind == "image") & any_of(IMAGE_NAMES), first("placeholder_image_filename:", IMAGE_NAMES), 0.85, fake),
+        ((kind == "url") & within(URL_PARTS), has("url_pattern:", URL_PARTS), 0.90, fake),
+        ((kind == "url") & (v == "#"), F.lit("hash_only_url"), 0.90, fake),
+        (kind == "color", F.lit("color_value_assumed_real"), 0.80, real),
+        (kind == "image", F.lit("image_inconclusive_no_vision_model"), 0.50, ask),
+        (F.lit(True), F.lit("llm_unavailable_or_failed"), 0.50, ask),
+    ]
 
 
 def detect(value: Column, kind: Column) -> Column:
-    """struct(state, confidence, signal) of a field's value."""
-    chain = F
-    for when, signal, confidence, state in rules(value, kind):
-        chain = chain.when(when, F.struct(F.lit(state).alias("state"), F.lit(confidence).alias("confidence"), signal.alias("signal")))
-    return chain
+    """struct(state, confidence, signal) of a field's value. The stripped value and its lower case are the fields of a
+    lambda's variable, so that they are made once for all rules."""
+
+    def decide(x: Column) -> Column:
+        chain = F
+        for when, signal, confidence, state in rules(x["value"], x["v"], x["low"], x["kind"]):
+            chain = chain.when(when, F.struct(F.lit(state).alias("state"), F.lit(confidence).alias("confidence"), signal.alias("signal")))
+        return chain
+
+    v = stripped(value)
+    one = F.struct(value.alias("value"), v.alias("v"), F.lower(v).alias("low"), kind.alias("kind"))
+    return F.get(F.transform(F.array(one), decide), F.lit(0))
 
 
 def duck_detect(value: str, kind: str, output: str) -> str:

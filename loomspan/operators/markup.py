@@ -67,23 +67,33 @@ def _elements(e: Element) -> list[Element]:
 
 def align(a: list[tuple], b: list[tuple]) -> list[tuple[int | None, int | None]]:
     """Pairs of places of a longest common subsequence; what is in one alone pairs with None. Of equal choices the
-    first list's element is passed over first."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in reversed(range(len(a))):
-        for j in reversed(range(len(b))):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
+    first list's element is passed over first. What the lists begin or end with alike pairs at once; only what differs
+    between takes a table."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    n, m = len(a) - end, len(b) - end
+    out = [(i, i) for i in range(start)]
+    table = [[0] * (m - start + 1) for _ in range(n - start + 1)]
+    for i in reversed(range(start, n)):
+        for j in reversed(range(start, m)):
+            row, below = table[i - start], table[i - start + 1]
+            row[j - start] = below[j - start + 1] + 1 if a[i] == b[j] else max(below[j - start], row[j - start + 1])
+    i = j = start
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and table[i + 1][j] >= table[i][j + 1]:
+        elif j == m or i < n and table[i - start + 1][j - start] >= table[i - start][j - start + 1]:
             out.append((i, None))
             i += 1
         else:
             out.append((None, j))
             j += 1
-    return out
+    return out + [(n + k, m + k) for k in range(end)]
 
 
 def structural_counts(original: str, other: str) -> tuple[int, float]:

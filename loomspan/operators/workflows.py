@@ -10,26 +10,36 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import urls
 from loomspan.operators.nodes import attribute
+from loomspan.session import checkpointed
 
 
 def crawl(pages: DataFrame, links: DataFrame, start: str, most_pages: int = 25, most_depth: int = 2, disallowed: DataFrame | None = None) -> DataFrame:
     """(url, depth, place): pages within reach of start over links(url, href, pos), of its host alone, breadth first.
 
-    Each level is one join and one anti-join on normalised URLs; there are most_depth of them, whatever the size. The
-    cap on pages is the crawl's own limit. disallowed(prefix) leaves out what robots rules forbid."""
+    Each level is one join and one anti-join on normalised URLs; there are most_depth of them, whatever the size. Pages
+    of a level are in the order in which their links are found: that of the linking page, then of the link on it. The
+    cap on pages is the crawl's own limit. disallowed(prefix) leaves out what robots rules forbid; a URL is looked up by
+    each of its path's prefixes, so that rules may be many."""
     spark: SparkSession = pages.sparkSession
     host = F.regexp_extract(F.lit(start), "^([a-zA-Z]+://[^/?#]+)", 1)
     edges = links.select(urls.normalize(F.col("url")).alias("source"), urls.resolve(F.col("url"), F.col("href")).alias("target"), "pos").where(F.col("target").startswith(host))
     edges = edges.withColumn("target", urls.normalize(F.col("target")))
     if disallowed is not None:
-        edges = edges.join(F.broadcast(disallowed.limit(1000)), F.col("target").startswith(F.concat(host, F.col("prefix"))), "left_anti")  # rules of one site
-    seen = spark.range(1).select(urls.normalize(F.lit(start)).alias("url"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("found"))
+        path = F.substr("target", F.length(host) + 1)
+        heads = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(path))), lambda i: F.substr(path, F.lit(1), i))
+        targets = edges.select("target").distinct()
+        forbidden = targets.select("target", F.explode(heads).alias("prefix")).join(disallowed.select("prefix").distinct(), "prefix").select("target").distinct()
+        edges = edges.join(forbidden, "target", "left_anti")
+    none = F.array().cast("array<int>")
+    seen = spark.range(1).select(urls.normalize(F.lit(start)).alias("url"), F.lit(0).alias("depth"), none.alias("found"))
     frontier = seen
     for depth in range(1, most_depth + 1):
-        reached = frontier.join(edges, F.col("url") == F.col("source")).groupBy(F.col("target").alias("url")).agg(F.min(F.col("found") * 10_000 + F.col("pos")).alias("found"))
+        at = F.concat("found", F.array(F.col("pos").cast("int")))
+        reached = frontier.join(edges, F.col("url") == F.col("source")).groupBy(F.col("target").alias("url")).agg(F.min(at).alias("found"))
         frontier = reached.join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth"), "found")
         seen = seen.unionByName(frontier)
-    return seen.withColumn("place", F.row_number().over(Window.orderBy("depth", "found", "url"))).where(F.col("place") <= most_pages).drop("found")
+    first = seen.orderBy("depth", "found", "url").limit(most_pages)  # each task sorts no more than it may keep
+    return first.select("url", "depth", F.row_number().over(Window.orderBy("depth", "found", "url")).alias("place"))
 
 
 def start_tags(pages: DataFrame) -> DataFrame:
@@ -73,17 +83,16 @@ def asset_refs(pages: DataFrame) -> DataFrame:
     return start_tags(pages).select("page_id", "pos", F.inline(found)).where(~urls.is_unfetchable(F.col("ref")) & ~F.lower("ref").startswith("data:"))
 
 
-def css_closure(imports: DataFrame, entries: DataFrame, most: int = 16) -> DataFrame:
-    """(root, sheet): stylesheets reached from entries(root, sheet) over imports(sheet, imported), each once; cycles end
-    where nothing new is found."""
+def css_closure(imports: DataFrame, entries: DataFrame) -> DataFrame:
+    """(root, sheet): stylesheets reached from entries(root, sheet) over imports(sheet, imported), each once; the loop
+    ends where nothing new is found. Each level is a checkpoint, so that plans don't grow with the depth."""
     seen, frontier = entries, entries
-    for _ in range(most):
+    while True:
         found = frontier.join(imports, "sheet").select("root", F.col("imported").alias("sheet")).distinct()
-        frontier = found.join(seen, ["root", "sheet"], "left_anti")
+        frontier = checkpointed(found.join(seen, ["root", "sheet"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
 
 
 # What a field of each type may be given, and how it is substituted.

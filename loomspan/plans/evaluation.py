@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import markup, nodes, sections
 from loomspan.plans.literals import ROLES
-from loomspan.plans.pages import links
+from loomspan.plans.pages import _DUCK_LINKS, links
 from loomspan.plans.registry import duck_values, query, sql_text
 from loomspan.plans.texts import fit_risks, safety_score
-from loomspan.session import table
+from loomspan.session import checkpointed, table
 
 
 def repurpose(pages: DataFrame) -> DataFrame:
     """For each of pages(page_id, html): fields, how many sample values landed, safety, structure and success.
 
     One job for the whole corpus; every join is on page_id, and what a page lacks counts as nothing done."""
-    tree = nodes.parse_html(pages)
+    tree = checkpointed(nodes.parse_html(pages))
     fields = sections.fields(tree)
     wanted = fields.where("field_type <> 'image'").select("page_id", "field_id", "path", "original_value", "max_length", F.concat(F.lit("Sample "), "label").alias("value"))
     edited = markup.compile_html(sections.substitute(tree, wanted.select("page_id", "path", "value")))
@@ -75,32 +75,38 @@ def integrity(tree: DataFrame) -> DataFrame:
     return orphans.unionByName(gaps).unionByName(empty)
 
 
-@query("page_integrity", "select page_id, 0::bigint as violations from pages")
+#: What is put at the end of a page's body, so that every third page has a dead link and every fourth an empty section.
+_BROKEN = """concat(replace(replace(html, '</body>', ''), '</html>', ''), case when page_id % 3 = 0 then '<p><a href="#gone">x</a></p>' else '' end, case when page_id % 4 = 0 then '<section></section>' else '' end, '</body></html>')"""
+
+
+@query("page_integrity", "select page_id, ((page_id % 3 = 0)::bigint + (page_id % 4 = 0)::bigint) as violations from pages")
 def page_integrity(spark, sf_dir):
-    """Pages after their menu is removed: nothing else breaks."""
-    tree = nodes.parse_html(table(spark, sf_dir, "pages"))
+    """What is wrong with pages after their menu is removed."""
+    tree = nodes.parse_html(table(spark, sf_dir, "pages").select("page_id", F.expr(_BROKEN).alias("html")))
     left = sections.without_sections(tree, tree.where("tag = 'nav' and depth = 1").select("page_id", "path"))
     found = integrity(left).groupBy("page_id").agg(F.count("*").alias("n"))
     return table(spark, sf_dir, "pages").select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("violations"))
 
 
-@query("asset_local_names", """select page_id, pos, case when n = '' then 'asset' else n end || '-' || substr(sha256(target), 1, 8) || '.html' as local_name from (select page_id, pos, target, regexp_extract(target, '([^/?#]*)$', 1) as n from (select page_id, pos, regexp_extract(url,'^([a-zA-Z]+://[^/?#]*)',1) || href as target from
-  (select page_id, url, unnest(regexp_extract_all(html,'<a href="([^"]*)"',1)) as href, generate_subscripts(regexp_extract_all(html,'<a href="([^"]*)"',1),1) as pos from pages) where regexp_matches(href,'^/[^/?#]*$')))""")
+@query("asset_local_names", f"""select page_id, pos, case when n = '' then 'asset' else n end || '-' || substr(sha256(target), 1, 8) || '.html' as local_name from (select page_id, pos, target, regexp_extract(target, '([^/?#]*)(?:[?#].*)?$', 1) as n from (select page_id, pos, regexp_extract(url,'^([a-zA-Z]+://[^/?#]*)',1) || href as target from {_DUCK_LINKS} where starts_with(href, '/') and not starts_with(href, '//')))""")
 def asset_local_names(spark, sf_dir):
-    """File names for local copies: the last part of the address and a stable hash of the whole."""
-    from loomspan.functions import urls
-
-    x = links(spark, sf_dir).where(F.col("href").rlike("^/[^/?#]*$")).select("page_id", F.col("pos").cast("long").alias("pos"), urls.resolve(F.col("url"), F.col("href")).alias("target"))
-    name = F.regexp_extract("target", "([^/?#]*)$", 1)
+    """File names for local copies of what pages of one site refer to: the last part of the address and a stable hash of
+    the whole."""
+    local = F.col("href").startswith("/") & ~F.col("href").startswith("//")
+    x = links(spark, sf_dir).where(local).select("page_id", F.col("pos").cast("long").alias("pos"), F.concat(F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]*)", 1), "href").alias("target"))
+    name = F.regexp_extract("target", "([^/?#]*)(?:[?#].*)?$", 1)
     return x.select("page_id", "pos", F.concat(F.when(name == "", "asset").otherwise(name), F.lit("-"), F.substring(F.sha2("target", 256), 1, 8), F.lit(".html")).alias("local_name"))
 
 
-@query("page_answer_fallback")
+@query("page_answer_fallback", """select page_id, unnest([2, 3]) as top_idx, unnest([case when page_id % 2 = 0 then 'hero' else 'unknown' end, 'unknown']) as role, unnest([case when page_id % 2 = 0 then 0.9 else 0.0 end, 0.0])::double as confidence from pages""")
 def page_answer_fallback(spark, sf_dir):
-    """Sections that rules leave open, with a model's answers joined where there are any: without them they stay unknown."""
+    """Sections that rules leave open, with a model's answers joined where there are any that are valid; else they stay
+    unknown. Every other page has an answer for its second section, every third an unsure one for its third."""
     open_ = sections.classify(nodes.parse_html(table(spark, sf_dir, "pages"))).where("confidence < 0.8")
-    answers = spark.createDataFrame([], "page_id long, top_idx int, answer_role string, answer_confidence double")
+    given = F.array(
+        F.when(F.col("page_id") % 2 == 0, F.struct(F.lit(2).alias("top_idx"), F.lit("hero").alias("answer_role"), F.lit(0.9).alias("answer_confidence"))),
+        F.when(F.col("page_id") % 3 == 0, F.struct(F.lit(3).alias("top_idx"), F.lit("faq").alias("answer_role"), F.lit(0.5).alias("answer_confidence"))),
+    )
+    answers = table(spark, sf_dir, "pages").select("page_id", F.inline(F.array_compact(given)))
     x = open_.join(answers.where(F.col("answer_role").isin(*ROLES) & F.col("answer_confidence").between(0.8, 1.0)), ["page_id", "top_idx"], "left")
     return x.select("page_id", "top_idx", F.coalesce("answer_role", F.lit("unknown")).alias("role"), F.coalesce("answer_confidence", F.lit(0.0)).alias("confidence"))
-
-

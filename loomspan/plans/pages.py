@@ -9,17 +9,22 @@ from loomspan.functions import urls
 from loomspan.plans.registry import query, sql_text
 from loomspan.session import table
 
-_HREF = '<a href="([^"]*)"'
+#: An anchor's address, in double, single or no quotes; comments and scripts hold no anchors.
+_NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, pos, href) of every anchor, in page order."""
-    pages = table(spark, sf_dir, "pages")
-    found = F.posexplode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("pos", "href")
+    """(page_id, url, pos, href) of every anchor that has an address, in page order."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", _NOT_MARKUP, ""))
+    ways = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(_HREF), F.lit(i)).alias(f"w{i}") for i in (1, 2, 3)))
+    found = F.posexplode(F.transform(ways, lambda w: F.concat(w["w1"], w["w2"], w["w3"]))).alias("pos", "href")
     return pages.select("page_id", "url", found).withColumn("pos", F.col("pos") + 1)
 
 
-_DUCK_LINKS = f"(select page_id, url, unnest(regexp_extract_all(html,'{_HREF}',1)) as href, generate_subscripts(regexp_extract_all(html,'{_HREF}',1),1) as pos from pages)"
+_DUCK_CLEAN = f"regexp_replace(html, {sql_text(_NOT_MARKUP)}, '', 'g')"
+_DUCK_HREFS = "list_transform(list_zip(" + ", ".join(f"regexp_extract_all({_DUCK_CLEAN}, {sql_text(_HREF)}, {i})" for i in (1, 2, 3)) + "), lambda w: concat(w[1], w[2], w[3]))"
+_DUCK_LINKS = f"(select page_id, url, unnest(hrefs) as href, generate_subscripts(hrefs, 1) as pos from (select page_id, url, {_DUCK_HREFS} as hrefs from pages))"
 _DUCK_HOST = r"regexp_replace(regexp_replace(regexp_extract(lower(trim({0})),'^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)',1),'^[^@]*@',''),':[0-9]*$','')"
 
 

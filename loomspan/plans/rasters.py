@@ -68,20 +68,41 @@ def raster_volatility(spark, sf_dir):
     return spread.groupBy("label").agg(F.count_if(F.col("spread") > 0.6).alias("volatile_pixels"))
 
 
-@query("raster_consensus_pairs", "select a.label, count(*) as pairs from embeddings a join embeddings b on a.label=b.label and a.vec_id<b.vec_id group by 1")
+_DUCK_PAIRS = f"""select a.label, count(*)::bigint as pairs, avg(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: case when abs(p[1]::double - p[2]::double) <= {TOLERANCE} then 1 else 0 end)) * 100.0 / len(a.embedding)) as agreement
+  from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id group by 1"""
+
+
+def agreement(pixels: DataFrame) -> DataFrame:
+    """(label, renders, pairs, agreement): the mean share of alike pixels over all pairs of a label's renders, in percent.
+
+    Pairs are counted, not made: a value agrees with those up to TOLERANCE below it. Equal values are counted together
+    first; values are dealt over bins as wide as the tolerance, and each bin also sees the one below it, so that a
+    window holds two bins of one pixel of a label."""
+    values = pixels.groupBy("label", "pos", F.col("v").cast("double").alias("v")).agg(F.count("*").alias("m"))
+    cell = F.floor(F.col("v") / (TOLERANCE * 1.001)).cast("long")
+    seen = values.withColumn("bin", F.explode(F.array(cell, cell + 1))).withColumn("own", F.col("bin") == cell)
+    near = F.expr(f"sum(m) over (partition by label, pos, bin order by v range between {TOLERANCE}D preceding and current row)")
+    pairs = F.col("m") * (F.col("near") - F.col("m")) + F.col("m") * (F.col("m") - 1) / 2
+    alike = seen.withColumn("near", near).where("own").groupBy("label").agg(F.sum(pairs).alias("alike"))
+    sizes = pixels.groupBy("label").agg(F.countDistinct("vec_id").alias("renders"), F.countDistinct("pos").alias("n_pixels"))
+    x = sizes.join(alike, "label").withColumn("pairs", F.expr("renders * (renders - 1) div 2"))
+    return x.select("label", "renders", "pairs", F.when(F.col("pairs") == 0, 100.0).otherwise(F.col("alike") * 100.0 / (F.col("pairs") * F.col("n_pixels"))).alias("agreement"))
+
+
+@query("raster_consensus_pairs", f"select label, pairs, round(agreement, 6) as agreement from ({_DUCK_PAIRS})")
 def raster_consensus_pairs(spark, sf_dir):
-    """Pairs of renders of one label: counted from the group's size, not by joining it with itself."""
-    n = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    return n.where("n > 1").select("label", F.expr("n * (n - 1) div 2").alias("pairs"))
+    """Mean agreement of all pairs of renders of one label."""
+    return agreement(_pixels(spark, sf_dir)).where("pairs > 0").select("label", "pairs", F.round("agreement", 6).alias("agreement"))
+
+
+#: Fixed value: mean agreement, in percent, from which the renders of a label count as one.
+CONSENSUS = 95.0
 
 
-@query("raster_consensus", f"""with p as {_DUCK_PIXELS}, m as (select label, pos, avg(v::double) as mean from p group by 1, 2) select p.label, count(distinct p.vec_id)::bigint as renders, avg(case when abs(p.v::double - m.mean) <= {TOLERANCE} then 100.0 else 0.0 end) as agreement from p join m using (label, pos) group by 1""")
+@query("raster_consensus", f"select label, renders, coalesce(agreement, 100) >= {CONSENSUS} as consensus from (select label, count(*)::bigint as renders from embeddings group by 1) left join ({_DUCK_PAIRS}) using (label)")
 def raster_consensus(spark, sf_dir):
-    """How far the renders of a label agree with their mean picture: linear in the renders, where pairs are quadratic."""
-    p = _pixels(spark, sf_dir)
-    mean = p.groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("mean"))
-    close = F.when(F.abs(F.col("v").cast("double") - F.col("mean")) <= TOLERANCE, 100.0).otherwise(0.0)
-    return p.join(mean, ["label", "pos"]).groupBy("label").agg(F.countDistinct("vec_id").alias("renders"), F.avg(close).alias("agreement"))
+    """Whether the renders of a label agree; one alone does."""
+    return agreement(_pixels(spark, sf_dir)).select("label", "renders", (F.col("agreement") >= CONSENSUS).alias("consensus"))
 
 
 @query("raster_mean_color", "select vec_id, list_avg(list_transform(embedding, lambda x: x::double)) as mean from embeddings")

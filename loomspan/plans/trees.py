@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.operators import markup, nodes, sections, styles
 from loomspan.plans.pages import INLINE_TRACKER
 from loomspan.plans.registry import query
-from loomspan.session import table
+from loomspan.session import checkpointed, table
 
 
 def page_nodes(spark, sf_dir):
@@ -39,11 +39,16 @@ def tree_flatten(spark, sf_dir):
     return sections.flatten(page_nodes(spark, sf_dir))
 
 
-@query("tree_consistency", "select page_id, true as consistent from pages")
+#: Every third page has all that it holds in an element that isn't shown.
+_UNSEEN = "case when page_id % 3 = 0 then concat('<body><noscript>', replace(replace(html, '<body>', ''), '</body>', ''), '</noscript></body>') else html end"
+
+
+@query("tree_consistency", f"select page_id, not (page_id % 3 = 0 and len(regexp_extract_all({_UNSEEN}, '<[a-z][a-z0-9]*')) > 10) as consistent from pages")
 def tree_consistency(spark, sf_dir):
     """Whether the tree has a tenth at least of the elements that the markup has."""
-    raw = table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<[a-z][a-z0-9]*")).alias("dom"))
-    return raw.join(sections.tree_stats(page_nodes(spark, sf_dir)), "page_id", "left").select("page_id", (~((F.col("dom") > 10) & (F.coalesce("n_nodes", F.lit(0)) < 0.1 * F.col("dom")))).alias("consistent"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(_UNSEEN).alias("html"))
+    raw = pages.select("page_id", F.regexp_count("html", F.lit("<[a-z][a-z0-9]*")).alias("dom"))
+    return raw.join(sections.tree_stats(nodes.parse_html(pages)), "page_id", "left").select("page_id", (~((F.col("dom") > 10) & (F.coalesce("n_nodes", F.lit(0)) < 0.1 * F.col("dom")))).alias("consistent"))
 
 
 @query("page_sections", """select page_id, role, n from (select page_id, 'navigation' as role, len(regexp_extract_all(html,'<nav[\\s>]'))::bigint as n from pages union all select page_id, 'footer', len(regexp_extract_all(html,'<footer[\\s>]'))::bigint from pages
@@ -60,40 +65,54 @@ def page_slots(spark, sf_dir):
 
 @query("page_fields")
 def page_fields(spark, sf_dir):
-    return sections.fields(page_nodes(spark, sf_dir))
+    return sections.fields(checkpointed(page_nodes(spark, sf_dir)))
 
 
 @query("page_slot_report")
 def page_slot_report(spark, sf_dir):
     """Slots of each page by its sections' roles, and how many hold real, placeholder or unclear content."""
-    x = sections.fields(page_nodes(spark, sf_dir))
+    x = sections.fields(checkpointed(page_nodes(spark, sf_dir)))
     of = lambda s: F.count_if(F.col("content_state") == s)
     return x.groupBy("page_id", "role").agg(F.count("*").alias("slots"), of("confirmed_real").alias("real"), of("confirmed_placeholder").alias("placeholder"), of("needs_user_confirmation").alias("unclear"))
 
 
-@query("page_repeats")
+#: Put at the end of a page's body: a team of some members, links to an id that isn't there, and parts that open and turn.
+_RICH = """concat(replace(replace(html, '</body>', ''), '</html>', ''), '<section class="team">', repeat('<div><p>a</p></div>', cast(page_id % 4 as int)), '</section><div id="here"><a href="#here">a</a>', repeat('<a href="#gone">b</a>', cast(page_id % 3 as int)), '</div>',
+  repeat('<div><button aria-expanded="false" aria-controls="m">x</button><div id="m">y</div></div>', cast(page_id % 2 as int)), repeat('<div class="slider"><p>a</p><p>b</p></div>', cast(page_id % 3 as int)), repeat('<div class="dropdown"><ul><li>a</li></ul></div>', cast(page_id % 4 as int)), '</body></html>')"""
+
+
+def _rich_nodes(spark, sf_dir):
+    return nodes.parse_html(table(spark, sf_dir, "pages").select("page_id", F.expr(_RICH).alias("html")))
+
+
+@query("page_repeats", "select page_id, 'team' as role, page_id % 4 as instances from pages")
 def page_repeats(spark, sf_dir):
-    return sections.repeats(page_nodes(spark, sf_dir))
+    """Instances of the repeated part of each page's team."""
+    return sections.repeats(_rich_nodes(spark, sf_dir)).select("page_id", "role", F.col("instances").cast("long").alias("instances"))
 
 
-@query("page_orphaned_anchors")
+@query("page_orphaned_anchors", "select page_id, 'gone' as target, page_id % 3 as n from pages where page_id % 3 > 0")
 def page_orphaned_anchors(spark, sf_dir):
-    return sections.orphaned_anchors(page_nodes(spark, sf_dir))
+    return sections.orphaned_anchors(_rich_nodes(spark, sf_dir)).groupBy("page_id", "target").agg(F.count("*").alias("n"))
 
 
-@query("page_interactive")
+@query("page_interactive", "select * from (select page_id, unnest(['disclosure', 'carousel', 'dropdown']) as kind, unnest([page_id % 2, page_id % 3, page_id % 4]) as n from pages) where n > 0")
 def page_interactive(spark, sf_dir):
-    return sections.interactive(page_nodes(spark, sf_dir))
+    return sections.interactive(_rich_nodes(spark, sf_dir)).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
 def _styled(spark, sf_dir):
     return styles.match(table(spark, sf_dir, "pages").select("page_id", "html", F.lit("").alias("css")))
 
 
-@query("page_css_rules", "select page_id, 1 as rule_no, 'p' as selector, 'margin' as prop, '0' as value from pages where contains(html,'<style>p{margin:0}</style>')")
+#: Style sheets that differ from page to page.
+_RULES = "concat('.c', page_id, '{color:red;margin:', page_id % 7, 'px}', repeat('h2{top:0}', cast(page_id % 3 as int)))"
+
+
+@query("page_css_rules", """select page_id, 1 as rule_no, concat('.c', page_id) as selector, unnest(['color', 'margin']) as prop, unnest(['red', concat(page_id % 7, 'px')]) as value from pages
+  union all select page_id, unnest(range(2, 2 + page_id % 3))::int, 'h2', 'top', '0' from pages""")
 def page_css_rules(spark, sf_dir):
-    sheets = table(spark, sf_dir, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit("(?s)<style>(.*?)</style>"), F.lit(1)), "\n").alias("css"))
-    return styles.parse_css(sheets).select("page_id", "rule_no", "selector", "prop", "value")
+    return styles.parse_css(table(spark, sf_dir, "pages").select("page_id", F.expr(_RULES).alias("css"))).select("page_id", "rule_no", "selector", "prop", "value")
 
 
 @query("page_cascade", "select page_id, len(regexp_extract_all(html,'<p[\\s>]'))::bigint as styled from pages where regexp_matches(html,'<p[\\s>]')")
@@ -107,11 +126,15 @@ def page_computed_styles(spark, sf_dir):
     return styles.inherit(page_nodes(spark, sf_dir), styles.cascade(_styled(spark, sf_dir)))
 
 
-@query("page_tokens", "select page_id, unnest(['colors','colors','typography','spacing','spacing']) as category, unnest(['primary','background','base','sm','md']) as key, unnest(['#000000','#ffffff','Arial, sans-serif','8px','16px']) as value from pages")
+#: Colours, fonts, sizes and spacing of each page; there is no background, as long as every fifth page has nothing at all.
+_LOOK = "case when page_id % 5 = 0 then 'i{top:1px}' else concat('h1{color:#00F;font-size:', 20 + page_id % 5, 'px}p{margin:', 1 + page_id % 3, 'px;font-family:', case when page_id % 2 = 0 then 'Georgia' else 'Verdana' end, '}') end"
+
+
+@query("page_tokens", """select page_id, unnest(['colors','colors','typography','spacing','spacing']) as category, unnest(['primary','background','base','sm','md']) as key, unnest(['#000000','#ffffff','Arial, sans-serif','8px','16px']) as value from pages where page_id % 5 = 0
+  union all select page_id, unnest(['colors','typography','typography','spacing']), unnest(['primary','base','size-1','xs']), unnest(['#0000ff', case when page_id % 2 = 0 then 'Georgia' else 'Verdana' end, concat(20 + page_id % 5, 'px'), concat(1 + page_id % 3, 'px')]) from pages where page_id % 5 > 0""")
 def page_tokens(spark, sf_dir):
-    """Design tokens; these pages declare none, so that each has the defaults."""
-    sheets = table(spark, sf_dir, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit("(?s)<style>(.*?)</style>"), F.lit(1)), "\n").alias("css"))
-    return styles.tokens(styles.parse_css(sheets))
+    """Design tokens of pages with a look of their own; a page that declares none has the defaults."""
+    return styles.tokens(styles.parse_css(table(spark, sf_dir, "pages").select("page_id", F.expr(_LOOK).alias("css"))))
 
 
 @query("page_compiled_html")
@@ -129,32 +152,45 @@ def page_compiled_vue(spark, sf_dir):
     return markup.compile_vue(page_nodes(spark, sf_dir), page_tokens(spark, sf_dir))
 
 
-@query("page_structural_score", "select page_id, 100.0::double as structural_score from pages")
+@query("page_structural_score", """select page_id, round((1 + n - k)::double / (1 + n + k) * 100, 2) as structural_score from (select page_id, n, least(n, page_id % 4) as k from (select page_id, len(regexp_extract_all(html,'<p[\\s>]')) as n from pages))""".replace("\\\\", "\\"))
 def page_structural_score(spark, sf_dir):
-    """Each page against itself."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("original"), F.col("html").alias("other"))
-    return markup.structural_score(pages).select("page_id", "structural_score")
+    """As many paragraphs as each page has, against the same of which the last few have another id: these match nothing."""
+    x = table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"<p[\s>]")).alias("n"))
+    x = x.withColumn("k", F.least("n", F.col("page_id") % 4).cast("int"))
+    body = lambda *parts: F.concat(F.lit("<body>"), *(F.expr(p) for p in parts), F.lit("</body>"))
+    pairs = x.select("page_id", body("repeat('<p>x</p>', n)").alias("original"), body("repeat('<p>x</p>', n - k)", "repeat('<p id=\"e\">x</p>', k)").alias("other"))
+    return markup.structural_score(pairs).select("page_id", "structural_score")
+
 
+#: What must go, and what must stay, in different numbers on each page.
+_UNSAFE = """concat(replace(replace(html, '</body>', ''), '</html>', ''), repeat('<script>x()</script>', cast(page_id % 3 as int)), repeat('<a href="javascript:x()" onclick="y()">bare</a>', cast(page_id % 2 as int)), repeat('<img src="/ok.png" onerror="z()">', cast(page_id % 4 as int)), '</body></html>')"""
 
-@query("page_sanitized", "select page_id, false as has_script from pages")
+
+@query("page_sanitized", """select page_id, false as has_script, 0::bigint as handlers, len(regexp_extract_all(html,'<a href="'))::bigint as links, page_id % 2 as bare, page_id % 4 as images from pages""")
 def page_sanitized(spark, sf_dir):
-    """Sanitized pages: none has a script."""
+    """Sanitized pages: no script and no handler, but all links and pictures that are safe."""
     clean = F.pandas_udf(lambda s: pd.Series([markup.sanitize(x or "") for x in s]), "string")
-    return table(spark, sf_dir, "pages").select("page_id", clean("html").alias("html")).select("page_id", F.col("html").contains("<script").alias("has_script"))
+    x = table(spark, sf_dir, "pages").select("page_id", clean(F.expr(_UNSAFE)).alias("html"))
+    count = lambda pattern: F.regexp_count("html", F.lit(pattern)).cast("long")
+    return x.select("page_id", F.col("html").contains("<script").alias("has_script"), count(r"\son[a-z]+=").alias("handlers"), count('<a href="').alias("links"), count("<a>bare</a>").alias("bare"), count('<img src="/ok.png">').alias("images"))
+
+
+_TRACKED = """concat(replace(replace(html, '</body>', ''), '</html>', ''), repeat('<img src="https://www.google-analytics.com/collect?v=1">', cast(page_id % 4 as int)), repeat('<script>gtag("config")</script>', cast(page_id % 3 as int)), '<img src="/own.png"></body></html>')"""
 
 
-@query("page_stripped", "select page_id, 0 as removed from pages")
+@query("page_stripped", "select page_id, (page_id % 4 + page_id % 3)::int as removed from pages")
 def page_stripped(spark, sf_dir):
-    """Trackers removed from each page; these pages have none."""
-    return markup.strip(table(spark, sf_dir, "pages"), INLINE_TRACKER).select("page_id", "removed")
+    """Trackers removed from each page."""
+    return markup.strip(table(spark, sf_dir, "pages").select("page_id", F.expr(_TRACKED).alias("html")), INLINE_TRACKER).select("page_id", "removed")
 
 
-@query("page_without_menu", "select page_id, 0::bigint as menu_nodes from pages")
+@query("page_without_menu", "select page_id, 0::bigint as menu_nodes, len(regexp_extract_all(html,'<p[\\s>]'))::bigint as paragraphs, len(regexp_extract_all(html,'<li[\\s>]'))::bigint as entries_before from pages".replace("\\\\", "\\"))
 def page_without_menu(spark, sf_dir):
-    """Pages with their first section removed: no node of a menu is left."""
+    """Pages with their first section removed: no node of a menu is left, and every paragraph is."""
     x = page_nodes(spark, sf_dir)
     left = sections.without_sections(x, x.where("tag = 'nav' and depth = 1").select("page_id", "path"))
-    return left.groupBy("page_id").agg(F.count_if(F.col("tag") == "nav").alias("menu_nodes"))
+    before = x.groupBy("page_id").agg(F.count_if(F.col("tag") == "li").alias("entries_before"))
+    return left.groupBy("page_id").agg(F.count_if(F.col("tag").isin("nav", "li")).alias("menu_nodes"), F.count_if(F.col("tag") == "p").alias("paragraphs")).join(before, "page_id")
 
 
 @query("page_substituted", "select page_id, 'Sample Heading' as heading from pages where regexp_matches(html,'<h1[\\s>]')")

@@ -8,7 +8,7 @@ from loomspan.operators import nodes, sections, workflows
 from loomspan.plans.literals import PORTFOLIO
 from loomspan.plans.pages import links
 from loomspan.plans.registry import duck_values, query
-from loomspan.session import table
+from loomspan.session import checkpointed, table
 
 
 @query("crawl_frontier")
@@ -53,7 +53,7 @@ def submission_validation(spark, sf_dir):
 @query("page_substitution_map")
 def page_substitution_map(spark, sf_dir):
     """A sample value for every text field of every page, as substitutions."""
-    fields = sections.fields(nodes.parse_html(table(spark, sf_dir, "pages")))
+    fields = sections.fields(checkpointed(nodes.parse_html(table(spark, sf_dir, "pages"))))
     none = F.lit(None)
     given = fields.where("field_type <> 'image'").select("page_id", "field_id", F.concat(F.lit("Sample "), "label").alias("value"), none.cast("int").alias("instance"), none.cast("string").alias("group_id"))
     return workflows.substitutions(fields, given)
@@ -61,13 +61,17 @@ def page_substitution_map(spark, sf_dir):
 
 @query("page_portfolio")
 def page_portfolio(spark, sf_dir):
-    return workflows.portfolio(sections.fields(nodes.parse_html(table(spark, sf_dir, "pages"))), PORTFOLIO)
+    return workflows.portfolio(sections.fields(checkpointed(nodes.parse_html(table(spark, sf_dir, "pages")))), PORTFOLIO)
 
 
-@query("page_minted_classes", "select page_id, '' as style, 0::bigint as n from pages where false")
+_STYLED = """concat(replace(replace(html, '</body>', ''), '</html>', ''), repeat('<p style="color:red">x</p>', cast(page_id % 4 as int)), repeat('<div style="top:0">y</div>', cast(page_id % 3 as int)), '</body></html>')"""
+
+
+@query("page_minted_classes", "select page_id, style, n from (select page_id, unnest(['color:red', 'top:0']) as style, unnest([page_id % 4, page_id % 3])::bigint as n from pages) where n > 1")
 def page_minted_classes(spark, sf_dir):
-    """Classes for inline styles that repeat; these pages have none."""
-    return workflows.minted_classes(nodes.parse_html(table(spark, sf_dir, "pages"))).select("page_id", "style", "n")
+    """Classes for inline styles that repeat, on pages that have some of either of two."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(_STYLED).alias("html"))
+    return workflows.minted_classes(nodes.parse_html(pages)).select("page_id", "style", "n")
 
 
 @query("order_job_states", """select l_orderkey as job_id, case when count(*) > 3 then 'completed' else 'running' end as status from lineitem group by 1""")
