@@ -187,3 +187,46 @@ def without_sections(nodes: DataFrame, removed: DataFrame) -> DataFrame:
     out = nodes.alias("n").join(gone.unionByName(menus).alias("g"), (F.col("n.page_id") == F.col("g.page_id")) & (F.col("n.node_id") >= F.col("g.a")) & (F.col("n.node_id") <= F.col("g.b")), "left_anti")
     order = F.row_number().over(Window.partitionBy("page_id", "parent_id").orderBy("node_id"))
     return out.withColumn("child_idx", order)
+
+
+def read_only(nodes: DataFrame, fields: DataFrame) -> DataFrame:
+    """(page_id, path): sections of a known role that no field of their page has."""
+    roles = fields.select("page_id", "role").distinct()
+    return classify(nodes).where("role <> 'unknown'").join(roles, ["page_id", "role"], "left_anti").select("page_id", "path")
+
+
+def to_confirm(fields: DataFrame) -> DataFrame:
+    """(page_id, field_id): fields of which nobody knows whether their content is real."""
+    return fields.where(F.col("content_state") == placeholder.STATES[2]).select("page_id", "field_id")
+
+
+def names(nodes: DataFrame) -> DataFrame:
+    """(page_id, kind, name): ids, trimmed, and class tokens, in lower case, of each page; each once."""
+    ids = nodes.select("page_id", F.lit("id").alias("kind"), F.trim(attribute("id")).alias("name"))
+    classes = nodes.select("page_id", F.lit("class").alias("kind"), F.explode(F.split(F.lower(attribute("class")), r"\s+")).alias("name"))
+    return ids.unionByName(classes).where("name <> ''").distinct()
+
+
+def attach_shadows(nodes: DataFrame, shadows: DataFrame) -> DataFrame:
+    """nodes with the trees of shadows(page_id, host, ...nodes of the shadow tree), each below the node at that css_path,
+    and host_id: the node that a shadow node belongs to (null in the page's own tree). Depths go on from the host; the
+    shadow's own numbers stay, as they name nodes within it."""
+    hosts = nodes.select("page_id", F.col("css_path").alias("host"), F.col("node_id").alias("host_id"), F.col("depth").alias("host_depth"))
+    inner = shadows.join(hosts, ["page_id", "host"]).withColumn("depth", F.col("depth") + F.col("host_depth") + 1)
+    return nodes.withColumn("host_id", F.lit(None).cast("int")).unionByName(inner.select(*nodes.columns, "host_id"))
+
+
+def with_interactions(nodes: DataFrame, records: DataFrame) -> DataFrame:
+    """(page_id, node_id, tag, change) of records(page_id, css_path, change): what was recorded, at the node it was recorded
+    on. Where a path is recorded twice the last of its changes, in order of their text, counts."""
+    last = records.groupBy("page_id", "css_path").agg(F.max("change").alias("change"))
+    return nodes.join(last, ["page_id", "css_path"]).select("page_id", "node_id", "tag", "change")
+
+
+# What can be clicked.
+CLICKABLE_TAGS, CLICKABLE_ROLES = ("a", "button", "summary", "select", "input"), ("button", "link", "tab", "menuitem")
+
+
+def clickable(nodes: DataFrame) -> DataFrame:
+    """Nodes that a visitor can act on, by element, role or handler."""
+    return nodes.where(F.col("tag").isin(*CLICKABLE_TAGS) | F.coalesce(attribute("role").isin(*CLICKABLE_ROLES), F.lit(False)) | attribute("tabindex").isNotNull())

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import colors
@@ -312,3 +312,45 @@ def tokens(rules: DataFrame) -> DataFrame:
         df = df.select("page_id", F.lit(category).alias("category"), "key", "value")
         out = df if out is None else out.unionByName(df)
     return out
+
+
+def own_declarations(styles: DataFrame) -> DataFrame:
+    """(page_id, node_id, style): the safe declarations of styles(page_id, node_id, prop, value, ord) as one text."""
+    safe = _safe_values(styles)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "prop", "value"))), lambda d: F.concat(d["prop"], F.lit(": "), d["value"]))
+    return safe.groupBy("page_id", "node_id").agg(F.array_join(listed, "; ").alias("style"))
+
+
+def _safe_values(styles: DataFrame) -> DataFrame:
+    from loomspan.operators.markup import safe_style
+
+    clean = F.pandas_udf(lambda s: pd.Series([safe_style(x or "") for x in s]), "string")
+    return styles.withColumn("value", clean("value")).where("value <> ''")
+
+
+def localized(rule: Column) -> Column:
+    """A global rule whose bare file names in url() are looked for in assets/; other references stay."""
+    return F.regexp_replace(rule, r"""url\(\s*(["']?)\s*([^"'()/:#\s][^"'()/:]*?)\s*["']?\s*\)""", "url($1assets/$2$1)")
+
+
+def generated_styles(media: DataFrame, states: DataFrame, rules: DataFrame, prefix: str = "gen-r") -> tuple[DataFrame, DataFrame]:
+    """Classes for what an inline style can't say: (page_id, node_id, class) and each page's sheet (page_id, css).
+
+    media(page_id, node_id, media, prop, value, ord) and states(page_id, node_id, state, prop, value, ord) are styles of
+    nodes, rules(page_id, ord, rule) global at-rules. Nodes with any get a class, numbered in page order. The sheet has
+    the global rules, then the states, then a block for each media query, in order of its first node."""
+    of = ["page_id", "node_id"]
+    media, states = _safe_values(media), _safe_values(states)
+    nodes = media.select(*of).unionByName(states.select(*of)).distinct()
+    classes = nodes.withColumn("class", F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")).cast("string")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "prop", "value"))), lambda d: F.concat(d["prop"], F.lit(": "), d["value"])), "; ")
+    said = lambda df, key: df.groupBy(*of, key).agg(listed.alias("body")).join(classes, of)
+    joined = lambda order, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "piece"))), lambda p: p["piece"]), sep)
+    bad = F.lower("rule").rlike(r"javascript:|expression\(|</|<script")
+    first = rules.where(~bad).select("page_id", F.lit(0).alias("part"), F.col("ord").cast("long").alias("at"), localized(F.trim("rule")).alias("piece"))
+    second = said(states, "state").select("page_id", F.lit(1).alias("part"), F.col("node_id").cast("long").alias("at"), F.concat(F.lit("."), "class", "state", F.lit(" { "), "body", F.lit(" }")).alias("piece"))
+    lines = said(media, "media").select("page_id", "media", "node_id", F.concat(F.lit("  ."), "class", F.lit(" { "), "body", F.lit(" }")).alias("piece"))
+    blocks = lines.groupBy("page_id", "media").agg(F.min("node_id").alias("at"), joined(["node_id"], "\n").alias("lines"))
+    third = blocks.select("page_id", F.lit(2).alias("part"), F.col("at").cast("long").alias("at"), F.concat("media", F.lit(" {\n"), "lines", F.lit("\n}")).alias("piece"))
+    sheets = first.unionByName(second).unionByName(third).groupBy("page_id").agg(joined(["part", "at"], "\n").alias("css"))
+    return classes, sheets

@@ -267,3 +267,53 @@ def job_state_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(
         update, "job_id long, status string, attempts int, discarded int", "status string, token string, attempts int, beat double, discarded int", "update", "NoTimeout"
     )
+
+
+def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """(site, prefix): what robots(site, text) forbids an agent: the Disallow lines that follow its User-agent line, up to
+    the next group's. Agents named one after the other share a group; empty rules forbid nothing."""
+    line = F.trim(F.regexp_replace("line", "#.*$", ""))
+    x = robots.select("site", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line")).select("site", "at", F.lower(F.trim(F.split_part(line, F.lit(":"), F.lit(1)))).alias("key"), F.trim(F.regexp_extract(line, "^[^:]*:(.*)$", 1)).alias("value"))
+    x = x.where("key in ('user-agent', 'disallow', 'allow', 'crawl-delay')").withColumn("names", F.col("key") == "user-agent")
+    site = Window.partitionBy("site").orderBy("at")
+    begins = F.col("names") & ~F.coalesce(F.lag("names").over(site), F.lit(False))
+    x = x.withColumn("group", F.sum(begins.cast("int")).over(site))
+    ours = x.where(F.col("names") & (F.lower("value") == agent.lower())).select("site", "group").distinct()
+    return x.where("key = 'disallow' and value <> ''").join(ours, ["site", "group"], "left_semi").select("site", F.col("value").alias("prefix")).distinct()
+
+
+def remove_sections(nodes: DataFrame, removals: DataFrame, integrity) -> tuple[DataFrame, DataFrame]:
+    """Sections removed one after the other: removals(page_id, step, path), steps from 1 on -> the trees that are left, and
+    (page_id, applied, passed).
+
+    After each step integrity(nodes) -> (page_id, ...) names what is wrong; a page where anything is takes no further
+    step. Pages go through their steps together, so that there are as many rounds as the longest list has steps."""
+    steps = removals.agg(F.max("step")).first()[0] or 0
+    done = removals.select("page_id").distinct().select("page_id", F.lit(0).alias("applied"), F.lit(True).alias("passed"))
+    for step in range(1, steps + 1):
+        now = removals.where(F.col("step") == step).join(done.where("passed"), "page_id", "left_semi").select("page_id", "path")
+        nodes = checkpointed(_without(nodes, now))
+        broken = integrity(nodes).select("page_id").distinct().withColumn("broken", F.lit(True))
+        turned = now.select("page_id").distinct().withColumn("turned", F.lit(True)).join(broken, "page_id", "left")
+        done = done.join(turned, "page_id", "left").select(
+            "page_id", (F.col("applied") + F.coalesce(F.col("turned").cast("int"), F.lit(0))).alias("applied"), (F.col("passed") & (F.col("turned").isNull() | F.col("broken").isNull())).alias("passed")
+        )
+        done = checkpointed(done)
+    return nodes, done
+
+
+def _without(nodes: DataFrame, removed: DataFrame) -> DataFrame:
+    from loomspan.operators.sections import without_sections
+
+    return without_sections(nodes, removed).select(*nodes.columns)
+
+
+def template_step(designs: DataFrame, preview) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What follows an extraction: designs(template_id, url, at, tokens map) -> the catalogue (template_id, url, tags), the
+    token store (template_id, tokens: the latest) and versions (template_id, version, tokens, preview)."""
+    latest = F.max_by(F.struct("url", "tokens"), "at")
+    newest = designs.groupBy("template_id").agg(latest.alias("d"))
+    catalogue = newest.select("template_id", "d.url", F.array(F.lit("auto-extracted"), F.lit("web-reconstruction")).alias("tags"))
+    version = F.row_number().over(Window.partitionBy("template_id").orderBy("at"))
+    shown = preview(F.concat(F.lit('<div id="root">Preview of '), "url", F.lit("</div>")), F.col("tokens"))
+    return catalogue, newest.select("template_id", "d.tokens"), designs.select("template_id", version.alias("version"), "tokens", shown.alias("preview"))
