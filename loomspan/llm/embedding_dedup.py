@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import components, discard, keep
+from loomspan.llm.shared import components, keep, passing
 from loomspan.llm.textscan import mix
 
 COSINE = 0.95
@@ -441,7 +441,6 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
     more = both.join(vectors.select(F.col("id").alias("b"), "copies"), "b").select("a", F.col("copies").alias("n"))
     counts = met.where(F.col("kind") == _COUNT).select("a", "n").unionByName(more).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     edges = met.where(F.col("kind") == _EDGE).select("a", "b").unionByName(pairs)
-    discard(rotated)
     return counts, edges
 
 
@@ -460,16 +459,17 @@ def near_duplicates(table: DataFrame, id_column: str = "vec_id", vector_column:
     )
     hashes = {"__g": F.xxhash64(vector_column), "__h": F.xxhash64(F.lit(7), vector_column)}
     of = rows.where("__ok").withColumns(hashes)
-    classes = keep(of.groupBy("__g", "__h").agg(F.min("__id").alias("rep"), F.count("*").alias("copies")))
-    reps = of.select(F.col("__id").alias("id"), "__g", "__h", F.col(vector_column).alias("v")).dropDuplicates(["id"])
-    reps = keep(reps.join(classes.select(F.col("rep").alias("id"), "__g", "__h", "copies"), ["id", "__g", "__h"]).select("id", "v", "copies"))
-    others, edges = links(reps, cosine)
-    others, parts = others.withColumnRenamed("id", "rep"), components(edges).withColumnRenamed("node", "rep")
-    named = classes.join(others, "rep", "left").join(parts, "rep", "left").select(
-        "__g", "__h",
-        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"),
-    )
-    named = keep(named)
+    with passing() as stay:
+        classes = keep(of.groupBy("__g", "__h").agg(F.min("__id").alias("rep"), F.count("*").alias("copies")))
+        reps = of.select(F.col("__id").alias("id"), "__g", "__h", F.col(vector_column).alias("v")).dropDuplicates(["id"])
+        reps = keep(reps.join(classes.select(F.col("rep").alias("id"), "__g", "__h", "copies"), ["id", "__g", "__h"]).select("id", "v", "copies"))
+        others, edges = links(reps, cosine)
+        others, parts = others.withColumnRenamed("id", "rep"), components(edges).withColumnRenamed("node", "rep")
+        named = classes.join(others, "rep", "left").join(parts, "rep", "left").select(
+            "__g", "__h",
+            (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"),
+        )
+        named = stay(keep(named))
     # Rows that link with nothing have a key of their own, so that they don't meet in one task.
     keys = {"__g": F.when(F.col("__ok"), hashes["__g"]).otherwise(F.xxhash64("__id")), "__h": F.when(F.col("__ok"), hashes["__h"])}
     out = rows.withColumns(keys).join(named, ["__g", "__h"], "left").withColumns(

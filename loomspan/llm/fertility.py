@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import keep
+from loomspan.llm.shared import keep, passing
 from loomspan.llm.textscan import prefix_sums, text_bytes, window_hashes, word_codes, word_spans
 from loomspan.llm.word_tokens import Pieces, portions
 
@@ -136,17 +136,18 @@ def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str |
             "octave": F.floor(F.log2(F.greatest(F.lit(1), "n_tokens"))).cast("int"),
         }
     )
-    x = keep(x)
-    # All but the language follows from the text, so that distinct rows are distinct texts (of a language, of all).
-    measures = ["text_key", "script", "octave", "chars_per_token", "tokens_per_word", "byte_share", "token_entropy"]
-    by_lang = keep(x.where("not base_failed").select("g", *measures).distinct())
-    by_text = keep(by_lang.select(*measures).distinct())
-    # Bands of the language and length, else of the language, the script, all: as many rows as there are such groups.
-    tiers = [(["g", "octave"], "b0"), (["g"], "b1"), (["script", "octave"], "b2"), (["script"], "b3"), ([], "b4")]
-    y = x
-    for of, name in tiers:
-        bands = keep(_bands(by_lang if "g" in of else by_text, of, name))
-        y = y.join(bands, of, "left") if of else y.join(F.broadcast(bands), how="left")  # one row
+    with passing() as stay:
+        x = stay(keep(x))
+        # All but the language follows from the text, so that distinct rows are distinct texts (of a language, of all).
+        measures = ["text_key", "script", "octave", "chars_per_token", "tokens_per_word", "byte_share", "token_entropy"]
+        by_lang = keep(x.where("not base_failed").select("g", *measures).distinct())
+        by_text = keep(by_lang.select(*measures).distinct())
+        # Bands of the language and length, else of the language, the script, all: as many rows as there are such groups.
+        tiers = [(["g", "octave"], "b0"), (["g"], "b1"), (["script", "octave"], "b2"), (["script"], "b3"), ([], "b4")]
+        y = x
+        for of, name in tiers:
+            bands = stay(keep(_bands(by_lang if "g" in of else by_text, of, name)))
+            y = y.join(bands, of, "left") if of else y.join(F.broadcast(bands), how="left")  # one row
     band = F.coalesce(*(name for _, name in tiers))
     length_band = F.coalesce("b0", "b2", "b1", "b3", "b4")
     reasons = F.array_compact(F.array(

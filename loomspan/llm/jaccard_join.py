@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import components, discard, keep, row_key
+from loomspan.llm.shared import components, discard, keep, passing, row_key
 from loomspan.llm.textscan import mix, shingle_set, text_bytes, word_codes, word_spans
 
 SHINGLE = 5
@@ -204,7 +204,7 @@ def set_links(docs: DataFrame, reps: DataFrame, percent: int = THRESHOLD) -> Dat
     x, y = lists.alias("x"), pivots.alias("y")
     first = keep(x.join(y, F.col("x.h") == F.col("y.h")).where(_can_link("x", "y", percent)).select(*_pair("x", "y")).distinct())
     links = _verified(first, prefixes, docs, percent)
-    parts = keep(components(links))
+    parts = components(links)
 
     labelled = keep(lists.join(parts.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", "pos", F.coalesce("component", "key").alias("part")))
     sizes = labelled.groupBy("h", "part").agg(F.count("*").alias("size"))
@@ -235,8 +235,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     names = ["n_shingles", "component_id"]
     keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names), row_key(id_column, text_column).alias("__key"))
     texts = keyed.select(F.col("__key").alias("key"), F.coalesce(text_column, F.lit("")).alias("text"))
-    sets, classes = set_classes(texts)
-    parts = keep(components(set_links(texts, classes, percent)))
-    named = sets.join(classes, ["n", "a", "b"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    named = keep(named.select(F.col("key").alias("__key"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "key").alias("component_id")))
+    with passing() as stay:
+        sets, classes = set_classes(texts)
+        parts = components(set_links(texts, classes, percent))
+        named = sets.join(classes, ["n", "a", "b"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        named = named.select(F.col("key").alias("__key"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "key").alias("component_id"))
+        named = stay(keep(named))
     return keyed.join(named, "__key").drop("__key")
