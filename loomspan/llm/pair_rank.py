@@ -1,11 +1,13 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
 Every pair of a labelled good and a labelled bad document is a preference; the score is linear in a text's features,
-and its weights minimise the logistic loss on feature differences. The threshold is the quantile of the training
-scores at the share of bad labels; the published score is the logistic function of the distance to it.
+and its weights minimise the logistic loss on feature differences. The threshold is the quantile, at the share of bad
+labels, of the scores of all labelled rows that aren't held out; the published score is the logistic function of the
+distance to it.
 
-Features are of the text alone: the histogram of its bytes and a dozen measures of words, lines and repetition. The
-fit takes a bounded sample of labelled rows (SAMPLE, in order of a hash of the id); all rows are scored.
+Features are of the text alone: the histogram of its bytes and a dozen measures of words, lines and repetition. The fit
+of the weights takes a bounded sample of labelled documents (SAMPLE, in order of a hash of the id) and of their pairs
+(PAIRS, drawn at random from all good and bad ones of the sample); the threshold and the scores take all rows.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.fertility import duplicate_lines, repeated_words
+from loomspan.llm.shared import keep, passing
 from loomspan.llm.textscan import text_bytes, word_codes, word_spans
 
+#: Labelled documents, and pairs of them, that the weights are fitted on, at most.
 SAMPLE = 12_000
 PAIRS = 60_000
 _DIGIT, _UPPER, _STOP, _SYMBOL = (np.isin(np.arange(256), list(x)) for x in (b"0123456789", bytes(range(65, 91)), b".,;:!?", b"#*$%&|<>{}[]=_~^\\/"))
@@ -52,9 +56,11 @@ class Ranker:
     weights: np.ndarray
     threshold: float
 
+    def rank(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights - self.threshold
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.rank(x) - self.threshold, -30, 30)))
 
 
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, rounds: int = 200, decay: float = 1e-3, seed: int = 5) -> Ranker:
@@ -78,9 +84,22 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, rounds: int = 200,
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, doc_id, good) -> (doc_id, good, x)."""
     for batch in batches:
         x = [features(data).tobytes() for data in text_bytes(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.binary())], ["good", "x"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(x, pa.binary())], ["doc_id", "good", "x"])
+
+
+def _ranks(ranker: Ranker):
+    """(text, doc_id) -> (doc_id, z)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [features(data) for data in text_bytes(batch.column(0))]
+            z = ranker.rank(np.stack(x)) if x else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(z.astype(np.float64))], ["doc_id", "z"])
+
+    return run
 
 
 def _scores(ranker: Ranker):
@@ -99,20 +118,31 @@ def held_out(id_column: str = "doc_id") -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
-    """From labels(doc_id, quality) of rows that aren't held out; null labels are none."""
-    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", (F.col("quality") == 1).alias("good"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # `sample` rows of 9 bytes
-    rows = known.select("text", "good").mapInArrow(_features, "good boolean, x binary").collect()
+    """From labels(doc_id, quality) of rows that aren't held out; null labels are none, and of several labels of one
+    document the highest counts. Repeated rows of a document are one in the fit of the weights."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "good")  # `sample` rows of 9 bytes
+    # One row for each document of the sample, however often it is there, so that `sample` rows come to the driver.
+    rows = found.mapInArrow(_features, "doc_id long, good boolean, x binary").groupBy("doc_id", "good").agg(F.min("x").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     if not rows:
         return fit(np.zeros((1, len(features(np.empty(0, np.uint8))))), np.zeros(1, dtype=bool))
-    return fit(np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), -1), np.array([r.good for r in rows]))
+    ranker = fit(np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), -1), np.array([r.good for r in rows]))
+    if not ranker.weights.any():
+        return ranker
+    with passing():
+        ranked = keep(texts.mapInArrow(_ranks(ranker), "doc_id long, z double").join(known, "doc_id"))
+        bad = ranked.agg(F.avg((~F.col("good")).cast("double"))).first()[0]
+        ranker.threshold = float(ranked.agg(F.percentile_approx("z", F.lit(bad), F.lit(100_000))).first()[0])
+    return ranker
 
 
 def classify(docs: DataFrame, ranker: Ranker, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
     """Each row of docs (without its text, unless with_text) with held_out, score (0 to 1) and predicted.
 
-    A null text scores as an empty one. Repeated rows score alike. Columns of these names are replaced. An empty
+    A null text scores as an empty one; a null id is never held out. Repeated rows score alike. Columns of these names are replaced. An empty
     table gives an empty table."""
     new = ["held_out", "score", "predicted"]
     others = [c for c in docs.columns if c not in new and (with_text or c != text_column)]

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import embedding_dedup, fertility, html_extract, jaccard_join, packing, pair_rank, source_mix, substring_dedup, suffix_dedup, suffix_sort, word_tokens
 
@@ -218,6 +219,48 @@ def test_source_mix(spark):
     assert sum(len(words(r.text)) for r in mixed) == sum(taken.values())
 
 
+def test_source_mix_of_copies_and_odd_sources(spark):
+    """One row is two thirds of its source; sources without words, without a name or with an empty one; clashing columns."""
+    rows = [(1, "w " * 7, "a", "t")] * 400 + [(i, "v " * 3, "a", "t") for i in range(2, 200)] + [(500 + i, "u " * 5, "b", None) for i in range(500)]
+    rows += [(1000, None, "c", "t"), (1001, "", "c", "t"), (None, "x y", None, "t"), (1003, "z", "", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target string").withColumn("size", F.lit("clash"))
+    for weights in ((1, 2, 3), (1, 9, 1)):
+        out = source_mix.mix(docs, weights).collect()
+        again = source_mix.mix(docs.repartition(3), weights).collect()
+        as_rows = lambda x: as_counter((r.doc_id, r.source, r.text, r.size, r.source_size, r.target, r.taken) for r in x)
+        assert as_rows(out) == as_rows(again) and len(out) == len(rows)
+        taken, target = collections.Counter(), {}
+        for r in out:
+            assert r.size == len(words(r.text)) and 0 <= r.taken <= 3 * r.size
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+        assert all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in target.items())
+        assert abs(sum(target.values()) - sum(len(words(r[1])) for r in rows)) < 1e-6
+    nothing = source_mix.mix(docs.withColumn("source", F.lit(None).cast("string")).withColumn("text", F.lit(None).cast("string"))).collect()
+    assert {(r.size, r.source_size, r.target, r.taken) for r in nothing} == {(0, 0, 0.0, 0)}
+
+
+def test_quality_classifier_of_repeated_and_odd_rows(spark):
+    rows = [(i, prose(60) if i % 3 else " | ".join(prose(60).split()).upper()) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int")
+    learnt = pair_rank.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    labels = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, quality int"))
+    clash = spark.createDataFrame([(i, t, "s", 7) for i, t in [*rows, (None, "some words"), (None, None)]], "doc_id long, text string, score string, held_out int")
+    again = pair_rank.learn(clash, labels)
+    assert np.allclose(learnt.weights, again.weights) and learnt.threshold == again.threshold
+    out = pair_rank.classify(clash.unionByName(clash), again).collect()
+    assert len(out) == 604 and all(type(r.held_out) is bool and 0 <= r.score <= 1 for r in out)
+    by = collections.defaultdict(set)
+    for r in out:
+        by[r.doc_id].add(r.score)
+    assert all(len(v) == 1 for i, v in by.items() if i is not None) and {r.held_out for r in out if r.doc_id is None} == {False}
+    # The threshold is the quantile of all rows that are learned from, whatever the sample of the fit.
+    small = pair_rank.learn(clash, labels, sample=60)
+    known = [(small.rank(pair_rank.features(np.frombuffer(t.encode(), np.uint8))), i % 3 == 0) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    ranks, share = sorted(float(z) for z, _ in known), np.mean([bad for _, bad in known])
+    assert abs(small.threshold - ranks[int(np.ceil(share * len(ranks))) - 1]) < 1e-6
+
+
 def test_embedding_dedup(spark):
     x = RNG.standard_normal((150, 16))
     x[10:30] = x[10] + 0.05 * RNG.standard_normal((20, 16))
