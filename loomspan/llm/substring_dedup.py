@@ -1,12 +1,12 @@
 """Substring dedup by level-wise doubling over words.
 
-Windows that are repeated at one length alone are looked at at twice that length: 9 words, then 18, then the
-full window (35 = twice 18, less the word that the halves share). At each level a window survives only if its
-hash is found twice, and a level is evaluated only around the survivors of the one before. Longer levels need
-no look: a longer repeat is a run of repeated full windows.
+Windows that are repeated at one length alone are extended to twice that length: from 9 words to 18 and so on, and at
+last to the full window (35 words: two halves of 18 that overlap by one), until no candidates survive or the window is
+reached. At each level a window survives only if its hash is found twice, and a level is evaluated only around the
+survivors of the one before. Longer levels need no look: a longer repeat is a run of repeated full windows.
 
-Level 9 looks only at window minimisers (see anchors.py), which loses nothing. At the last level runs of windows
-with one anchor are first compared whole, so that copies are pre-aggregated; only runs that are found once but
+The first level looks only at window minimisers (see anchors.py), which loses nothing. At the last level runs of
+windows with one anchor are first compared whole, so that copies are pre-aggregated; only runs that are found once but
 share their anchor with another run are compared window by window. Each comparison uses 128 bits (the anchor's
 and the run's or window's hash). Very frequent passages are counted by partial aggregates and joined by plain
 equi-joins that AQE may split; no group is collected but the spans of one document.
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import anchors
-from loomspan.llm.shared import keep, row_key
-from loomspan.llm.textscan import merge_ranges, range_hash, text_bytes, window_hashes, word_codes, word_spans
+from loomspan.llm.shared import discard, keep, passing, row_key
+from loomspan.llm.textscan import merge_ranges, mix, range_hash, text_bytes, window_hashes, word_codes, word_spans
 
 WINDOW = 35
 SEED = 9
@@ -34,75 +34,98 @@ def _words(data: np.ndarray) -> np.ndarray:
     return word_codes(data, *word_spans(data))
 
 
-_RUNS = "key long, h long, at int, low int, high int, left long, right long, run long, windows array<long>"
+_RUNS = "key long, h long, at int, low int, high int, run long, sides array<long>, windows array<long>"
+
+
+def levels(window: int, seed: int) -> list[int]:
+    """Lengths between the seed and the window, each twice the one before."""
+    out = [2 * seed]
+    while 2 * out[-1] < window:
+        out.append(2 * out[-1])
+    return out
+
+
+def _sides(sums: np.ndarray, at: np.ndarray, seed: int, lengths: list[int]) -> np.ndarray:
+    """For each level the hashes of the words of that length that end and that begin with the anchor's gram; 0 where
+    the text ends before."""
+    n, out = len(sums) - 1, np.zeros((len(at), 2 * len(lengths)), np.uint64)
+    for i, length in enumerate(lengths):
+        for side, begin in ((2 * i, at + seed - length), (2 * i + 1, at)):
+            fits = (begin >= 0) & (begin + length <= n)
+            out[fits, side] = range_hash(sums, begin[fits], begin[fits] + length) | np.uint64(1)
+    return out
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
 def _runs(window: int, seed: int):
-    """From (key, text, at) a row for each repeated anchor: its windows [low, high], the hashes of the doubled gram to
-    either side (0 where the text ends), of the whole run and of each window."""
+    """From (key, text, grams) a row for each repeated anchor: its windows [low, high], the hashes of the longer grams to
+    either side, of the whole run and of each window."""
+    lengths = levels(window, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {x: [] for x in ("key", "h", "at", "low", "high", "left", "right", "run", "n", "windows")}
-            wanted = batch.column(2)
-            for key, data, at in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), wanted):
-                at = np.asarray(at.values)
+            out: dict[str, list] = {x: [] for x in ("key", "h", "at", "low", "high", "run")}
+            sides, windows, sizes = [], [], []
+            for key, data, repeated in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2)):
                 for start, sums, grams, anchor, first, last in anchors.scan(_words(data), window, seed):
-                    ok = np.isin(anchor + start, at)
+                    ok = anchors.is_repeated(grams, anchor, repeated)
                     p, a, b = anchor[ok], first[ok], last[ok]
                     if not len(p):
                         continue
-                    n, double = len(sums) - 1, 2 * seed
-                    left, right = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint64)
-                    fits = p >= seed
-                    left[fits] = range_hash(sums, p[fits] - seed, p[fits] + seed) | np.uint64(1)
-                    fits = p + double <= n
-                    right[fits] = range_hash(sums, p[fits], p[fits] + double) | np.uint64(1)
-                    whole = range_hash(sums, a, b + window) + (p - a).astype(np.uint64)
-                    each = window_hashes(sums, window)
+                    # A window is its two halves of the level before, which overlap.
+                    half = window_hashes(sums, lengths[-1])
+                    each = mix(half[: len(sums) - window] + mix(half[window - lengths[-1] :]))
                     counts = b - a + 1
                     index = np.repeat(a - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-                    for name, x in (("h", grams[p]), ("left", left), ("right", right), ("run", whole), ("windows", each[index])):
+                    whole = range_hash(sums, a, b + window) + (p - a).astype(np.uint64)
+                    for name, x in (("key", np.full(len(p), key)), ("h", grams[p]), ("run", whole)):
                         out[name].append(x.view(np.int64))
-                    for name, x in (("at", p + start), ("low", a + start), ("high", b + start), ("n", counts)):
+                    for name, x in (("at", p + start), ("low", a + start), ("high", b + start)):
                         out[name].append(x.astype(np.int32))
-                    out["key"].append(np.full(len(p), key, dtype=np.int64))
-            if out["key"]:
-                x = {k: np.concatenate(v) for k, v in out.items()}
-                offsets = pa.array(np.concatenate(([0], np.cumsum(x.pop("n")))).astype(np.int32))
-                windows = pa.ListArray.from_arrays(offsets, pa.array(x.pop("windows")))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, x.values()), windows], [*x, "windows"])
+                    sides.append(_sides(sums, p, seed, lengths))
+                    windows.append(each[index])
+                    sizes.append(counts)
+            if sides:
+                n = sum(map(len, sides))
+                lists = [_lists(np.concatenate(sides).ravel(), np.full(n, 2 * len(lengths))), _lists(np.concatenate(windows), np.concatenate(sizes))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out.values()), *lists], [*out, "sides", "windows"])
 
     return run
 
 
+def _survivors(alive: DataFrame, level: int, length: int, window: int, seed: int) -> DataFrame:
+    """The windows of alive that hold no gram of that length, on either side of the anchor, that is found once."""
+    left, right = F.col("sides")[2 * level], F.col("sides")[2 * level + 1]
+    twice = alive.select(F.explode(F.array(left, right)).alias("g")).where("g <> 0").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    marks = keep(twice.select("g", F.lit(True).alias("twice")))
+    x = alive.withColumns({"left": left, "right": right})
+    for side in ("left", "right"):
+        x = x.join(marks.select(F.col("g").alias(side), F.col("twice").alias(f"{side}_ok")), side, "left")
+    # A window holds the left gram if it starts early enough, and the right one if it ends late enough.
+    low = F.when(F.col("left_ok"), F.col("low")).otherwise(F.greatest("low", F.col("at") + (seed - length + 1)))
+    high = F.when(F.col("right_ok"), F.col("high")).otherwise(F.least("high", F.col("at") + (length - window - 1)))
+    x = x.withColumns({"l": low, "u": high}).where("l <= u")
+    windows = F.slice("windows", F.col("l") - F.col("low") + 1, F.col("u") - F.col("l") + 1).alias("windows")
+    out = keep(x.select("key", "h", "at", F.col("l").alias("low"), F.col("u").alias("high"), "run", "sides", windows))
+    discard(marks)
+    return out
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(key, low, high): word ranges [low, high) of docs(key, text) whose windows all occur at least twice."""
-    if window < 2 * seed:
-        raise ValueError("the window must hold the doubled seed")
+    if window <= 2 * seed:
+        raise ValueError("the window must be longer than the doubled seed")
     at_seed = anchors.repeated_anchors(docs, _words, window, seed)
-    runs = keep(at_seed.select("key", "text", "at").mapInArrow(_runs(window, seed), _RUNS))
-
-    # Level two: the doubled gram on either side. Windows that hold a side which is found once fall away.
-    doubled = keep(
-        runs.select(F.explode(F.array("left", "right")).alias("g")).where("g <> 0").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    )
-    marks = doubled.withColumn("twice", F.lit(True))
-    alive = runs.join(marks.select(F.col("g").alias("left"), F.col("twice").alias("left_ok")), "left", "left").join(
-        marks.select(F.col("g").alias("right"), F.col("twice").alias("right_ok")), "right", "left"
-    )
-    # A window that starts `seed` words or more before the anchor holds the left side; one that starts at most
-    # window - 2 * seed words before it holds the right side.
-    low = F.when(F.col("right_ok"), F.col("low")).otherwise(F.col("low"))
-    high = F.when(F.col("left_ok").isNull(), F.least("high", F.col("at"))).otherwise(F.col("high"))
-    low = F.when(F.col("left_ok").isNull(), F.greatest("low", F.col("at") - F.lit(seed - 1))).otherwise(low)
-    high = F.when(F.col("right_ok").isNull(), F.least(high, F.col("at") - F.lit(window - 2 * seed + 1))).otherwise(high)
-    alive = (
-        alive.withColumns({"l": low, "u": high})
-        .where("l <= u")
-        .select("key", "h", "run", F.col("l").alias("low"), F.col("u").alias("high"), F.slice("windows", F.col("l") - F.col("low") + 1, F.col("u") - F.col("l") + 1).alias("windows"))
-    )
-    alive = keep(alive)
+    alive = keep(at_seed.select("key", "text", "grams").mapInArrow(_runs(window, seed), _RUNS))
+    for level, length in enumerate(levels(window, seed)):
+        before, alive = alive, _survivors(alive, level, length, window, seed)
+        discard(before)
+        if alive.isEmpty():
+            break
 
     # Last level, whole runs first: copies count together.
     alive = alive.withColumn("place", F.xxhash64("key", "low"))
@@ -178,7 +201,8 @@ def remove_repeats(
         row_key(id_column, text_column).alias("key"), F.coalesce(text_column, F.lit("")).alias("text"),
         F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"),
     )
-    spans = anchors.spans_to_rows(repeated_spans(keyed.select("key", "text"), window, seed))
+    with passing() as stay:
+        spans = stay(keep(anchors.spans_to_rows(repeated_spans(keyed.select("key", "text"), window, seed))))
     joined = keyed.join(spans, "key", "left").select("text", "spans", "row")
     schema = f"row {joined.schema['row'].dataType.simpleString()}, n_words long, n_removed long, n_spans long, kept_sha256 string"
     out = joined.mapInArrow(_without(with_text), schema + ", kept_text binary" * with_text)

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import anchors
-from loomspan.llm.shared import keep, row_key
+from loomspan.llm.shared import keep, passing, row_key
 from loomspan.llm.substring_dedup import _ranges
 from loomspan.llm.suffix_sort import repeated_starts
-from loomspan.llm.textscan import byte_codes, text_bytes
+from loomspan.llm.textscan import byte_codes, merge_ranges, range_hash, text_bytes
 
 WINDOW = 200
 GRAM = 96
@@ -33,30 +33,49 @@ BUCKET = 32
 STEPS = (8, 1)
 #: Bytes of whole buckets that one suffix array holds (a single larger bucket is still one array).
 SORTED_BYTES = 2_000_000
+#: Bytes of cuts that leave a task together, besides those of one chunk of a text.
+BATCH_BYTES = 1 << 24
 
 
 def _cuts(window: int, gram: int):
-    """From (key, text, at) a row for each repeated anchor: its windows [low, high] and the bytes they cover."""
+    """From (key, text, grams) a row for each kind of repeated anchor in a text: its windows [low, high], the bytes
+    they cover and how often (n) the text has them. Where that is twice or more the windows are known to be repeated:
+    rows without a cut have such ranges [low, high) as maximal runs. So periodic text makes few rows."""
+
+    def row_batch(found: list[tuple], cuts: list) -> pa.RecordBatch:
+        key, h, low, high, at, n = (np.concatenate(x) for x in zip(*found))
+        kinds = (key, h.view(np.int64), low.astype(np.int32), high.astype(np.int32), at.astype(np.int32), n)
+        return pa.RecordBatch.from_arrays([*map(pa.array, kinds), pa.array(cuts, pa.binary())], ["key", "h", "low", "high", "at", "n", "cut"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key_out, h_out, low_out, at_out, cut_out = [], [], [], [], []
-            for key, data, at in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2)):
-                at, raw = np.asarray(at.values), data.tobytes()
-                for start, _, grams, anchor, first, last in anchors.scan(byte_codes(data), window, gram):
-                    ok = np.isin(anchor + start, at)
-                    p, a, b = anchor[ok], first[ok] + start, last[ok] + start
-                    key_out += [key] * len(p)
-                    h_out.append(grams[p].view(np.int64))
-                    low_out.append(a)
-                    at_out.append(p + start - a)
-                    cut_out += [raw[x : y + window] for x, y in zip(a.tolist(), b.tolist())]
-            if key_out:
-                columns = [
-                    pa.array(key_out, pa.int64()), pa.array(np.concatenate(h_out)), pa.array(np.concatenate(low_out).astype(np.int32)),
-                    pa.array(np.concatenate(at_out).astype(np.int32)), pa.array(cut_out, pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "h", "low", "at", "cut"])
+            found, cuts, held = [], [], 0
+            for key, data, repeated in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2)):
+                for start, sums, grams, anchor, first, last in anchors.scan(data, window, gram, byte_codes):
+                    ok = anchors.is_repeated(grams, anchor, repeated)
+                    p, a, b = anchor[ok], first[ok], last[ok]
+                    if not len(p):
+                        continue
+                    # Equal kinds: the gram, its place and the bytes, by hashes of 128 bits together.
+                    h, whole = grams[p], range_hash(sums, a, b + window) + (p - a).astype(np.uint64)
+                    order = np.lexsort((whole, h))
+                    p, a, b, h, whole = p[order], a[order], b[order], h[order], whole[order]
+                    one = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (whole[1:] != whole[:-1]))))
+                    n = np.diff(np.append(one, len(p)))
+                    again = np.repeat(n > 1, n)
+                    low, high = merge_ranges(a[again], b[again] + window)
+                    found.append([np.full(len(one), key), grams[p[one]], a[one] + start, b[one] + start, p[one] - a[one], n])
+                    found.append([np.full(len(low), key), np.zeros(len(low), np.uint64), low + start, high + start, np.zeros(len(low), int), np.zeros(len(low), int)])
+                    # A column of bytes has 2 GB at most: the first rows go before too many are held.
+                    for x, y in zip(a[one].tolist(), b[one].tolist()):
+                        cuts.append(data[start + x : start + y + window].tobytes())
+                        held += len(cuts[-1])
+                    cuts += [None] * len(low)
+                    if held > BATCH_BYTES:
+                        yield row_batch(found, cuts)
+                        found, cuts, held = [], [], 0
+            if found:
+                yield row_batch(found, cuts)
 
     return run
 
@@ -100,12 +119,13 @@ def _suffix_stage(buckets: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(key, low, high): byte ranges [low, high) of docs(key, text) whose windows all begin at another place too."""
-    cuts = anchors.repeated_anchors(docs, byte_codes, window, gram).select("key", "text", "at").mapInArrow(
-        _cuts(window, gram), "key long, h long, low int, at int, cut binary"
+    rows = anchors.repeated_anchors(docs, anchors.same, window, gram, byte_codes).select("key", "text", "grams").mapInArrow(
+        _cuts(window, gram), "key long, h long, low int, high int, at int, n long, cut binary"
     )
     # Equal cuts with their anchor at the same place hold the same windows. They are told apart by h, at and the bytes.
-    cuts = keep(cuts)
-    kinds = keep(cuts.groupBy("h", "at", "cut").agg(F.count("*").alias("n")))
+    rows = keep(rows)
+    cuts, known = rows.where("cut is not null"), rows.where("cut is null").select("key", "low", "high")
+    kinds = keep(cuts.groupBy("h", "at", "cut").agg(F.sum("n").alias("n")))
     large = keep(_crowded(kinds.select(F.col("h").alias("bucket"))))
     small = kinds.select(F.col("h").alias("bucket"), "cut", "n").join(large, "bucket", "left_anti")
     found = [_suffix_stage(small, window).select(F.col("bucket").alias("h"), F.xxhash64("cut").alias("c"), F.col("low").alias("from"), F.col("high").alias("to"))]
@@ -121,9 +141,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         found.append(pieces.join(hits, ["bucket", "cut"]).select("h", "c", (F.col("start") + F.col("low")).alias("from"), (F.col("start") + F.col("high")).alias("to")))
     # Back to the documents: a cut is known by the hashes of its gram and of its bytes, 128 bits.
     found = keep(functools.reduce(DataFrame.unionByName, found))
-    return cuts.select("key", "low", "h", F.xxhash64("cut").alias("c")).join(found, ["h", "c"]).select(
+    return known.unionByName(cuts.where("n = 1").select("key", "low", "h", F.xxhash64("cut").alias("c")).join(found, ["h", "c"]).select(
         "key", (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to") + window).alias("high")
-    )
+    ))
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -182,7 +202,8 @@ def remove_repeats(
         row_key(id_column, text_column).alias("key"), F.coalesce(text_column, F.lit("")).alias("text"),
         F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"),
     )
-    spans = anchors.spans_to_rows(repeated_spans(keyed.select("key", "text"), window, gram))
+    with passing() as stay:
+        spans = stay(keep(anchors.spans_to_rows(repeated_spans(keyed.select("key", "text"), window, gram))))
     joined = keyed.join(spans, "key", "left").select("text", "spans", "row")
     schema = f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     out = joined.mapInArrow(_without(with_bytes), schema + ", kept_bytes binary" * with_bytes)
