@@ -1,8 +1,8 @@
 """Quality rules from tokeniser fertility.
 
-A public vocabulary with byte fallback, not trained on this corpus, is a cheap model of ordinary text: each word is
-encoded by itself, and a text is measured by its characters per token, its tokens per word, the share of its tokens
-that are byte fallbacks, and the entropy of its tokens. What is ordinary differs by language and script and (entropy) by length,
+Two public vocabularies, not trained on this corpus, are cheap models of ordinary text: one of pieces with byte
+fallback, and one of bytes for many languages. Each word is encoded by itself, and a text is measured by its characters
+per token under both, its tokens per word, the share of its tokens that are byte fallbacks, and the entropy of its tokens. What is ordinary differs by language and script and (entropy) by length,
 so that bands are set for each: the median over all distinct texts of the group (copies have one vote), and so many interquartile ranges to
 either side. Markup, symbol runs, shouting and boilerplate lists fall outside. Groups with few documents take the
 bands of their script, and at last those of all documents, however few these are.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.shared import keep, passing
 from loomspan.llm.textscan import prefix_sums, text_bytes, window_hashes, word_codes, word_spans
-from loomspan.llm.word_tokens import Pieces, portions
+from loomspan.llm.word_tokens import Pieces, Ranks, portions
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -39,10 +39,11 @@ _SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530,
 _STARTS, _NAMES = np.array([a for a, _ in _SCRIPTS]), [b for _, b in _SCRIPTS]
 
 
-def default_vocabulary() -> str:
+def default_vocabularies() -> tuple[str, str]:
+    """Of pieces with byte fallback, and of bytes by ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def script_of(text: str) -> str:
@@ -71,19 +72,21 @@ def duplicate_lines(raw: bytes) -> int:
 
 
 _MEASURES = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(),
-             "n_tokens": pa.int64(), "byte_share": pa.float64(), "token_entropy": pa.float64(), "script": pa.string()}
+             "n_tokens": pa.int64(), "n_byte_tokens": pa.int64(), "byte_share": pa.float64(), "token_entropy": pa.float64(), "script": pa.string()}
 
 
-def _measure(path: str):
+def _measure(paths: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces, ranks = Pieces(paths[0]), Ranks(paths[1])
         for batch in batches:
             out: dict[str, list] = {x: [] for x in _MEASURES}
             text_keys = []
             for part in portions(text_bytes(batch.column(0))):
                 raws = [x.tobytes() for x in part]
                 split = [x.split() for x in raws]
-                pieces.learn(set().union(*split))
+                distinct = set().union(*split)
+                pieces.learn(distinct)
+                ranks.learn(distinct)
                 for data, raw, words in zip(part, raws, split):
                     starts, ends = word_spans(data)
                     ids = pieces.ids(words)
@@ -91,7 +94,7 @@ def _measure(path: str):
                     chars = int(((data & 0xC0) != 0x80).sum()) - int(np.isin(data, (9, 10, 11, 12, 13, 32)).sum())
                     row = (
                         len(starts), chars, int(_SYMBOL[data].sum()), duplicate_lines(raw), repeated_words(word_codes(data, starts, ends)),
-                        len(ids), float(pieces.is_byte[ids].mean()) if len(ids) else 0.0, float(-(counts * np.log2(counts)).sum()) + 0.0, script_of(raw.decode("utf-8", "replace")),
+                        len(ids), ranks.count(words), float(pieces.is_byte[ids].mean()) if len(ids) else 0.0, float(-(counts * np.log2(counts)).sum()) + 0.0, script_of(raw.decode("utf-8", "replace")),
                     )
                     for name, x in zip(out, row):
                         out[name].append(x)
@@ -103,7 +106,7 @@ def _measure(path: str):
 
 def _bands(measured: DataFrame, of: list[str], name: str) -> DataFrame:
     quartiles = lambda c: F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000).alias(f"q_{c}")
-    q = measured.groupBy(*of).agg(F.count("*").alias("n"), *map(quartiles, ("chars_per_token", "tokens_per_word", "byte_share", "token_entropy"))).where(F.col("n") >= (LEAST_GROUP if of else 1))
+    q = measured.groupBy(*of).agg(F.count("*").alias("n"), *map(quartiles, ("chars_per_token", "chars_per_byte_token", "tokens_per_word", "byte_share", "token_entropy"))).where(F.col("n") >= (LEAST_GROUP if of else 1))
 
     def edge(c: str, spread: float, width: float, sign: int) -> F.Column:
         q1, q2, q3 = (F.col(f"q_{c}")[i] for i in range(3))
@@ -111,25 +114,27 @@ def _bands(measured: DataFrame, of: list[str], name: str) -> DataFrame:
 
     return q.select(*of, F.struct(
         edge("chars_per_token", CHARS_SPREAD, CHARS_WIDTH, -1).alias("low_chars"), edge("chars_per_token", CHARS_SPREAD, CHARS_WIDTH, 1).alias("high_chars"),
+        edge("chars_per_byte_token", CHARS_SPREAD, CHARS_WIDTH, -1).alias("low_byte_chars"), edge("chars_per_byte_token", CHARS_SPREAD, CHARS_WIDTH, 1).alias("high_byte_chars"),
         edge("tokens_per_word", WORD_SPREAD, WORD_WIDTH, 1).alias("high_words"), edge("byte_share", BYTE_SPREAD, BYTE_WIDTH, 1).alias("high_byte"), edge("token_entropy", ENTROPY_SPREAD, ENTROPY_WIDTH, -1).alias("low_entropy"),
     ).alias(name))
 
 
-def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str | None = "lang", vocabulary: str | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str | None = "lang", vocabularies: tuple[str, str] | None = None) -> DataFrame:
     """Each row of docs, without its text, with its measures, base_failed, reasons (array) and kept.
 
     A null text has no words and fails the base rules. A null language goes by its script. Ties, repeated rows and
     other columns have no influence; columns of these names are replaced. An empty table gives an empty table."""
-    new = [*_MEASURES, "chars_per_token", "tokens_per_word", "base_failed", "reasons", "kept"]
-    others = [c for c in docs.columns if c not in (*new, text_column)]
+    new = [*_MEASURES, "chars_per_token", "chars_per_byte_token", "tokens_per_word", "base_failed", "reasons", "kept"]
+    others = [c for c in docs.columns if c.lower() not in new and c != text_column]
     lang = F.col(f"`{lang_column}`") if lang_column and lang_column in docs.columns else F.lit(None).cast("string")
     row = F.struct(lang.alias("lang"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
     rows = docs.select(F.coalesce(text_column, F.lit("")).alias("text"), row.alias("row"))
     kinds = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string"}
     schema = f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} {kinds[v]}" for k, v in _MEASURES.items()) + ", text_key binary"
-    x = rows.mapInArrow(_measure(vocabulary or default_vocabulary()), schema).withColumns(
+    x = rows.mapInArrow(_measure(vocabularies or default_vocabularies()), schema).withColumns(
         {
             "chars_per_token": F.when(F.col("n_tokens") > 0, F.col("word_chars") / F.col("n_tokens")),
+            "chars_per_byte_token": F.when(F.col("n_byte_tokens") > 0, F.col("word_chars") / F.col("n_byte_tokens")),
             "tokens_per_word": F.when(F.col("n_words") > 0, F.col("n_tokens") / F.col("n_words")),
             "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
             "g": F.coalesce(F.col("row.lang"), F.concat(F.lit("script "), "script")),
@@ -139,7 +144,7 @@ def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str |
     with passing() as stay:
         x = stay(keep(x))
         # All but the language follows from the text, so that distinct rows are distinct texts (of a language, of all).
-        measures = ["text_key", "script", "octave", "chars_per_token", "tokens_per_word", "byte_share", "token_entropy"]
+        measures = ["text_key", "script", "octave", "chars_per_token", "chars_per_byte_token", "tokens_per_word", "byte_share", "token_entropy"]
         by_lang = keep(x.where("not base_failed").select("g", *measures).distinct())
         by_text = keep(by_lang.select(*measures).distinct())
         # Bands of the language and length, else of the language, the script, all: as many rows as there are such groups.
@@ -153,6 +158,7 @@ def quality_rules(docs: DataFrame, text_column: str = "text", lang_column: str |
     reasons = F.array_compact(F.array(
         F.when(F.col("base_failed"), F.lit("base")),
         F.when(~F.col("chars_per_token").between(band["low_chars"], band["high_chars"]), F.lit("characters per token")),
+        F.when(~F.col("chars_per_byte_token").between(band["low_byte_chars"], band["high_byte_chars"]), F.lit("characters per byte token")),
         F.when(F.col("tokens_per_word") > band["high_words"], F.lit("tokens per word")),
         F.when(F.col("byte_share") > band["high_byte"], F.lit("byte fallback")),
         F.when(F.col("token_entropy") < length_band["low_entropy"], F.lit("token entropy")),

@@ -6,6 +6,7 @@ other; words repeat, and one look-up is far cheaper than one encoding.
 
 from __future__ import annotations
 
+import base64
 import string
 
 import numpy as np
@@ -117,6 +118,27 @@ class Pieces:
         return np.frombuffer(b"".join(map(self.words.new.__getitem__, words)), dtype=np.int32)
 
 
+class Ranks:
+    """How many tokens words have under a byte-level vocabulary of ranks (of the tiktoken library), each after a space."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.words = Remembered()
+
+    def learn(self, words: set[bytes]) -> None:
+        for w in self.words.unknown(words):
+            self.words.new[w] = len(self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")))
+
+    def count(self, words: list[bytes]) -> int:
+        """Tokens of words that were learnt just before."""
+        return sum(map(self.words.new.__getitem__, words))
+
+
 def portions(texts: list, most: int = 2_000_000):
     """Runs of texts of that many bytes, or one text: what is split into words at once."""
     part, size = [], 0
