@@ -454,7 +454,7 @@ def near_duplicates(table: DataFrame, id_column: str = "vec_id", vector_column:
     names = ["n_links", "component_id", "kept"]
     v = F.col(vector_column).cast("array<double>")
     sound = v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    rows = table.select(*(F.col(f"`{c}`") for c in table.columns if c not in names)).withColumns(
+    rows = table.select(*(F.col(f"`{c}`") for c in table.columns if c.lower() not in names)).withColumns(
         {"__id": F.coalesce(F.col(id_column).cast("long"), F.xxhash64(vector_column)), "__ok": F.coalesce(sound, F.lit(False))}
     )
     hashes = {"__g": F.xxhash64(vector_column), "__h": F.xxhash64(F.lit(7), vector_column)}

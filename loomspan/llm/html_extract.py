@@ -439,7 +439,7 @@ def extract(pages: DataFrame, weights: Weights | None = None, html_column: str =
     A null or empty page has an empty text, as has one without words outside menus and the like. Repeated rows give
     equal texts; columns of these names are replaced. An empty table gives an empty table."""
     weights = weights or learn(pages, html_column)
-    others = [c for c in pages.columns if c not in ("text", "n_chars", html_column)]
+    others = [c for c in pages.columns if c.lower() not in ("text", "n_chars") and c != html_column]
     row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
     rows = pages.select(F.col(html_column).alias("html"), row.alias("row"))
     out = rows.mapInArrow(_extract(weights), f"row {rows.schema['row'].dataType.simpleString()}, text string")

@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     document. A null id is replaced by a hash of its text within the join, and may so be named in component_id.
     Columns of these two names are replaced. An empty table gives an empty table."""
     names = ["n_shingles", "component_id"]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names), row_key(id_column, text_column).alias("__key"))
+    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names), row_key(id_column, text_column).alias("__key"))
     texts = keyed.select(F.col("__key").alias("key"), F.coalesce(text_column, F.lit("")).alias("text"))
     with passing() as stay:
         sets, classes = set_classes(texts)

@@ -150,7 +150,7 @@ def pack(
     A null or blank text is the end token alone. Only documents longer than `capacity` are cut. Repeated rows are
     packed as often as they are there. Columns of these names are replaced. An empty table gives an empty table."""
     names = ["piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
-    others = [c for c in docs.columns if c not in (*names, text_column)]
+    others = [c for c in docs.columns if c.lower() not in names and c != text_column]
     rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"), F.coalesce(text_column, F.lit("")).alias("text"))
     kind = f"row {rows.schema['row'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     pieces = rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, with_ids), kind)

@@ -145,7 +145,7 @@ def classify(docs: DataFrame, ranker: Ranker, id_column: str = "doc_id", text_co
     A null text scores as an empty one; a null id is never held out. Repeated rows score alike. Columns of these names are replaced. An empty
     table gives an empty table."""
     new = ["held_out", "score", "predicted"]
-    others = [c for c in docs.columns if c not in new and (with_text or c != text_column)]
+    others = [c for c in docs.columns if c.lower() not in new and (with_text or c != text_column)]
     row = F.struct(held_out(id_column).alias("held_out"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
     rows = docs.select(F.coalesce(text_column, F.lit("")).alias("text"), row.alias("row"))
     out = rows.mapInArrow(_scores(ranker), f"row {rows.schema['row'].dataType.simpleString()}, score double")

@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     empty table gives an empty table."""
     new = ["size", "source_size", "target", "taken"]
     keys = docs.select(
-        *(F.col(f"`{c}`") for c in docs.columns if c not in new),
+        *(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_name"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("__key"),

@@ -196,7 +196,7 @@ def remove_repeats(
     apart by their text); a row that is there twice counts twice, so that its windows are repeats. An empty table
     gives an empty table."""
     names = ["n_words", "n_removed", "n_spans", "kept_text", "kept_sha256"]
-    others = [c for c in docs.columns if c not in (*names, text_column)]
+    others = [c for c in docs.columns if c.lower() not in names and c != text_column]
     keyed = docs.select(
         row_key(id_column, text_column).alias("key"), F.coalesce(text_column, F.lit("")).alias("text"),
         F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"),

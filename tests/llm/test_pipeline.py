@@ -1,27 +1,143 @@
-"""The pipeline's stages over the smallest tables: each keeps to its predecessor's rows, and its decisions take effect."""
+"""The pipeline's stages: each keeps to its predecessor's rows, its decisions are those of brute force, and odd rows and
+columns do no harm."""
+
+import collections
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomspan.llm import packing, pair_rank, word_tokens
 from loomspan.llm.shared import keep
 from tests.conftest import SF
+from tests.llm.test_operators import covered, words
+
+KEPT = ["quality_classifier", "ngram_jaccard_join", "substring_dedup_stage", "source_mix_stage"]
+STAGE = {f.__name__: f for _, f in corpus_pipeline.STAGES}
+
+
+def shingles(text):
+    w = [x.lower() for x in words(text)]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def near_copies(texts: dict) -> dict:
+    """Smallest id reachable by links, by comparing all pairs."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    component = {i: i for i in sets}
+    pairs = [(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while True:
+        before = dict(component)
+        for i, j in pairs:
+            component[i] = component[j] = min(component[i], component[j])
+        if before == component:
+            return component
 
 
-def test_stages(spark):
+def test_run_is_what_brute_force_makes_of_each_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs.columns
-    out = []
+    columns, out, rows = docs.columns, [], [{r.doc_id: r for r in docs.collect()}]
+    ranker = pair_rank.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = keep(stage(spark, docs, SF))
         out.append(docs)
+        rows.append(docs.collect())
         if i < 4:
             assert docs.columns == columns
-    n = [x.count() for x in out]
-    assert 200 > n[0] >= n[1] and n[1] == n[2]
-    ids = [set(r.doc_id for r in x.select("doc_id").collect()) for x in out]
-    assert ids[1] <= ids[0] and ids[2] == ids[1] and ids[3] <= ids[2] and ids[4] == ids[3]
-    assert out[1].count() == len(ids[1])
+    # The classifier keeps what scores one half at least.
+    score = {i: float(ranker.score(pair_rank.features(np.frombuffer((r.text or "").encode(), np.uint8))[None, :])[0]) for i, r in rows[0].items()}
+    assert {r.doc_id for r in rows[1]} == {i for i, s in score.items() if s >= 0.5} and len(rows[1]) < len(rows[0])
+    # One of each group of near copies stays: the first.
+    component = near_copies({r.doc_id: r.text for r in rows[1]})
+    assert sorted(r.doc_id for r in rows[2]) == sorted({*component.values()}) and len(rows[2]) <= len(rows[1])
+    # Repeated passages go.
+    sequences = [words(r.text) for r in rows[2]]
+    expected = {r.doc_id: [w for w, g in zip(s, gone) if not g] for r, s, gone in zip(rows[2], sequences, covered(sequences, 35))}
+    assert {r.doc_id: words(r.text) for r in rows[3]} == expected and all(r.n_chars == len(r.text) for r in rows[3])
+    # The mix takes texts whole, but for one of each source that is cut, up to the targets.
+    sizes, taken, before = collections.Counter(), collections.Counter(), {r.doc_id: r for r in rows[3]}
+    for r in rows[3]:
+        sizes[r.source] += len(words(r.text))
+    cut = collections.Counter()
+    for r in rows[4]:
+        own, now = words(before[r.doc_id].text), words(r.text)
+        assert now == own[: len(now)]
+        cut[r.source] += len(now) < len(own)
+        taken[r.source] += len(now)
+    assert max(cut.values()) <= 1
+    order = [*sorted(s for s in sizes if s is not None), *([None] if None in sizes else [])]
+    target, full, weight = {}, set(), {s: i % 3 + 1 for i, s in enumerate(order)}
+    while True:
+        level = (sizes.total() - sum(3 * sizes[s] for s in full)) / max(1, sum(weight[s] for s in order if s not in full))
+        target = {s: 3 * sizes[s] if s in full else level * weight[s] for s in order}
+        more = {s for s in order if target[s] > 3 * sizes[s] + 1e-9}
+        if not more:
+            break
+        full |= more
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in order)
+    # Packed pieces are the texts' tokens, and no sequence overflows or has a gap.
+    tokenizer = word_tokens.WordBpe(packing.default_tokenizer()).tokenizer
+    pieces = collections.Counter()
+    for r in rows[4]:
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for n, start in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[start : start + 4096], "<u4")
+            pieces[r.doc_id, n, start, len(part), zlib.crc32(part.tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows[5]) == pieces
+    by = collections.defaultdict(list)
+    for r in rows[5]:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        assert [a for a, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1]] and sum(n for _, n in parts) <= 4096
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Good documents of the table, with nulls everywhere, empty and long texts, repeated rows and clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    texts = [r.text for r in docs.join(good, "doc_id").orderBy("doc_id").limit(12).collect()]
+    rows = [(i, t, "en", "a" if i % 2 else None, len(t)) for i, t in enumerate(texts)] + [(1, texts[1], "en", "a", len(texts[1]))]
+    rows += [(100, None, None, None, None), (101, "", "en", "b", 0), (102, " \n", None, "b", 2), (None, texts[3] + " more words", "en", None, 5), (None, None, None, None, None), (103, " ".join(texts) * 40, "en", "c", 9)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("Score", "predicted", "component_id", "n_words", "kept_text", "size", "TARGET", "row", "key", "spans"):
+        x = x.withColumn(c, F.concat(F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    return keep(x)
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_odd_rows_and_columns(spark, odd, name):
+    out = STAGE[name](spark, odd, SF)
+    assert out.columns == odd.columns
+    rows = out.collect()
+    for r in rows:
+        for c in ("Score", "predicted", "component_id", "n_words", "kept_text", "size", "TARGET", "row", "key", "spans"):
+            assert r[c] == f"own {c} {'none' if r.doc_id is None else r.doc_id}"
+    given = odd.collect()
+    ids = collections.Counter(r.doc_id for r in rows)
+    if name == "quality_classifier":
+        assert ids[1] in (0, 2) and len(rows) <= len(given)
+    if name == "ngram_jaccard_join":
+        assert ids[1] <= 1 and ids[100] == ids[101] == ids[102] == 1 and {r.doc_id for r in rows} == {r.doc_id for r in given} - {i for i, c in near_copies({r.doc_id: r.text for r in given if r.doc_id is not None}).items() if c != i}
+    if name == "substring_dedup_stage":
+        assert ids == collections.Counter(r.doc_id for r in given)
+        sequences = [words(r.text) for r in given]
+        expected = collections.Counter((r.doc_id, len(s) - sum(gone)) for r, s, gone in zip(given, sequences, covered(sequences, 35)))
+        assert collections.Counter((r.doc_id, len(words(r.text))) for r in rows) == expected and all(r.n_chars == len(r.text) for r in rows)
+    if name == "source_mix_stage":
+        assert ids[100] == ids[101] == ids[102] == 1
+        again = STAGE[name](spark, odd.repartition(3), SF).collect()
+        assert collections.Counter((r.doc_id, r.text) for r in again) == collections.Counter((r.doc_id, r.text) for r in rows)
+
+
+def test_odd_rows_are_packed(spark, odd):
+    rows = corpus_pipeline.best_fit_packing(spark, odd, SF).collect()
+    assert collections.Counter(r.doc_id for r in rows if r.piece == 0) == collections.Counter(r.doc_id for r in odd.collect())
+    assert {r.length for r in rows if r.doc_id in (100, 101)} == {1}
 
 
-def test_repeated_rows_leave_one(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 12")
-    twice = corpus_pipeline.ngram_jaccard_join(spark, docs.unionByName(docs), SF)
-    assert twice.count() == twice.select("doc_id").distinct().count()
+@pytest.mark.parametrize("name", [*KEPT, "best_fit_packing"])
+def test_empty_tables_and_no_labels(spark, odd, name):
+    assert STAGE[name](spark, odd.where("false"), SF).count() == 0
