@@ -235,9 +235,13 @@ def repurpose_composite(spark, sf_dir):
 # Catalogue of templates: parts stand for templates, brands for their tags.
 @query("template_search", "select p_partkey, row_number() over (order by p_size desc, p_partkey) as place from part where p_type like '%LARGE%' or p_brand = 'Brand#11'")
 def template_search(spark, sf_dir):
-    """Templates with any of the tags, by rank. The order of one table is one window: it holds two columns of the matches."""
+    """Templates with any of the tags, by rank. Ranks are few and many templates share one: those before a rank are
+    counted over ranks, and the rest of a place is a window within the rank."""
     x = table(spark, sf_dir, "part").where("p_type like '%LARGE%' or p_brand = 'Brand#11'").select("p_partkey", "p_size")
-    return x.select("p_partkey", F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey")).cast("long").alias("place"))
+    ranks = x.groupBy("p_size").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.desc("p_size")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    own = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
+    return x.join(ranks.select("p_size", before.alias("before")), "p_size").select("p_partkey", (F.col("before") + own).cast("long").alias("place"))
 
 
 @query("template_tags_all", "select p_partkey from part where len(list_filter(['LARGE','Brand#11'], lambda t: not list_contains([p_type, p_brand], t))) = 0")
