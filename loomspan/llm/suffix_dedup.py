@@ -27,8 +27,8 @@ from loomspan.llm.textscan import byte_codes, merge_ranges, range_hash, text_byt
 
 WINDOW = 200
 GRAM = 96
-#: A bucket with more different cuts than this is dealt anew by smaller cuts.
-BUCKET = 32
+#: A bucket with more different cuts than this is dealt anew by smaller cuts: so many are 1.2 MB, which one suffix array holds.
+BUCKET = 4096
 #: Windows in a smaller cut, and in the cuts of buckets that are crowded still.
 STEPS = (8, 1)
 #: Bytes of whole buckets that one suffix array holds (a single larger bucket is still one array).
@@ -197,7 +197,7 @@ def remove_repeats(
     if window % 8 or not 0 < gram <= window:
         raise ValueError("the window must be a multiple of eight and hold the gram")
     names = ["n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_sha256"]
-    others = [c for c in docs.columns if c not in (*names, text_column)]
+    others = [c for c in docs.columns if c.lower() not in names and c != text_column]
     keyed = docs.select(
         row_key(id_column, text_column).alias("key"), F.coalesce(text_column, F.lit("")).alias("text"),
         F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"),
