@@ -257,12 +257,15 @@ def resolve_var(value: str, scope: dict[str, str]) -> str:
 
 def inherit(nodes: DataFrame, styles: DataFrame) -> DataFrame:
     """(page_id, node_id, prop, value, own): own declarations and, for what flows, the nearest ancestor's; var() resolved
-    in the scope of the declaring node. The join is of a page with itself: equal page, node within the subtree."""
-    span = nodes.select("page_id", "node_id", "depth", "subtree_end")
-    declared = styles.join(span, ["page_id", "node_id"]).select("page_id", F.col("node_id").alias("source"), F.col("depth").alias("source_depth"), "subtree_end", "prop", "value")
+    in the scope of the declaring node. A node's ancestors are the heads of its path, so that the join is an equi-join of
+    as many rows as nodes have ancestors."""
+    span = nodes.select("page_id", "node_id", "depth", "path")
+    declared = styles.join(span, ["page_id", "node_id"]).select("page_id", "path", F.col("node_id").alias("source"), F.col("depth").alias("source_depth"), "prop", "value")
     flows = F.col("prop").isin(*INHERITED) | F.col("prop").startswith("--")
-    elements = nodes.where("tag <> '#text'").select("page_id", "node_id")
-    reach = elements.join(declared, "page_id").where((F.col("node_id") == F.col("source")) | (flows & (F.col("node_id") > F.col("source")) & (F.col("node_id") <= F.col("subtree_end"))))
+    steps = F.split("path", " > ")
+    heads = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), " > "))
+    elements = nodes.where("tag <> '#text'").select("page_id", "node_id", F.explode(heads).alias("path"))
+    reach = elements.join(declared, ["page_id", "path"]).where((F.col("node_id") == F.col("source")) | flows)
     best = reach.groupBy("page_id", "node_id", "prop").agg(F.max_by(F.struct("value", "source"), "source_depth").alias("b")).select("page_id", "node_id", "prop", "b.value", "b.source")
     variables = best.where(F.col("prop").startswith("--")).groupBy("page_id", F.col("node_id").alias("source")).agg(F.map_from_entries(F.collect_list(F.struct("prop", "value"))).alias("scope"))
     needing = best.where(F.col("value").contains("var(")).join(variables, ["page_id", "source"], "left")
