@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomspan.llm import oracles
 from loomspan.llm.shared import documents
 
 
@@ -75,9 +77,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*columns, "chars_per_token", "tokens_per_word", "byte_share", "token_entropy")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.divergence import divergence
+
+    return divergence(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.line_dedup import without_repeated_lines
+
+    out = without_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.centroid_cluster import cluster
+
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_source_divergence": oracles.DIVERGENCE, "op12_line_dedup": oracles.LINE_DEDUP, "op13_centroid_clustering": oracles.clustering()}
