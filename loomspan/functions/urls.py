@@ -54,18 +54,33 @@ def normalize(url: Column) -> Column:
     return F.concat(F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1), F.when(bare == "", "/").otherwise(bare))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path without "." and ".." segments: a stack folded over its segments, "..", at the root, taking nothing."""
+    names = F.split(path, "/")
+    start = F.array(F.lit(""))
+    stack = F.aggregate(
+        F.slice(names, F.lit(2), F.size(names)), start,
+        lambda s, x: F.when(x == "..", F.when(F.size(s) > 1, F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(s)).when(x == ".", s).otherwise(F.concat(s, F.array(x))),
+    )
+    stack = F.when(F.element_at(names, -1).isin(".", ".."), F.concat(stack, start)).otherwise(stack)
+    joined = F.array_join(stack, "/")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.when(joined == "", "/").otherwise(joined)).otherwise(path)
+
+
 def resolve(base: Column, ref: Column) -> Column:
-    """ref made absolute against base, without its fragment; dot segments are left as they stand."""
+    """ref made absolute against base, without its fragment; dot segments of what is relative are worked off."""
     ref = F.regexp_replace(F.trim(ref), "#.*$", "")
     site = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     directory = F.regexp_extract(path(base), "^(.*/)", 1)
+    place, rest = F.regexp_extract(ref, r"^([^?]*)", 1), F.regexp_extract(ref, r"^[^?]*(.*)$", 1)
+    below = F.regexp_replace(F.concat(F.when(directory == "", "/").otherwise(directory), place), "/+", "/")
     return (
         F.when(ref.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
         .when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), ref))
-        .when(ref.startswith("/"), F.concat(site, ref))
+        .when(ref.startswith("/"), F.concat(site, without_dots(place), rest))
         .when(ref.startswith("?"), F.concat(site, path(base), ref))
         .when(ref == "", F.regexp_replace(base, "#.*$", ""))
-        .otherwise(F.concat(site, F.when(directory == "", "/").otherwise(directory), ref))
+        .otherwise(F.concat(site, without_dots(below), rest))
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,35 +67,67 @@ def _elements(e: Element) -> list[Element]:
     return [c for c in e.children if c.tag != "#text"]
 
 
+def _mask(places: list[int]) -> int:
+    """A number with these bits set."""
+    bits = bytearray(places[-1] // 8 + 1)
+    for k in places:
+        bits[k >> 3] |= 1 << (k & 7)
+    return int.from_bytes(bits, "little")
+
+
 def align(a: list[tuple], b: list[tuple]) -> list[tuple[int | None, int | None]]:
-    """Pairs of places of a longest common subsequence; what is in one alone pairs with None. Of equal choices the
-    first list's element is passed over first. What the lists begin or end with alike pairs at once; only what differs
-    between takes a table."""
+    """Pairs of places of a longest common subsequence; what is in one alone pairs with None. Equal heads always pair; of
+    equal choices the first list's element is passed over first.
+
+    With L(i, j) the length of what a[i:] and b[j:] have in common, row i is held as one number: bit k is clear where
+    L(i, .) grows from the last k elements of b to the last k + 1, so that L is a count of clear bits and a row follows
+    from the next by a few operations on whole numbers. Rows are kept a block apart, and those of one block at a time are
+    made again on the way down: some 2 sqrt(n) rows of m bits, not n rows of m lengths."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
-    end = 0
-    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    n, m = len(a) - end, len(b) - end
-    out = [(i, i) for i in range(start)]
-    table = [[0] * (m - start + 1) for _ in range(n - start + 1)]
-    for i in reversed(range(start, n)):
-        for j in reversed(range(start, m)):
-            row, below = table[i - start], table[i - start + 1]
-            row[j - start] = below[j - start + 1] + 1 if a[i] == b[j] else max(below[j - start], row[j - start + 1])
-    i = j = start
+    out: list[tuple[int | None, int | None]] = [(i, i) for i in range(start)]
+    a, b = a[start:], b[start:]
+    n, m = len(a), len(b)
+    full = (1 << m) - 1
+    places: dict[tuple, list[int]] = {}
+    for k, x in enumerate(reversed(b)):
+        places.setdefault(x, []).append(k)
+    mask = lru_cache(maxsize=64)(lambda x: _mask(places[x]) if x in places else 0)  # noqa: B019
+
+    def above(row: int, x: tuple) -> int:
+        """The row of x and what follows it, from the row of what follows."""
+        hit = row & mask(x)
+        return (row + hit | row - hit) & full
+
+    def common(row: int, j: int) -> int:
+        return m - j - (row & ((1 << m - j) - 1)).bit_count()
+
+    block = max(1, isqrt(n))
+    kept = {n: full}
+    row = full
+    for i in reversed(range(n)):
+        row = above(row, a[i])
+        if i % block == 0:
+            kept[i] = row
+    i = j = 0
+    rows: dict[int, int] = {}
     while i < n or j < m:
+        if i < n and j < m and a[i] != b[j] and i + 1 not in rows:
+            end = min(n, i - i % block + block)
+            rows = {end: kept[end]}
+            for k in reversed(range(i, end)):
+                rows[k] = above(rows[k + 1], a[k])
         if i < n and j < m and a[i] == b[j]:
-            out.append((i, j))
+            out.append((start + i, start + j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and table[i - start + 1][j - start] >= table[i - start][j - start + 1]:
-            out.append((i, None))
+        elif j == m or i < n and common(rows[i + 1], j) == common(rows[i], j):
+            out.append((start + i, None))
             i += 1
         else:
-            out.append((None, j))
+            out.append((None, start + j))
             j += 1
-    return out + [(n + k, m + k) for k in range(end)]
+    return out
 
 
 def structural_counts(original: str, other: str) -> tuple[int, float]:

@@ -106,16 +106,30 @@ def fields(nodes: DataFrame) -> DataFrame:
     return x.withColumn("p", placeholder.detect(F.col("original_value"), F.col("field_type"))).select(*x.columns, F.col("p.state").alias("content_state"), F.col("p.confidence").alias("placeholder_confidence"))
 
 
-def repeats(nodes: DataFrame) -> DataFrame:
-    """(page_id, top_idx, role, instances): children of repeatable sections that have the most frequent skeleton.
+def shapes(nodes: DataFrame, top: int, levels: int) -> DataFrame:
+    """(page_id, node_id, parent_id, shape) of the elements at depth top: the tags of their subtrees, so many levels deep.
+
+    From the lowest level up: an element's shape is its tag and the shapes of its children in order, so that each level is
+    one grouping by parent and one join by element, whatever the number of elements of a page."""
+    elements = nodes.where("tag <> '#text'").select("page_id", "node_id", "parent_id", "depth", "tag")
+    below = None
+    for depth in reversed(range(top, top + levels)):
+        here = elements.where(F.col("depth") == depth).drop("depth")
+        if below is None:
+            below = here.select("page_id", "node_id", "parent_id", F.col("tag").alias("shape"))
+            continue
+        ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "shape"))), lambda s: s["shape"]), ",")
+        inner = below.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(ordered.alias("inner"))
+        below = here.join(inner, ["page_id", "node_id"], "left").select("page_id", "node_id", "parent_id", F.concat("tag", F.coalesce(F.concat(F.lit("("), "inner", F.lit(")")), F.lit(""))).alias("shape"))
+    return below
+
 
-    A skeleton is the tags of a subtree, four levels deep; a subtree's text is ordered by node id, and bounded by the page."""
+def repeats(nodes: DataFrame) -> DataFrame:
+    """(page_id, top_idx, role, instances): children of repeatable sections that have the most frequent skeleton, the tags
+    of a subtree, four levels deep."""
     sections = classify(nodes).where(F.col("role").isin(*REPEATABLE)).select("page_id", F.col("node_id").alias("section"), "top_idx", "role", "n_children")
-    items = nodes.where("depth = 2 and tag <> '#text'").select("page_id", F.col("parent_id").alias("section"), F.col("node_id").alias("item"), F.col("subtree_end").alias("item_end"))
-    inside = nodes.where("depth between 2 and 5 and tag <> '#text'").select("page_id", "node_id", F.concat(F.col("depth").cast("string"), F.lit(":"), "tag").alias("step"))
-    within = items.join(inside, "page_id").where("node_id between item and item_end")
-    skeletons = within.groupBy("page_id", "section", "item").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "step"))), lambda s: s["step"]), ",").alias("skeleton"))
-    counts = skeletons.groupBy("page_id", "section", "skeleton").agg(F.count("*").alias("n")).groupBy("page_id", "section").agg(F.max("n").alias("most"), F.sum("n").alias("items"))
+    counts = shapes(nodes, 2, 4).groupBy("page_id", F.col("parent_id").alias("section"), "shape").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("page_id", "section").agg(F.max("n").alias("most"), F.sum("n").alias("items"))
     instances = F.when(F.col("n_children") < 2, F.col("n_children")).when(F.col("most") >= 2, F.col("most")).otherwise(F.coalesce("items", F.lit(0)))
     return sections.join(counts, ["page_id", "section"], "left").select("page_id", "top_idx", "role", instances.alias("instances"))
 

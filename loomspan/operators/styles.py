@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,29 +115,58 @@ class _Place:
         self.classes = self.attrs.get("class", "").split()
 
 
-def _fits(place: _Place, compound: str) -> bool:
-    at = 0
+@lru_cache(maxsize=4096)
+def _tests(compound: str) -> tuple[tuple, ...] | None:
+    """What a compound asks for: (tag, id, class, attribute, operator, value, pseudo, nth) of each part; None if it can't be
+    read."""
+    at, out = 0, []
     for m in _COMPOUND.finditer(compound):
         if m.start() != at:
-            return False
+            return None
         at = m.end()
         tag, id_, cls, attr, op, *values = m.groups()[:8]
-        pseudo, nth = m[9], m[10]
-        value = next((v for v in values if v is not None), None)
+        out.append((tag, id_, cls, attr, op, next((v for v in values if v is not None), None), m[9], m[10]))
+    return tuple(out) if at == len(compound) else None
+
+
+_COMPARE = {
+    None: lambda have, value: True, "=": lambda have, value: have == value, "~=": lambda have, value: value in have.split(), "^=": lambda have, value: have.startswith(value), "$=": lambda have, value: have.endswith(value),
+    "*=": lambda have, value: value in have, "|=": lambda have, value: have == value or have.startswith(value + "-"),
+}
+
+
+def _fits(place: _Place, compound: str) -> bool:
+    tests = _tests(compound)
+    if tests is None:
+        return False
+    for tag, id_, cls, attr, op, value, pseudo, nth in tests:
         if tag and tag not in ("*", place.tag) or id_ and place.attrs.get("id") != id_ or cls and cls not in place.classes:
             return False
-        if attr:
-            have = place.attrs.get(attr)
-            tests = {None: lambda: True, "=": lambda: have == value, "~=": lambda: value in have.split(), "^=": lambda: have.startswith(value), "$=": lambda: have.endswith(value), "*=": lambda: value in have, "|=": lambda: have == value or have.startswith(value + "-")}
-            if have is None or not tests[op]():
-                return False
+        if attr and (attr not in place.attrs or not _COMPARE[op](place.attrs[attr], value)):
+            return False
         if pseudo:
             wanted = {"first-child": place.index == 1, "last-child": place.last, "root": place.tag == "html"}.get(pseudo)
             if wanted is None:
                 wanted = place.index % 2 == (nth == "odd") if nth in ("odd", "even") else place.index == int(nth)
             if not wanted:
                 return False
-    return at == len(compound)
+    return True
+
+
+def _key(compound: str) -> str | None:
+    """What an element must have to fit a compound: an id, else a class, else a tag, else nothing (""); None if nothing
+    fits it."""
+    tests = _tests(compound)
+    if tests is None:
+        return None
+    ids, classes, tags = ([mark + t[i] for t in tests if t[i] and t[i] != "*"] for mark, i in (("#", 1), (".", 2), ("", 0)))
+    return next(iter(ids + classes + tags), "")
+
+
+def _keys(place: _Place) -> list[str]:
+    """The keys under which rules are found that may fit an element."""
+    own = place.attrs.get("id")
+    return [*(["#" + own] if own else []), *("." + c for c in dict.fromkeys(place.classes)), place.tag, ""]
 
 
 def selector_fits(place: _Place, steps: list[str]) -> bool:
@@ -206,16 +237,20 @@ def match(pages: DataFrame) -> DataFrame:
         for number, kind, media, selector, i, p, v in rules_of(sheet):
             if kind != "global":
                 by_rule.setdefault((number, kind, media, selector), []).append((i, p, v))
+        # Rules by the key of their last compound: an element meets those of its own id, classes and tag alone.
+        index: dict[str, list] = {}
         for (number, kind, media, selector), found in by_rule.items():
             if any(x in selector for x in _SKIPPED) or kind == "media" and "::" in selector:
                 continue
             state = next((s for s in _STATES if s in selector), None)
             steps = split_selector(re.sub(r"::?[\w-]+(?:\([^)]*\))?", "", selector) if state else selector)
-            if not steps:
-                continue
-            for place in places:
-                if place.node_id is not None and selector_fits(place, steps):
-                    yield from ((page_id, place.node_id, kind, media, state, 0, selector, number, i, p, v) for i, p, v in found)
+            if steps and (key := _key(steps[-1])) is not None:
+                index.setdefault(key, []).append((number, kind, media, state, selector, steps, found))
+        for place in places:
+            if place.node_id is not None:
+                for number, kind, media, state, selector, steps, found in (rule for key in _keys(place) for rule in index.get(key, ())):
+                    if selector_fits(place, steps):
+                        yield from ((page_id, place.node_id, kind, media, state, 0, selector, number, i, p, v) for i, p, v in found)
         for place in places:
             if place.node_id is not None and place.attrs.get("style"):
                 yield from ((page_id, place.node_id, "style", None, None, 1, "", 0, i, p, v) for i, (p, v) in enumerate(declarations(place.attrs["style"])) if p.startswith("--") or p not in DENIED)
@@ -255,24 +290,74 @@ def resolve_var(value: str, scope: dict[str, str]) -> str:
     return value
 
 
+def _flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of nodes in pre-order, each followed by its declarations (page_id, node_id, subtree_end or null, prop, value) ->
+    (page_id, node_id, prop, value, own).
+
+    One pass with a stack of the open elements; what is in hand is the declarations along one path. A page need not be in
+    one batch."""
+    names = ["page_id", "node_id", "prop", "value", "own"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+    page, node, own = None, None, {}
+    open_: list[tuple[int, list[str]]] = []  # where an element's subtree ends, and what flows from it
+    flowing: dict[str, list[tuple[str, int]]] = {}  # of what flows, values and their elements, the nearest last
+    variables: dict[str, list[tuple[str, int]]] = {}
+    out: list[tuple] = []
+
+    def settle() -> None:
+        """The declarations of the element at hand take effect, and its values are known."""
+        for p, v in own.items():
+            if p.startswith("--"):
+                variables.setdefault(p, []).append((v, node))
+                open_[-1][1].append(p)
+        scope = {p: values[-1][0] for p, values in variables.items() if values} if any("var(" in v for v in own.values()) else {}
+        for p, v in own.items():
+            if not p.startswith("--"):
+                value = resolve_var(v, scope)
+                if p in INHERITED:
+                    flowing.setdefault(p, []).append((value, node))
+                    open_[-1][1].append(p)
+                elif value:
+                    out.append((page, node, p, value, True))
+        out.extend((page, node, p, values[-1][0], values[-1][1] == node) for p, values in flowing.items() if values and values[-1][0])
+
+    def close(until: int | None) -> None:
+        """End the elements that end before a node, or all."""
+        while open_ and (until is None or open_[-1][0] < until):
+            for p in open_.pop()[1]:
+                (variables if p.startswith("--") else flowing)[p].pop()
+
+    for batch in batches:
+        for at, n, end, p, v in zip(*(c.to_pylist() for c in batch.columns)):
+            if end is None:
+                own[p] = v
+                continue
+            if node is not None:
+                settle()
+            if at != page:
+                close(None)
+                page = at
+            close(n)
+            open_.append((end, []))
+            node, own = n, {}
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            out.clear()
+    if node is not None:
+        settle()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+
 def inherit(nodes: DataFrame, styles: DataFrame) -> DataFrame:
-    """(page_id, node_id, prop, value, own): own declarations and, for what flows, the nearest ancestor's; var() resolved
-    in the scope of the declaring node. A node's ancestors are the heads of its path, so that the join is an equi-join of
-    as many rows as nodes have ancestors."""
-    span = nodes.select("page_id", "node_id", "depth", "path")
-    declared = styles.join(span, ["page_id", "node_id"]).select("page_id", "path", F.col("node_id").alias("source"), F.col("depth").alias("source_depth"), "prop", "value")
-    flows = F.col("prop").isin(*INHERITED) | F.col("prop").startswith("--")
-    steps = F.split("path", " > ")
-    heads = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), " > "))
-    elements = nodes.where("tag <> '#text'").select("page_id", "node_id", F.explode(heads).alias("path"))
-    reach = elements.join(declared, ["page_id", "path"]).where((F.col("node_id") == F.col("source")) | flows)
-    best = reach.groupBy("page_id", "node_id", "prop").agg(F.max_by(F.struct("value", "source"), "source_depth").alias("b")).select("page_id", "node_id", "prop", "b.value", "b.source")
-    variables = best.where(F.col("prop").startswith("--")).groupBy("page_id", F.col("node_id").alias("source")).agg(F.map_from_entries(F.collect_list(F.struct("prop", "value"))).alias("scope"))
-    needing = best.where(F.col("value").contains("var(")).join(variables, ["page_id", "source"], "left")
-    resolve = F.pandas_udf(lambda v, s: pd.Series([resolve_var(a, dict(b or {})) for a, b in zip(v, s)]), "string")
-    done = needing.withColumn("value", resolve("value", "scope")).drop("scope")
-    out = best.where(~F.col("value").contains("var(")).unionByName(done.select(*best.columns)).where("value <> ''")
-    return out.where(~F.col("prop").startswith("--")).select("page_id", "node_id", "prop", "value", (F.col("source") == F.col("node_id")).alias("own"))
+    """(page_id, node_id, prop, value, own): own declarations of styles(page_id, node_id, prop, value) and, for what flows,
+    the nearest ancestor's; var() resolved in the scope of the declaring element. Elements and declarations are dealt by
+    page once and read in order."""
+    none = F.lit(None).cast("string")
+    x = nodes.where("tag <> '#text'").select("page_id", "node_id", "subtree_end", none.alias("prop"), none.alias("value"))
+    x = x.unionByName(styles.select("page_id", "node_id", F.lit(None).cast("int").alias("subtree_end"), "prop", "value"))
+    ordered = x.repartition("page_id").sortWithinPartitions("page_id", "node_id", F.asc_nulls_last("subtree_end"), "prop")
+    return ordered.mapInArrow(_flow, "page_id long, node_id int, prop string, value string, own boolean")
 
 
 def ranked(values: DataFrame, of: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import urls
+from loomspan.operators import versions
 from loomspan.operators.nodes import attribute
 from loomspan.session import checkpointed
 
@@ -204,12 +205,17 @@ def minted_classes(nodes: DataFrame, prefix: str = "style") -> DataFrame:
     return n.withColumn("class", F.concat(F.lit(f"{prefix}-"), F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "style")).cast("string")))
 
 
-def job_step(state: dict, kind: str, token: str | None, t: float, most_attempts: int = 3, stale: float = 1800.0) -> dict:
-    """The state of a job after an event. Results and beats of a worker that lost its claim are discarded; a claim without
-    a beat for `stale` seconds is open again."""
-    s = dict(state)
-    if s["status"] == "running" and t - s["beat"] > stale:
-        s |= {"status": "pending", "token": ""}
+STALE = 1800.0
+
+
+def reopened(state: dict, t: float, stale: float = STALE) -> dict:
+    """A state at time t: a claim without a beat for more than `stale` seconds is open again."""
+    return state | {"status": "pending", "token": ""} if state["status"] == "running" and t - state["beat"] > stale else state
+
+
+def job_step(state: dict, kind: str, token: str | None, t: float, most_attempts: int = 3, stale: float = STALE) -> dict:
+    """The state of a job after an event. Results and beats of a worker that lost its claim are discarded."""
+    s = dict(reopened(state, t, stale))
     if kind == "enqueue" and s["status"] == "new":
         s["status"] = "pending"
     elif kind == "claim":
@@ -225,48 +231,91 @@ def job_step(state: dict, kind: str, token: str | None, t: float, most_attempts:
         s |= {"status": "failed", "token": ""}
     elif kind == "fail":
         s |= {"status": "pending", "token": ""}
+    if s["status"] in ("completed", "failed") and state["status"] not in ("completed", "failed"):
+        s["ended"] = t
     return s
 
 
-NEW_JOB = {"status": "new", "token": "", "attempts": 0, "beat": 0.0, "discarded": 0}
+NEW_JOB = {"status": "new", "token": "", "attempts": 0, "beat": 0.0, "discarded": 0, "ended": None}
+JOB_STATE = "status string, token string, attempts int, beat double, discarded int, ended double"
+_SHOWN = ("status", "attempts", "discarded", "ended")
+JOBS = "job_id long, status string, attempts int, discarded int, ended double"
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """(job_id, status, attempts, discarded) after events(job_id, seq, t, kind, token): an ordered fold for each job over
-    sorted, streamed batches; one state is held at a time."""
+def job_states(events: DataFrame, until: float | None = None, stale: float = STALE) -> DataFrame:
+    """(job_id, status, attempts, discarded, ended) after events(job_id, seq, t, kind, token): an ordered fold for each job
+    over sorted, streamed batches; one state is held at a time. `ended` is when a job was completed or failed. With until,
+    the states are those of that time: claims that have been silent for too long by then are open again."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         job, state = None, None
+
+        def row() -> tuple:
+            last = state if until is None else reopened(state, until, stale)
+            return (job, *(last[k] for k in _SHOWN))
+
         for pdf in batches:
             done = []
             for j, t, kind, token in zip(pdf["job_id"], pdf["t"], pdf["kind"], pdf["token"]):
                 if j != job:
                     if state:
-                        done.append((job, state["status"], state["attempts"], state["discarded"]))
+                        done.append(row())
                     job, state = j, dict(NEW_JOB)
-                state = job_step(state, kind, token, t)
-            yield pd.DataFrame(done, columns=["job_id", "status", "attempts", "discarded"])
+                state = job_step(state, kind, token, t, stale=stale)
+            yield pd.DataFrame(done, columns=["job_id", *_SHOWN])
         if state:
-            yield pd.DataFrame([(job, state["status"], state["attempts"], state["discarded"])], columns=["job_id", "status", "attempts", "discarded"])
+            yield pd.DataFrame([row()], columns=["job_id", *_SHOWN])
 
     x = events.select("job_id", "seq", "t", "kind", "token").repartition("job_id").sortWithinPartitions("job_id", "t", "seq")
-    return x.mapInPandas(fold, "job_id long, status string, attempts int, discarded int")
+    return x.mapInPandas(fold, JOBS)
+
 
+def job_state_stream(events: DataFrame, late: str = "1 minute", stale: float = STALE) -> DataFrame:
+    """The same states from a stream of events(job_id, seq, t, kind, token), t in seconds, updated as events come.
 
-def job_state_stream(events: DataFrame) -> DataFrame:
-    """The same states from a stream of events(job_id, seq, t, kind, token), updated as events come."""
+    A claimed job has a timer `stale` seconds after its last beat. When the watermark, `late` behind the latest event of
+    any job, passes it, the job is open again and its row is given anew, though no event of its own has come. What comes
+    after the watermark has passed it is dropped."""
 
     def update(key, batches, state):
         s = dict(zip(NEW_JOB, state.get)) if state.exists else dict(NEW_JOB)
-        rows = pd.concat(list(batches)).sort_values(["t", "seq"])
-        for t, kind, token in zip(rows["t"], rows["kind"], rows["token"]):
-            s = job_step(s, kind, token, float(t))
+        if state.hasTimedOut:
+            s = reopened(s, float("inf"), stale)
+        else:
+            rows = pd.concat(list(batches)).sort_values(["t", "seq"])
+            for t, kind, token in zip(rows["t"], rows["kind"], rows["token"]):
+                s = job_step(s, kind, token, float(t), stale=stale)
         state.update(tuple(s.values()))
-        yield pd.DataFrame([(key[0], s["status"], s["attempts"], s["discarded"])], columns=["job_id", "status", "attempts", "discarded"])
-
-    return events.groupBy("job_id").applyInPandasWithState(
-        update, "job_id long, status string, attempts int, discarded int", "status string, token string, attempts int, beat double, discarded int", "update", "NoTimeout"
-    )
+        if s["status"] == "running":
+            state.setTimeoutTimestamp(max(int((s["beat"] + stale) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *(s[k] for k in _SHOWN))], columns=["job_id", *_SHOWN])
+
+    timed = events.withColumn("at", F.timestamp_micros((F.col("t") * 1_000_000).cast("long"))).withWatermark("at", late)
+    return timed.groupBy("job_id").applyInPandasWithState(update, JOBS, JOB_STATE, "update", "EventTimeTimeout")
+
+
+def project_updates(jobs: DataFrame) -> DataFrame:
+    """(project_id, status, fidelity, completed_at, at) of finished jobs(job_id, project_id, status, fidelity, ended): what
+    they make of their project. The job that ended last sets the status; fidelity and time are those of the last that was
+    completed, null if none was."""
+    order = F.struct("ended", "job_id")
+    ended = jobs.where(F.col("status").isin("completed", "failed") & F.col("ended").isNotNull())
+    best = F.max_by(F.struct("fidelity", "ended"), F.when(F.col("status") == "completed", order))
+    x = ended.groupBy("project_id").agg(F.max_by("status", order).alias("status"), best.alias("c"), F.max(order).alias("at"))
+    return x.select("project_id", "status", "c.fidelity", F.col("c.ended").alias("completed_at"), "at")
+
+
+def apply_updates(projects: DataFrame, updates: DataFrame) -> DataFrame:
+    """projects(project_id, status, fidelity, completed_at, at, ...) after updates (see project_updates). An update that is
+    not later than what a project has (at) changes nothing, so that one that comes twice does no harm; a failure leaves
+    fidelity and time as they were. Updates of projects that aren't there fall away."""
+    u = updates.select("project_id", *(F.col(c).alias(f"__{c}") for c in ("status", "fidelity", "completed_at", "at")))
+    x = projects.join(u, "project_id", "left")
+    later = F.col("__at").isNotNull() & (F.col("at").isNull() | (F.col("__at") > F.col("at")))
+    done = later & F.col("__completed_at").isNotNull()
+    new = {"status": F.when(later, F.col("__status")).otherwise(F.col("status")), "at": F.when(later, F.col("__at")).otherwise(F.col("at"))}
+    new |= {c: F.when(done, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("fidelity", "completed_at")}
+    return x.withColumns(new).select(*projects.columns)
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
@@ -282,24 +331,38 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     return x.where("key = 'disallow' and value <> ''").join(ours, ["site", "group"], "left_semi").select("site", F.col("value").alias("prefix")).distinct()
 
 
-def remove_sections(nodes: DataFrame, removals: DataFrame, integrity) -> tuple[DataFrame, DataFrame]:
+def remove_sections(nodes: DataFrame, removals: DataFrame, broken) -> tuple[DataFrame, DataFrame]:
     """Sections removed one after the other: removals(page_id, step, path), steps from 1 on -> the trees that are left, and
     (page_id, applied, passed).
 
-    After each step integrity(nodes) -> (page_id, ...) names what is wrong; a page where anything is takes no further
-    step. Pages go through their steps together, so that there are as many rounds as the longest list has steps."""
-    steps = removals.agg(F.max("step")).first()[0] or 0
-    done = removals.select("page_id").distinct().select("page_id", F.lit(0).alias("applied"), F.lit(True).alias("passed"))
-    for step in range(1, steps + 1):
-        now = removals.where(F.col("step") == step).join(done.where("passed"), "page_id", "left_semi").select("page_id", "path")
-        nodes = checkpointed(_without(nodes, now))
-        broken = integrity(nodes).select("page_id").distinct().withColumn("broken", F.lit(True))
-        turned = now.select("page_id").distinct().withColumn("turned", F.lit(True)).join(broken, "page_id", "left")
-        done = done.join(turned, "page_id", "left").select(
-            "page_id", (F.col("applied") + F.coalesce(F.col("turned").cast("int"), F.lit(0))).alias("applied"), (F.col("passed") & (F.col("turned").isNull() | F.col("broken").isNull())).alias("passed")
+    A step is planned (removal_plan), carried out (versions.reflow, then the subtrees go) and compared with the tree before
+    it: broken(before, after, removed) -> (page_id, ...) names what is wrong, and a page where anything is takes no further
+    step. Pages go through their steps together; a page leaves the rounds when it is done or broken, and the rounds end
+    with the last page."""
+    last = removals.groupBy("page_id").agg(F.max("step").alias("last"))
+    state = checkpointed(last.select("page_id", "last", F.lit(0).alias("applied"), F.lit(True).alias("passed")))
+    left = nodes.join(last, "page_id", "left_anti")
+    open_ = nodes.join(last, "page_id", "left_semi")
+    done, step = None, 0
+    while not state.isEmpty():
+        step += 1
+        now = checkpointed(removals.where(F.col("step") == step).join(state, "page_id", "left_semi").select("page_id", "path"))
+        before = open_
+        plan = removal_plan(before, versions.inline_styles(before).drop("path"), now)
+        open_ = checkpointed(_without(versions.reflow(before, plan), now))
+        wrong = broken(before, open_, now).select("page_id").distinct().withColumn("wrong", F.lit(True))
+        turned = now.select("page_id").distinct().withColumn("turned", F.lit(1))
+        state = state.join(turned, "page_id", "left").join(wrong, "page_id", "left").select(
+            "page_id", "last", (F.col("applied") + F.coalesce("turned", F.lit(0))).alias("applied"), (F.col("turned").isNull() | F.col("wrong").isNull()).alias("passed")
         )
-        done = checkpointed(done)
-    return nodes, done
+        state = checkpointed(state)
+        ends = ~F.col("passed") | (F.col("last") <= step)
+        finished = state.where(ends)
+        done = finished if done is None else done.unionByName(finished)
+        left = left.unionByName(open_.join(finished, "page_id", "left_semi"))
+        state = state.where(~ends)
+        open_ = open_.join(state, "page_id", "left_semi")
+    return left, (state if done is None else done).select("page_id", "applied", "passed")
 
 
 def _without(nodes: DataFrame, removed: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import prompts
-from loomspan.operators import ingest, nodes, sections, styles, workflows
-from loomspan.plans.evaluation import integrity
+from loomspan.operators import ingest, nodes, sections, styles, versions, workflows
 from loomspan.plans.rasters import TOLERANCE
 from loomspan.plans.registry import query
 from loomspan.session import checkpointed, table
@@ -36,19 +36,61 @@ def submission_files(spark, sf_dir):
     return out.select("id", "kind", "problem", "ext", "file_size", "width", "orientation", chars.alias("n_chars"))
 
 
-#: Every third page has a link to its footer beside it.
-_LINKED = """replace(replace(html, '<footer>', '<footer id="foot">'), '<nav>', case when page_id % 3 = 0 then '<div><a href="#foot">x</a></div><nav>' else '<nav>' end)"""
+def _put(*pieces: str, page: str = "html") -> str:
+    """Pieces of markup, some of them expressions over page_id, put at the end of a page's body."""
+    return f"concat(replace(replace({page}, '</body>', ''), '</html>', ''), {', '.join(pieces)}, '</body></html>')"
+
+
+#: A row of boxes after the article: numbered, spaced, in a grid, with a link to the second. Some pages have broken ones.
+_BOXES = _put(
+    """'<div class="row" style="display:grid;grid-template-columns:repeat(3, 1fr);padding:', page_id % 7, 'px">'""",
+    """'<section id="a" data-section-index="1" style="margin-bottom:8px">one</section><section id="b" data-section-index="2" style="order:1">two</section><section data-section-index="3" style="order:2">three</section></div>'""",
+    """'<ul><li><a href="#b">to two</a></li></ul>'""",
+    page="""replace(html, '<p>', '<p data-slot-id="text">')""",
+)
+#: The same as an editor might leave it: on some pages the second box is gone but what depended on it is not put right.
+_EDITED = _put(
+    """'<div class="row" style="display:grid;grid-template-columns:repeat(', case when page_id % 6 = 5 then 0 else 3 end, ', 1fr);padding:', case when page_id % 5 = 1 then page_id % 7 + 1 else page_id % 7 end, 'px">'""",
+    """'<section id="a" data-section-index="1" style="margin-bottom:8px">one</section><section data-section-index="', case when page_id % 3 = 0 then 2 else 3 end, '" style="order:', case when page_id % 4 = 0 then 2 else 1 end, '">three</section></div>'""",
+    """repeat('<p><a href="#b">to two</a></p>', cast(page_id % 3 as int)), '<div style="display:inline-grid">', case when page_id % 2 = 0 then 'x' else '' end, '</div>'""",
+    page="""replace(html, '<p>', '<p data-slot-id="text">')""",
+)
+
+
+@query("page_edit_violations", r"""with p as (select page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<article>.*</article>'), '<p>')) as paragraphs from pages)
+  select * from (select page_id, unnest(['no_orphaned_nav_entries', 'no_empty_grid_cells', 'contiguous_section_ordering', 'spacing_scale_invariance', 'no_dangling_slot_references']) as rule,
+  unnest([page_id % 3, page_id % 2 + (page_id % 6 = 5)::bigint, (page_id % 3 > 0)::bigint + (page_id % 4 = 0)::bigint, (page_id % 5 = 1)::bigint, case when page_id % 2 = 1 then paragraphs else 0 end::bigint]) as n from p) where n > 0""")
+def page_edit_violations(spark, sf_dir):
+    """What careless edits of each page broke, by rule: a box that went without its menu entry and numbers, new spacing,
+    grids left empty, and articles that were to go but, on every other page, stay with their slots."""
+    pages = table(spark, sf_dir, "pages")
+    before = checkpointed(nodes.parse_html(pages.select("page_id", F.expr(_BOXES).alias("html"))))
+    after = nodes.parse_html(pages.select("page_id", F.expr(_EDITED).alias("html")))
+    after = checkpointed(after.where("page_id % 2 = 1 or path not like 'root > article:%'"))
+    removed = before.where("depth = 1 and tag = 'article'").select("page_id", "path")
+    return versions.violations(before, after, removed).groupBy("page_id", "rule").agg(F.count("*").alias("n"))
+
+
+#: What stops a page from losing more: a link outside a menu, a box that empties its grid, or spacing that is moved from an
+#: element whose own is another. The menu goes first, then the one box of the grid, then the footer.
+_CHAIN = _put(
+    """'<div style="display:grid">', case when page_id % 4 = 0 then '' else '<b>x</b>' end, '<section id="box"></section></div>', case when page_id % 5 = 0 then '<p><a href="#box">x</a></p>' else '<ul><li><a href="#box">x</a></li></ul>' end""",
+    """'<i style="margin-bottom:0px">i</i><form style="margin-bottom:', page_id % 3, 'px">f</form><u>u</u>'""",
+)
 
 
-@query("page_sections_removed", "select page_id, case when page_id % 3 = 0 then 2 else 3 end as applied, page_id % 3 > 0 as passed, case when page_id % 3 = 0 then 1 else 0 end::bigint as articles from pages")
+@query("page_sections_removed", """select page_id, case when page_id % 4 = 0 or page_id % 5 = 0 then 2 else 3 end as applied, page_id % 4 > 0 and page_id % 5 > 0 as passed,
+  (page_id % 5 = 0)::bigint as links, case when page_id % 4 = 0 or page_id % 5 = 0 then '0px' else case when page_id % 3 = 0 then '0px' else (page_id % 3) || 'px' end end as margin from pages""")
 def page_sections_removed(spark, sf_dir):
-    """Menu, footer and article removed in turn; where a link to the footer is left over, it ends there."""
-    tree = checkpointed(nodes.parse_html(table(spark, sf_dir, "pages").select("page_id", F.expr(_LINKED).alias("html"))))
-    step = F.when(F.col("tag") == "nav", 1).when(F.col("tag") == "footer", 2).when(F.col("tag") == "article", 3)
-    removals = tree.where("depth = 1").select("page_id", step.alias("step"), "path").where("step is not null")
-    left, done = workflows.remove_sections(tree, removals, integrity)
-    articles = left.where("tag = 'article'").groupBy("page_id").agg(F.count("*").alias("articles"))
-    return done.join(articles, "page_id", "left").select("page_id", "applied", "passed", F.coalesce("articles", F.lit(0)).cast("long").alias("articles"))
+    """Menu, box and form removed in turn: a page stops where a link to the box is left over or its grid is left empty; where
+    the form goes its margin moves to the element before it."""
+    tree = checkpointed(versions.with_slots(nodes.parse_html(table(spark, sf_dir, "pages").select("page_id", F.expr(_CHAIN).alias("html")))))
+    step = F.when((F.col("tag") == "nav") & (F.col("depth") == 1), 1).when(nodes.attribute("id") == "box", 2).when(F.col("tag") == "form", 3)
+    removals = tree.select("page_id", step.alias("step"), "path").where("step is not null")
+    left, done = workflows.remove_sections(tree, removals, versions.violations)
+    links = left.where("tag = 'a'").where(nodes.attribute("href") == "#box").groupBy("page_id").agg(F.count("*").alias("links"))
+    margins = versions.inline_styles(left.where("tag = 'i'")).where("prop = 'margin-bottom'").select("page_id", F.col("value").alias("margin"))
+    return done.join(links, "page_id", "left").join(margins, "page_id", "left").select("page_id", "applied", "passed", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "margin")
 
 
 @query("page_read_only_sections", "select page_id, 'footer' as tag from pages where contains(html, '<footer>')")

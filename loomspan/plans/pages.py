@@ -14,12 +14,15 @@ _NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
+#: The same in one scan: what is no markup takes part without a group; an address comes with its quotes.
+_SCAN = _NOT_MARKUP + r"""|<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, pos, href) of every anchor that has an address, in page order."""
-    pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", _NOT_MARKUP, ""))
-    ways = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(_HREF), F.lit(i)).alias(f"w{i}") for i in (1, 2, 3)))
-    found = F.posexplode(F.transform(ways, lambda w: F.concat(w["w1"], w["w2"], w["w3"]))).alias("pos", "href")
-    return pages.select("page_id", "url", found).withColumn("pos", F.col("pos") + 1)
+    raw = F.filter(F.regexp_extract_all("html", F.lit(_SCAN), F.lit(1)), lambda r: r != "")
+    hrefs = F.transform(raw, lambda r: F.when(F.substring(r, 1, 1).isin('"', "'"), F.substr(r, F.lit(2), F.length(r) - 2)).otherwise(r))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(hrefs).alias("pos", "href")).withColumn("pos", F.col("pos") + 1)
 
 
 _DUCK_CLEAN = f"regexp_replace(html, {sql_text(_NOT_MARKUP)}, '', 'g')"
@@ -66,6 +69,16 @@ def page_links_resolved(spark, sf_dir):
     return links(spark, sf_dir).select("page_id", F.col("pos").cast("long").alias("pos"), urls.resolve(F.col("url"), F.col("href")).alias("target"))
 
 
+@query("page_links_relative", f"""select page_id, pos, regexp_extract(url,'^([a-zA-Z]+://[^/?#]*)',1) || case page_id % 4 when 0 then '/d1/d2/' when 1 then '/d1/' else '/' end || substr(href, 2) || case when page_id % 2 = 0 then '/' else '?q=../x' end as target
+  from {_DUCK_LINKS} where regexp_matches(href, '^/[^/?#]+$')""")
+def page_links_relative(spark, sf_dir):
+    """Anchors as they would be written relative to a page two folders down, with dots to leave folders, made absolute."""
+    x = links(spark, sf_dir).where(F.col("href").rlike("^/[^/?#]+$"))
+    base = F.concat(F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]*)", 1), F.lit("/d1/d2/page.html?x=/y/"))
+    ref = F.concat(F.repeat(F.lit("../"), (F.col("page_id") % 4).cast("int")), F.lit("./"), F.substr("href", F.lit(2)), F.when(F.col("page_id") % 2 == 0, "/z/..#part").otherwise("?q=../x"))
+    return x.select("page_id", F.col("pos").cast("long").alias("pos"), urls.resolve(base, ref).alias("target"))
+
+
 @query("page_unfetchable_links", f"""select page_id, count(*)::bigint as n_links, count(*) filter (where regexp_matches(lower(trim(href)),'^(#|javascript:|mailto:|tel:|about:|blob:)'))::bigint as n_unfetchable from {_DUCK_LINKS} group by 1""")
 def page_unfetchable_links(spark, sf_dir):
     return links(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if(urls.is_unfetchable(F.col("href"))).alias("n_unfetchable"))

@@ -88,7 +88,7 @@ def _rich_nodes(spark, sf_dir):
 @query("page_repeats", "select page_id, 'team' as role, page_id % 4 as instances from pages")
 def page_repeats(spark, sf_dir):
     """Instances of the repeated part of each page's team."""
-    return sections.repeats(_rich_nodes(spark, sf_dir)).select("page_id", "role", F.col("instances").cast("long").alias("instances"))
+    return sections.repeats(checkpointed(_rich_nodes(spark, sf_dir))).select("page_id", "role", F.col("instances").cast("long").alias("instances"))
 
 
 @query("page_orphaned_anchors", "select page_id, 'gone' as target, page_id % 3 as n from pages where page_id % 3 > 0")
@@ -121,9 +121,18 @@ def page_cascade(spark, sf_dir):
     return styles.cascade(_styled(spark, sf_dir)).groupBy("page_id").agg(F.countDistinct("node_id").alias("styled"))
 
 
-@query("page_computed_styles")
+#: At the end of a page's body, an element with a colour and a variable, so many elements within, and text in the last.
+_NESTED = """concat(replace(replace(html, '</body>', ''), '</html>', ''), '<div style="color:red;--gap:4px">', repeat('<div>', cast(page_id % 40 as int)), '<p style="margin:var(--gap);width:var(--none, 1px)">x<i style="color:blue">y</i></p>',
+  repeat('</div>', cast(page_id % 40 as int)), '</div></body></html>')"""
+
+
+@query("page_computed_styles", r"""select * from (select page_id, unnest(['margin', 'color', 'color', 'color', 'margin', 'width']) as prop, unnest(['0', 'red', 'red', 'blue', '4px', '1px']) as value, unnest([true, true, false, true, true, true]) as own,
+  unnest([len(regexp_extract_all(html, '<p[\s>]'))::bigint, 1, 1 + page_id % 40, 1, 1, 1]) as n from pages) where n > 0""".replace("\\\\", "\\"))
 def page_computed_styles(spark, sf_dir):
-    return styles.inherit(page_nodes(spark, sf_dir), styles.cascade(_styled(spark, sf_dir)))
+    """Computed values of each page: how many elements have them of their own, or from an element around them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(_NESTED).alias("html"), F.lit("").alias("css"))
+    found = styles.inherit(nodes.parse_html(pages), styles.cascade(styles.match(pages)))
+    return found.groupBy("page_id", "prop", "value", "own").agg(F.count("*").alias("n"))
 
 
 #: Colours, fonts, sizes and spacing of each page; there is no background, as long as every fifth page has nothing at all.
@@ -152,14 +161,21 @@ def page_compiled_vue(spark, sf_dir):
     return markup.compile_vue(page_nodes(spark, sf_dir), page_tokens(spark, sf_dir))
 
 
-@query("page_structural_score", """select page_id, round((1 + n - k)::double / (1 + n + k) * 100, 2) as structural_score from (select page_id, n, least(n, page_id % 4) as k from (select page_id, len(regexp_extract_all(html,'<p[\\s>]')) as n from pages))""".replace("\\\\", "\\"))
+@query("page_structural_score", r"""select page_id, case page_id % 3 when 0 then round((1 + n - k)::double / (1 + n + k) * 100, 2) when 1 then round((2 + n)::double / (5 + n) * 100, 2)
+  else round((2 + 2 * k)::double / (2 + 2 * k + n) * 100, 2) end as structural_score from (select page_id, n, least(n, page_id % 4) as k from (select page_id, len(regexp_extract_all(html,'<p[\s>]')) as n from pages))""".replace("\\\\", "\\"))
 def page_structural_score(spark, sf_dir):
-    """As many paragraphs as each page has, against the same of which the last few have another id: these match nothing."""
+    """As many paragraphs as each page has, in a version against another: the last few with another id, which match nothing;
+    the first of two like boxes alone, which is the one that it is taken for; and what is left when all before it goes."""
     x = table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"<p[\s>]")).alias("n"))
     x = x.withColumn("k", F.least("n", F.col("page_id") % 4).cast("int"))
     body = lambda *parts: F.concat(F.lit("<body>"), *(F.expr(p) for p in parts), F.lit("</body>"))
-    pairs = x.select("page_id", body("repeat('<p>x</p>', n)").alias("original"), body("repeat('<p>x</p>', n - k)", "repeat('<p id=\"e\">x</p>', k)").alias("other"))
-    return markup.structural_score(pairs).select("page_id", "structural_score")
+    kinds = [
+        (body("repeat('<p>x</p>', n)"), body("repeat('<p>x</p>', n - k)", "repeat('<p id=\"e\">x</p>', k)")),
+        (body("'<nav></nav><div>'", "repeat('<p>x</p>', n)", "'</div><hr><div><ul></ul></div>'"), body("'<div>'", "repeat('<p>x</p>', n)", "'</div>'")),
+        (body("repeat('<i></i>', n)", "'<div class=\"a b\"></div>'", "repeat('<b></b><u></u>', k)"), body("'<div class=\"b  a\"></div>'", "repeat('<b></b><u></u>', k)")),
+    ]
+    of = lambda i: F.element_at(F.array(*(kind[i] for kind in kinds)), (F.col("page_id") % 3 + 1).cast("int"))
+    return markup.structural_score(x.select("page_id", of(0).alias("original"), of(1).alias("other"))).select("page_id", "structural_score")
 
 
 #: What must go, and what must stay, in different numbers on each page.

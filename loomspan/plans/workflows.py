@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.operators import nodes, sections, workflows
@@ -74,16 +75,48 @@ def page_minted_classes(spark, sf_dir):
     return workflows.minted_classes(nodes.parse_html(pages)).select("page_id", "style", "n")
 
 
+def _order_events(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.row_number().over(_by_line()).alias("n"))
+    kinds = F.when(F.col("n") == 1, F.array(F.lit("enqueue"), F.lit("claim"))).when(F.col("n") == 4, F.array(F.lit("complete"))).otherwise(F.array(F.lit("heartbeat")))
+    return x.select("job_id", "n", F.posexplode(kinds).alias("i", "kind")).select("job_id", (F.col("n") * 10 + F.col("i")).alias("seq"), (F.col("n") * 60.0).alias("t"), "kind", F.lit("w").alias("token"))
+
+
 @query("order_job_states", """select l_orderkey as job_id, case when count(*) > 3 then 'completed' else 'running' end as status from lineitem group by 1""")
 def order_job_states(spark, sf_dir):
     """Orders as jobs: queued and claimed by the first line, each further line a beat, the fourth completes."""
-    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.row_number().over(_by_line()).alias("n"))
-    kinds = F.when(F.col("n") == 1, F.array(F.lit("enqueue"), F.lit("claim"))).when(F.col("n") == 4, F.array(F.lit("complete"))).otherwise(F.array(F.lit("heartbeat")))
-    events = x.select("job_id", "n", F.posexplode(kinds).alias("i", "kind")).select("job_id", (F.col("n") * 10 + F.col("i")).alias("seq"), (F.col("n") * 60.0).alias("t"), "kind", F.lit("w").alias("token"))
-    return workflows.job_states(events).select("job_id", "status")
+    return workflows.job_states(_order_events(spark, sf_dir)).select("job_id", "status")
 
 
-def _by_line():
-    from pyspark.sql import Window
+#: Lines of an order as a job's events: claimed by the first, then beats; the fourth completes it. The order's customer is
+#: the project. Jobs of few lines go on, fail for good (two lines), or fall silent and are open again.
+_JOB_OF = "case when n > 3 then 'completed' when n = 2 then 'failed' end"
 
+
+@query("project_job_updates", f"""with jobs as (select l_orderkey as job, count(*) as n from lineitem group by 1),
+  ended as (select o_custkey, o_orderkey, {_JOB_OF} as status, o_orderkey * 1000.0 + case when n > 3 then 240 else 120 end as ended, round(o_totalprice / 1000, 2) as fidelity from jobs join orders on o_orderkey = job),
+  last as (select o_custkey, arg_max(status, (ended, o_orderkey)) as status, arg_max(fidelity, (ended, o_orderkey)) filter (status = 'completed') as fidelity, max(ended) filter (status = 'completed') as completed_at
+  from ended where status is not null group by 1)
+  select c_custkey as project_id, coalesce(status, 'processing') as status, fidelity, completed_at from customer left join last on o_custkey = c_custkey""")
+def project_job_updates(spark, sf_dir):
+    """Customers as projects of which orders are the jobs: the state of each after all that happened to its jobs."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("project_id"), F.round(F.col("o_totalprice") / 1000, 2).alias("fidelity"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.row_number().over(_by_line()).alias("n"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("lines"))
+    kinds = F.when(F.col("n") == 1, F.array(F.lit("enqueue"), F.lit("claim"))).when(F.col("n") == 4, F.array(F.lit("complete"))).when(F.col("lines") == 2, F.array(F.lit("fail_permanent"))).otherwise(F.array(F.lit("heartbeat")))
+    events = lines.select("job_id", "n", F.posexplode(kinds).alias("i", "kind"))
+    events = events.select("job_id", (F.col("n") * 10 + F.col("i")).alias("seq"), (F.col("job_id") * 1000.0 + F.col("n") * 60).alias("t"), "kind", F.lit("w").alias("token"))
+    jobs = workflows.job_states(events).join(orders, "job_id")
+    nothing = F.lit(None)
+    projects = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("project_id"), F.lit("processing").alias("status"), nothing.cast("double").alias("fidelity"), nothing.cast("double").alias("completed_at"), nothing.cast("struct<ended:double,job_id:bigint>").alias("at")
+    )
+    return workflows.apply_updates(projects, workflows.project_updates(jobs)).select("project_id", "status", "fidelity", "completed_at")
+
+
+@query("job_states_at", """select l_orderkey as job_id, case when count(*) > 3 then 'completed' when 1900 - 60 * count(*) > 1800 then 'pending' else 'running' end as status, case when count(*) > 3 then 240.0::double end as ended from lineitem group by 1""")
+def job_states_at(spark, sf_dir):
+    """Orders as jobs, seen 1900 seconds on: those that had one beat alone have been silent for too long and are open again."""
+    return workflows.job_states(_order_events(spark, sf_dir), until=1900.0).select("job_id", "status", "ended")
+
+
+def _by_line():
     return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +19,47 @@ KNOWLEDGE = "url string, category string, key string, value string"
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A parquet table, or an empty one of that schema if there is none yet."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+    fs_path, fs = _file_system(spark, path)
+    if not fs.exists(fs_path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return fs_path, fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def batch_numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions at path that were written whole, in order (see commit_batch)."""
+    folder, fs = _file_system(spark, path)
+    if not fs.exists(folder):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(folder)]
+    whole = [n for n in names if n.startswith("batch=") and fs.exists(_file_system(spark, f"{path}/{n}/_SUCCESS")[0])]
+    return sorted(int(n.removeprefix("batch=")) for n in whole)
+
+
+def commit_batch(spark: SparkSession, path: str, batch_id: int, merge: Callable[[DataFrame], DataFrame], keep: int = 2) -> bool:
+    """The table at path after a micro-batch: merge(table before) written as version batch_id; False, and nothing done, if
+    that version or a later one is there, so that a batch that is replayed after a failure changes nothing. A version that
+    was cut off has no _SUCCESS: it does not count and is written over. The last `keep` versions stay, for readers."""
+    found = batch_numbers(spark, path)
+    if not found:
+        raise ValueError(f"there is no table at {path}: write its first version, such as batch=-1")
+    if found[-1] >= batch_id:
+        return False
+    merge(spark.read.parquet(f"{path}/batch={found[-1]}")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    for number in [*found, batch_id][:-keep]:
+        old, fs = _file_system(spark, f"{path}/batch={number}")
+        fs.delete(old, True)
+    return True
+
+
+def latest_batch(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/batch={batch_numbers(spark, path)[-1]}")
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """The latest row of each key; equal columns on both sides."""
     rows = current.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))

@@ -32,6 +32,33 @@ def sliding_window(events: DataFrame, most: int, seconds: float) -> DataFrame:
     return x.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInPandas(fold, "event_id long, admitted boolean")
 
 
+def sliding_window_stream(events: DataFrame, most: int, seconds: float, late: str = "1 minute") -> DataFrame:
+    """The same decisions from a stream: a key's state is the times of the hits admitted last, at most `most`, and goes when
+    the watermark passes the last of them by `seconds`, with no hit of the key's own. Hits of a key are decided in order of
+    time within a micro-batch; one that comes later than others of its key were decided is judged by what was admitted."""
+
+    def decide(key, batches, state):
+        recent = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
+        admitted = []
+        for t in rows["t"]:
+            ok = sum(t - seconds < x <= t for x in recent) < most
+            if ok:
+                recent = sorted([*recent, float(t)])[-most:]
+            admitted.append(ok)
+        if recent:
+            state.update((recent,))
+            state.setTimeoutTimestamp(max(int((recent[-1] + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "admitted": admitted})
+
+    ts = F.col("ts").cast("timestamp")
+    x = events.select("event_id", "user_id", ts.alias("ts"), (F.unix_micros(ts) / 1e6).alias("t")).withWatermark("ts", late)
+    return x.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, admitted boolean", "recent array<double>", "append", "EventTimeTimeout")
+
+
 def fixed_window_stream(events: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:
     """Hits for each key and window of a stream of events(ts, user_id), with a watermark: what a fixed-window limiter
     counts. Append mode gives each window once it can't change any more."""

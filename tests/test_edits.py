@@ -7,8 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from loomspan.operators import ingest, markup, nodes, sections, styles, workflows
-from loomspan.plans.evaluation import integrity
+from loomspan.operators import ingest, markup, nodes, sections, styles, versions, workflows
 from loomspan.streaming.telemetry import queued, telemetry_stream
 
 
@@ -48,10 +47,10 @@ def test_removals_end_at_the_first_that_breaks_a_page(spark):
     pages = [(1, "<body><nav>m</nav><section id=a>x</section><p><a href='#a'>to a</a></p><footer>f</footer></body>"), (2, "<body><nav>m</nav><section>x</section><footer>f</footer></body>")]
     tree = nodes.parse_html(spark.createDataFrame(pages, "page_id long, html string"))
     step = F.when(F.col("tag") == "nav", 1).when(F.col("tag") == "section", 2).when(F.col("tag") == "footer", 3)
-    left, done = workflows.remove_sections(tree, tree.where("depth = 1").select("page_id", step.alias("step"), "path").where("step is not null"), integrity)
+    left, done = workflows.remove_sections(tree, tree.where("depth = 1").select("page_id", step.alias("step"), "path").where("step is not null"), versions.violations)
     assert {(r.page_id, r.applied, r.passed) for r in done.collect()} == {(1, 2, False), (2, 3, True)}
     assert {(r.page_id, r.tag) for r in left.where("depth = 1").collect()} == {(1, "p"), (1, "footer")}
-    assert workflows.remove_sections(tree, spark.createDataFrame([], "page_id long, step int, path string"), integrity)[1].count() == 0
+    assert workflows.remove_sections(tree, spark.createDataFrame([], "page_id long, step int, path string"), versions.violations)[1].count() == 0
 
 
 def test_generated_styles_and_own_declarations(spark):

@@ -1,6 +1,8 @@
 import io
+import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import prompts
@@ -58,14 +60,66 @@ def test_jobs(spark):
     assert out == {1: ("completed", 2, 1), 2: ("running", 2, 1), 3: ("failed", 3, 0), 4: ("failed", 1, 0)}
 
 
-def test_job_stream_agrees_with_the_batch(spark, tmp_path):
-    schema = "job_id long, seq int, t double, kind string, token string"
-    rows = [(1, 0, 0.0, "enqueue", None), (1, 1, 1.0, "claim", "a"), (1, 2, 2.0, "complete", "a"), (2, 0, 0.0, "enqueue", None)]
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = workflows.job_state_stream(stream).writeStream.outputMode("update").format("memory").queryName("jobs").trigger(availableNow=True).start()
-    query.awaitTermination(90)
-    assert {(r.job_id, r.status) for r in spark.sql("select * from jobs").collect()} == {(1, "completed"), (2, "pending")}
+JOB_EVENTS = "job_id long, seq int, t double, kind string, token string"
+
+
+def run_stream(spark, tmp_path, batches, name, schema, make):
+    """Rows that a stream gives over batches of rows, a file each, in order; an empty batch at the end lets timers fire."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        part = next((tmp_path / f"b{i}").glob("part-*"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = make(stream).writeStream.outputMode("update" if name == "jobs" else "append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return spark.sql(f"select * from {name}").collect()
+
+
+def test_silent_jobs_are_reopened_without_an_event(spark, tmp_path):
+    T = 1_000_000.0
+    batches = [
+        [(1, 0, T, "enqueue", None), (1, 1, T + 1, "claim", "a"), (2, 0, T, "enqueue", None), (2, 1, T + 1, "claim", "a"), (3, 0, T, "enqueue", None)],
+        [(1, 2, T + 900, "heartbeat", "a"), (3, 1, T + 901, "claim", "c")],
+        [(9, 0, T + 1900, "enqueue", None)],
+        [(9, 1, T + 1910, "claim", "z")],
+        [(2, 2, T + 2501, "complete", "a")],
+        [(1, 3, T + 2560, "complete", "a"), (3, 2, T + 2561, "fail_permanent", "c")],
+    ]
+    found = run_stream(spark, tmp_path, batches, "jobs", JOB_EVENTS, workflows.job_state_stream)
+    seen = [(r.job_id, r.status, r.discarded) for r in found]
+    assert (2, "pending", 0) in seen  # its timer passed between its own events
+    last = {r.job_id: tuple(r)[1:] for r in found}
+    every = [e for b in batches for e in b]
+    whole = workflows.job_states(spark.createDataFrame(every, JOB_EVENTS), until=T + 2500)
+    assert last == {r.job_id: tuple(r)[1:] for r in whole.collect()}
+    assert last[2][:3] == ("pending", 1, 1) and last[1][0] == "completed" and last[3][0] == "failed"
+
+
+def test_jobs_at_a_time(spark):
+    rows = [(1, 0, 0.0, "enqueue", None), (1, 1, 1.0, "claim", "a"), (2, 0, 0.0, "enqueue", None), (2, 1, 500.0, "claim", "b")]
+    at = lambda until: {r.job_id: r.status for r in workflows.job_states(spark.createDataFrame(rows, JOB_EVENTS), until=until).collect()}
+    assert at(1801.0) == {1: "running", 2: "running"} and at(1801.5) == {1: "pending", 2: "running"} and at(None) == at(0.0)
+
+
+def test_replayed_batches_change_no_project(spark, tmp_path):
+    path, table = str(tmp_path / "projects"), "project_id long, status string, fidelity double, completed_at double, at struct<ended:double,job_id:bigint>"
+    spark.createDataFrame([(i, "processing", None, None, None) for i in (1, 2, 3)], table).write.parquet(f"{path}/batch=-1")
+    jobs = lambda *rows: workflows.project_updates(spark.createDataFrame(rows, "job_id long, project_id long, status string, fidelity double, ended double"))
+    show = lambda: {r.project_id: (r.status, r.fidelity, r.completed_at) for r in tables.latest_batch(spark, path).collect()}
+    first = jobs((10, 1, "completed", 91.5, 5.0), (11, 1, "running", 1.0, None), (12, 2, "failed", None, 4.0), (13, 2, "completed", 80.0, 3.0), (14, 9, "completed", 1.0, 1.0))
+    assert tables.commit_batch(spark, path, 0, lambda old: workflows.apply_updates(old, first))
+    assert show() == {1: ("completed", 91.5, 5.0), 2: ("failed", 80.0, 3.0), 3: ("processing", None, None)}
+    assert not tables.commit_batch(spark, path, 0, lambda old: 1 / 0)
+    later = jobs((15, 1, "failed", None, 9.0), (16, 3, "completed", 70.0, 2.0))
+    (tmp_path / "projects" / "batch=1").mkdir()  # what a lost run left of batch 1
+    assert tables.commit_batch(spark, path, 1, lambda old: workflows.apply_updates(old, later))
+    assert show() == {1: ("failed", 91.5, 5.0), 2: ("failed", 80.0, 3.0), 3: ("completed", 70.0, 2.0)}
+    assert tables.commit_batch(spark, path, 2, lambda old: workflows.apply_updates(old, first)) and show()[1] == ("failed", 91.5, 5.0)
+    assert tables.batch_numbers(spark, path) == [1, 2]
+    with pytest.raises(ValueError):
+        tables.commit_batch(spark, str(tmp_path / "none"), 0, lambda old: old)
 
 
 def test_removal_plan(spark):
