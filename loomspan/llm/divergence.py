@@ -77,7 +77,8 @@ def term_vectors(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     how often, by source: array of (source, n). The empty term's vector names all sources of a language."""
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     counts = texts.mapInArrow(_counts, "lang string, source string, term string, n long, docs long")
-    counts = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have added up what they could: both groupings go by one exchange of what they pass on.
+    counts = counts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     vectors = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("vector"))
     return vectors.where((F.col("docs") >= least) | (F.col("term") == "")).select("lang", "term", "vector")
 
