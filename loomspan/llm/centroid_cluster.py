@@ -26,6 +26,8 @@ CLUSTERS, ROUNDS, SCALE = 16, 3, 64
 ANCHORS, CHUNK = 64, 2048
 #: Components (in magnitude, as whole numbers) from here on have squared distances that need not fit a long.
 TOO_LARGE = 1 << 27
+#: Sums of distances above the largest long are given as that.
+LARGEST = (1 << 63) - 1
 #: Whole numbers below this have exact squared distances as sums of products in doubles.
 _PRODUCTS = 1 << 21
 #: Rounding allowed for in bounds, as a share of what they are formed of.
@@ -272,7 +274,7 @@ def cluster(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedd
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256), a row for each kept vector.
 
     Kept are vectors of exactly 64 components, none null or not finite; component x counts as floor(64 * x). Vectors
-    with a component of 2**21 or more in magnitude are not kept, as their distances need not fit a long. Centroids start
+    with a component of 2**21 or more in magnitude are not kept, as their distances need not fit a long; an inertia above the largest long is given as that. Centroids start
     as the vectors with the smallest hash of seed and id (rows of one id by their components; rows without an id last).
     Fewer vectors than clusters make fewer clusters. A tie goes to the smaller cluster, a centroid without vectors
     stays. Repeated rows count as often as they are there. An empty table gives an empty table. Other columns are not
@@ -293,6 +295,6 @@ def cluster(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedd
         out = stay(keep(trees.mapInArrow(_assigned(centroids), "vec_id long, cluster int, distance long")))
         sums = {r.cluster: int(r.s) for r in out.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}  # a row a cluster
         names = {c: hashlib.sha256(",".join(map(str, centroids[c].tolist())).encode()).hexdigest() for c in sums}
-        facts = [(c, s, sum(sums.values()), names[c]) for c, s in sums.items()]
+        facts = [(c, min(s, LARGEST), min(sum(sums.values()), LARGEST), names[c]) for c, s in sums.items()]
         named = out.sparkSession.createDataFrame(facts, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
         return out.join(F.broadcast(named), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
