@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.urls import LOCAL_NAMES, PIXEL_PATTERNS, SAFE_SCHEMES, TRACKER_DOMAINS  # noqa: F401
-from loomspan.operators.nodes import VOID, Element, find, parse
+from loomspan.operators.nodes import VOID, Element, attribute, find, parse
 
 # Elements that sanitized markup never has.
 UNSAFE = frozenset("script style meta noscript link title head iframe object embed applet".split())
@@ -24,31 +24,136 @@ def open_tag(tag: str, attrs: list[tuple[str, str]]) -> str:
     return "<" + tag + "".join(f' {k}="{v.replace(chr(38), "&amp;").replace(chr(34), "&quot;")}"' for k, v in attrs) + ">"
 
 
-def compile_html(nodes: DataFrame) -> DataFrame:
-    """(page_id, html): each page's tree as markup, from its nodes in order.
+def _quoted(a: F.Column) -> F.Column:
+    """An attribute as markup has it."""
+    return F.concat(F.lit(" "), a["k"], F.lit('="'), F.replace(F.replace(a["v"], F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
 
-    Every node yields its opening text; the end tags that fall due before it are those of the nodes whose subtree ended
-    just before. Both are pieces with a place, and a page's pieces are joined in order: no function sees a whole table."""
-    attrs = F.aggregate("attrs", F.lit(""), lambda s, a: F.concat(s, F.lit(" "), a["k"], F.lit('="'), F.replace(F.replace(a["v"], F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"')))
+
+def _serialised(nodes: DataFrame, by: list[str], attribute_text=_quoted, within: DataFrame | None = None, inner: bool = False) -> DataFrame:
+    """(by..., html): the trees of nodes as markup, from their nodes in order.
+
+    Every node yields its opening text; the end tags that fall due after it are those of the nodes whose subtree ends
+    there. Both are pieces with a place, and a tree's pieces are joined in order: no function sees a whole table.
+    within(by..., at, piece) is put right after the opening text of a node; inner leaves the root itself out."""
+    attrs = F.array_join(F.transform("attrs", attribute_text), "")
     opening = F.when(F.col("tag") == "#text", F.col("text_content")).otherwise(F.concat(F.lit("<"), "tag", attrs, F.lit(">")))
-    starts = nodes.select("page_id", F.col("node_id").alias("at"), F.lit(1).alias("phase"), F.lit(0).alias("inner"), opening.alias("piece"))
-    ends = nodes.where((F.col("tag") != "#text") & ~F.col("tag").isin(*sorted(VOID))).select("page_id", F.col("subtree_end").alias("at"), F.lit(2).alias("phase"), (-F.col("node_id")).alias("inner"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("piece"))
+    if inner:  # a root without anything in it still has a text, an empty one
+        opening = F.when(F.col("parent_id").isNull(), "").otherwise(opening)
+    shown = nodes.where("parent_id is not null") if inner else nodes
+    starts = nodes.select(*by, F.col("node_id").alias("at"), F.lit(1).alias("phase"), F.lit(0).alias("inner"), opening.alias("piece"))
+    ends = shown.where((F.col("tag") != "#text") & ~F.col("tag").isin(*sorted(VOID))).select(*by, F.col("subtree_end").alias("at"), F.lit(2).alias("phase"), (-F.col("node_id")).alias("inner"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("piece"))
+    pieces = starts.unionByName(ends)
+    if within is not None:
+        pieces = pieces.unionByName(within.select(*by, "at", F.lit(1).alias("phase"), F.lit(1).alias("inner"), "piece"))
     ordered = F.array_sort(F.collect_list(F.struct("at", "phase", "inner", "piece")))
-    return starts.unionByName(ends).groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), "").alias("html"))
+    return pieces.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), "").alias("html"))
+
+
+def _own_and_shadows(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The pages' own trees, and (page_id, at, html) of the shadow trees that sections.attach_shadows put below hosts."""
+    if "host_id" not in nodes.columns:
+        return nodes, None
+    inner = _serialised(nodes.where("host_id is not null"), ["page_id", "host_id"], inner=True)
+    return nodes.where("host_id is null"), inner.select("page_id", F.col("host_id").alias("at"), "html")
+
+
+def compile_html(nodes: DataFrame, inner: bool = False) -> DataFrame:
+    """(page_id, html): each page's tree as markup, or what is in its root. Shadow trees become declarative shadow roots,
+    templates that come first in their hosts."""
+    own, shadows = _own_and_shadows(nodes)
+    if shadows is not None:
+        shadows = shadows.select("page_id", "at", F.concat(F.lit('<template shadowrootmode="open">'), "html", F.lit("</template>")).alias("piece"))
+    return _serialised(own, ["page_id"], within=shadows, inner=inner)
+
+
+def inject(nodes: DataFrame, values: DataFrame) -> DataFrame:
+    """nodes with values(page_id, slot_id, value) in their slots: in the place of the first text, or of a picture's address.
+    Slots are those that nodes carry (versions.with_slots), else those that they would be given."""
+    from loomspan.operators import sections, versions
+
+    carried = versions.slot_ids(nodes)
+    numbered = sections.slots(nodes).select("page_id", "path", "slot_id").join(carried.select("page_id").distinct(), "page_id", "left_anti")
+    paths = carried.select("page_id", "path", "slot_id").unionByName(numbered)
+    return sections.substitute(nodes, values.join(paths, ["page_id", "slot_id"]).select("page_id", "path", "value"))
+
+
+def compile_document(nodes: DataFrame, pages: DataFrame, media: DataFrame | None = None, states: DataFrame | None = None, rules: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """(page_id, html): standalone documents of pages(page_id, title).
+
+    What inline styles can't say (media, states, rules: see styles.generated_styles) is a sheet in the head, for classes
+    that the nodes wear; inline styles that a page has twice or more become classes that come before it. values(page_id,
+    slot_id, value) are injected."""
+    from loomspan.operators import styles, workflows
+
+    tree = nodes if values is None else inject(nodes, values)
+    minted = workflows.minted_classes(tree)
+    sheets = minted.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("."), "class", F.lit(" { "), "style", F.lit(" }")))), "\n").alias("css")).select("page_id", F.lit(0).alias("part"), "css")
+    worn = tree.select("page_id", "node_id", attribute("style").alias("style")).join(minted, ["page_id", "style"]).select("page_id", "node_id", F.lit(1).alias("part"), "class")
+    if media is not None:
+        classes, generated = styles.generated_styles(media, states, rules)
+        sheets = sheets.unionByName(generated.select("page_id", F.lit(1).alias("part"), "css"))
+        worn = worn.unionByName(classes.select("page_id", "node_id", F.lit(0).alias("part"), "class"))
+    css = sheets.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "css"))), lambda p: p["css"]), "\n").alias("css"))
+    x = compile_html(wear(tree, worn), inner=True).join(pages.select("page_id", "title"), "page_id").join(css, "page_id", "left")
+    style = F.when(F.col("css").isNotNull(), F.concat(F.lit("<style>\n"), "css", F.lit("\n</style>\n"))).otherwise("")
+    head = F.concat(F.lit('<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1">\n<title>'), F.coalesce("title", F.lit("")), F.lit("</title>\n"), style)
+    return x.select("page_id", F.concat(F.lit('<!doctype html>\n<html lang="en">\n<head>\n'), head, F.lit("</head>\n<body>\n"), "html", F.lit("\n</body>\n</html>\n")).alias("html"))
+
+
+def wear(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """nodes that wear classes(page_id, node_id, part, class) besides their own, in order of part. Part 1 stands for the
+    inline style, which goes."""
+    more = classes.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("part", "class"))).alias("more"))
+    x = nodes.join(more, ["page_id", "node_id"], "left")
+    names = F.concat_ws(" ", attribute("class"), F.transform("more", lambda m: m["class"]))
+    rest = F.filter("attrs", lambda a: (a["k"] != "class") & ~((a["k"] == "style") & F.exists("more", lambda m: m["part"] == 1)))
+    return x.withColumn("attrs", F.when(F.col("more").isNull(), F.col("attrs")).otherwise(F.concat(rest, F.array(F.struct(F.lit("class").alias("k"), names.alias("v")))))).select(*nodes.columns)
 
 
 # Attribute names that a component notation spells otherwise.
 JSX_NAMES = {"class": "className", "for": "htmlFor", "tabindex": "tabIndex"}
 
 
+def camel_case(prop: F.Column) -> F.Column:
+    """A style property as a component notation spells it; custom properties keep their name."""
+    parts = F.split(prop, "-")
+    name = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), ""))
+    return F.when(prop.startswith("--"), prop).otherwise(name)
+
+
+def _harmless(declaration: F.Column) -> F.Column:
+    """What safe_style keeps, in the JVM."""
+    low = F.lower(declaration)
+    fine = lambda u: F.when(u.startswith("data:"), F.exists(F.array(*map(F.lit, _DATA)), lambda d: u.startswith(d)) & ~u.rlike("javascript|html")).otherwise(
+        ~u.rlike(r"bad url|about:|invalid|[()\[\]]") & F.regexp_extract(u, "^([a-z][a-z0-9+.-]*):", 1).isin(*SAFE_SCHEMES)
+    )
+    return ~low.rlike("expression|javascript:|behavior:") & F.forall(F.regexp_extract_all(low, F.lit(r"""url\(\s*['"]?(.*?)['"]?\s*\)"""), F.lit(1)), lambda u: fine(F.trim(u)))
+
+
+def style_object(style: F.Column) -> F.Column:
+    """The text of a style attribute as an object of camel-case names: what React takes instead. Unsafe values go."""
+    from loomspan.operators import versions
+
+    text = lambda v: F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    kept = F.filter(versions.declared(style), lambda d: (d["value"] != "") & _harmless(F.concat(d["prop"], F.lit(":"), d["value"])))
+    return F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda d: F.concat(text(camel_case(d["prop"])), F.lit(": "), text(d["value"]))), ", "), F.lit("}"))
+
+
 def compile_jsx(nodes: DataFrame, name: str = "Page") -> DataFrame:
-    """(page_id, jsx): a function component for each page."""
+    """(page_id, jsx): a function component for each page. Styles are objects; shadow roots are static templates."""
     spelled = F.create_map(*(F.lit(x) for kv in JSX_NAMES.items() for x in kv))
-    renamed = nodes.withColumn("attrs", F.transform("attrs", lambda a: F.struct(F.coalesce(F.try_element_at(spelled, a["k"]), a["k"]).alias("k"), a["v"].alias("v"))))
-    text = F.concat(F.lit("{"), F.to_json(F.struct(F.col("text_content").alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("text_content").alias("t")))) - 6), F.lit("}"))
-    renamed = renamed.withColumn("text_content", F.when(F.col("tag") == "#text", text))
+    attribute_text = lambda a: F.when(a["k"] == "style", F.concat(F.lit(" style={"), style_object(a["v"]), F.lit("}"))).otherwise(
+        _quoted(F.struct(F.coalesce(F.try_element_at(spelled, a["k"]), a["k"]).alias("k"), a["v"].alias("v")))
+    )
+    own, shadows = _own_and_shadows(nodes)
+    quoted = F.to_json(F.struct(F.col("text_content").alias("t")))
+    own = own.withColumn("text_content", F.when(F.col("tag") == "#text", F.concat(F.lit("{"), F.substr(quoted, F.lit(6), F.length(quoted) - 6), F.lit("}"))))
+    if shadows is not None:
+        escaped = F.replace(F.replace(F.replace("html", F.lit("\\"), F.lit("\\\\")), F.lit("`"), F.lit("\\`")), F.lit("${"), F.lit("\\${"))
+        shadows = shadows.select("page_id", "at", F.concat(F.lit('<template shadowrootmode="open" dangerouslySetInnerHTML={{ __html: `'), escaped, F.lit("` }} />")).alias("piece"))
     closed = F.regexp_replace("html", r"(<(?:" + "|".join(sorted(VOID)) + r")(?: [^>]*)?)>", "$1 />")
-    return compile_html(renamed).select("page_id", F.concat(F.lit(f"export default function {name}() {{\n  return (\n    "), closed, F.lit("\n  );\n}\n")).alias("jsx"))
+    html = _serialised(own, ["page_id"], attribute_text, shadows)
+    return html.select("page_id", F.concat(F.lit(f"export default function {name}() {{\n  return (\n    "), closed, F.lit("\n  );\n}\n")).alias("jsx"))
 
 
 def compile_vue(nodes: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ SLOT = "data-slot-id"
 _DECLARATION = r"""(?:[^;"'(]|"[^"]*"|'[^']*'|\([^)]*\))+"""
 
 
-def _declared(style: F.Column) -> F.Column:
+def declared(style: F.Column) -> F.Column:
     """Declarations of a style attribute: an array of (prop, value), in order."""
     split = lambda d: F.struct(F.lower(F.trim(F.substring_index(d, ":", 1))).alias("prop"), F.trim(F.regexp_extract(d, "^[^:]*:(?s)(.*)$", 1)).alias("value"))
     return F.transform(F.filter(F.regexp_extract_all(style, F.lit(_DECLARATION), F.lit(0)), lambda d: d.contains(":")), split)
@@ -31,7 +31,7 @@ def _declared(style: F.Column) -> F.Column:
 def inline_styles(nodes: DataFrame) -> DataFrame:
     """(page_id, node_id, path, prop, value) of the style attributes; of a property named twice the last value."""
     x = nodes.select("page_id", "node_id", "path", attribute("style").alias("style")).where("style is not null")
-    x = x.select("page_id", "node_id", "path", F.posexplode(_declared(F.col("style"))).alias("pos", "d"))
+    x = x.select("page_id", "node_id", "path", F.posexplode(declared(F.col("style"))).alias("pos", "d"))
     return x.groupBy("page_id", "node_id", "path", F.col("d.prop").alias("prop")).agg(F.max_by("d.value", "pos").alias("value"))
 
 
@@ -48,7 +48,8 @@ def with_slots(nodes: DataFrame) -> DataFrame:
     return with_attribute(nodes, sections.slots(nodes).select("page_id", "node_id", F.col("slot_id").alias("value")), SLOT)
 
 
-def _slots(nodes: DataFrame) -> DataFrame:
+def slot_ids(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, path, slot_id) of the nodes that carry one."""
     return nodes.select("page_id", "node_id", "path", attribute(SLOT).alias("slot_id")).where("slot_id <> ''")
 
 
@@ -102,8 +103,8 @@ def off_scale(styles_before: DataFrame, styles_after: DataFrame) -> DataFrame:
 def dangling_slots(before: DataFrame, after: DataFrame, removed: DataFrame) -> DataFrame:
     """Slots of removed(page_id, path) subtrees that are still there."""
     gone = before.join(removed.select("page_id", "path").distinct(), ["page_id", "path"]).select("page_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))
-    slots = _slots(before).join(gone, "page_id").where("node_id between a and b").select("page_id", "slot_id").distinct()
-    return _slots(after).join(slots, ["page_id", "slot_id"], "left_semi").select("page_id", F.lit(DANGLING).alias("rule"), "path", F.concat(F.lit("Dangling slot_id reference '"), "slot_id", F.lit("' remains in tree.")).alias("detail"))
+    slots = slot_ids(before).join(gone, "page_id").where("node_id between a and b").select("page_id", "slot_id").distinct()
+    return slot_ids(after).join(slots, ["page_id", "slot_id"], "left_semi").select("page_id", F.lit(DANGLING).alias("rule"), "path", F.concat(F.lit("Dangling slot_id reference '"), "slot_id", F.lit("' remains in tree.")).alias("detail"))
 
 
 def violations(before: DataFrame, after: DataFrame, removed: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def reflow(nodes: DataFrame, plan: DataFrame) -> DataFrame:
     number = F.try_element_at("set", F.lit("data-section-index"))
     numbered = F.transform("attrs", lambda a: F.struct(a["k"].alias("k"), F.when((a["k"] == "data-section-index") & number.isNotNull(), number).otherwise(a["v"]).alias("v")))
     styles = F.filter(F.map_entries("set"), lambda e: e["key"] != "data-section-index")
-    kept = F.filter(_declared(F.coalesce(attribute("style"), F.lit(""))), lambda d: ~F.map_contains_key("set", d["prop"]))
+    kept = F.filter(declared(F.coalesce(attribute("style"), F.lit(""))), lambda d: ~F.map_contains_key("set", d["prop"]))
     text = F.array_join(F.concat(F.transform(kept, lambda d: F.concat(d["prop"], F.lit(": "), d["value"])), F.transform(styles, lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "; ")
     styled = F.concat(F.filter(numbered, lambda a: a["k"] != "style"), F.array(F.struct(F.lit("style").alias("k"), text.alias("v"))))
     attrs = F.when(F.col("set").isNull(), F.col("attrs")).when(F.size(styles) == 0, numbered).otherwise(styled)

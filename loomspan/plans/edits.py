@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import prompts
-from loomspan.operators import ingest, nodes, sections, styles, versions, workflows
+from loomspan.operators import ingest, markup, nodes, sections, styles, versions, workflows
 from loomspan.plans.rasters import TOLERANCE
 from loomspan.plans.registry import query
 from loomspan.session import checkpointed, table
@@ -93,6 +93,42 @@ def page_sections_removed(spark, sf_dir):
     return done.join(links, "page_id", "left").join(margins, "page_id", "left").select("page_id", "applied", "passed", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "margin")
 
 
+#: Boxes of one inline style, some of them, a text to be replaced, and a part with a style for its hover.
+_COMPILED = _put("""repeat('<div style="color:red">a</div>', cast(page_id % 4 as int)), '<p data-slot-id="greeting">old words</p><a id="more" class="own">more</a>'""")
+_HAS_SHADOW = "(page_id % 3 = 0 and contains(html, '<footer>'))::bigint"
+
+
+@query("page_compiled_document", rf"""select page_id, {_HAS_SHADOW} as templates, {_HAS_SHADOW} * (page_id % 4) as shadow_parts, 1::bigint as injected, case when page_id % 4 > 1 then page_id % 4 else 0 end as minted,
+  1 + len(regexp_extract_all(html, '<p[\s>]'))::bigint as paragraphs, concat(case when page_id % 4 > 1 then '.style-1 {{ color:red }}' || chr(10) else '' end, '.gen-r1:hover {{ top: ', page_id % 7, 'px }}') as css, concat('Page ', page_id) as title from pages""")
+def page_compiled_document(spark, sf_dir):
+    """Standalone documents: shadow roots as templates, a value in its slot, and classes for styles that repeat or can't be
+    inline. What each holds is counted in the markup."""
+    pages = table(spark, sf_dir, "pages")
+    tree = nodes.parse_html(pages.select("page_id", F.expr(_COMPILED).alias("html")))
+    inner = nodes.parse_html(pages.where("page_id % 3 = 0").select("page_id", F.expr("concat('<body>', repeat('<b>s</b>', cast(page_id % 4 as int)), '</body>')").alias("html")))
+    tree = checkpointed(sections.attach_shadows(tree, inner.withColumn("host", F.lit("body:nth-of-type(1) > footer:nth-of-type(1)"))))
+    values = pages.select("page_id", F.lit("greeting").alias("slot_id"), F.concat(F.lit("Hello "), F.col("page_id").cast("string")).alias("value"))
+    more = tree.where(nodes.attribute("id") == "more").select("page_id", "node_id", F.lit(":hover").alias("state"), F.lit("top").alias("prop"), F.concat((F.col("page_id") % 7).cast("string"), F.lit("px")).alias("value"), F.lit(1).alias("ord"))
+    nothing = more.where("false").withColumn("media", F.lit("")).drop("state")
+    documents = markup.compile_document(tree, pages.select("page_id", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title")), nothing, more, pages.where("false").select("page_id", F.lit(1).alias("ord"), F.lit("").alias("rule")), values)
+    count = lambda pattern: F.regexp_count("html", pattern).cast("long")
+    return documents.select(
+        "page_id", count(F.lit('<template shadowrootmode="open">')).alias("templates"), count(F.lit("<b>s</b>")).alias("shadow_parts"), count(F.concat(F.lit('<p data-slot-id="greeting">Hello '), F.col("page_id").cast("string"), F.lit("</p>"))).alias("injected"),
+        count(F.lit('<div class="style-1">a</div>')).alias("minted"), count(F.lit("</p>")).alias("paragraphs"), F.regexp_extract("html", "(?s)<style>\n(.*)\n</style>", 1).alias("css"), F.regexp_extract("html", "<title>(.*)</title>", 1).alias("title"),
+    )
+
+
+_JSX = _put("""repeat(concat('<p style="margin-top: ', page_id % 9, 'px; color:red; width: expression(1); -webkit-box-flex: 1; --gap: 2px; background: url(javascript:x)">x<br></p>'), cast(page_id % 3 as int)), '<label for="a" class="k">l</label>'""")
+
+
+@query("page_jsx_styles", """select page_id, array_to_string(list_transform(range(page_id % 3), lambda i: concat('{"marginTop": "', page_id % 9, 'px", "color": "red", "WebkitBoxFlex": "1", "--gap": "2px"}')), ' ') as styles, 1::bigint as labels, page_id % 3 + len(regexp_extract_all(html, '<br'))::bigint as breaks from pages""")
+def page_jsx_styles(spark, sf_dir):
+    """Component text of each page: its style objects, renamed attributes and closed void elements."""
+    jsx = markup.compile_jsx(nodes.parse_html(table(spark, sf_dir, "pages").select("page_id", F.expr(_JSX).alias("html"))))
+    found = F.array_join(F.regexp_extract_all("jsx", F.lit(r"style=\{(\{[^}]*\})\}"), F.lit(1)), " ")
+    return jsx.select("page_id", found.alias("styles"), F.regexp_count("jsx", F.lit('<label htmlFor="a" className="k">')).cast("long").alias("labels"), F.regexp_count("jsx", F.lit("<br />")).cast("long").alias("breaks"))
+
+
 @query("page_read_only_sections", "select page_id, 'footer' as tag from pages where contains(html, '<footer>')")
 def page_read_only_sections(spark, sf_dir):
     """Sections of a known role that have nothing to fill in."""

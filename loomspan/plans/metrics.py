@@ -76,7 +76,10 @@ def quota_exceeded(spark, sf_dir):
     return x.groupBy("user_id").agg(F.count("*").alias("used")).withColumn("exceeded", F.col("used") >= 50)
 
 
-@query("sliding_window_limiter")
+@query("sliding_window_limiter", """with recursive e as (select event_id, user_id, epoch_us(ts) / 1e6 as t, row_number() over (partition by user_id order by ts, event_id) as n from events),
+  s as (select user_id, n, event_id, true as admitted, [t] as recent from e where n = 1
+  union all select user_id, n, event_id, len(r) < 3, case when len(r) < 3 then list_append(r, t) else r end from (select e.*, list_filter(s.recent, lambda x: x > e.t - 86400) as r from s join e on e.user_id = s.user_id and e.n = s.n + 1))
+  select event_id, admitted from s""")
 def sliding_window_limiter(spark, sf_dir):
     """Hits admitted by a limiter that counts admitted hits alone: an ordered fold for each key (see streaming.limiter)."""
     from loomspan.streaming.limiter import sliding_window
