@@ -49,7 +49,7 @@ def normalize_hex(value: Column) -> Column:
 def channels_of_hex(value: Column) -> Column:
     """Three numbers of a hex colour with or without "#", or null."""
     v = _six(F.regexp_replace(F.lower(F.trim(value)), "^#", ""))
-    return F.when(v.rlike("^[0-9a-f]{6}$"), F.array(*(F.conv(F.substring(v, i, 2), 16, 10).cast("int") for i in (1, 3, 5))))
+    return F.when(v.rlike("^[0-9a-f]{6}$"), F.transform(F.array(*map(F.lit, (1, 3, 5))), lambda i: F.conv(F.substr(v, i, F.lit(2)), 16, 10).cast("int")))
 
 
 def distance(a: Column, b: Column) -> Column:

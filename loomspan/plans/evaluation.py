@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators import markup, nodes, sections
-from loomspan.plans.literals import ROLES
+from loomspan.plans.values import ROLES
 from loomspan.plans.pages import _DUCK_LINKS, links
-from loomspan.plans.registry import duck_values, query, sql_text
+from loomspan.plans.registry import query, sql_text
 from loomspan.plans.texts import fit_risks, safety_score
 from loomspan.session import checkpointed, table
 
@@ -48,19 +48,20 @@ def corpus_repurpose_stats(spark, sf_dir):
     return x.agg(F.count("*").alias("pages"), *(f(F.col(m)).cast("double").alias(f"{n}_{m}") for m in measures for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))))
 
 
-_ANSWERS = [
-    (1, '{"section_role":"hero","confidence":0.91,"reasoning":"big heading"}'), (2, '{"section_role":"castle","confidence":0.9,"reasoning":"x"}'), (3, '{"section_role":"faq","confidence":0.5,"reasoning":"x"}'),
-    (4, '{"section_role":"faq","confidence":1.5,"reasoning":"x"}'), (5, '{"section_role":"about","confidence":0.8,"reasoning":" "}'), (6, "not json"), (7, '{"section_role":"team","confidence":0.8,"reasoning":"people"}'),
-]
+#: A model's answer about each document, by its number: well-formed, unsure, of no known role, without reason, or no answer.
+_ANSWER = "case doc_id % 7 " + " ".join(f"when {i} then {v}" for i, v in enumerate((
+    """concat('{"section_role":"hero","confidence":0.', 70 + doc_id % 30, ',"reasoning":"', source, '"}')""", """concat('{"section_role":"', lang, '","confidence":0.9,"reasoning":"x"}')""", """'{"section_role":"faq","confidence":0.5,"reasoning":"x"}'""",
+    """concat('{"section_role":"faq","confidence":', doc_id, '.5,"reasoning":"x"}')""", """'{"section_role":"about","confidence":0.8,"reasoning":" "}'""", "concat('not json ', lang)", """concat('{"section_role":"team","confidence":0.8,"reasoning":"', lang, '"}')""",
+))) + " end as answer"
 _ROLE_LIST = ", ".join(map(sql_text, ROLES))
 
 
-@query("answer_validation", f"""select id, coalesce(try_cast(json_extract_string(j,'$.confidence') as double) between 0.8 and 1 and json_extract_string(j,'$.section_role') in ({_ROLE_LIST}) and trim(json_extract_string(j,'$.reasoning')) <> '', false) as accepted from (select id, case when json_valid(answer) then answer end as j from {duck_values('id, answer', _ANSWERS)})""")
+@query("answer_validation", f"""select doc_id, coalesce(try_cast(json_extract_string(j,'$.confidence') as double) between 0.8 and 1 and json_extract_string(j,'$.section_role') in ({_ROLE_LIST}) and trim(json_extract_string(j,'$.reasoning')) <> '', false) as accepted from (select doc_id, case when json_valid(answer) then answer end as j from (select doc_id, {_ANSWER} from documents))""")
 def answer_validation(spark, sf_dir):
     """Answers of a model that are well-formed: a known role, a confidence of 0.8 to 1, and a reason. Others fail closed."""
-    x = spark.createDataFrame(_ANSWERS, "id int, answer string").select("id", F.from_json("answer", "section_role string, confidence double, reasoning string").alias("a"))
+    x = table(spark, sf_dir, "documents").selectExpr("doc_id", _ANSWER).select("doc_id", F.from_json("answer", "section_role string, confidence double, reasoning string").alias("a"))
     ok = F.col("a.confidence").between(0.8, 1.0) & F.col("a.section_role").isin(*ROLES) & (F.trim("a.reasoning") != "")
-    return x.select("id", F.coalesce(ok, F.lit(False)).alias("accepted"))
+    return x.select("doc_id", F.coalesce(ok, F.lit(False)).alias("accepted"))
 
 
 def integrity(tree: DataFrame) -> DataFrame:

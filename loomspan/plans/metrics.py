@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.plans.registry import duck_values, query
+from loomspan.plans.registry import query
 from loomspan.session import table
 
 # Upper bounds of latency buckets, in seconds.
@@ -158,10 +158,11 @@ def attempt_budget(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", n.alias("n")).where("n <= 50").select("event_id")
 
 
-@query("retry_delay", "select n, least(0.5 * pow(2, n), 8.0) as delay from (select unnest(range(0, 8)) as n)")
+@query("retry_delay", "select o_orderkey, o_custkey % 9 as n, least(0.5 * pow(2, o_custkey % 9), 8.0)::double as delay from orders")
 def retry_delay(spark, sf_dir):
-    """Seconds before each retry, without the random part."""
-    return spark.range(8).select(F.col("id").alias("n"), F.least(F.pow(F.lit(2.0), "id") * 0.5, F.lit(8.0)).alias("delay"))
+    """Seconds before each order's next attempt, without the random part; a customer's number says how many went before."""
+    n = F.col("o_custkey") % 9
+    return table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), F.least(F.pow(F.lit(2.0), n) * 0.5, F.lit(8.0)).alias("delay"))
 
 
 @query("metric_stats_index_percentile", "select l_returnflag, count(*) as n, min(l_quantity) as mn, max(l_quantity) as mx, list_sort(list(l_quantity))[least(count(*), cast(floor(0.25*count(*)) as bigint)+1)] as p25 from lineitem group by 1")
@@ -209,30 +210,37 @@ def corpus_totals(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("succeeded"), F.count_if(F.col("o_orderstatus") != "F").alias("failed"))
 
 
-_RUNS = [(1, 0, 2, 97.5, 88.0, None), (2, 1, 0, 99.0, 99.0, 99.0), (3, 0, 0, None, None, None), (4, 0, 50, 90.0, 95.0, None), (5, 0, 1, 39.9, 99.0, 99.0), (6, 0, 1, 99.0, 39.0, 99.0), (7, 0, 3, 99.0, 98.0, 71.5)]
-_RUN_COLUMNS = "id, critical, minor, visual, structural, responsive"
+#: Measures of a run for each order: errors, and scores of which some are missing.
+_MEASURES = (
+    "o_orderkey", "cast(case when o_orderkey % 11 = 0 then 1 else 0 end as int) as critical", "cast(o_custkey % 45 as int) as minor", "cast(case when o_orderkey % 7 > 0 then 30 + (o_custkey % 71) + 0.5 end as double) as visual",
+    "cast(case when o_orderkey % 5 > 0 then 35 + o_orderkey % 66 end as double) as structural", "cast(case when o_orderkey % 3 > 0 then o_custkey % 101 end as double) as responsive",
+)
 
 
-@query("fidelity_score", f"""select id, case when critical > 0 or coalesce(visual, 100) < 40 or coalesce(structural, 100) < 40 then 0.0 else greatest(0.0, least(100 - 2.5 * minor, visual, structural, responsive)) end::double as score from {duck_values(_RUN_COLUMNS, _RUNS)}""")
+@query("fidelity_score", f"""select o_orderkey, case when critical > 0 or coalesce(visual, 100) < 40 or coalesce(structural, 100) < 40 then 0.0 else greatest(0.0, least(100 - 2.5 * minor, visual, structural, responsive)) end::double as score from (select {', '.join(_MEASURES)} from orders)""")
 def fidelity_score(spark, sf_dir):
     """100 less 2.5 a minor error, at most what was measured, 0 with a critical error or a measure under 40."""
-    x = spark.createDataFrame(_RUNS, "id int, critical int, minor int, visual double, structural double, responsive double")
+    x = table(spark, sf_dir, "orders").selectExpr(*_MEASURES)
     critical = (F.col("critical") > 0) | (F.coalesce("visual", F.lit(100.0)) < 40) | (F.coalesce("structural", F.lit(100.0)) < 40)
     capped = F.greatest(F.lit(0.0), F.least(100 - 2.5 * F.col("minor"), "visual", "structural", "responsive"))
-    return x.select("id", F.when(critical, 0.0).otherwise(capped).alias("score"))
+    return x.select("o_orderkey", F.when(critical, 0.0).otherwise(capped).alias("score"))
 
 
-_REPURPOSED = [(1, 4, 3, 3, 2, 80.0, 95.0, None), (2, 2, 0, 0, 0, 100.0, 100.0, None), (3, 1, 1, 0, 0, 60.0, None, 88.0), (4, 5, 5, 5, 5, 100.0, 100.0, 100.0)]
-_REPURPOSED_COLUMNS = "id, requested, landed, text_applied, text_present, safety, structural, visual"
+#: What was placed for each order: values asked for, landed, texts applied and present, and scores.
+_PLACED = (
+    "o_orderkey", "cast(1 + o_custkey % 8 as int) as requested", "cast(floor((1 + o_custkey % 8) * (o_orderkey % 3) / 2.0) as int) as landed", "cast(o_orderkey % 4 as int) as text_applied", "cast(case when o_custkey % 2 = 0 then o_orderkey % 4 else 0 end as int) as text_present",
+    "cast(20 * (o_custkey % 6) as double) as safety", "cast(case when o_orderkey % 5 > 0 then o_orderkey % 101 end as double) as structural", "cast(case when o_orderkey % 2 > 0 then 88 end as double) as visual",
+)
 
 
-@query("repurpose_composite", f"""select id, case when landed = 0 then 0.0 else round(list_avg(list_filter([landed * 100.0::double / requested, case when text_applied > 0 then text_present * 100.0::double / text_applied else 100.0 end, safety, structural, visual], lambda x: x is not null)), 2) end::double as success from {duck_values(_REPURPOSED_COLUMNS, _REPURPOSED)}""")
+@query("repurpose_composite", f"""select o_orderkey, case when landed = 0 then 0.0 else round(list_avg(list_filter([landed * 100.0::double / requested, case when text_applied > 0 then text_present * 100.0::double / text_applied else 100.0 end, safety, structural, visual], lambda x: x is not null)), 2) end::double as success
+  from (select {', '.join(_PLACED)} from orders)""")
 def repurpose_composite(spark, sf_dir):
     """Mean of the scores that there are; 0 if nothing landed; presence is 100 if only media were placed."""
-    x = spark.createDataFrame(_REPURPOSED, "id int, requested int, landed int, text_applied int, text_present int, safety double, structural double, visual double")
+    x = table(spark, sf_dir, "orders").selectExpr(*_PLACED)
     scores = F.array_compact(F.array(F.col("landed") * 100.0 / F.col("requested"), F.when(F.col("text_applied") > 0, F.col("text_present") * 100.0 / F.col("text_applied")).otherwise(100.0), "safety", "structural", "visual"))
     mean = F.aggregate(scores, F.lit(0.0), lambda a, v: a + v) / F.size(scores)
-    return x.select("id", F.when(F.col("landed") == 0, 0.0).otherwise(F.round(mean, 2)).alias("success"))
+    return x.select("o_orderkey", F.when(F.col("landed") == 0, 0.0).otherwise(F.round(mean, 2)).alias("success"))
 
 
 # Catalogue of templates: parts stand for templates, brands for their tags.

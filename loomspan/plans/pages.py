@@ -104,27 +104,32 @@ def page_public_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.may_be_public(F.col("url")).alias("is_public"))
 
 
-_URLS = [
-    "http://10.1.2.3/x", "https://172.16.0.9/", "https://172.32.0.9/", "http://192.168.1.1", "http://8.8.8.8/dns", "http://localhost:8000/",
-    "https://svc.internal/x", "https://printer.local", "ftp://example.org/x", "data:text/plain,x", "/relative/path", "http://169.254.169.254/latest",
-    "https://cdn.example.org/a.js", "http://224.0.0.1/", "https://www.google-analytics.com/ga.js", "//static.hotjar.com/c.js", "https://nothotjar.com/c.js",
-    "https://www.facebook.com/tr?id=1", "https://example.org/facebook", "https://a.b.criteo.net:443/x", "",
-]
-_DUCK_URLS = "(select unnest([" + ", ".join(map(sql_text, _URLS)) + "]) as url)"
+#: An address for each page, by its number: its own, or of local, private, public and tracking hosts.
+_ADDRESS = "case page_id % 22 " + " ".join(f"when {i} then {v}" for i, v in enumerate((
+    "url", "concat('http://10.', page_id % 256, '.2.3/x')", "concat('https://172.', 12 + page_id % 30, '.0.9/')", "concat('http://192.168.', page_id % 256, '.1')", "concat('http://8.8.8.', page_id % 256, '/dns')", "concat('http://localhost:', 8000 + page_id, '/')",
+    "concat('https://svc', page_id, '.internal/x')", "concat('https://printer', page_id, '.local')", "concat('ftp://example.org/', page_id)", "'data:text/plain,x'", "concat('/relative/', page_id)", "'http://169.254.169.254/latest'",
+    "concat('https://cdn.example.org/', page_id, '.js')", "concat('http://', 220 + page_id % 20, '.0.0.1/')", "concat('https://www.google-analytics.com/ga.js?', page_id)", "'//static.hotjar.com/c.js'", "'https://nothotjar.com/c.js'",
+    "concat('https://www.facebook.com/tr?id=', page_id)", "concat('https://example.org/facebook/', page_id)", "concat('https://a.b.criteo.net:', page_id, '/x')", "''", "concat(url, '?u=https://hotjar.com')",
+))) + " end as url"
+_DUCK_URLS = f"(select page_id, {_ADDRESS} from pages)"
 
 
-@query("url_disallowed_resource", f"""select url, regexp_matches(lower(url),'^https?:') and h <> '' and (h = 'localhost' or regexp_matches(h,'[.](local|internal|localhost)$') or (regexp_matches(h,'^[0-9]+([.][0-9]+){{3}}$')
-  and regexp_matches(h,'^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])[.]|^192[.]168[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]'))) as disallowed from (select url, {_DUCK_HOST.format('url')} as h from {_DUCK_URLS})""")
+def _addresses(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").selectExpr("page_id", _ADDRESS)
+
+
+@query("url_disallowed_resource", f"""select page_id, url, regexp_matches(lower(url),'^https?:') and h <> '' and (h = 'localhost' or regexp_matches(h,'[.](local|internal|localhost)$') or (regexp_matches(h,'^[0-9]+([.][0-9]+){{3}}$')
+  and regexp_matches(h,'^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])[.]|^192[.]168[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]'))) as disallowed from (select page_id, url, {_DUCK_HOST.format('url')} as h from {_DUCK_URLS})""")
 def url_disallowed_resource(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u in _URLS], "url string").select("url", urls.is_disallowed_resource(F.col("url")).alias("disallowed"))
+    return _addresses(spark, sf_dir).select("page_id", "url", urls.is_disallowed_resource(F.col("url")).alias("disallowed"))
 
 
 _TRACKER_LIST = "[" + ", ".join(map(sql_text, urls.TRACKER_DOMAINS)) + "]"
 
 
-@query("url_tracker", f"""select url, contains(lower(url),'facebook.com/tr') or contains(lower(url),'google.com/pagead') or len(list_filter({_TRACKER_LIST}, lambda d: h = d or ends_with(h, '.' || d))) > 0 as is_tracker from (select url, {_DUCK_HOST.format('url')} as h from {_DUCK_URLS})""")
+@query("url_tracker", f"""select page_id, url, contains(lower(url),'facebook.com/tr') or contains(lower(url),'google.com/pagead') or len(list_filter({_TRACKER_LIST}, lambda d: h = d or ends_with(h, '.' || d))) > 0 as is_tracker from (select page_id, url, {_DUCK_HOST.format('url')} as h from {_DUCK_URLS})""")
 def url_tracker(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u in _URLS], "url string").select("url", urls.is_tracker(F.col("url")).alias("is_tracker"))
+    return _addresses(spark, sf_dir).select("page_id", "url", urls.is_tracker(F.col("url")).alias("is_tracker"))
 
 
 @query("page_link_trackers", f"""select page_id, count(*) filter (where t)::bigint as n_trackers from (select page_id, len(list_filter({_TRACKER_LIST}, lambda d: h = d or ends_with(h, '.' || d))) > 0 or contains(lower(href),'facebook.com/tr') or contains(lower(href),'google.com/pagead') as t from (select page_id, href, {_DUCK_HOST.format('href')} as h from {_DUCK_LINKS})) group by 1""")

@@ -160,3 +160,24 @@ def raster_delta(spark, sf_dir):
     a, b = e.select("vec_id", F.col("embedding").alias("a")), e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
     crossed = F.filter(F.zip_with("a", "b", lambda x, y: (x >= 0) != (y >= 0)), lambda z: z)
     return a.join(b, "vec_id").select("vec_id", F.size(crossed).cast("long").alias("crossings"))
+
+
+_WEIGHTS = """(select i, j, w / sum(w) over (partition by i) as w from (select i, j, case when abs(x) >= 3 then 0 when x = 0 then 1 else sin(pi() * x) * sin(pi() * x / 3) * 3 / (pi() * pi() * x * x) end as w
+  from (select i, j, (j + 0.5 - (i + 0.5) * {0}) / greatest({0}, 1) as x from (select unnest(range(8)) as i), (select unnest(range({1})) as j))))"""
+
+
+@query("raster_compare_resized", f"""with pairs as (select a.vec_id, a.embedding as a, b.embedding as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+  tall as {_WEIGHTS.format("0.5::double", 4)}, wide as {_WEIGHTS.format("2::double", 16)},
+  given as (select vec_id, (k // 16) as y, k % 16 as x, b[k + 1]::double as v from pairs, (select unnest(range(64)) as k) where vec_id % 3 > 0),
+  columns_ as (select g.vec_id, g.y, w.i as x, sum(g.v * w.w) as v from given g join wide w on w.j = g.x group by all),
+  resized as (select c.vec_id, t.i * 8 + c.x as k, sum(c.v * t.w) as v from columns_ c join tall t on t.j = c.y group by all union all select vec_id, k, b[k + 1]::double from pairs, (select unnest(range(64)) as k) where vec_id % 3 = 0)
+  select p.vec_id, p.vec_id % 3 > 0 as resized, round(avg(case when abs(p.a[r.k + 1]::double - r.v) <= {TOLERANCE} then 100.0 else 0.0 end), 4) as similarity, round(avg(abs(p.a[r.k + 1]::double - r.v)), 6) as mae from pairs p join resized r using (vec_id) group by 1""")
+def raster_compare_resized(spark, sf_dir):
+    """Each picture against the next one, which two times out of three is twice as wide and half as high."""
+    from loomspan.operators.rasters import compare_resized
+
+    e = table(spark, sf_dir, "embeddings")
+    a, b = e.select("vec_id", F.col("embedding").alias("a")), e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    pairs = a.join(b, "vec_id").select(F.col("vec_id").alias("id"), "a", F.lit(8).alias("a_width"), "b", F.when(F.col("vec_id") % 3 == 0, 8).otherwise(16).alias("b_width"))
+    out = compare_resized(pairs, TOLERANCE)
+    return out.select(F.col("id").alias("vec_id"), "resized", F.round("similarity", 4).alias("similarity"), F.round("mae", 6).alias("mae"))

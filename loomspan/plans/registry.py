@@ -32,8 +32,3 @@ def sql_text(value: object) -> str:
     if isinstance(value, (int, float)):
         return repr(value)
     return "'" + str(value).replace("'", "''") + "'"
-
-
-def duck_values(columns: str, rows: list[tuple]) -> str:
-    """(values ...) t(columns) for DuckDB."""
-    return "(values " + ", ".join("(" + ", ".join(map(sql_text, r)) + ")" for r in rows) + f") t({columns})"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import placeholder
-from loomspan.plans.registry import duck_values, query, sql_text
+from loomspan.plans.registry import query, sql_text
 from loomspan.session import table
 
 _STRIP = r"^[ \t\r\n]+|[ \t\r\n]+$"
@@ -101,17 +101,19 @@ def turn_placeholder(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("p")).select("conv_id", "turn", "p.state", F.col("p.confidence").cast("double").alias("confidence"), "p.signal")
 
 
-_FIELDS = [
-    (1, "Lorem ipsum dolor", "text"), (2, "  ", "text"), (3, None, "image"), (4, "ok", "text"), (5, "A real sentence of some length.", "text"), (6, "Short real", "text"),
-    (7, "https://via.placeholder.com/300", "image"), (8, "/img/photo12.png", "image"), (9, "/img/harbour.png", "image"), (10, "#", "url"), (11, "javascript:void(0)", "url"),
-    (12, "https://site.org", "url"), (13, "#ff0000", "color"), (14, "Insert title here", "textarea"), (15, "write to test@test.de", "text"), (16, "xxxx", "text"), (17, "blank.gif", "image"),
-]
+#: What documents' fields hold, by their number: their own text, or what often stands there in its place.
+_FIELD = "case doc_id % 19 " + " ".join(f"when {i} then {v}" for i, v in enumerate((
+    "text", "concat('Lorem ipsum dolor ', lang)", "'  '", "null", "'ok'", "concat('A real sentence of some length in ', source, '.')", "'Short real'", "concat('https://via.placeholder.com/', doc_id)", "'/img/photo12.png'", "'/img/harbour.png'",
+    "'#'", "'javascript:void(0)'", "concat('https://site.org/', doc_id)", "'#ff0000'", "'Insert title here'", "'write to test@test.de'", "'xxxx'", "'blank.gif'", "text",
+))) + " end as v"
+_FIELD_TYPE = "case when doc_id % 19 in (3, 7, 8, 9, 17) then 'image' when doc_id % 19 in (10, 11, 12) then 'url' when doc_id % 19 = 13 then 'color' when doc_id % 19 in (14, 18) then 'textarea' else 'text' end as k"
 
 
-@query("field_placeholder", "select id, " + ", ".join(f"{placeholder.duck_detect('v', 'k', x)} as {x}" for x in ("state", "confidence", "signal")) + " from " + duck_values("id, v, k", _FIELDS))
+@query("field_placeholder", "select doc_id, " + ", ".join(f"{placeholder.duck_detect('v', 'k', x)} as {x}" for x in ("state", "confidence", "signal")) + f" from (select doc_id, {_FIELD}, {_FIELD_TYPE} from documents)")
 def field_placeholder(spark, sf_dir):
     found = placeholder.detect(F.col("v"), F.col("k"))
-    return spark.createDataFrame(_FIELDS, "id int, v string, k string").select("id", found.alias("p")).select("id", "p.state", F.col("p.confidence").cast("double").alias("confidence"), "p.signal")
+    x = table(spark, sf_dir, "documents").selectExpr("doc_id", _FIELD, _FIELD_TYPE)
+    return x.select("doc_id", found.alias("p")).select("doc_id", "p.state", F.col("p.confidence").cast("double").alias("confidence"), "p.signal")
 
 
 @query("doc_duplicate_lines", rf"""select doc_id, coalesce(max(n),0) >= 2 as has_duplicates from (select d.doc_id, l.n from documents d left join (select doc_id, v, count(*) as n from (select doc_id, unnest(list_transform({_DUCK_LINES}, lambda x: lower(x))) as v from documents) where v <> '' group by 1,2) l using (doc_id)) group by 1""")
@@ -172,15 +174,16 @@ def _duck_intent(source: str, key: str) -> str:
     return rf"select {key}, {domain} as domain, {listed(False)} as emphasize, {listed(True)} as exclude from (select *, lower(regexp_replace(text,'^\s+|\s+$','','g')) as l from {source})"
 
 
-_REQUESTS = [
-    (1, "I'm a photographer, show my portfolio and gallery"), (2, "A site for a bakery with pricing, without a blog"), (3, "This is my team website. Remove the faq and testimonials"),
-    (4, "building an app site; features, plans and social media"), (5, "nothing in particular"), (6, "  Contact me by email or phone  "),
-]
+#: A request for each part, in words that name a trade and sections.
+_REQUEST = "case p_partkey % 6 " + " ".join(f"when {i} then {v}" for i, v in enumerate((
+    "concat('I am a ', p_type, ', show my portfolio and gallery')", "concat('A site for a ', p_name, ' with pricing, without a blog')", "concat('This is my ', p_brand, ' website. Remove the faq and testimonials')",
+    "concat('building an ', p_type, ' site; features, plans and social media')", "concat('nothing in particular ', p_name)", "concat('  Contact me by email or phone ', p_partkey, '  ')",
+))) + " end as text"
 
 
-@query("request_intent", _duck_intent(duck_values("id, text", _REQUESTS), "id"))
+@query("request_intent", _duck_intent(f"(select p_partkey, {_REQUEST} from part)", "p_partkey"))
 def request_intent(spark, sf_dir):
-    return spark.createDataFrame(_REQUESTS, "id int, text string").select("id", *intent(F.col("text")))
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", _REQUEST).select("p_partkey", *intent(F.col("text")))
 
 
 @query("turn_intent", _duck_intent("(select * from conversations where role = 'user')", "conv_id, turn"))
@@ -188,12 +191,21 @@ def turn_intent(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", *intent(F.col("text")))
 
 
-@query("intent_unsupported", """with i as (select id, unnest(string_split(roles,',')) as role from (values (1,'hero,about,pricing'),(2,'faq'),(3,'about')) t(id, roles)) select id, array_to_string(list_sort(list(role)),',') as unsupported from i where role not in ('hero','about','contact') group by id""")
+#: Roles that are asked of each page, by its number.
+_WANTED = "case page_id % 4 when 0 then 'navigation,about,pricing' when 1 then 'footer' when 2 then 'faq,footer,blog_feed' else concat('unknown,role', page_id % 3) end as roles"
+
+
+@query("intent_unsupported", f"""with p as (select page_id, {_WANTED}, list_filter([case when contains(html, '<nav>') then 'navigation' end, case when contains(html, '<footer>') then 'footer' end, case when regexp_matches(html, '<(div|article)[ >]') then 'unknown' end], lambda x: x is not null) as has from pages),
+  i as (select page_id, has, unnest(string_split(roles, ',')) as role from p) select page_id, array_to_string(list_sort(list(role)), ',') as unsupported from i where not list_contains(has, role) group by 1""")
 def intent_unsupported(spark, sf_dir):
-    """Roles that a request names and the page doesn't have, sorted."""
-    x = spark.createDataFrame([(1, "hero,about,pricing"), (2, "faq"), (3, "about")], "id int, roles string")
-    missing = F.array_sort(F.array_except(F.split("roles", ","), F.array(*map(F.lit, ("hero", "about", "contact")))))
-    return x.select("id", F.array_join(missing, ",").alias("unsupported"), F.size(missing).alias("n")).where("n > 0").drop("n")
+    """Roles that are asked of a page and that none of its sections has, sorted."""
+    from loomspan.operators import nodes, sections
+
+    pages = table(spark, sf_dir, "pages")
+    has = sections.classify(nodes.parse_html(pages)).groupBy("page_id").agg(F.collect_set("role").alias("has"))
+    x = pages.selectExpr("page_id", _WANTED).join(has, "page_id", "left")
+    missing = F.array_sort(F.array_except(F.split("roles", ","), F.coalesce("has", F.array().cast("array<string>"))))
+    return x.select("page_id", F.array_join(missing, ",").alias("unsupported"), F.size(missing).alias("n")).where("n > 0").drop("n")
 
 
 def fit_risks(x: DataFrame) -> DataFrame:

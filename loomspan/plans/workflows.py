@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.operators import nodes, sections, workflows
-from loomspan.plans.literals import PORTFOLIO
+from loomspan.plans.values import DUCK_SHEETS, PORTFOLIO, sheet_imports
 from loomspan.plans.pages import links
-from loomspan.plans.registry import duck_values, query
+from loomspan.plans.registry import query
 from loomspan.session import checkpointed, table
 
 
@@ -31,24 +31,34 @@ def page_asset_references(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id").join(counted, "page_id", "left").withColumns(zero)
 
 
-_IMPORTS, _ENTRIES = [("a.css", "b.css"), ("b.css", "c.css"), ("c.css", "a.css"), ("d.css", "e.css")], [(1, "a.css"), (2, "d.css")]
-
-
-@query("css_closure", f"with recursive r as (select * from {duck_values('root, sheet', _ENTRIES)} union select r.root, t.imported from r join {duck_values('sheet, imported', _IMPORTS)} on t.sheet = r.sheet) select * from r")
+@query("css_closure", f"with recursive r as (select page_id as root, concat('s', page_id, '.css') as sheet from pages union select r.root, t.imported from r join {DUCK_SHEETS} t on t.sheet = r.sheet) select * from r")
 def css_closure(spark, sf_dir):
-    """Stylesheets that a page needs, over imports that form a cycle."""
-    return workflows.css_closure(spark.createDataFrame(_IMPORTS, "sheet string, imported string"), spark.createDataFrame(_ENTRIES, "root int, sheet string"))
+    """Stylesheets that each page needs: its own and what that imports, over imports that form cycles."""
+    entries = table(spark, sf_dir, "pages").select(F.col("page_id").alias("root"), F.concat(F.lit("s"), F.col("page_id").cast("string"), F.lit(".css")).alias("sheet"))
+    return workflows.css_closure(checkpointed(sheet_imports(spark, sf_dir)), entries)
 
 
-_FIELDS = [(1, "a", "text", True, 20), (1, "b", "image", False, None), (1, "c", "text", True, 20), (1, "d", "text", False, 5), (1, "e", "url", False, None), (1, "f", "text", False, 80)]
-_GIVEN = [(1, "a", "text", "hello"), (1, "b", "text", "x"), (1, "d", "text", "too long"), (1, "zz", "text", "?"), (1, "f", "document", "Lorem ipsum")]
+#: Fields and given values of each document's form, by its number: some are missing on one side.
+_FORM = "select doc_id as page_id, unnest(['a', 'b', 'c']) as field_id, unnest(['text', 'image', 'url']) as t, unnest([true, doc_id % 2 = 0, false]) as required, unnest([400, null, 30]) as m from documents where doc_id % 7 > 0"
+_SENT = """select doc_id as page_id, unnest(['a', 'b', 'z']) as field_id, unnest([case when doc_id % 5 = 0 then 'image' else 'document' end, 'image', 'text']) as gt, unnest([case when doc_id % 6 = 0 then ' ' else coalesce(text, '') end, 'x.png', 'lost']) as value, unnest([doc_id % 3 > 0, doc_id % 4 > 0, doc_id % 11 = 0]) as sent from documents"""
 
 
 @query("submission_validation", f"""select coalesce(f.page_id, g.page_id) as page_id, coalesce(f.field_id, g.field_id) as field_id, case when f.field_id is null then 'hard' when g.field_id is null and required then 'hard' when g.field_id is null then 'success'
-  when (t = 'image') <> (gt = 'image') then 'hard' when length(value) > m or contains(lower(value),'lorem ipsum') then 'soft' else 'success' end as severity from {duck_values('page_id, field_id, t, required, m', _FIELDS).replace(' t(', ' f(')} full join {duck_values('page_id, field_id, gt, value', _GIVEN).replace(' t(', ' g(')} using (page_id, field_id)""")
+  when (t = 'image') <> (gt = 'image') then 'hard' when required and trim(value) = '' then 'hard' when length(value) > m or contains(lower(value),'lorem ipsum') then 'soft' else 'success' end as severity from ({_FORM}) f full join (select * from ({_SENT}) where sent) g using (page_id, field_id)""")
 def submission_validation(spark, sf_dir):
-    fields = spark.createDataFrame(_FIELDS, "page_id int, field_id string, field_type string, required boolean, max_length int")
-    return workflows.validate(fields, spark.createDataFrame(_GIVEN, "page_id int, field_id string, type string, value string")).select("page_id", "field_id", "severity")
+    """Forms of documents against what was sent for them: fields that nobody knows, missing ones, types, lengths."""
+    docs = table(spark, sf_dir, "documents")
+    rows = lambda *r: F.inline(F.array(*(F.expr(f"struct({x})") for x in r)))
+    form = rows(
+        "'a' as field_id, 'text' as field_type, true as required, 400 as max_length", "'b' as field_id, 'image' as field_type, doc_id % 2 = 0 as required, cast(null as int) as max_length", "'c' as field_id, 'url' as field_type, false as required, 30 as max_length",
+    )
+    fields = docs.where("doc_id % 7 > 0").select(F.col("doc_id").alias("page_id"), form)
+    sent = rows(
+        "'a' as field_id, case when doc_id % 5 = 0 then 'image' else 'document' end as type, case when doc_id % 6 = 0 then ' ' else coalesce(text, '') end as value, doc_id % 3 > 0 as sent",
+        "'b' as field_id, 'image' as type, 'x.png' as value, doc_id % 4 > 0 as sent", "'z' as field_id, 'text' as type, 'lost' as value, doc_id % 11 = 0 as sent",
+    )
+    given = docs.select(F.col("doc_id").alias("page_id"), sent).where("sent").drop("sent")
+    return workflows.validate(fields, given).select("page_id", "field_id", "severity")
 
 
 @query("page_substitution_map")
