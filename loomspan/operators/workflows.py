@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import urls
@@ -14,33 +14,34 @@ from loomspan.operators.nodes import attribute
 from loomspan.session import checkpointed
 
 
-def crawl(pages: DataFrame, links: DataFrame, start: str, most_pages: int = 25, most_depth: int = 2, disallowed: DataFrame | None = None) -> DataFrame:
-    """(url, depth, place): pages within reach of start over links(url, href, pos), of its host alone, breadth first.
+def crawl(links: DataFrame, starts: DataFrame, most_pages: int = 25, most_depth: int = 2, disallowed: DataFrame | None = None) -> DataFrame:
+    """(root, url, depth, place): pages within reach of starts(root, url), each root a crawl of its own over links(url,
+    href, pos), on its start's site alone, breadth first.
 
-    Each level is one join and one anti-join on normalised URLs; there are most_depth of them, whatever the size. Pages
-    of a level are in the order in which their links are found: that of the linking page, then of the link on it. The
-    cap on pages is the crawl's own limit. disallowed(prefix) leaves out what robots rules forbid; a URL is looked up by
-    each of its path's prefixes, so that rules may be many."""
-    spark: SparkSession = pages.sparkSession
-    host = F.regexp_extract(F.lit(start), "^([a-zA-Z]+://[^/?#]+)", 1)
-    edges = links.select(urls.normalize(F.col("url")).alias("source"), urls.resolve(F.col("url"), F.col("href")).alias("target"), "pos").where(F.col("target").startswith(host))
-    edges = edges.withColumn("target", urls.normalize(F.col("target")))
+    All crawls go one level at a time: a level is one join and one anti-join on normalised URLs, and there are most_depth
+    of them, whatever the number of roots. Pages of a level are in the order in which their links are found: that of the
+    linking page, then of the link on it. The cap on pages is each crawl's own limit. disallowed(site, prefix), site a
+    scheme and host, leaves out what robots rules forbid; a URL is looked up by each of its path's prefixes, so that rules
+    may be many."""
+    site = lambda c: F.regexp_extract(c, "^([a-zA-Z]+://[^/?#]+)", 1)
+    edges = links.select(urls.normalize(F.col("url")).alias("source"), urls.normalize(urls.resolve(F.col("url"), F.col("href"))).alias("target"), "pos")
+    edges = edges.where((site("source") == site("target")) & (site("target") != ""))
     if disallowed is not None:
-        path = F.substr("target", F.length(host) + 1)
+        path = F.substr("target", F.length(site("target")) + 1)
         heads = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(path))), lambda i: F.substr(path, F.lit(1), i))
-        targets = edges.select("target").distinct()
-        forbidden = targets.select("target", F.explode(heads).alias("prefix")).join(disallowed.select("prefix").distinct(), "prefix").select("target").distinct()
+        targets = edges.select("target").distinct().select("target", site("target").alias("site"), F.explode(heads).alias("prefix"))
+        forbidden = targets.join(disallowed.select("site", "prefix").distinct(), ["site", "prefix"]).select("target").distinct()
         edges = edges.join(forbidden, "target", "left_anti")
     none = F.array().cast("array<int>")
-    seen = spark.range(1).select(urls.normalize(F.lit(start)).alias("url"), F.lit(0).alias("depth"), none.alias("found"))
+    seen = starts.select("root", urls.normalize(F.col("url")).alias("url"), F.lit(0).alias("depth"), none.alias("found"))
     frontier = seen
     for depth in range(1, most_depth + 1):
         at = F.concat("found", F.array(F.col("pos").cast("int")))
-        reached = frontier.join(edges, F.col("url") == F.col("source")).groupBy(F.col("target").alias("url")).agg(F.min(at).alias("found"))
-        frontier = reached.join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth"), "found")
+        reached = frontier.join(edges, F.col("url") == F.col("source")).groupBy("root", F.col("target").alias("url")).agg(F.min(at).alias("found"))
+        frontier = checkpointed(reached.join(seen, ["root", "url"], "left_anti").select("root", "url", F.lit(depth).alias("depth"), "found"))
         seen = seen.unionByName(frontier)
-    first = seen.orderBy("depth", "found", "url").limit(most_pages)  # each task sorts no more than it may keep
-    return first.select("url", "depth", F.row_number().over(Window.orderBy("depth", "found", "url")).alias("place"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("depth", "found", "url"))
+    return seen.withColumn("place", place).where(F.col("place") <= most_pages).select("root", "url", "depth", "place")
 
 
 def start_tags(pages: DataFrame) -> DataFrame:

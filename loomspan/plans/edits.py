@@ -9,6 +9,7 @@ from loomspan.functions import prompts
 from loomspan.operators import ingest, markup, nodes, sections, styles, versions, workflows
 from loomspan.plans.rasters import TOLERANCE
 from loomspan.plans.registry import query
+from loomspan.plans.workflows import _DUCK_SITE, duck_crawl
 from loomspan.session import checkpointed, table
 from loomspan.streaming.telemetry import queued
 
@@ -215,40 +216,46 @@ def robots_rules(spark, sf_dir):
     return workflows.robots_rules(table(spark, sf_dir, "pages").select(F.col("page_id").alias("site"), F.when(F.col("page_id") % 2 == 0, even).otherwise(odd).alias("text")))
 
 
-@query("crawl_allowed")
+#: The robots file of each page's site, by the page's number: some paths are closed to all, or only to others.
+_ROBOTS_TEXT = "case page_id % 3 when 0 then concat('User-agent: *', chr(10), 'Disallow: /a', chr(10), 'Disallow: /e # all of it') when 1 then concat('User-agent: *', chr(10), 'Disallow: /t', substr(md5(url), 1, 1)) else concat('User-agent: other', chr(10), 'Disallow: /') end"
+
+
+@query("crawl_allowed", duck_crawl(f"""not exists (select 1 from pages p where {_DUCK_SITE.format('p.url')} = {_DUCK_SITE.format('target')} and
+  (p.page_id % 3 = 0 and (substr(target, 1 + length({_DUCK_SITE.format('target')}), 2) in ('/a', '/e')) or p.page_id % 3 = 1 and substr(target, 1 + length({_DUCK_SITE.format('target')}), 3) = '/t' || substr(md5(p.url), 1, 1)))"""))
 def crawl_allowed(spark, sf_dir):
-    """The crawl of the first page's site without what its robots file forbids."""
+    """The crawls of all pages without what the robots files of their sites forbid."""
     from loomspan.plans.pages import links
 
-    pages, all_links = table(spark, sf_dir, "pages"), links(spark, sf_dir)
-    start = pages.agg(F.min_by("url", "page_id").alias("u")).first()["u"]
-    rules = workflows.robots_rules(spark.createDataFrame([(1, "User-agent: *\nDisallow: /a\nDisallow: /e")], "site int, text string"))
-    return workflows.crawl(pages, all_links, start, disallowed=rules.select("prefix"))
+    pages = table(spark, sf_dir, "pages")
+    robots = pages.select(F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]+)", 1).alias("site"), "page_id", F.expr(_ROBOTS_TEXT).alias("text"))
+    rules = workflows.robots_rules(robots.select(F.struct("site", "page_id").alias("site"), "text")).select("site.site", "prefix")
+    return workflows.crawl(links(spark, sf_dir), pages.select(F.col("page_id").alias("root"), "url"), disallowed=rules)
+
+
+def _designs(spark, sf_dir):
+    tokens = F.create_map(F.lit("base"), F.col("p_type"), F.lit("size"), F.concat(F.col("p_size").cast("string"), F.lit("px")))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("template_id"), F.col("p_name").alias("url"), F.col("p_partkey").alias("at"), tokens.alias("tokens"))
 
 
-@query("template_versions", "select p_brand as template_id, row_number() over (partition by p_brand order by p_partkey) as version, p_type as base, position(p_type in p_type) = 1 as previewed from part")
+@query("template_versions", "select p_brand as template_id, row_number() over (partition by p_brand order by p_partkey) as version, p_type as base, p_type as shown_base, concat(p_size, 'px') as shown_size from part")
 def template_versions(spark, sf_dir):
-    """Versions of each template's tokens, with a preview that shows them."""
-    tokens = F.create_map(F.lit("base"), F.col("p_type"))
-    designs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("template_id"), F.col("p_name").alias("url"), F.col("p_partkey").alias("at"), tokens.alias("tokens"))
-    versions = workflows.template_step(designs, prompts.preview)[2]
-    return versions.select("template_id", F.col("version").cast("long").alias("version"), F.col("tokens")["base"].alias("base"), F.col("preview").contains(F.concat(F.lit("--color-base:"), F.col("tokens")["base"])).alias("previewed"))
+    """Versions of each template's tokens, and the values that their previews show."""
+    versions_ = workflows.template_step(_designs(spark, sf_dir), prompts.preview)[2]
+    shown = lambda name: F.regexp_extract("preview", f"--color-{name}:([^;]*);", 1)
+    return versions_.select("template_id", F.col("version").cast("long").alias("version"), F.col("tokens")["base"].alias("base"), shown("base").alias("shown_base"), shown("size").alias("shown_size"))
 
 
-@query("template_tokens", "select p_brand as template_id, arg_max(p_type, p_partkey) as base from part where p_brand in ('Brand#11', 'Brand#12') group by 1")
+@query("template_tokens", "select p_brand as template_id, arg_max(p_type, p_partkey) as base from part group by 1")
 def template_tokens(spark, sf_dir):
-    """The stored tokens of two templates: the latest put."""
-    tokens = F.create_map(F.lit("base"), F.col("p_type"))
-    designs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("template_id"), F.col("p_name").alias("url"), F.col("p_partkey").alias("at"), tokens.alias("tokens"))
-    store = workflows.template_step(designs, prompts.preview)[1]
-    return store.where(F.col("template_id").isin("Brand#11", "Brand#12")).select("template_id", F.col("tokens")["base"].alias("base"))
+    """The stored tokens of each template: the latest put."""
+    return workflows.template_step(_designs(spark, sf_dir), prompts.preview)[1].select("template_id", F.col("tokens")["base"].alias("base"))
 
 
-@query("event_telemetry", "select event_id from (select event_id, row_number() over (partition by user_id, date_trunc('hour', ts) order by event_id) as place from events) where place <= 3")
+@query("event_telemetry", "select event_id from (select event_id, row_number() over (partition by event_type, date_trunc('day', ts) order by event_id) as place from events) where place <= 50")
 def event_telemetry(spark, sf_dir):
-    """What each user's queue of three takes in an hour; the rest is dropped."""
-    x = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("client"), F.col("event_id").alias("seq"), F.date_trunc("hour", "ts").alias("hour"))
-    return queued(x, ["hour"], 3).select("event_id")
+    """What a queue of fifty for each kind of event takes in a day; the rest is dropped."""
+    x = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("client"), F.col("event_id").alias("seq"), F.date_trunc("day", "ts").alias("day"))
+    return queued(x, ["day"], 50).select("event_id")
 
 
 @query("raster_compare", f"""select vec_id, same, (same or similarity >= 99) as strict, similarity >= 5 as normalized from (select a.vec_id, array_to_string(list_transform(a.embedding, lambda x: case when x::double >= list_avg(a.embedding) then '1' else '0' end), '') = array_to_string(list_transform(b.embedding, lambda x: case when x::double >= list_avg(b.embedding) then '1' else '0' end), '') as same,

@@ -40,12 +40,15 @@ def page_repurpose_report(spark, sf_dir):
     return repurpose(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
-@query("corpus_repurpose_stats")
-def corpus_repurpose_stats(spark, sf_dir):
+def repurpose_stats(report: DataFrame) -> DataFrame:
     """The report of a corpus: each measure's mean and extremes."""
-    x = page_repurpose_report(spark, sf_dir)
     measures = ("n_fields", "safety", "structural", "success")
-    return x.agg(F.count("*").alias("pages"), *(f(F.col(m)).cast("double").alias(f"{n}_{m}") for m in measures for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))))
+    return report.agg(F.count("*").alias("pages"), *(f(F.col(m)).cast("double").alias(f"{n}_{m}") for m in measures for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))))
+
+
+@query("corpus_repurpose_stats")
+def corpus_repurpose_stats(spark, sf_dir):
+    return repurpose_stats(page_repurpose_report(spark, sf_dir))
 
 
 #: A model's answer about each document, by its number: well-formed, unsure, of no known role, without reason, or no answer.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.plans.registry import query
@@ -121,19 +121,16 @@ def running_peak(spark, sf_dir):
     return edges.select("user_id", running.alias("running")).groupBy("user_id").agg(F.max("running").alias("peak"))
 
 
-@query("carousel_interval")
+@query("carousel_interval", """with recursive e as (select user_id, epoch_us(ts) / 1e6 as t, row_number() over (partition by user_id order by ts) as n from events),
+  s as (select user_id, n, t as last, 0.0::double as total, 0 as gaps from e where n = 1
+  union all select e.user_id, e.n, case when e.t - s.last >= 3600 then e.t else s.last end, s.total + case when e.t - s.last >= 3600 then e.t - s.last else 0 end, s.gaps + (e.t - s.last >= 3600)::int from s join e on e.user_id = s.user_id and e.n = s.n + 1)
+  select user_id, case when gaps > 0 then round(total / gaps, 3) end as interval from s qualify row_number() over (partition by user_id order by n desc) = 1""")
 def carousel_interval(spark, sf_dir):
     """Mean gap of a key's events after those closer than an hour to the last one kept are left out: an ordered fold."""
-    times = F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    from loomspan.streaming.limiter import mean_gaps
 
-    def step(acc: Column, t: Column) -> Column:
-        far = acc["last"].isNull() | (t - acc["last"] >= 3600)
-        gap = F.when(far & acc["last"].isNotNull(), t - acc["last"]).otherwise(0.0)
-        return F.struct(F.when(far, t).otherwise(acc["last"]).alias("last"), (acc["sum"] + gap).alias("sum"), (acc["n"] + F.when(gap > 0, 1).otherwise(0)).alias("n"))
-
-    folded = F.aggregate("times", start, step, lambda a: F.when(a["n"] > 0, F.round(a["sum"] / a["n"], 3)))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(times.alias("times")).select("user_id", folded.alias("interval"))
+    gaps = mean_gaps(table(spark, sf_dir, "events").select("user_id", "ts"), least=3600)
+    return gaps.select("user_id", F.round("gap", 3).alias("interval"))
 
 
 @query("dom_stability", "select user_id, min(ts) as stable_at from (select user_id, ts, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) where event_type = before group by 1")

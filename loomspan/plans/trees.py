@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import markup, nodes, sections, styles
 from loomspan.plans.pages import INLINE_TRACKER
-from loomspan.plans.registry import query
+from loomspan.plans.registry import ORACLES, query
 from loomspan.session import checkpointed, table
 
 
@@ -217,3 +217,83 @@ def page_substituted(spark, sf_dir):
     changed = sections.substitute(x, head.select("page_id", "path", F.lit("Sample Heading").alias("value")))
     texts = changed.where("tag = '#text'").select("page_id", F.col("parent_id").alias("h"), F.col("text_content").alias("heading"))
     return texts.join(head.select("page_id", "h"), ["page_id", "h"]).select("page_id", "heading")
+
+
+# Pages built from a page's own numbers, whose trees, slots, fields and reports follow from them by the rules.
+_N = r"len(regexp_extract_all(html, '<p[\s>]'))"
+
+
+def _built(spark, sf_dir, html: str):
+    """(page_id, html) of pages made by an expression over page_id, url and n, the paragraphs of the real page."""
+    x = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_count("html", F.lit(r"<p[\s>]")).alias("n"))
+    return x.select("page_id", F.expr(html).alias("html"))
+
+
+@query("tree_depths", f"select page_id, 2 + k + 4 * n as n_nodes, greatest(k + 1, case when n > 0 then 3 else 0 end)::int as depth, 1 + 2 * n as n_texts from (select page_id, page_id % 50 as k, {_N}::bigint as n from pages)")
+def tree_depths(spark, sf_dir):
+    """Nodes, depth and texts of pages with as many elements in one another as their number says."""
+    pages = _built(spark, sf_dir, "concat('<body>', repeat('<div>', cast(page_id % 50 as int)), 'x', repeat('</div>', cast(page_id % 50 as int)), repeat('<p>a<b>c</b></p>', n), '</body>')")
+    return sections.tree_stats(nodes.parse_html(pages))
+
+
+@query("page_slot_numbers", f"""select page_id, least(300, 2 + n + m) as n_slots, case when m > 0 then concat('slot_li_', least(300, 2 + n + m)) else concat('slot_img_', n + 2) end as last_slot, greatest(80, 2 * (5 * w - 1)) + 80 * (least(300, 2 + n + m) - 2) as lengths
+  from (select page_id, 1 + page_id % 30 as w, (page_id * 37) % 400 as m, {_N}::bigint as n from pages)""")
+def page_slot_numbers(spark, sf_dir):
+    """Slots of each page up to the cap, its last, and how long their texts may be. Text of one character or without a
+    letter or digit makes none, nor does a picture without an address."""
+    pages = _built(spark, sf_dir, """concat('<body><h1>', repeat('word ', cast(1 + page_id % 30 as int)), '</h1>', repeat('<p>some words</p>', n), '<p>-</p><p> a </p><img alt="x"><div>none</div><img src="a.png">', repeat('<li>x y</li>', cast((page_id * 37) % 400 as int)), '</body>')""")
+    x = sections.slots(nodes.parse_html(pages))
+    return x.groupBy("page_id").agg(F.count("*").alias("n_slots"), F.max_by("slot_id", "node_id").alias("last_slot"), F.sum("max_length").alias("lengths"))
+
+
+#: Classes that pages' first sections have, and the roles that they show.
+_ROLES = (("pricing wide", "pricing"), ("our-team", "team"), ("faqs", "faq"), ("blog-feed", "blog_feed"), ("call-to-action", "cta"), ("plain", "unknown"))
+_ROLE = "case page_id % 6 " + " ".join(f"when {i} then '{r}'" for i, (_, r) in enumerate(_ROLES)) + " end"
+_CLASS = "case page_id % 6 " + " ".join(f"when {i} then '{c}'" for i, (c, _) in enumerate(_ROLES)) + " end"
+_TITLE = "case page_id % 6 " + " ".join(f"when {i} then '{'' if r == 'unknown' else r.replace('_', ' ').title() + ' '}'" for i, (_, r) in enumerate(_ROLES)) + " end"
+
+
+@query("page_field_forms", f"""select page_id, unnest([concat(role, '_slot_h2_1'), concat(role, '_slot_img_2'), 'footer_slot_p_3', 'unknown_slot_em_4']) as field_id, unnest([concat(title, 'Heading'), concat(title, 'Image'), 'Footer Text', 'Text']) as label,
+  unnest(['text', 'image', case when 2 * length(url) > 200 or page_id % 4 = 0 then 'textarea' else 'text' end, 'text']) as field_type, unnest([role, role, 'footer', 'unknown']) as role, unnest([80, null, greatest(80, 2 * (length(concat('Page ', page_id)) + 110 * (page_id % 4 = 0)::int)), 80])::int as max_length
+  from (select page_id, 'x' as url, {_ROLE} as role, {_TITLE} as title from pages)""")
+def page_field_forms(spark, sf_dir):
+    """Forms of pages whose first section has a role by its class: fields with their names, labels, types and lengths."""
+    pages = _built(spark, sf_dir, f"""concat('<body><section class="', {_CLASS}, '"><h2>Plans for all</h2><img src="p.png"></section><footer><p>Page ', page_id, case when page_id % 4 = 0 then repeat(' and so on.', 10) else '' end, '</p></footer><div><em>Other words</em></div></body>')""")
+    return sections.fields(checkpointed(nodes.parse_html(pages))).select("page_id", "field_id", "label", "field_type", "role", "max_length")
+
+
+_REPURPOSED = "concat('<body><section><h2>A title that is long enough for a sample</h2>', repeat('<p>Words that are long enough, too.</p>', n), repeat('<p>Abcd</p>', cast(page_id % 7 as int)), '</section></body>')"
+_DUCK_REPURPOSED = f"(select page_id, 1 + n + r as n_fields, 1 + n + r as applied, 1 + n + r as present, greatest(0.0, 100.0 - 20 * r)::double as safety, 100.0::double as structural, round((300 + greatest(0.0, 100.0 - 20 * r)) / 4, 2)::double as success from (select page_id, page_id % 7 as r, {_N}::bigint as n from pages))"
+
+
+@query("page_repurpose_scores", f"select * from {_DUCK_REPURPOSED}")
+def page_repurpose_scores(spark, sf_dir):
+    """What pages make of sample content: each short paragraph is a risk to what is put in its place."""
+    from loomspan.plans.evaluation import repurpose
+
+    return repurpose(_built(spark, sf_dir, _REPURPOSED))
+
+
+@query("corpus_repurpose_scores", "select count(*) as pages, " + ", ".join(f"{f}({m})::double as {n}_{m}" for m in ("n_fields", "safety", "structural", "success") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + f" from {_DUCK_REPURPOSED}")
+def corpus_repurpose_scores(spark, sf_dir):
+    """The report of these pages as a corpus."""
+    from loomspan.plans.evaluation import repurpose_stats
+
+    return repurpose_stats(page_repurpose_scores(spark, sf_dir))
+
+
+_CANONICAL = """concat('<body class="k', page_id, '"><ul>', repeat('<li>x<b>y</b></li>', n), '</ul>', repeat('<div>', cast(page_id % 20 as int)), '<img src="a.png">', repeat('</div>', cast(page_id % 20 as int)), '<br><p title="a &amp; &quot;b&quot;">', page_id, '</p></body>')"""
+
+
+@query("page_html_round_trip", f"select page_id, {_CANONICAL.replace('cast(page_id % 20 as int)', '(page_id % 20)::bigint')} as html from (select page_id, {_N}::bigint as n from pages)")
+def page_html_round_trip(spark, sf_dir):
+    """Markup that is parsed and compiled again comes back as it was."""
+    return markup.compile_html(nodes.parse_html(_built(spark, sf_dir, _CANONICAL)))
+
+
+@query("page_vue_files", f"""with v as (select page_id, array_to_string(list_sort(list(concat('  --', category, '-', key, ': ', value, ';'))), chr(10)) as variables from ({{tokens}}) group by 1)
+  select page_id, concat('<template>', chr(10), '<body><h1>', page_id, '</h1></body>', chr(10), '</template>', chr(10), chr(10), '<script setup>', chr(10), '</script>', chr(10), chr(10), '<style scoped>', chr(10), ':root {{{{', chr(10), variables, chr(10), '}}}}', chr(10), '</style>', chr(10)) as vue from v""".format(tokens=ORACLES["page_tokens"]))
+def page_vue_files(spark, sf_dir):
+    """Single-file components: a small template with the variables of the page's look."""
+    tree = nodes.parse_html(_built(spark, sf_dir, "concat('<body><h1>', page_id, '</h1></body>')"))
+    return markup.compile_vue(tree, page_tokens(spark, sf_dir))

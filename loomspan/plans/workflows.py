@@ -7,17 +7,31 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import nodes, sections, workflows
 from loomspan.plans.values import DUCK_SHEETS, PORTFOLIO, sheet_imports
-from loomspan.plans.pages import links
+from loomspan.plans.pages import _DUCK_LINKS, links
 from loomspan.plans.registry import query
 from loomspan.session import checkpointed, table
 
 
-@query("crawl_frontier")
+_DUCK_NORMAL = r"(regexp_extract({0}, '^([a-zA-Z]+://[^/?#]+)', 1) || case when regexp_replace(regexp_extract({0}, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') = '' then '/' else regexp_replace(regexp_extract({0}, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') end)"
+_DUCK_SITE = "regexp_extract({0}, '^([a-zA-Z]+://[^/?#]+)', 1)"
+
+
+def duck_crawl(allowed: str = "true") -> str:
+    """Two levels of all pages' crawls; allowed is a condition on a link's target."""
+    return rf"""with given as (select page_id, url, pos, case when href like '/%' and href not like '//%' then {_DUCK_SITE.format('url')} || href else href end as target from {_DUCK_LINKS}),
+  edges as (select {_DUCK_NORMAL.format('url')} as source, {_DUCK_NORMAL.format('target')} as target, pos::int as pos from given where {_DUCK_SITE.format('url')} = {_DUCK_SITE.format('target')}),
+  open_edges as (select * from edges where {allowed}),
+  l0 as (select page_id as root, {_DUCK_NORMAL.format('url')} as url, 0 as depth, []::int[] as found from pages),
+  l1 as (select root, target as url, 1 as depth, min(list_append(found, pos)) as found from l0 join open_edges on url = source group by 1, 2 having (root, target) not in (select (root, url) from l0)),
+  l2 as (select root, target as url, 2 as depth, min(list_append(found, pos)) as found from l1 join open_edges on url = source group by 1, 2 having (root, target) not in (select (root, url) from l0 union all select (root, url) from l1)),
+  placed as (select *, row_number() over (partition by root order by depth, found, url) as place from (select * from l0 union all select * from l1 union all select * from l2))
+  select root, url, depth, place::int as place from placed where place <= 25"""
+
+
+@query("crawl_frontier", duck_crawl())
 def crawl_frontier(spark, sf_dir):
-    """Pages reached from the first page's site, breadth first."""
-    pages = table(spark, sf_dir, "pages")
-    start = pages.agg(F.min_by("url", "page_id").alias("u")).first()["u"]
-    return workflows.crawl(pages, links(spark, sf_dir), start)
+    """Pages reached from each page on its own site, breadth first."""
+    return workflows.crawl(links(spark, sf_dir), table(spark, sf_dir, "pages").select(F.col("page_id").alias("root"), "url"))
 
 
 @query("page_asset_references", """select page_id, count(*) filter (where t like 'script%src=%')::bigint as scripts, count(*) filter (where t like 'img%src=%')::bigint as images, count(*) filter (where regexp_matches(t,'^link.*stylesheet'))::bigint as sheets from

@@ -59,6 +59,29 @@ def sliding_window_stream(events: DataFrame, most: int, seconds: float, late: st
     return x.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, admitted boolean", "recent array<double>", "append", "EventTimeTimeout")
 
 
+def mean_gaps(events: DataFrame, least: float) -> DataFrame:
+    """(user_id, gap) of events(user_id, ts): the mean time in seconds from one event to the next, where an event closer
+    than `least` to the last one kept is left out; null for a key of which one alone is kept. One number is in hand."""
+
+    def fold(batches):
+        key, last, total, n = None, None, 0.0, 0
+        for pdf in batches:
+            done = []
+            for user, t in zip(pdf["user_id"], pdf["t"]):
+                if user != key:
+                    if key is not None:
+                        done.append((key, total / n if n else None))
+                    key, last, total, n = user, t, 0.0, 0
+                elif t - last >= least:
+                    last, total, n = t, total + t - last, n + 1
+            yield pd.DataFrame(done, columns=["user_id", "gap"]).astype({"gap": "float64"})
+        if key is not None:
+            yield pd.DataFrame([(key, total / n if n else None)], columns=["user_id", "gap"]).astype({"gap": "float64"})
+
+    x = events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return x.repartition("user_id").sortWithinPartitions("user_id", "t").mapInPandas(fold, "user_id long, gap double")
+
+
 def fixed_window_stream(events: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:
     """Hits for each key and window of a stream of events(ts, user_id), with a watermark: what a fixed-window limiter
     counts. Append mode gives each window once it can't change any more."""
