@@ -11,13 +11,16 @@ smallest hashes, which nearly all prefixes keep to. Equal sets are reduced to on
 a shingle only members that could have it as their first shared shingle are paired (positional filter: enough shingles
 must follow in both). Every member is first paired with at most PIVOTS others (of random parts of the list those with the fewest rarer
 shingles, as they link with most); then, once components
-are known, members outside a list's largest component are paired with those of other components. So a large group of
-near copies costs pairs in proportion to its size, yet every pair that could join two components is looked at. Each
+are known, members outside a list's largest component are paired with those of other components, by bands of size that
+the length and positional filters leave open: the smaller of two must have enough shingles left for the larger. So a
+large group of near copies, or of texts that share much but not enough, costs pairs in proportion to its size, yet every
+pair that could join two components is looked at. Each
 pair is verified once: by the suffix filter (set sizes by hash range bound the overlap), then by intersection.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,6 +169,11 @@ def _can_link(x: str, y: str, percent: int) -> F.Column:
     return (F.col(f"{x}.key") != F.col(f"{y}.key")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (after >= needed)
 
 
+def _band(n: F.Column) -> F.Column:
+    """Sizes in steps of a twentieth: what may link lies in one of five bands."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.05)).cast("int")
+
+
 def _pair(x: str, y: str) -> list[F.Column]:
     return [F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b")]
 
@@ -215,11 +223,17 @@ def set_links(docs: DataFrame, reps: DataFrame, percent: int = THRESHOLD) -> Dat
     # was met in that list already; so a pair is left to the lists where its shared shingles begin.
     before = F.collect_list("h").over(Window.partitionBy("key").orderBy("pos").rowsBetween(-BEFORE, -1))
     open_lists = keep(labelled.join(largest, "h").withColumn("before", before))
-    x, y = open_lists.where("part <> largest").alias("x"), open_lists.alias("y")
-    twice = (F.col("y.part") != F.col("y.largest")) & (F.col("x.key") > F.col("y.key"))
-    fits = (F.col("x.part") != F.col("y.part")) & ~twice & _can_link("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before")
-    rest = x.join(y, F.col("x.h") == F.col("y.h")).where(fits)
-    rest = keep(rest.select(*_pair("x", "y")).distinct().join(first, ["a", "b"], "left_anti"))
+    # Of two members the smaller one must have enough left for the larger one's size: most lists of shared boilerplate have
+    # no member that has enough for its own. Those that do meet sizes from their own up to their limit, band by band.
+    limit = F.least(F.floor((F.col("n") - F.col("pos")) * (100 + percent) / F.lit(percent) + 1e-9) - F.col("n"), F.floor(F.col("n") * 100 / F.lit(percent) + 1e-9))
+    smaller = open_lists.withColumn("limit", limit).where(F.col("limit") >= F.col("n")).withColumn("band", F.explode(F.sequence(_band(F.col("n")), _band(F.col("limit")))))
+    larger = open_lists.withColumn("band", _band(F.col("n")))
+    x, y = smaller.alias("x"), larger.alias("y")
+    in_order = F.struct("x.n", "x.key") < F.struct("y.n", "y.key")
+    fits = in_order & (F.col("x.part") != F.col("y.part")) & _can_link("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before")
+    met = [a.join(b, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band"))).where(fits).select(*_pair("x", "y"))
+           for a, b in ((x.where("x.part <> x.largest"), y), (x.where("x.part = x.largest"), y.where("y.part <> y.largest")))]
+    rest = keep(met[0].unionByName(met[1]).distinct().join(first, ["a", "b"], "left_anti"))
     more = _verified(rest, prefixes, docs, percent)
     discard(lists, prefixes, pivots, labelled, largest, open_lists)
     return links.unionByName(more)
