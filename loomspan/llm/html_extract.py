@@ -6,10 +6,13 @@ with the largest sum. What a token scores is learned from labelled pages, which
 class, id and role that words stand under. A name that says so itself (`cookie-notice`, `related-posts`) starts low,
 where it is made of nothing but such words (`has-sidebar`, `long-form` or `social-science` say nothing).
 
-A low name lowers the words under it; it bans nothing. Blocks of the run that score below zero are left out, an element
-with most of the page's prose is never held against it, and only what is certain is banned: scripts, styles, menus,
-footers, asides, form controls, what is hidden, and ARIA roles of such parts. Reader comments are known by names, by an
-article inside an article, by a heading that says so, or by links to reply.
+All evidence is in the scores, and the run decides. A low name lowers the words under it, as do the tags and ARIA roles
+of menus, headers, footers and asides, and standing outside the one article that holds the page's prose; the name of an
+element with most of the prose is never held against it. The text is that of the run, without the dips between its ends, stretches of
+words that score below zero. Only what is no text is left out of the sequence itself: scripts, styles, form controls and
+what is hidden. Reader comments are known by names, by an article inside an article, by a heading that says so, or by
+links to reply. Elements know their parent alone, so that a page costs time and memory in proportion to its length,
+however deep it is nested.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import html
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -31,13 +34,13 @@ from loomspan.llm.shared import discard, keep
 #: Labelled pages that the weights are learned from, at most; a class counts that so many of them have (a share, and a number).
 SAMPLE = 2000
 SHARE, PAGES = 0.01, 3
-#: Share of a page's prose from which an element is the page rather than a part, and words that are no content yet.
-MOST, FEW = 0.5, 10
+#: Share of a page's prose from which an element is the page rather than a part.
+MOST = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|math|xmp|noframes)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>.*?(?:</(?P=raw)\s*>|$)|$)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">]|['\"](?=[^'\"]*>))*)(?:>|$)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">]|['\"](?=[^'\"]*(?:>|$)))*)(?:>|$)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -47,8 +50,9 @@ _INLINE = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-#: Elements and roles that never hold main text.
-_NEVER = frozenset("head nav footer aside button select option datalist fieldset dialog menu object canvas audio video map".split())
+#: Elements that hold no text of a page's own; those and roles that are parts of a page.
+_NEVER = frozenset("head button select option datalist fieldset dialog object canvas audio video map".split())
+_ASIDE = frozenset("nav footer aside menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist status".split())
 #: Words that name a part by themselves, and words that such names are made of besides.
 _PART = frozenset(
@@ -92,9 +96,10 @@ class Element:
     """An open element that may say something of what is in it."""
 
     tag: str
+    parent: int  # number of the element around it, -1 for none
     names: tuple[str, ...] = ()
     judged: str = ""
-    around: tuple[int, ...] = ()
+    new: tuple[str, ...] = ()  # names that no element around it has
 
 
 @dataclass
@@ -106,7 +111,7 @@ class Block:
     link_words: int
     before: list[str]  # classes of the tags before it
     banned: bool
-    inside: tuple[int, ...]  # numbers of the elements around it
+    at: int  # number of the innermost element around it, -1 for none
 
     @property
     def heading(self) -> bool:
@@ -121,8 +126,10 @@ class Block:
 class _Open:
     tag: str
     banned: bool = False
-    inside: tuple[int, ...] = ()
+    at: int = -1
     article: bool = False
+    nested: bool = False  # in an element `article`
+    names: tuple[str, ...] = ()  # that are open by it alone
     comments: tuple[int, int] | None = None  # element that a heading began, and the heading's rank
 
 
@@ -135,27 +142,31 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
     out: list[Block] = []
     elements: list[Element] = []
     stack: list[_Open] = [_Open("")]
+    named: set[str] = set()  # names of open elements
+    open_tags: Counter = Counter()
     parts: list[str] = []
     before: list[str] = []
     n_words = n_links = links = at = 0
 
-    def element(tag: str, names: tuple[str, ...], judged: str, around: tuple[int, ...]) -> int:
-        elements.append(Element(tag, names, judged, around))
+    def element(tag: str, parent: int, names: tuple[str, ...] = (), judged: str = "") -> int:
+        new = tuple(x for x in names if x not in named)
+        named.update(new)
+        elements.append(Element(tag, parent, names, judged, new))
         return len(elements) - 1
 
     def flush() -> None:
         nonlocal n_words, n_links, before
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            top = stack[-1]
-            inside = top.inside
-            if top.tag in _HEADINGS and len(stack) > 1 and len(text) < 120 and _COMMENTS_HEAD.fullmatch(text):
-                parent = stack[-2]
-                parent.comments = (element("", (), "comment", parent.inside), int(top.tag[1]))
-            for over in stack:
-                if over.comments and over.comments[0] not in inside:
-                    inside = (*inside, over.comments[0])
-            out.append(Block(text, n_words, n_links, before, top.banned, inside))
+            top, around = stack[-1], stack[-2] if len(stack) > 1 else None
+            if around and top.tag in _HEADINGS and _COMMENTS_HEAD.fullmatch(text):
+                around.comments = (element("", around.at, (), "comment"), int(top.tag[1]))
+            inner = top.at
+            if top.comments:
+                inner = top.comments[0]
+            elif around and around.comments and inner == around.at:
+                inner = around.comments[0]
+            out.append(Block(text, n_words, n_links, before, top.banned, inner))
             before = []
         parts.clear()
         n_words = n_links = 0
@@ -168,10 +179,16 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
             n_words += n
             n_links += n if links else 0
 
+    def close(depth: int) -> None:
+        for o in stack[depth:]:
+            named.difference_update(o.names)
+            open_tags[o.tag] -= 1
+        del stack[depth:]
+
     def pop(tag: str) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == tag:
-                del stack[i:]
+                close(i)
                 return
             if stack[i].tag in ("article", "main", "td", "table", "body") and tag in ("p", "li", "b", "i"):
                 return
@@ -190,7 +207,7 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
                 continue
             flush()
             before.append("/" + tag)
-            if tag not in _VOID:
+            if tag not in _VOID and open_tags[tag]:
                 pop(tag)
             continue
         if tag == "br":
@@ -205,32 +222,34 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
         if tag in _VOID:
             continue
         if tag in _CLOSES_P and stack[-1].tag == "p" or tag in ("li", "option", "tr", "td", "th", "dt", "dd") and stack[-1].tag == tag:
-            stack.pop()
+            close(len(stack) - 1)
         if tag == "body":  # whatever the head left open
-            del stack[1:]
+            close(1)
         over = stack[-1]
         if over.comments and tag in _HEADINGS and int(tag[1]) <= over.comments[1]:  # the next section begins
             over.comments = None
         said = _attributes(m["attrs"]) if "=" in m["attrs"] or "hidden" in m["attrs"].lower() else {}
         role = said.get("role", "").lower()
         banned = (
-            over.banned or tag in _NEVER or role in _ROLES or tag == "header" and not over.article
+            over.banned or tag in _NEVER
             or "hidden" in said and said["hidden"].lower() != "until-found" or said.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(said.get("style", "")))
         )
+        part = tag in _ASIDE or role in _ROLES or tag == "header" and not over.article
         article = over.article or tag in ("article", "main") or role in ("article", "main")
         names = tuple(dict.fromkeys(re.sub(r"\d+", "#", x) for x in (*said.get("class", "").split(), *said.get("id", "").split(), *role.split())))
-        inside = over.inside
-        if over.comments and over.comments[0] not in inside:
-            inside = (*inside, over.comments[0])
-        if names or tag in ("article", "main", "form", "section", "ol", "ul", "div"):
+        inner = over.comments[0] if over.comments else over.at
+        opened = _Open(tag, banned, inner, article, over.nested or tag == "article")
+        if names or part or tag in ("article", "main", "form", "section", "ol", "ul", "div"):
             judged = ""
             if tag not in (*_HEADINGS, "html", "body", "main"):
                 verdicts = {judge_name(x, over.article) for x in names}
-                judged = "comment" if "comment" in verdicts else "part" if "part" in verdicts or tag == "form" else ""
-                if tag == "article" and any(elements[i].tag == "article" for i in over.inside):
+                judged = "aside" if part else "comment" if "comment" in verdicts else "part" if "part" in verdicts or tag == "form" else ""
+                if tag == "article" and over.nested:
                     judged = "comment"
-            inside = (*inside, element("main" if role == "main" else tag, () if tag in ("html", "body") else names, judged, inside))
-        stack.append(_Open(tag, banned, inside, article))
+            opened.at = element("main" if role == "main" else tag, inner, () if tag in ("html", "body") else names, judged)
+            opened.names = elements[-1].new
+        stack.append(opened)
+        open_tags[tag] += 1
     say(page[at:])
     flush()
     return out, elements
@@ -259,54 +278,107 @@ DEFAULT = Weights({"p": -0.1, "/p": -0.1, "li": -0.5, "/li": -0.5, "div": -0.2,
 _LOW = -2.0
 
 
-def _prose(found: list[Block], n: int) -> tuple[int, list[int]]:
-    """Words outside links and banned parts: of the page, and under each element."""
-    under = [0] * n
+def _prose(found: list[Block], elements: list[Element], words: Callable[[Block], int]) -> tuple[int, list[int]]:
+    """Words outside banned parts: of the page, and under each element."""
+    under = [0] * len(elements)
+    total = 0
     for b in found:
         if not b.banned:
-            for i in b.inside:
-                under[i] += b.prose
-    return sum(b.prose for b in found if not b.banned), under
+            total += words(b)
+            if b.at >= 0:
+                under[b.at] += words(b)
+    for i in range(len(elements) - 1, -1, -1):  # an element comes after those around it
+        if elements[i].parent >= 0:
+            under[elements[i].parent] += under[i]
+    return total, under
+
+
+def _inside(elements: list[Element], of: set[int]) -> list[bool]:
+    """Whether each element is one of a set or in one of them."""
+    out: list[bool] = []
+    for i, e in enumerate(elements):
+        out.append(i in of or e.parent >= 0 and out[e.parent])
+    return out
 
 
-def _comments(found: list[Block], elements: list[Element], total: int, under: list[int]) -> set[int]:
-    """Elements that hold reader comments; none if there would be nothing else."""
+def _comments(found: list[Block], elements: list[Element], total: int, under: list[int]) -> list[bool]:
+    """Elements that hold reader comments; none if the page has no other prose."""
     out = {i for i, e in enumerate(elements) if e.judged == "comment"}
-    for b in found:
-        if b.words <= 4 and not b.banned and _REPLY.fullmatch(b.text):
-            held = None
-            for i in reversed(b.inside):  # the largest section or list around it that isn't the page
-                if elements[i].tag in ("main", "article") and elements[i].judged != "comment" or under[i] > MOST * total:
-                    break
-                held = i if elements[i].tag in ("section", "ol", "ul", "div") else held
-            out |= {held} - {None}
-    left = sum(b.prose for b in found if not b.banned and not out.intersection(b.inside))
-    return out if left > FEW else set()
-
-
-def block_scores(found: list[Block], elements: list[Element], weights: Weights) -> list[float]:
-    """What a word of each block scores (a link word less)."""
-    total, under = _prose(found, len(elements))
+    holds: list[int] = []  # the largest section or list around each element that isn't the page, -1 for none
+    for i, e in enumerate(elements):
+        above = holds[e.parent] if e.parent >= 0 else -1
+        if e.tag in ("main", "article") and e.judged != "comment" or under[i] > MOST * total:
+            holds.append(-1)
+        else:
+            holds.append(above if above >= 0 else i if e.tag in ("section", "ol", "ul", "div") else -1)
+    out |= {holds[b.at] for b in found if b.at >= 0 and b.words <= 4 and not b.banned and _REPLY.fullmatch(b.text)} - {-1}
+    inside = _inside(elements, out)
+    left = sum(b.prose for b in found if not b.banned and not (b.at >= 0 and inside[b.at]))
+    return inside if left > 0 else [False] * len(elements)
+
+
+def _holder(found: list[Block], scores: list[float], elements: list[Element]) -> int | None:
+    """The article or main element that the page is about: the smallest with most of the words that score above zero."""
+    words = [b.words if score > 0 else 0 for b, score in zip(found, scores)]
+    total, under = sum(words), [0] * len(elements)
+    for b, n in zip(found, words):
+        if b.at >= 0:
+            under[b.at] += n
+    for i in range(len(elements) - 1, -1, -1):
+        if elements[i].parent >= 0:
+            under[elements[i].parent] += under[i]
+    in_main, in_article = [], []  # the main element around each, and whether an article is
+    own: dict[int, list[int]] = {}
+    for i, e in enumerate(elements):
+        main = in_main[e.parent] if e.parent >= 0 else -1
+        article = e.parent >= 0 and (in_article[e.parent] or elements[e.parent].tag == "article")
+        if e.tag == "article" and main >= 0 and not article and under[i]:
+            own.setdefault(main, []).append(i)
+        in_main.append(i if e.tag == "main" else main)
+        in_article.append(article)
+    for main, articles in own.items():  # one article in it is what it is about, whatever stands beside
+        if len(articles) == 1 and under[articles[0]] >= 0.25 * under[main] and under[main] >= 0.7 * total:
+            return articles[0]
+    large = [i for i, e in enumerate(elements) if e.tag in ("article", "main") and total and under[i] >= 0.7 * total]
+    return min(large, key=lambda i: (under[i], -i)) if large else None
+
+
+def block_scores(found: list[Block], elements: list[Element], weights: Weights) -> tuple[list[float], list[bool], bool]:
+    """What a word of each block scores (a link word less), which blocks are of a known part of a page, and whether one
+    article holds the page."""
+    total, under = _prose(found, elements, lambda b: b.prose)
     comments = _comments(found, elements, total, under)
-    parts = [0.0] * len(elements)
+    sums: list[float] = []
+    low: list[bool] = []
     for i, e in enumerate(elements):
-        if i in comments:
-            parts[i] = _LOW
-        elif under[i] < total:  # what holds all or most is the page rather than a part of it, whatever its name says
-            low = _LOW if e.judged == "part" and under[i] <= MOST * total else 0.0
-            parts[i] = max(-3.0, min(1.0, sum(map(weights.name, e.names)))) + low
-    return [-1.0 if b.banned else max(-2.0, min(2.0, 1.0 + sum(parts[i] for i in b.inside))) for b in found]
+        part = 0.0
+        lowered = comments[i] and not (e.parent >= 0 and comments[e.parent])
+        if lowered or e.judged == "aside":  # by its tag or role
+            part, lowered = _LOW, True
+        elif under[i] < total or total == 0:  # what holds all or most is the page rather than a part of it, whatever its name says
+            lowered = e.judged == "part" and under[i] <= MOST * total
+            part = max(-3.0, min(1.0, sum(map(weights.name, e.names)))) + (_LOW if lowered else 0.0)
+        sums.append(part + (sums[e.parent] if e.parent >= 0 else 0.0))
+        low.append(lowered or e.parent >= 0 and low[e.parent])
+    scores = [max(-2.0, min(2.0, 1.0 + (sums[b.at] if b.at >= 0 else 0.0))) for b in found]
+    scores = [-1.0 if b.banned else s for b, s in zip(found, scores)]
+    holder = _holder(found, scores, elements)
+    if holder is not None:
+        held = _inside(elements, {holder})
+        scores = [s if s <= 0 or b.at >= 0 and held[b.at] else s + _LOW for b, s in zip(found, scores)]
+    return scores, [b.banned or b.at >= 0 and low[b.at] for b in found], holder is not None
 
 
-def best_run(found: list[Block], scores: list[float], weights: Weights) -> tuple[int, int]:
-    """First and last block of the run of tokens with the largest sum (the first of equal ones); (0, -1) if empty."""
+def best_run(found: list[Block], scores: list[float], known: list[bool], weights: Weights) -> tuple[int, int]:
+    """First and last block of the run of tokens with the largest sum (the first of equal ones); (0, -1) if empty. A known
+    part that scores below zero is passed over, so that a long one in an article does not cut it in two."""
     best, run, total, start = 0.0, (0, -1), 0.0, 0
     for i, (b, score) in enumerate(zip(found, scores)):
+        if known[i] and score <= 0:
+            continue
         total += sum(map(weights.tag, b.before))
         if total <= 0:
             total, start = 0.0, i
-        if b.banned:  # left out wherever it stands
-            continue
         # The words of a block follow each other: its first word opens a run, its last one ends it.
         total += b.prose * score + b.link_words * (min(score, weights.link) if score > 0 else score)
         if total > best:
@@ -314,20 +386,20 @@ def best_run(found: list[Block], scores: list[float], weights: Weights) -> tuple
     return run
 
 
-def _holder(found: list[Block], scores: list[float], elements: list[Element], first: int, last: int) -> int | None:
-    """The article or main element that the run is in: the smallest with most of the run's words."""
-    words, run = Counter(), 0
+def run_text(found: list[Block], scores: list[float], first: int, last: int) -> str:
+    """The text of a run without the dips between its ends."""
+    out: list[str] = []
+    dip: list[str] = []
+    above = False
     for b, score in zip(found[first : last + 1], scores[first : last + 1]):
+        if b.banned:
+            continue
         if score > 0:
-            run += b.words
-            words.update({i: b.words for i in b.inside if elements[i].tag in ("article", "main")})
-    for i in words:
-        if elements[i].tag == "main":  # one article in it is what it is about, whatever stands beside
-            own = [k for k in words if elements[k].tag == "article" and i in elements[k].around and not any(elements[j].tag == "article" for j in elements[k].around)]
-            if len(own) == 1 and words[own[0]] >= 0.25 * words[i] and words[i] >= 0.7 * run:
-                return own[0]
-    large = [i for i, n in words.items() if n >= 0.7 * run]
-    return min(large, key=lambda i: (words[i], -i)) if large else None
+            out += [b.text] if above else [*dip, b.text]
+            dip, above = [], True
+        else:
+            dip.append(b.text)
+    return " ".join(out + dip)
 
 
 def main_text(page: str | None, weights: Weights = DEFAULT) -> str:
@@ -335,38 +407,44 @@ def main_text(page: str | None, weights: Weights = DEFAULT) -> str:
     if not page:
         return ""
     found, elements = parse(page)
-    scores = block_scores(found, elements, weights)
-    first, last = best_run(found, scores, weights)
+    scores, known, held = block_scores(found, elements, weights)
+    first, last = best_run(found, scores, known, weights)
     if last < first:
         return ""
-    holder = _holder(found, scores, elements, first, last)
-    if holder is not None:
-        keep = [b for b, score in zip(found, scores) if score > 0 and holder in b.inside]
-    else:
-        while first and found[first - 1].heading and scores[first - 1] > 0:  # few words, many tags: yet they belong
-            first -= 1
+    while first and found[first - 1].heading and scores[first - 1] > 0:  # few words, many tags: yet they belong
+        first -= 1
+    if not held:
         title = next((i for i in range(first, last + 1) if found[i].before and found[i].before[-1] == "h1"), first)
         if sum(b.words for b in found[first:title]) < 0.1 * sum(b.words for b in found[first : last + 1]):
             first = title  # what little stands above the title isn't of the article
-        keep = [b for b, score in zip(found[first : last + 1], scores[first : last + 1]) if score > 0]
-    return " ".join(b.text for b in keep)
+    return run_text(found, scores, first, last)
 
 
 def count_classes(page: str) -> tuple[Counter, Counter] | None:
     """Token classes ("tag p", "name ad", "link", "word") inside and outside the content of a page that marks it, else None."""
     found, elements = parse(page)
-    holders = [i for i, e in enumerate(elements) if e.tag in ("article", "main")]
-    tops = [i for i in holders if not set(holders).intersection(elements[i].around)]
+    held: list[bool] = []  # in an article or main element
+    tops = []
+    for i, e in enumerate(elements):
+        around = e.parent >= 0 and (held[e.parent] or elements[e.parent].tag in ("article", "main"))
+        held.append(around)
+        if e.tag in ("article", "main") and not around:
+            tops.append(i)
     if len(tops) != 1:
         return None
+    within = _inside(elements, {tops[0]})
     inside, outside = Counter(), Counter()
     for b in found:
-        if b.banned:
-            continue
-        side = inside if tops[0] in b.inside else outside
-        side.update(f"tag {t}" for t in b.before)
-        side.update({"word": b.prose, "link": b.link_words})
-        side.update({f"name {x}": b.words for x in {x for i in b.inside for x in elements[i].names}})
+        if not b.banned:
+            side = inside if b.at >= 0 and within[b.at] else outside
+            side.update(f"tag {t}" for t in b.before)
+            side.update({"word": b.prose, "link": b.link_words})
+    # Words under a name, on either side: those under each element that opens it.
+    _, of_both = _prose(found, elements, lambda b: b.words)
+    _, of_inside = _prose(found, elements, lambda b: b.words if b.at >= 0 and within[b.at] else 0)
+    for e, both, own in zip(elements, of_both, of_inside):
+        inside.update({f"name {x}": own for x in e.new if own})
+        outside.update({f"name {x}": both - own for x in e.new if both > own})
     return inside, outside
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -76,7 +77,7 @@ def test_what_stands_after_a_comments_heading_may_be_article_again():
     assert h.main_text(page) == f"{P[0]} Sources {P[1]}"
 
 
-def test_a_page_of_comments_alone_keeps_them():
+def test_a_page_that_has_nothing_but_comments_keeps_them():
     assert h.main_text(f"<div class=comments>{COMMENT}</div>").startswith("I disagree")
 
 
@@ -110,6 +111,51 @@ def test_weights_are_learned_and_matter():
     assert all(h.main_text(hashed(p), weights).replace(" ", "") == t.replace(" ", "") for p, t in zip(pages, truth))
 
 
+def test_the_run_decides_what_the_text_is(monkeypatch):
+    pages = [r["html"] or "" for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    texts = [h.main_text(p) for p in pages]
+    monkeypatch.setattr(h, "best_run", lambda found, *_: (0, len(found) - 1))
+    assert sum(a != h.main_text(p) for a, p in zip(texts, pages)) > 0.9 * len(pages)
+
+
+def test_a_short_article_loses_its_long_comments():
+    comments = "".join(f"<p>{i} words of a reader who goes on and on about it all</p>" for i in range(15))
+    for page in ("<article><p>Four words and out</p></article><section class=comments>{}</section>", "<main><p>Four words and out</p><section class=comments>{}</section></main>", "<div><p>Four words and out</p><div id=comments>{}</div></div>"):
+        assert h.main_text(f"<body>{page.format(comments)}</body>") == "Four words and out"
+    long_head = f"<article><p>Four words and out</p><h3>Comments {'so many ' * 20}</h3></article>"
+    assert h.main_text(long_head).startswith("Four words and out")
+
+
+def test_footers_and_menus_of_short_pages_go():
+    assert h.main_text("<div><p>Short text.</p></div><footer>Some longer words of the owner of the site.</footer>") == "Short text."
+    assert h.main_text("<nav><p>Nothing but a menu on this page</p></nav>") == ""
+
+
+def test_a_last_tag_that_is_cut_off_is_no_text():
+    for tag in ('<a b="ccc', "<a href='x y", "<a b", "<p class=\"a\" id=\"b"):
+        assert h.main_text(f"<p>{P[0]}</p>{tag}") == P[0]
+
+
+def test_ties_go_to_the_first_run():
+    assert h.main_text("<div><p>one two three</p></div>" + "<hr>" * 60 + "<div><p>four five six</p></div>") == "one two three"
+
+
+def test_dips_inside_a_run_go_and_long_ones_do_not_cut_it():
+    comments = "<div class=comments>" + "<p>words of readers</p>" * 200 + "</div>"
+    assert h.main_text(f"<article><p>{P[0]}</p>{comments}<aside>Also</aside><p>{P[1]}</p></article>") == f"{P[0]} {P[1]}"
+
+
+def test_deep_nesting_takes_memory_in_proportion():
+    tracemalloc.start()
+    deep = "<div class=a>" * 50_000 + "down here" + "</div>" * 50_000
+    assert h.main_text(deep) == "down here"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    unclosed = "".join(f"<div id=n{i}><p>word " for i in range(30_000))
+    assert len(h.main_text(unclosed)) == 5 * 30_000 - 1
+
+
 def test_learning_of_pages(spark):
     named = [(i, f"<body><div class='zz{i}'><p>Words of a box that is found on all pages.</p></div><main>{PROSE}</main></body>".replace(f"zz{i}", "zz")) for i in range(5)]
     weights = h.learn(spark.createDataFrame([(i, p.replace("first", f"first{i}"), "x") for i, p in named], "page_id long, html string, hash string"))
