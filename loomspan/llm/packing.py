@@ -25,8 +25,8 @@ from loomspan.llm.word_tokens import WordBpe, portions
 
 CAPACITY = 4096
 END = 1
-#: Pieces of one length are dealt over so many tasks to be ranked.
-RANK_PARTS = 256
+#: Pieces that are ranked in one part, about.
+RANKED = 50_000
 
 
 def default_tokenizer() -> str:
@@ -154,15 +154,19 @@ def pack(
     rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"), F.coalesce(text_column, F.lit("")).alias("text"))
     kind = f"row {rows.schema['row'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     pieces = rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, with_ids), kind)
-    pieces = keep(pieces.withColumn("h", F.xxhash64(*([f"row.c{others.index(id_column)}"] if id_column in others else []), "piece", "ids_crc32")))
+    pieces = pieces.withColumn("h", F.xxhash64(*([f"row.c{others.index(id_column)}"] if id_column in others else []), "piece", "ids_crc32"))
+    # Pieces of a row that is there very often have one hash: where they stand deals them, and is written with them.
+    pieces = keep(pieces.withColumn("deal", F.xxhash64("h", F.monotonically_increasing_id())))
 
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():  # one row a length: `capacity` at most
         counts[r.length] = r["count"]
     slots = docs.sparkSession.sparkContext.broadcast(_slots(best_two_fit(counts, capacity)))
 
-    # Ranks within a length: its pieces are dealt over parts by hash, so that a frequent length is not one task's.
-    pieces = pieces.withColumn("part", F.pmod("h", F.lit(RANK_PARTS)).cast("int"))
+    # Ranks within a length: its pieces are dealt over parts by hash, the more the more pieces there are, so that a frequent
+    # length is not one task's.
+    parts = 1 + int(counts.max()) // RANKED
+    pieces = pieces.withColumn("part", F.pmod("deal", F.lit(parts)).cast("int"))
     sizes = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("h", "ids_crc32", "start"))
