@@ -276,3 +276,45 @@ def order_due_dates(spark, sf_dir):
     """Dates moved by an interval, and days between dates."""
     day = F.to_date("o_orderdate")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.date_add(day, 30), "yyyy-MM-dd").alias("due"), F.date_diff(F.lit("2000-01-01").cast("date"), day).alias("age"))
+
+
+#: A box in each notation of a page's first colour, and one in another's.
+_BRANDED = _put("""'<p style="color: #', substr(md5(url), 1, 6), '; margin:0">a</p><p style="background: rgb(', page_id % 256, ', 7, 9)">b</p><p style="border: 1px solid #', substr(md5(url), 1, 6), '">c</p>'""")
+
+
+@query("page_brand_applied", r"""with p as (select page_id, substr(md5(url), 7, 6) as accent, page_id % 3 > 0 as known from pages)
+  select page_id, 1 + known::bigint as colors_remapped, concat('color: #0', page_id % 10, 'aa', 10 + page_id % 90, '; margin: 0') as first, case when known then concat('background: rgb(', ('0x' || substr(accent,1,2))::int, ', ', ('0x' || substr(accent,3,2))::int, ', ', ('0x' || substr(accent,5,2))::int, ')')
+  else concat('background: rgb(', page_id % 256, ', 7, 9)') end as second, 2::int + (page_id % 4)::int as version from p""")
+def page_brand_applied(spark, sf_dir):
+    """Pages in the colours of a brand: styles remapped in their notation, compiled anew, and the next version of each."""
+    from loomspan.operators import brand
+
+    pages = table(spark, sf_dir, "pages")
+    tree = nodes.parse_html(pages.select("page_id", F.expr(_BRANDED).alias("html")))
+    palette = lambda *pairs: pages.select("page_id", F.inline(F.array(*(F.struct(F.lit(role).alias("role"), F.expr(c).alias("color")) for role, c in pairs))))
+    old = palette(("primary", "concat('#', upper(substr(md5(url), 1, 6)))"), ("accent", "concat('rgb(', page_id % 256, ',7,9)')"), ("gone", "'#123456'"))
+    new = palette(("primary", "concat('#0', page_id % 10, 'aa', 10 + page_id % 90)"), ("accent", "case when page_id % 3 > 0 then concat('#', substr(md5(url), 7, 6)) else 'none' end"), ("added", "'#000000'"))
+    stored = pages.select("page_id", F.explode(F.sequence(F.lit(1), (1 + F.col("page_id") % 4).cast("int"))).alias("version"))
+    x = brand.apply_brand(tree, pages.select("page_id", F.lit("T").alias("title")), old, new, stored)
+    style = lambda text: F.regexp_extract("html", f'<p style="([^"]*)">{text}</p>', 1)
+    return x.select("page_id", "colors_remapped", style("a").alias("first"), style("b").alias("second"), "version")
+
+
+_PARTS = "floor(p_partkey / 20)::bigint as template_id, row_number() over (partition by floor(p_partkey / 20) order by p_partkey) - 1 as place"
+
+
+@query("template_compose", rf"""with c as (select {_PARTS}, case when p_partkey % 9 > 0 then concat('c', p_size % 12) end as id, case when p_partkey % 2 = 0 then p_brand end as source, case when p_partkey % 3 = 0 then 'span' else 'div' end as tag, p_partkey % 5 as kind from part),
+  o as (select *, coalesce(id, concat('component_', place)) as own from c), n as (select *, row_number() over (partition by template_id, own order by place) as nth from o),
+  named as (select *, case when nth = 1 then own when source is not null then concat(source, '_', own) else concat(own, '_', place) end as name from n)
+  select template_id, count(*)::int as component_count, string_agg(name, ',' order by place) as ids, string_agg(case when tag = 'span' and kind = 1 then concat('Invalid HTML nesting: <ul> inside <span> (component ''', name, ''')') end, ',' order by place) as errors from named group by 1""")
+def template_compose(spark, sf_dir):
+    """Twenty parts at a time composed into a template: names that are taken, and elements that must not be nested."""
+    from loomspan.operators import brand
+    from loomspan.plans.values import BLOCK, INLINE
+
+    parts = table(spark, sf_dir, "part").selectExpr(
+        "cast(floor(p_partkey / 20) as bigint) as template_id", "p_partkey", "case when p_partkey % 9 > 0 then concat('c', p_size % 12) end as id", "case when p_partkey % 2 = 0 then p_brand end as source",
+        "case when p_partkey % 3 = 0 then 'Span' else 'div' end as tag", "case when p_partkey % 5 = 1 then concat('<b>', p_name, '</b>< UL><li>') else p_name end as content",
+    )
+    out = brand.compose(brand.numbered(parts, "template_id", "p_partkey"), INLINE, BLOCK)
+    return out.select("template_id", "component_count", F.array_join("ids", ",").alias("ids"), F.nullif(F.array_join("errors", ","), F.lit("")).alias("errors"))
