@@ -7,7 +7,8 @@ hold exact counts of every gram of the corpus and are smoothed alike: with n(x)
     p(e | cd) = (n(cde) + SMOOTHING / 256) / (n(cd) + SMOOTHING)
 
 They are matched in size by scaling the background's counts to the target's bytes. A document's score is its mean loss
-a byte under the target less that under the background: the lower, the more target-like.
+a byte under the target less that under the background: the lower, the more target-like. A row of the target is scored
+without its own counts in it, so that rows that were learned from and rows that were not compare.
 
 Rows that follow each other form chunks of CHUNK bytes. A chunk sends each distinct gram once, so that the commonest
 gram has as many rows as there are chunks; grams are summed by an exact key (the bytes themselves), and go back to the
@@ -146,17 +147,27 @@ def _counts(most: int):
     return run
 
 
+def without_own(text: np.ndarray, keys: np.ndarray, counts: np.ndarray, most: int = SLICE) -> float:
+    """Mean loss a byte of a text by counts that have its own in them, which are taken out."""
+    mine, own, _ = tally([text], [True], most)
+    return float(losses([text], mine, counts[np.searchsorted(keys, mine)] - own, most)[0])
+
+
 def _scores(tokens: tuple[int, int], most: int):
     """The rows of a chunk, and the counts of its keys that other chunks have too, -> losses."""
 
     def run(rows: pa.Table, counted: pa.Table) -> pa.Table:
-        texts = text_bytes(rows["text"])
-        keys, *counts = tally(texts, rows["target"].to_pylist(), most)
+        texts, good = text_bytes(rows["text"]), rows["target"].to_pylist()
+        keys, *counts = tally(texts, good, most)
         at = np.searchsorted(keys, counted["key"].to_numpy().view(np.uint64))
         out = []
         for name, own, total in zip(("target", "background"), counts, tokens):
             own[at] = counted[name].to_numpy()
-            out.append(pa.array(losses(texts, keys, own * (tokens[0] / total if total else 0.0), most)))
+            found = losses(texts, keys, own * (tokens[0] / total if total else 0.0), most)
+            if name == "target":  # its counts are as they are: it is the size that both are brought to
+                for i in np.flatnonzero(good):
+                    found[i] = without_own(texts[i], keys, own, most)
+            out.append(pa.array(found))
         return pa.table([rows["row"], pa.array([len(x) for x in texts], pa.int64()), *out], ["row", "n_tokens", "target_loss", "background_loss"])
 
     return run
@@ -166,7 +177,8 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     """Each row of docs, without its text, with n_tokens (bytes), target_loss, background_loss (bits a byte) and score
     (their difference).
 
-    The target is what labels(doc_id, quality) calls good, but for the rows that are held out of learning. Null and
+    The target is what labels(doc_id, quality) calls good, but for the rows that are held out of learning; each of its rows
+    is scored without its own counts, but with those of its copies. Null and
     empty texts have no loss and score 0. Without good rows the target is the prior of an empty model. Repeated rows
     count and score as often as they are there; a very long text is a chunk of its own, counted a slice at a time;
     columns of these names are replaced. An empty table gives an empty one."""
