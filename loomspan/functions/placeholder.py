@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,12 +16,22 @@ EMAIL_PATTERNS = (r"info@example\.com", r"name@example\.com", r"email@domain\.co
 IMAGE_HOSTS = (
     "placeholder.com", "picsum.photos", "unsplash.com/random", "via.placeholder", "dummyimage.com", "placehold.it", "placekitten.com", "lorempixel.com", "fakeimg.pl", "placeholderimage",
 )
-IMAGE_NAMES = (r"image[0-9]+\.[a-zA-Z0-9_]+", r"photo[0-9]+\.[a-zA-Z0-9_]+", r"img[_-]?[0-9]+", r"default\.[a-zA-Z0-9_]+", r"sample\.[a-zA-Z0-9_]+", r"placeholder", r"no[_-]?image", r"blank\.[a-zA-Z0-9_]+", r"dummy")
+IMAGE_NAMES = (r"image\d+\.\w+", r"photo\d+\.\w+", r"img[_-]?\d+", r"default\.\w+", r"sample\.\w+", r"placeholder", r"no[_-]?image", r"blank\.\w+", r"dummy")
 URL_PARTS = ("example.com", "javascript:void", "javascript:;")
 
 STATES = ("confirmed_placeholder", "confirmed_real", "needs_user_confirmation")
 
 
+def spelled(pattern: str) -> str:
+    """A pattern with its classes spelled out, which two regular-expression engines read alike."""
+    return pattern.replace(r"\d", "[0-9]").replace(r"\w", "[a-zA-Z0-9_]")
+
+
+def literal(pattern: str) -> str:
+    """The longest plain word that every match of a pattern has."""
+    return max(re.findall(r"[a-z]+", re.sub(r"\\[a-z]|\[[^\]]*\]\??", " ", pattern)), key=len)
+
+
 def stripped(value: Column) -> Column:
     return F.btrim(value, F.lit(" \t\n\x0b\f\r"))
 
@@ -28,11 +40,12 @@ def rules(value: Column, v: Column, low: Column, kind: Column) -> list[tuple[Col
     """(condition, signal, confidence, state), in order; the first that holds decides. v is the stripped value and low
     the same in lower case.
 
-    A list of patterns is one alternation first: a text that has none of them, as most, is scanned once for all."""
+    A list of patterns is looked for by their plain words first, then as one alternation: a text that has none of the
+    words, as most, meets no regular expression."""
     fake, real, ask = STATES
     text = kind.isin("text", "textarea")
-    any_of = lambda patterns: low.rlike("|".join(f"(?:{p})" for p in patterns))
-    first = lambda prefix, patterns: F.coalesce(*(F.when(low.rlike(p), prefix + p) for p in patterns))
+    any_of = lambda patterns: within(sorted({literal(p) for p in patterns})) & low.rlike("|".join(f"(?:{spelled(p)})" for p in patterns))
+    first = lambda prefix, patterns: F.coalesce(*(F.when(low.rlike(spelled(p)), prefix + p) for p in patterns))
     has = lambda prefix, parts: F.coalesce(*(F.when(low.contains(p), prefix + p) for p in parts))
     within = lambda parts: F.coalesce(*(F.when(low.contains(p), True) for p in parts), F.lit(False))
     return [
@@ -80,7 +93,7 @@ def duck_detect(value: str, kind: str, output: str) -> str:
     lines += [(f"{text} and regexp_matches({low},{q(p)})", fake, 0.90, "email_pattern:" + p) for p in EMAIL_PATTERNS]
     lines += [(f"{text} and length({v}) <= 2", ask, 0.70, "suspiciously_short_text"), (f"{text} and length({v}) > 20", real, 0.80, "substantial_text_no_patterns")]
     lines += [(f"{kind} = 'image' and contains({low},{q(p)})", fake, 0.95, "placeholder_image_host:" + p) for p in IMAGE_HOSTS]
-    lines += [(f"{kind} = 'image' and regexp_matches({low},{q(p)})", fake, 0.85, "placeholder_image_filename:" + p) for p in IMAGE_NAMES]
+    lines += [(f"{kind} = 'image' and regexp_matches({low},{q(spelled(p))})", fake, 0.85, "placeholder_image_filename:" + p) for p in IMAGE_NAMES]
     lines += [(f"{kind} = 'url' and contains({low},{q(p)})", fake, 0.90, "url_pattern:" + p) for p in URL_PARTS]
     lines += [(f"{kind} = 'url' and {v} = '#'", fake, 0.90, "hash_only_url"), (f"{kind} = 'color'", real, 0.80, "color_value_assumed_real"), (f"{kind} = 'image'", ask, 0.50, "image_inconclusive_no_vision_model")]
     chain = "case " + " ".join(f"when {c} then {q(x[pick])}" for c, *x in lines) + " else " + q((ask, 0.50, "llm_unavailable_or_failed")[pick]) + " end"

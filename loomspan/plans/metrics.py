@@ -345,3 +345,38 @@ def region_sources(spark, sf_dir):
     """Sources by region and nation: two dimension tables of fixed size, joined without a hint."""
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return s.groupBy("r_name", "n_name").agg(F.count("s_suppkey").alias("sources"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
+
+
+@query("catalog_from_nothing", "select p_brand as id, arg_max(p_name, p_partkey) as url, arg_max(p_size, p_partkey)::int as rank from part group by 1")
+def catalog_from_nothing(spark, sf_dir):
+    """A catalogue that isn't there yet, and what it holds after all parts have been put into it, the latest of each brand."""
+    from loomspan.sources.tables import read_or_empty, upsert
+
+    schema = "id string, url string, rank int, at long"
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), F.col("p_name").alias("url"), F.col("p_size").cast("int").alias("rank"), F.col("p_partkey").alias("at"))
+    return upsert(read_or_empty(spark, f"{sf_dir}/catalogue.parquet", schema), parts, "id", "at").drop("at")
+
+
+@query("report_written", "select o_orderstatus as run_id, o_orderpriority as priority, count(*) as orders from orders group by all")
+def report_written(spark, sf_dir):
+    """A report of each run, written as JSON, a folder for each, and read again."""
+    import uuid
+
+    from loomspan.session import shared_folder
+    from loomspan.sources.tables import write_report
+
+    path = f"{shared_folder(spark)}/reports/{uuid.uuid4().hex}"
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("run_id"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("orders"))
+    write_report(counts, path)
+    return spark.read.schema("priority string, orders long, run_id string").json(path).select("run_id", "priority", "orders")
+
+
+@query("report_markdown", """select 1 as place, '| region | nations |' as line union all select 2, '|---|---|' union all
+  select 2 + row_number() over (order by r_name), '| ' || r_name || ' | ' || n || ' |' from (select r_name, count(*) as n from nation join region on n_regionkey = r_regionkey group by 1)""")
+def report_markdown(spark, sf_dir):
+    """A small aggregate as a table in Markdown, a row a line."""
+    from loomspan.sources.tables import markdown
+
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = markdown(nations.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("nations")).orderBy("region")).split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "place long, line string")

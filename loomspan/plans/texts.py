@@ -268,3 +268,52 @@ def auto_payload(spark, sf_dir):
 def page_merge(spark, sf_dir):
     """Results of many pages as one: counts added, assets once each."""
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("pages"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("assets"))
+
+
+@query("document_kinds", "select doc_id, case doc_id % 6 when 0 then 'pdf' when 1 then 'docx' when 2 then 'md' when 3 then 'txt' when 4 then null else 'csv' end as kind from documents")
+def document_kinds(spark, sf_dir):
+    """What documents' files are: by their first bytes, what an archive holds, their ending, and whether they are text."""
+    from loomspan.sources.tables import document_kind
+
+    text = "coalesce(text, '')"
+    content = F.expr(f"""case doc_id % 6 when 0 then cast(concat('%PDF-1.7 ', {text}) as binary) when 1 then unhex('504B0304') || cast('word/document.xml' as binary) when 2 then cast({text} as binary) when 3 then cast({text} as binary)
+      when 4 then unhex('FFFE00C3') else cast(concat('a,b', {text}) as binary) end""")
+    path = F.expr("concat('files/d', doc_id, case doc_id % 6 when 2 then '.MD' when 3 then '' when 5 then '.csv' else '.bin' end)")
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), content.alias("content")).select("doc_id", document_kind().alias("kind"))
+
+
+@query("manifest_icons", """select page_id, case page_id % 3 when 0 then concat('{"icons":[{"src":"assets/i', page_id, '.png","sizes":"48x48"},{"src":"data:image/png,x"}]}') when 1 then concat('{"name":"', page_id, '"}') else 'no json' end as json from pages""")
+def manifest_icons(spark, sf_dir):
+    """Web-app manifests with their icons' files in assets/; one without icons, or that can't be read, stays."""
+    from loomspan.sources.tables import localize_manifest
+
+    given = F.expr("""case page_id % 3 when 0 then concat('{"icons":[{"src":"/img/i', page_id, '.png?v=2","sizes":"48x48"},{"src":"data:image/png,x"}]}') when 1 then concat('{"name":"', page_id, '"}') else 'no json' end""")
+    return table(spark, sf_dir, "pages").select("page_id", given.alias("json")).select("page_id", localize_manifest().alias("json"))
+
+
+@query("design_prompts", """select p_partkey, concat('Use ', case when p_partkey % 3 > 0 then concat('#', substr(md5(p_name), 1, 6)) else '#000000' end, ' as the primary colour on #ffffff, set text in ', case when p_partkey % 2 = 0 then p_brand else 'Arial, sans-serif' end, ' and space blocks by ', p_size, 'px.') as prompt,
+  concat('<!doctype html><meta http-equiv="Content-Security-Policy" content="script-src ''none''"><style>:root{', case when p_partkey % 2 = 0 then concat('--color-base:', p_brand, ';') else '' end, '--color-md:', p_size, 'px;', case when p_partkey % 3 > 0 then concat('--color-primary:#', substr(md5(p_name), 1, 6), ';') else '' end,
+  '}</style><iframe sandbox srcdoc="<p title=&quot;a&amp;b&quot;>', p_name, '</p>"></iframe>') as preview from part""")
+def design_prompts(spark, sf_dir):
+    """A sentence on each design and a page that shows it in a sandboxed frame; tokens that are missing have defaults."""
+    from loomspan.functions import prompts
+
+    entry = lambda key, value, when="true": F.when(F.expr(when), F.struct(F.lit(key).alias("key"), F.expr(value).alias("value")))
+    tokens = F.map_from_entries(F.array_compact(F.array(entry("primary", "concat('#', substr(md5(p_name), 1, 6))", "p_partkey % 3 > 0"), entry("base", "p_brand", "p_partkey % 2 = 0"), entry("md", "concat(p_size, 'px')"))))
+    x = table(spark, sf_dir, "part").select("p_partkey", "p_name", tokens.alias("tokens"))
+    html = F.concat(F.lit('<p title="a&b">'), "p_name", F.lit("</p>"))
+    return x.select("p_partkey", prompts.design_prompt().alias("prompt"), prompts.preview(html, F.col("tokens")).alias("preview"))
+
+
+@query("sql_functions", r"""select page_id, len(regexp_extract_all(html, '<p[\s>]'))::bigint as paragraphs, 1::bigint as declarations, 100.0::double as score, false as has_script from pages""")
+def sql_functions(spark, sf_dir):
+    """The library's functions in SQL: pages and their sheets parsed laterally, compared with themselves, sanitized."""
+    from loomspan.functions.register import register
+
+    register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("loomspan_pages")
+    return spark.sql("""
+        with tags as (select p.page_id, count_if(n.tag = 'p') as paragraphs from loomspan_pages p, lateral parse_html(p.html) n group by p.page_id),
+        rules as (select p.page_id, count(*) as declarations from loomspan_pages p, lateral parse_css(concat('p', p.page_id, '{margin:0}')) r group by p.page_id)
+        select p.page_id, t.paragraphs, r.declarations, structural_score(p.html, p.html) as score, contains(sanitize_html(p.html), '<script') as has_script
+        from loomspan_pages p join tags t using (page_id) join rules r using (page_id)""")

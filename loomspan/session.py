@@ -33,16 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and read back by all that use it: for tables that several branches of a plan need.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, as in tests, and all runs in
+    this one process, a local folder does; on a cluster that is an error."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or os.path.join(tempfile.gettempdir(), "loomspan-checkpoints")
+
 
-    It is written to the folder in spark.checkpoint.dir, which all executors share. Where that is unset, as in tests, and
-    all runs in this one process, a local folder does."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and read back by all that use it: for tables that several branches of a plan need. It is written
+    to the shared folder."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "loomspan-checkpoints"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
