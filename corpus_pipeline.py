@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import jaccard_join, packing, pair_rank, source_mix, substring_dedup
-from loomspan.llm.shared import keep, row_key
+from loomspan.llm.shared import discard, keep, passing, row_key
 
 
 def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
@@ -88,8 +88,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = keep(out) if i + 1 < len(STAGES) else out
-    return docs
+    """The stages one after the other. What a stage has written is read by the next one alone: it and all that the stage
+    kept on its way are deleted when the next one has been written. The last stage's input stays, as the result reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with passing() as stay:
+            docs = stay(keep(stage(spark, docs, sf_dir)))
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
