@@ -297,3 +297,37 @@ def page_vue_files(spark, sf_dir):
     """Single-file components: a small template with the variables of the page's look."""
     tree = nodes.parse_html(_built(spark, sf_dir, "concat('<body><h1>', page_id, '</h1></body>')"))
     return markup.compile_vue(tree, page_tokens(spark, sf_dir))
+
+
+@query("page_group_substitutions", """select page_id, 'team_slot_h3_1' as field_id, 'root > section:nth-child(1) > h3:nth-child(1)' as path, concat('Name ', page_id) as original_value, 'plain' as value, 'text_replace' as kind from pages
+  union all select page_id, concat('team[', i, '].team_slot_h3_1'), concat('root > section:nth-child(1) > h3:nth-child(', 1 + i, ')'), case when i < 2 then concat('Name ', page_id) end, concat('value ', i), case when i < 2 then 'text_replace' else 'repeatable_instance_add' end
+  from (select page_id, unnest(range(page_id % 5)) as i from pages)""")
+def page_group_substitutions(spark, sf_dir):
+    """What is put into a team of two, member by member: the third and later ones are additions."""
+    from loomspan.operators import workflows
+
+    pages = table(spark, sf_dir, "pages")
+    fields = sections.fields(checkpointed(nodes.parse_html(_built(spark, sf_dir, "concat('<body><section class=\"team\"><h3>Name ', page_id, '</h3><h3> </h3></section></body>')"))))
+    member = F.explode(F.expr("case when page_id % 5 > 0 then sequence(0, cast(page_id % 5 as int) - 1) else array() end")).alias("instance")
+    many = pages.select("page_id", member).select("page_id", F.lit("team_slot_h3_1").alias("field_id"), F.concat(F.lit("value "), F.col("instance").cast("string")).alias("value"), "instance", F.lit("team").alias("group_id"))
+    one = pages.select("page_id", F.lit("team_slot_h3_1").alias("field_id"), F.lit("plain").alias("value"), F.lit(None).cast("int").alias("instance"), F.lit(None).cast("string").alias("group_id"))
+    groups = pages.select("page_id", F.lit("team").alias("group_id"), F.lit(2).alias("instances"))
+    return workflows.substitutions(fields, many.unionByName(one), groups)
+
+
+@query("page_portfolio_built", """select page_id, category, case when category = case page_id % 3 when 0 then 'bio' when 1 then 'projects' else 'contact' end then 1 + page_id % 4 else 0 end as n_fields, n_fields > 0 as is_applicable
+  from pages, (select unnest(['bio', 'bio_header', 'contact', 'projects', 'services', 'skills', 'social_links', 'testimonials']) as category)""")
+def page_portfolio_built(spark, sf_dir):
+    """What pages with one section of a known role hold for each part of a portfolio."""
+    from loomspan.operators import workflows
+    from loomspan.plans.values import PORTFOLIO
+
+    html = "concat('<body><section class=\"', case page_id % 3 when 0 then 'about-us' when 1 then 'our-work' else 'contactus' end, '\">', repeat('<p>Some words</p>', cast(1 + page_id % 4 as int)), '</section><div><p>Other words</p></div></body>')"
+    return workflows.portfolio(sections.fields(checkpointed(nodes.parse_html(_built(spark, sf_dir, html)))), PORTFOLIO)
+
+
+@query("page_open_fields", """select page_id, unnest(['unknown_slot_p_1', 'unknown_slot_p_2']) as field_id from pages union all select page_id, 'unknown_slot_p_5' from pages where page_id % 2 = 0""")
+def page_open_fields(spark, sf_dir):
+    """Fields of which nobody knows whether their content is real: short ones that look like nothing in particular."""
+    html = "concat('<body><div><p>Hi</p><p>Short words</p><p>A text that is long enough to be real</p><p>lorem ipsum</p><p>', case when page_id % 2 = 0 then 'Page ' else 'This is the text of page ' end, page_id, '</p></div></body>')"
+    return sections.to_confirm(sections.fields(checkpointed(nodes.parse_html(_built(spark, sf_dir, html)))))
