@@ -52,17 +52,23 @@ def _needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (key, n, a, b): the set's size and a 128-bit digest."""
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (often, key, n, a, b): for each text the size of its set and a 128-bit digest; and, with often, the
+    shingles (key) that a batch has FREQUENT times, and how often (n)."""
     for batch in batches:
         n, a, b = [], [], []
-        for data in text_bytes(batch.column(1)):
-            h = shingles(data)
+        found = [shingles(data) for data in text_bytes(batch.column(1))]
+        for h in found:
             n.append(len(h))
             a.append(int(np.bitwise_xor.reduce(mix(h ^ np.uint64(0x243F6A8885A308D3)))) if len(h) else 0)
             b.append(int(mix(h + np.uint64(0x13198A2E03707344)).sum(dtype=np.uint64)) if len(h) else 0)
         x = (pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (n, a, b))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *x], ["key", "n", "a", "b"])
+        names = ["often", "key", "n", "a", "b"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), batch.column(0), *x], names)
+        h, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        h, times = h[times >= FREQUENT], times[times >= FREQUENT]
+        none = pa.array(np.zeros(len(h), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), bool)), pa.array(h.view(np.int64)), pa.array(times), none, none], names)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,14 +77,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], ["h"])
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [x for x in map(shingles, text_bytes(batch.column(1))) if len(x)]
-        h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        often = n >= FREQUENT
-        yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
-
-
 def _prefixes(frequent, percent: int):
     """(key, text) -> a row for each prefix shingle: (h, key, n, pos), pos from 0 in the common order."""
 
@@ -178,15 +176,17 @@ def _pair(x: str, y: str) -> list[F.Column]:
     return [F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b")]
 
 
-def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, n, a, b) of docs(key, text), a row for each key, and the classes of equal sets: (n, a, b, rep)."""
-    sets = keep(docs.mapInArrow(_sets, "key long, n long, a long, b long").dropDuplicates(["key"]))
-    return sets, keep(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep")))
+def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, n, a, b) of docs(key, text), a row for each key; the classes of equal sets: (n, a, b, rep); and frequent
+    shingles (h, n). Texts are read once for all of them."""
+    scanned = keep(docs.mapInArrow(_scan, "often boolean, key long, n long, a long, b long"))
+    sets = scanned.where("not often").select("key", "n", "a", "b").dropDuplicates(["key"])
+    often = scanned.where("often").groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("n"))
+    return sets, keep(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep"))), often
 
 
-def _lists(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _lists(docs: DataFrame, reps: DataFrame, often: DataFrame, percent: int) -> DataFrame:
     """(h, key, n, pos): prefix shingles of representatives, of lists with two members at least."""
-    often = docs.mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = often.orderBy(F.desc("n"), "h").limit(ORDERED).collect()  # bounded
     hashes = np.array([r.h for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -195,47 +195,54 @@ def _lists(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     prefixes = docs.mapInArrow(_prefixes(frequent, percent), "h long, key long, n int, pos int")
     counted = F.col("h").between(0, COUNTED - 1)
     shared = keep(prefixes.where(counted).join(counts, "h").unionByName(prefixes.where(~counted)))
+    discard(counts)
     members = keep(shared.dropDuplicates(["h", "key"]).join(reps.select(F.col("rep").alias("key")), "key", "left_semi"))
+    discard(shared)
     lists = keep(members.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h"))
     out = keep(members.join(lists, "h").select("h", "key", "n", "pos"))
-    discard(counts, shared, members, lists)
+    discard(members, lists)
     return out
 
 
-def set_links(docs: DataFrame, reps: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+def set_links(docs: DataFrame, reps: DataFrame, often: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between representatives that connect every component of the join: a spanning part of all links."""
-    lists = _lists(docs, reps, percent)
+    lists = _lists(docs, reps, often, percent)
     prefixes = keep(lists.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("h").alias("shingles")))
-    bucket = F.pmod(F.xxhash64("key", "h"), F.lit(PIVOTS)).alias("bucket")
-    pivots = lists.groupBy("h", bucket).agg(F.min_by(F.struct("key", "n", "pos"), F.struct("pos", F.xxhash64("h", "key"))).alias("p")).select("h", "p.*")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(PIVOTS)).cast("int")
+    pivots = lists.groupBy("h", bucket.alias("bucket")).agg(F.min_by(F.struct("key", "n", "pos"), F.struct("pos", F.xxhash64("key"))).alias("p")).select("h", "p.*")
     pivots = keep(pivots)
     x, y = lists.alias("x"), pivots.alias("y")
     first = keep(x.join(y, F.col("x.h") == F.col("y.h")).where(_can_link("x", "y", percent)).select(*_pair("x", "y")).distinct())
+    discard(pivots)
     links = _verified(first, prefixes, docs, percent)
     parts = components(links)
 
     labelled = keep(lists.join(parts.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", "pos", F.coalesce("component", "key").alias("part")))
-    sizes = labelled.groupBy("h", "part").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.sum("size").alias("members"), F.max_by("part", F.struct("size", "part")).alias("largest"))
-    # Lists of few members were paired in full above if each had a bucket of its own; others are looked at again.
-    largest = keep(largest.where("parts > 1").select("h", "largest"))
+    discard(lists)
+    sizes = labelled.groupBy("h", "part").agg(F.count("*").alias("size"), F.bit_or(F.pow(F.lit(2), bucket).cast("long")).alias("buckets"))
+    largest = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.sum("size").alias("members"), F.bit_or("buckets").alias("buckets"), F.max_by("part", F.struct("size", "part")).alias("largest"))
+    # Every pair with a pivot, one for each bucket that has members, was met above: a list is open if two others are left.
+    largest = keep(largest.where((F.col("parts") > 1) & (F.col("members") - F.bit_count("buckets") > 1)).select("h", "largest"))
     # Each member carries the BEFORE shingles that it has before the list's. If two members share one of these, the pair
     # was met in that list already; so a pair is left to the lists where its shared shingles begin.
     before = F.collect_list("h").over(Window.partitionBy("key").orderBy("pos").rowsBetween(-BEFORE, -1))
-    open_lists = keep(labelled.join(largest, "h").withColumn("before", before))
+    open_lists = keep(labelled.join(largest, "h").withColumn("before", before).withColumn("most", F.col("part") == F.col("largest")).drop("largest"))
+    discard(labelled, largest)
     # Of two members the smaller one must have enough left for the larger one's size: most lists of shared boilerplate have
-    # no member that has enough for its own. Those that do meet sizes from their own up to their limit, band by band.
+    # no member that has enough for its own. Those that do meet sizes from their own up to their limit, band by band; of
+    # the list's largest component they meet the others alone.
     limit = F.least(F.floor((F.col("n") - F.col("pos")) * (100 + percent) / F.lit(percent) + 1e-9) - F.col("n"), F.floor(F.col("n") * 100 / F.lit(percent) + 1e-9))
     smaller = open_lists.withColumn("limit", limit).where(F.col("limit") >= F.col("n")).withColumn("band", F.explode(F.sequence(_band(F.col("n")), _band(F.col("limit")))))
-    larger = open_lists.withColumn("band", _band(F.col("n")))
-    x, y = smaller.alias("x"), larger.alias("y")
+    smaller = smaller.drop("limit").withColumn("meets", F.explode(F.when(F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).drop("most")
+    x, y = smaller.alias("x"), open_lists.withColumn("band", _band(F.col("n"))).alias("y")
+    same = (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.meets") == F.col("y.most"))
     in_order = F.struct("x.n", "x.key") < F.struct("y.n", "y.key")
     fits = in_order & (F.col("x.part") != F.col("y.part")) & _can_link("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before")
-    met = [a.join(b, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band"))).where(fits).select(*_pair("x", "y"))
-           for a, b in ((x.where("x.part <> x.largest"), y), (x.where("x.part = x.largest"), y.where("y.part <> y.largest")))]
-    rest = keep(met[0].unionByName(met[1]).distinct().join(first, ["a", "b"], "left_anti"))
+    met = x.join(y, same).where(fits).select(*_pair("x", "y")).distinct()
+    rest = keep(met.join(first, ["a", "b"], "left_anti"))
+    discard(open_lists)
     more = _verified(rest, prefixes, docs, percent)
-    discard(lists, prefixes, pivots, labelled, largest, open_lists)
+    discard(prefixes)
     return links.unionByName(more)
 
 
@@ -250,8 +257,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names), row_key(id_column, text_column).alias("__key"))
     texts = keyed.select(F.col("__key").alias("key"), F.coalesce(text_column, F.lit("")).alias("text"))
     with passing() as stay:
-        sets, classes = set_classes(texts)
-        parts = components(set_links(texts, classes, percent))
+        sets, classes, often = set_classes(texts)
+        parts = components(set_links(texts, classes, often, percent))
         named = sets.join(classes, ["n", "a", "b"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         named = named.select(F.col("key").alias("__key"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "key").alias("component_id"))
         named = stay(keep(named))
