@@ -66,13 +66,15 @@ def direct_text(nodes: DataFrame) -> DataFrame:
     return fit.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.min_by(F.trim("text_content"), "child_idx").alias("text"))
 
 
-def slots(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, tag, top_idx, path, slot_id, slot_type, max_length, text): what can be replaced, numbered in page order."""
+def slots(nodes: DataFrame, most: int | None = MOST_SLOTS) -> DataFrame:
+    """(page_id, node_id, tag, top_idx, path, slot_id, slot_type, max_length, text): what can be replaced, numbered in page
+    order; the first so many of each page, or all of them."""
     candidates = nodes.where((F.col("tag") == "img") | F.col("tag").isin(*TEXT_TAGS)).join(direct_text(nodes), ["page_id", "node_id"], "left")
     picture = (F.col("tag") == "img") & (F.coalesce(attribute("src"), F.lit("")) != "")
     candidates = candidates.where(picture | ((F.col("tag") != "img") & F.col("text").isNotNull()))
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))
-    x = candidates.withColumn("n", n).where(F.col("n") <= MOST_SLOTS)
+    x = candidates.withColumn("n", n)
+    x = x if most is None else x.where(F.col("n") <= most)
     return x.select(
         "page_id", "node_id", "tag", "top_idx", "path", F.format_string("slot_%s_%d", "tag", "n").alias("slot_id"), F.when(F.col("tag") == "img", "image").otherwise("text").alias("slot_type"),
         F.when(F.col("tag") != "img", F.greatest(F.lit(LEAST_LENGTH), F.length("text") * 2)).alias("max_length"),
@@ -87,11 +89,11 @@ KINDS = {
 }
 
 
-def fields(nodes: DataFrame) -> DataFrame:
-    """Form fields: each slot with its section's role, a label, a type and the state of its present content."""
+def fields(nodes: DataFrame, most: int | None = MOST_SLOTS) -> DataFrame:
+    """Form fields: each slot (of the first so many, or all) with its section's role, a label, a type and the state of its present content."""
     sections = classify(nodes).select("page_id", "top_idx", "role", "confidence")
     only = sections.groupBy("page_id").agg(F.count("*").alias("n"), F.first("role").alias("only_role"), F.first("confidence").alias("only_confidence")).where("n = 1").drop("n")
-    x = slots(nodes).join(sections, ["page_id", "top_idx"], "left").join(only, "page_id", "left")
+    x = slots(nodes, most).join(sections, ["page_id", "top_idx"], "left").join(only, "page_id", "left")
     role = F.coalesce("role", "only_role", F.lit("unknown"))
     kind = F.try_element_at(F.create_map(*(F.lit(v) for kv in KINDS.items() for v in kv)), F.col("tag"))
     title = lambda c: F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
@@ -182,9 +184,12 @@ def flatten(nodes: DataFrame) -> DataFrame:
 
 def substitute(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     """nodes with changes(page_id, path, value) applied: to the first text below an element, or to a picture's src."""
-    targets = changes.join(nodes.select("page_id", "path", F.col("node_id").alias("t"), F.col("subtree_end").alias("e"), F.col("tag").alias("target_tag")), ["page_id", "path"])
-    texts = nodes.where("tag = '#text'").select("page_id", F.col("node_id").alias("n"))
-    first = targets.where("target_tag <> 'img'").join(texts, "page_id").where("n > t and n <= e").groupBy("page_id", "t", "value").agg(F.min("n").alias("node_id")).select("page_id", "node_id", F.col("value").alias("new_text"))
+    tree = [c for c in ("page_id", "host_id") if c in nodes.columns]
+    after = Window.partitionBy(*tree).orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, -1)
+    next_text = F.last(F.when(F.col("tag") == "#text", F.col("node_id")), ignorenulls=True).over(after)
+    places = nodes.select("page_id", "path", F.col("node_id").alias("t"), F.col("subtree_end").alias("e"), F.col("tag").alias("target_tag"), next_text.alias("node_id"))
+    targets = changes.join(places, ["page_id", "path"])
+    first = targets.where("target_tag <> 'img' and node_id <= e").select("page_id", "t", "node_id", F.col("value").alias("new_text")).distinct().drop("t")
     pictures = targets.where("target_tag = 'img'").select("page_id", F.col("t").alias("node_id"), F.col("value").alias("new_src"))
     x = nodes.join(first, ["page_id", "node_id"], "left").join(pictures, ["page_id", "node_id"], "left")
     src = lambda a: F.when(F.col("new_src").isNotNull() & (a["k"] == "src"), F.struct(a["k"].alias("k"), F.col("new_src").alias("v"))).otherwise(a)

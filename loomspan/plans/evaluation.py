@@ -13,12 +13,13 @@ from loomspan.plans.texts import fit_risks, safety_score
 from loomspan.session import checkpointed, table
 
 
-def repurpose(pages: DataFrame) -> DataFrame:
-    """For each of pages(page_id, html): fields, how many sample values landed, safety, structure and success.
+def repurpose(pages: DataFrame, most: int | None = sections.MOST_SLOTS) -> DataFrame:
+    """For each of pages(page_id, html): fields (the first so many, or all), how many sample values landed, safety, structure
+    and success.
 
     One job for the whole corpus; every join is on page_id, and what a page lacks counts as nothing done."""
     tree = checkpointed(nodes.parse_html(pages))
-    fields = sections.fields(tree)
+    fields = sections.fields(tree, most)
     wanted = fields.where("field_type <> 'image'").select("page_id", "field_id", "path", "original_value", "max_length", F.concat(F.lit("Sample "), "label").alias("value"))
     edited = markup.compile_html(sections.substitute(tree, wanted.select("page_id", "path", "value")))
     before = markup.compile_html(tree).select("page_id", F.col("html").alias("original"))

@@ -268,10 +268,11 @@ _DUCK_REPURPOSED = f"(select page_id, 1 + n + r as n_fields, 1 + n + r as applie
 
 @query("page_repurpose_scores", f"select * from {_DUCK_REPURPOSED}")
 def page_repurpose_scores(spark, sf_dir):
-    """What pages make of sample content: each short paragraph is a risk to what is put in its place."""
+    """What pages make of sample content: each short paragraph is a risk to what is put in its place. All fields of a page
+    count, beyond the cap on its slots, too."""
     from loomspan.plans.evaluation import repurpose
 
-    return repurpose(_built(spark, sf_dir, _REPURPOSED))
+    return repurpose(_built(spark, sf_dir, _REPURPOSED), most=None)
 
 
 @query("corpus_repurpose_scores", "select count(*) as pages, " + ", ".join(f"{f}({m})::double as {n}_{m}" for m in ("n_fields", "safety", "structural", "success") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + f" from {_DUCK_REPURPOSED}")

@@ -21,6 +21,17 @@ def test_repurpose(spark):
     assert (found[3].n_fields, found[3].success) == (0, 0.0)
 
 
+def test_repurpose_beyond_the_cap(spark, tmp_path):
+    """A page of more fields than the cap on slots: the queries count all, as their SQL does."""
+    from loomspan.plans import QUERIES
+
+    spark.createDataFrame([(5, "u", "<body>" + "<p>a</p>" * 310 + "</body>"), (7, "u", "<body><p>a</p></body>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.page_id: tuple(r)[1:] for r in QUERIES["page_repurpose_scores"](spark, str(tmp_path)).collect()}
+    assert found == {5: (316, 316, 316, 0.0, 100.0, 75.0), 7: (2, 2, 2, 100.0, 100.0, 100.0)}
+    corpus = QUERIES["corpus_repurpose_scores"](spark, str(tmp_path)).first()
+    assert (corpus.pages, corpus.max_n_fields, corpus.min_safety, corpus.mean_success) == (2, 316.0, 0.0, 87.5)
+
+
 def test_integrity(spark):
     page = '<body><a href="#gone">x</a><section data-section-index="1"><p>a</p></section><section data-section-index="3"></section></body>'
     kinds = {r.kind for r in integrity(nodes.parse_html(spark.createDataFrame([(1, page)], "page_id long, html string"))).collect()}
