@@ -69,8 +69,9 @@ def direct_text(nodes: DataFrame) -> DataFrame:
 def slots(nodes: DataFrame, most: int | None = MOST_SLOTS) -> DataFrame:
     """(page_id, node_id, tag, top_idx, path, slot_id, slot_type, max_length, text): what can be replaced, numbered in page
     order; the first so many of each page, or all of them."""
-    candidates = nodes.where((F.col("tag") == "img") | F.col("tag").isin(*TEXT_TAGS)).join(direct_text(nodes), ["page_id", "node_id"], "left")
-    picture = (F.col("tag") == "img") & (F.coalesce(attribute("src"), F.lit("")) != "")
+    candidates = nodes.where((F.col("tag") == "img") | F.col("tag").isin(*TEXT_TAGS)).select("page_id", "node_id", "tag", "top_idx", "path", F.when(F.col("tag") == "img", attribute("src")).alias("src"))
+    candidates = candidates.join(direct_text(nodes), ["page_id", "node_id"], "left")
+    picture = (F.col("tag") == "img") & (F.coalesce("src", F.lit("")) != "")
     candidates = candidates.where(picture | ((F.col("tag") != "img") & F.col("text").isNotNull()))
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))
     x = candidates.withColumn("n", n)
@@ -78,7 +79,7 @@ def slots(nodes: DataFrame, most: int | None = MOST_SLOTS) -> DataFrame:
     return x.select(
         "page_id", "node_id", "tag", "top_idx", "path", F.format_string("slot_%s_%d", "tag", "n").alias("slot_id"), F.when(F.col("tag") == "img", "image").otherwise("text").alias("slot_type"),
         F.when(F.col("tag") != "img", F.greatest(F.lit(LEAST_LENGTH), F.length("text") * 2)).alias("max_length"),
-        F.when(F.col("tag") == "img", attribute("src")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("tag") == "img", F.col("src")).otherwise(F.col("text")).alias("text"),
     )
 
 
@@ -196,13 +197,15 @@ def substitute(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     return x.withColumns({"text_content": F.coalesce("new_text", "text_content"), "attrs": F.transform("attrs", src)}).select(*nodes.columns)
 
 
-def without_sections(nodes: DataFrame, removed: DataFrame) -> DataFrame:
+def without_sections(nodes: DataFrame, removed: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """nodes without the subtrees at removed(page_id, path), and without menu entries that lead to an id in them; the
-    children that stay are numbered anew (child_idx)."""
-    gone = nodes.join(removed, ["page_id", "path"]).where("depth > 0").select("page_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))
-    ids = nodes.join(gone, "page_id").where("node_id between a and b").select("page_id", F.concat(F.lit("#"), attribute("id")).alias("href")).where("href is not null")
-    entries = nodes.where("tag = 'a'").select("page_id", "parent_id", attribute("href").alias("href")).join(ids, ["page_id", "href"], "left_semi").select("page_id", F.col("parent_id").alias("node_id"))
-    menus = nodes.where("tag = 'li'").join(entries, ["page_id", "node_id"], "left_semi").select("page_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))
+    children that stay are numbered anew (child_idx). What goes is looked up in `of`, nodes themselves or a table at hand
+    with the same paths, ids and links."""
+    of = nodes if of is None else of
+    gone = of.where("depth > 0").join(removed, ["page_id", "path"]).select("page_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))
+    ids = of.select("page_id", "node_id", F.concat(F.lit("#"), attribute("id")).alias("href")).where("href is not null").join(gone, "page_id").where("node_id between a and b").select("page_id", "href")
+    entries = of.where("tag = 'a'").select("page_id", "parent_id", attribute("href").alias("href")).join(ids, ["page_id", "href"], "left_semi").select("page_id", F.col("parent_id").alias("node_id"))
+    menus = of.where("tag = 'li'").join(entries, ["page_id", "node_id"], "left_semi").select("page_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))
     out = nodes.alias("n").join(gone.unionByName(menus).alias("g"), (F.col("n.page_id") == F.col("g.page_id")) & (F.col("n.node_id") >= F.col("g.a")) & (F.col("n.node_id") <= F.col("g.b")), "left_anti")
     order = F.row_number().over(Window.partitionBy("page_id", "parent_id").orderBy("node_id"))
     return out.withColumn("child_idx", order)

@@ -120,7 +120,9 @@ def reflow(nodes: DataFrame, plan: DataFrame) -> DataFrame:
     """nodes with the values that plan(page_id, path, prop, after) gives: section numbers in their attribute, others in
     the inline style, where they come last. Paths are those of nodes as it is, before anything goes."""
     changes = plan.where("prop is not null").groupBy("page_id", "path").agg(F.map_from_entries(F.collect_set(F.struct("prop", "after"))).alias("set"))
-    x = nodes.join(changes, ["page_id", "path"], "left")
+    # A page's changes in one row: nodes that are dealt by page already need not be dealt again.
+    changes = changes.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "set"))).alias("sets"))
+    x = nodes.join(changes, "page_id", "left").withColumn("set", F.try_element_at("sets", F.col("path")))
     number = F.try_element_at("set", F.lit("data-section-index"))
     numbered = F.transform("attrs", lambda a: F.struct(a["k"].alias("k"), F.when((a["k"] == "data-section-index") & number.isNotNull(), number).otherwise(a["v"]).alias("v")))
     styles = F.filter(F.map_entries("set"), lambda e: e["key"] != "data-section-index")

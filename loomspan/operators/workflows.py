@@ -165,7 +165,7 @@ def removal_plan(nodes: DataFrame, styles: DataFrame, removed: DataFrame) -> Dat
 
     styles(page_id, node_id, prop, value). Menu entries of the section's id go; percent widths of the siblings in a
     flex container are shared out anew; a margin moves to the sibling before; sections are numbered anew."""
-    gone = nodes.join(removed, ["page_id", "path"]).where("depth > 0").select("page_id", F.col("node_id").alias("gone"), F.col("parent_id").alias("parent"), F.col("child_idx").alias("at"), attribute("id").alias("section_id"))
+    gone = nodes.where("depth > 0").select("page_id", "path", F.col("node_id").alias("gone"), F.col("parent_id").alias("parent"), F.col("child_idx").alias("at"), attribute("id").alias("section_id")).join(removed, ["page_id", "path"]).drop("path")
     s = lambda p, name: styles.where(F.col("prop") == p).select("page_id", "node_id", F.col("value").alias(name))
     layout = s("display", "display").join(s("flex-direction", "direction"), ["page_id", "node_id"], "full_outer").select("page_id", F.col("node_id").alias("parent"), "display", "direction")
     gone = gone.join(layout, ["page_id", "parent"], "left")
@@ -339,18 +339,20 @@ def remove_sections(nodes: DataFrame, removals: DataFrame, broken) -> tuple[Data
     A step is planned (removal_plan), carried out (versions.reflow, then the subtrees go) and compared with the tree before
     it: broken(before, after, removed) -> (page_id, ...) names what is wrong, and a page where anything is takes no further
     step. Pages go through their steps together; a page leaves the rounds when it is done or broken, and the rounds end
-    with the last page."""
+    with the last page. A plan and its check read the tree of the round before as it is, with pages that ended there, as
+    they have no removals any more; the tree itself is dealt by page once a round."""
     last = removals.groupBy("page_id").agg(F.max("step").alias("last"))
     state = checkpointed(last.select("page_id", "last", F.lit(0).alias("applied"), F.lit(True).alias("passed")))
     left = nodes.join(last, "page_id", "left_anti")
-    open_ = nodes.join(last, "page_id", "left_semi")
+    open_ = nodes
     done, step = None, 0
     while not state.isEmpty():
         step += 1
         now = checkpointed(removals.where(F.col("step") == step).join(state, "page_id", "left_semi").select("page_id", "path"))
         before = open_
         plan = removal_plan(before, versions.inline_styles(before).drop("path"), now)
-        open_ = checkpointed(_without(versions.reflow(before, plan), now))
+        still = before.join(state.select("page_id"), "page_id", "left_semi")
+        open_ = checkpointed(_without(versions.reflow(still, plan), now, before))
         wrong = broken(before, open_, now).select("page_id").distinct().withColumn("wrong", F.lit(True))
         turned = now.select("page_id").distinct().withColumn("turned", F.lit(1))
         state = state.join(turned, "page_id", "left").join(wrong, "page_id", "left").select(
@@ -362,14 +364,13 @@ def remove_sections(nodes: DataFrame, removals: DataFrame, broken) -> tuple[Data
         done = finished if done is None else done.unionByName(finished)
         left = left.unionByName(open_.join(finished, "page_id", "left_semi"))
         state = state.where(~ends)
-        open_ = open_.join(state, "page_id", "left_semi")
     return left, (state if done is None else done).select("page_id", "applied", "passed")
 
 
-def _without(nodes: DataFrame, removed: DataFrame) -> DataFrame:
+def _without(nodes: DataFrame, removed: DataFrame, of: DataFrame) -> DataFrame:
     from loomspan.operators.sections import without_sections
 
-    return without_sections(nodes, removed).select(*nodes.columns)
+    return without_sections(nodes, removed, of).select(*nodes.columns)
 
 
 def template_step(designs: DataFrame, preview) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -85,7 +85,8 @@ _CHAIN = _put(
 def page_sections_removed(spark, sf_dir):
     """Menu, box and form removed in turn: a page stops where a link to the box is left over or its grid is left empty; where
     the form goes its margin moves to the element before it."""
-    tree = checkpointed(versions.with_slots(nodes.parse_html(table(spark, sf_dir, "pages").select("page_id", F.expr(_CHAIN).alias("html")))))
+    tree = checkpointed(nodes.parse_html(table(spark, sf_dir, "pages").select("page_id", F.expr(_CHAIN).alias("html"))))
+    tree = checkpointed(versions.with_slots(tree).select("page_id", "node_id", "parent_id", "depth", "subtree_end", "child_idx", "tag", "path", "attrs"))
     step = F.when((F.col("tag") == "nav") & (F.col("depth") == 1), 1).when(nodes.attribute("id") == "box", 2).when(F.col("tag") == "form", 3)
     removals = tree.select("page_id", step.alias("step"), "path").where("step is not null")
     left, done = workflows.remove_sections(tree, removals, versions.violations)
