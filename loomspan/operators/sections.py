@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import placeholder
 from loomspan.operators.nodes import attribute
+from loomspan.session import checkpointed
 
 # Elements that can be sections, and those whose text or picture can be replaced.
 SECTION_TAGS = ("div", "section", "header", "footer", "nav", "main", "aside", "article", "form")
@@ -151,7 +152,7 @@ DROPDOWN, SUBMENU, CAROUSEL = ("dropdown", "has-submenu", "menu-item-has-childre
 def interactive(nodes: DataFrame) -> DataFrame:
     """(page_id, node_id, kind): disclosures, dropdowns, tab groups and carousels that need no script to be restored."""
     x = nodes.withColumns({"class": F.lower(F.coalesce(attribute("class"), F.lit(""))), "role": F.lower(F.coalesce(attribute("role"), F.lit(""))), "id": attribute("id"), "controls": attribute("aria-controls")})
-    x = x.select("page_id", "node_id", "parent_id", "subtree_end", "tag", "class", "role", "id", "controls", attribute("aria-expanded").alias("expanded"))
+    x = checkpointed(x.select("page_id", "node_id", "parent_id", "subtree_end", "tag", "class", "role", "id", "controls", attribute("aria-expanded").alias("expanded")))
     any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.col("class").contains(w))
     out = lambda df, kind: df.select("page_id", "node_id", F.lit(kind).alias("kind"))
     triggers = x.where(F.col("expanded").isin("true", "false") & F.col("controls").isNotNull())

@@ -1,6 +1,10 @@
 """Queries with many branches over one tree parse each page once, and branches read their own columns."""
 
+import pytest
+
+from loomspan.plans import QUERIES
 from loomspan.session import checkpointed
+from tests.conftest import SF
 
 
 def _plan(df) -> str:
@@ -14,6 +18,11 @@ def test_kept_tables_are_read_by_column(spark):
     assert kept.orderBy("id").collect()[3].attrs[0].k == 3
 
 
+@pytest.mark.parametrize("name", ["page_interactive"])
+def test_no_branch_parses_again(spark, name):
+    assert "MapInArrow" not in _plan(QUERIES[name](spark, SF))
+
+
 def test_nodes_are_dealt_once_a_round(spark):
     """What a plan changes reaches the nodes by page, so that a table dealt by page is not dealt again by page and path."""
     from loomspan.operators import versions
