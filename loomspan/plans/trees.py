@@ -203,7 +203,7 @@ def page_stripped(spark, sf_dir):
 @query("page_without_menu", "select page_id, 0::bigint as menu_nodes, len(regexp_extract_all(html,'<p[\\s>]'))::bigint as paragraphs, len(regexp_extract_all(html,'<li[\\s>]'))::bigint as entries_before from pages".replace("\\\\", "\\"))
 def page_without_menu(spark, sf_dir):
     """Pages with their first section removed: no node of a menu is left, and every paragraph is."""
-    x = page_nodes(spark, sf_dir)
+    x = checkpointed(page_nodes(spark, sf_dir).select("page_id", "node_id", "parent_id", "depth", "subtree_end", "tag", "path", "attrs"))
     left = sections.without_sections(x, x.where("tag = 'nav' and depth = 1").select("page_id", "path"))
     before = x.groupBy("page_id").agg(F.count_if(F.col("tag") == "li").alias("entries_before"))
     return left.groupBy("page_id").agg(F.count_if(F.col("tag").isin("nav", "li")).alias("menu_nodes"), F.count_if(F.col("tag") == "p").alias("paragraphs")).join(before, "page_id")
