@@ -87,8 +87,8 @@ _BROKEN = """concat(replace(replace(html, '</body>', ''), '</html>', ''), case w
 @query("page_integrity", "select page_id, ((page_id % 3 = 0)::bigint + (page_id % 4 = 0)::bigint) as violations from pages")
 def page_integrity(spark, sf_dir):
     """What is wrong with pages after their menu is removed."""
-    tree = nodes.parse_html(table(spark, sf_dir, "pages").select("page_id", F.expr(_BROKEN).alias("html")))
-    left = sections.without_sections(tree, tree.where("tag = 'nav' and depth = 1").select("page_id", "path"))
+    tree = checkpointed(nodes.parse_html(table(spark, sf_dir, "pages").select("page_id", F.expr(_BROKEN).alias("html"))).select("page_id", "node_id", "parent_id", "depth", "subtree_end", "tag", "path", "attrs"))
+    left = checkpointed(sections.without_sections(tree, tree.where("tag = 'nav' and depth = 1").select("page_id", "path")))
     found = integrity(left).groupBy("page_id").agg(F.count("*").alias("n"))
     return table(spark, sf_dir, "pages").select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("violations"))
 

@@ -18,7 +18,7 @@ def test_kept_tables_are_read_by_column(spark):
     assert kept.orderBy("id").collect()[3].attrs[0].k == 3
 
 
-@pytest.mark.parametrize("name", ["page_interactive", "page_without_menu"])
+@pytest.mark.parametrize("name", ["page_interactive", "page_without_menu", "page_integrity"])
 def test_no_branch_parses_again(spark, name):
     assert "MapInArrow" not in _plan(QUERIES[name](spark, SF))
 
