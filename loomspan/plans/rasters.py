@@ -77,13 +77,20 @@ def agreement(pixels: DataFrame) -> DataFrame:
 
     Pairs are counted, not made: a value agrees with those up to TOLERANCE below it. Equal values are counted together
     first; values are dealt over bins as wide as the tolerance, and each bin also sees the one below it, so that a
-    window holds two bins of one pixel of a label."""
+    window holds two bins of one pixel of a label. What is up to TOLERANCE below a value is a difference of two running
+    counts: up to the value, and before a mark that each value sets at the lower end of what it agrees with. Both are
+    one pass in order, however many values a bin has."""
     values = pixels.groupBy("label", "pos", F.col("v").cast("double").alias("v")).agg(F.count("*").alias("m"))
     cell = F.floor(F.col("v") / (TOLERANCE * 1.001)).cast("long")
     seen = values.withColumn("bin", F.explode(F.array(cell, cell + 1))).withColumn("own", F.col("bin") == cell)
-    near = F.expr(f"sum(m) over (partition by label, pos, bin order by v range between {TOLERANCE}D preceding and current row)")
-    pairs = F.col("m") * (F.col("near") - F.col("m")) + F.col("m") * (F.col("m") - 1) / 2
-    alike = seen.withColumn("near", near).where("own").groupBy("label").agg(F.sum(pairs).alias("alike"))
+    # Marks (at = 0) come before equal values (at = 1), so that a value at the very end counts.
+    points = seen.select("label", "pos", "bin", "v", F.lit(1).alias("at"), "m", "own")
+    marks = seen.where("own").select("label", "pos", "bin", (F.col("v") - TOLERANCE).alias("v"), F.lit(0).alias("at"), "m", "own")
+    below = Window.partitionBy("label", "pos", "bin").orderBy("v", "at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col("at") == 1, F.col("m")).otherwise(0)).over(below), F.lit(0))
+    counted = points.unionByName(marks).withColumn("before", before).where("own")
+    pairs = F.when(F.col("at") == 1, F.col("m") * F.col("before") + F.expr("m * (m - 1) div 2")).otherwise(-F.col("m") * F.col("before"))
+    alike = counted.groupBy("label").agg(F.sum(pairs).alias("alike"))
     sizes = pixels.groupBy("label").agg(F.countDistinct("vec_id").alias("renders"), F.countDistinct("pos").alias("n_pixels"))
     x = sizes.join(alike, "label").withColumn("pairs", F.expr("renders * (renders - 1) div 2"))
     return x.select("label", "renders", "pairs", F.when(F.col("pairs") == 0, 100.0).otherwise(F.col("alike") * 100.0 / (F.col("pairs") * F.col("n_pixels"))).alias("agreement"))

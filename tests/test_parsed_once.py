@@ -33,3 +33,23 @@ def test_nodes_are_dealt_once_a_round(spark):
     found = {(r.page_id, r.node_id): [tuple(a) for a in r.attrs] for r in out.collect()}
     assert found == {(1, 0): [], (1, 1): [("style", "top: 0; margin: 2px")], (2, 0): []}
     assert "path" not in " ".join(line for line in _plan(out).splitlines() if "Join" in line)
+
+
+def test_consensus_counts_in_one_pass(spark):
+    """Pairs are counted by running sums: no frame that is added up anew for each value."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from loomspan.plans.rasters import TOLERANCE, agreement
+
+    random.seed(7)
+    renders = [(i, i % 2, [random.choice([random.uniform(-0.3, 0.3), 0.0, 0.06, 0.12]) for _ in range(5)]) for i in range(60)]
+    pixels = spark.createDataFrame(renders, "vec_id long, label int, e array<double>").select("vec_id", "label", F.posexplode("e").alias("pos", "v"))
+    x = agreement(pixels)
+    assert "RangeFrame" not in _plan(x)
+    found = {r.label: r for r in x.collect()}
+    for label in (0, 1):
+        own = [e for _, of, e in renders if of == label]
+        pairs = [sum(max(p, q) - TOLERANCE <= min(p, q) for p, q in zip(a, b)) for i, a in enumerate(own) for b in own[:i]]
+        assert found[label].pairs == len(pairs) and abs(found[label].agreement - sum(pairs) * 100 / 5 / len(pairs)) < 1e-9
