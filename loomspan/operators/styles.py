@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import colors
-from loomspan.operators.nodes import NON_VISUAL, Element, find, parse, rows
+from loomspan.operators.nodes import NON_VISUAL, Element, find, parse, portions, rows
 
 # Properties that flow to descendants, and those that are dropped.
 INHERITED = ("color", "font-family", "font-size", "font-weight", "line-height", "text-align", "visibility", "cursor", "white-space", "word-break")
@@ -255,12 +255,16 @@ def match(pages: DataFrame) -> DataFrame:
             if place.node_id is not None and place.attrs.get("style"):
                 yield from ((page_id, place.node_id, "style", None, None, 1, "", 0, i, p, v) for i, (p, v) in enumerate(declarations(place.attrs["style"])) if p.startswith("--") or p not in DENIED)
 
-    def run(batches):
-        for pdf in batches:
-            found = [r for x in zip(pdf["page_id"], pdf["html"], pdf["css"]) for r in matches(*x)]
-            yield pd.DataFrame(found, columns=[c.strip().split(" ")[0] for c in MATCHES.split(",")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = zip(*(c.strip().split(" ") for c in MATCHES.split(",")))
+        kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[t] for t in types]
+        for batch in batches:
+            for part in portions(batch):
+                found = [r for x in zip(*(c.to_pylist() for c in part.columns)) for r in matches(*x)]
+                columns = list(zip(*found)) if found else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return pages.select("page_id", "html", "css").mapInPandas(run, MATCHES)
+    return pages.select("page_id", "html", "css").mapInArrow(run, MATCHES)
 
 
 def cascade(matched: DataFrame) -> DataFrame:
