@@ -6,8 +6,8 @@ order is rare first: the most frequent shingles (a bounded list, ORDERED) come l
 them by hash. Frequencies for this list are summed from batches in which a shingle is found FREQUENT times; any order
 gives the same links, a good one gives short lists.
 
-Prefix shingles that no other document has are dropped: exact counts are kept for the quarter of the shingles with the
-smallest hashes, which nearly all prefixes keep to. Equal sets are reduced to one representative each. In the list of
+Prefix shingles that no other document has in its prefix are dropped as soon as equal ones meet; those of the frequent
+list, which others have, are dealt over DEALT parts each, so that none is one task's. Equal sets are reduced to one representative each. In the list of
 a shingle only members that could have it as their first shared shingle are paired (positional filter: enough shingles
 must follow in both). Every member is first paired with at most PIVOTS others (of random parts of the list those with the fewest rarer
 shingles, as they link with most); then, once components
@@ -33,10 +33,10 @@ from loomspan.llm.textscan import mix, shingle_set, text_bytes, word_codes, word
 
 SHINGLE = 5
 THRESHOLD = 80
-#: Hashes (as signed numbers) from 0 up to this are counted.
-COUNTED = 1 << 62
 #: Shingles ranked by frequency, at most (bounds the broadcast to 480 kB), and how often a batch must have one.
 ORDERED, FREQUENT = 40_000, 4
+#: Parts over which the prefix rows of a frequent shingle are dealt.
+DEALT = 256
 #: Members of a list that the others are first paired with, at most.
 PIVOTS = 8
 #: Shingles of a member that are remembered in each list, to leave out pairs that an earlier list has.
@@ -60,25 +60,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [shingles(data) for data in text_bytes(batch.column(1))]
         for h in found:
             n.append(len(h))
-            a.append(int(np.bitwise_xor.reduce(mix(h ^ np.uint64(0x243F6A8885A308D3)))) if len(h) else 0)
+            a.append(int(np.bitwise_xor.reduce(h)) if len(h) else 0)
             b.append(int(mix(h + np.uint64(0x13198A2E03707344)).sum(dtype=np.uint64)) if len(h) else 0)
         x = (pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (n, a, b))
         names = ["often", "key", "n", "a", "b"]
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), batch.column(0), *x], names)
-        h, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        h, times = h[times >= FREQUENT], times[times >= FREQUENT]
+        h = np.sort(np.concatenate(found or [np.empty(0, np.uint64)]))
+        often = h[FREQUENT - 1 :][h[FREQUENT - 1 :] == h[: len(h) - FREQUENT + 1]] if len(h) >= FREQUENT else h[:0]
+        h, times = np.unique(often, return_counts=True)
+        times += FREQUENT - 1
         none = pa.array(np.zeros(len(h), np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), bool)), pa.array(h.view(np.int64)), pa.array(times), none, none], names)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [h[: np.searchsorted(h, np.uint64(COUNTED))] for h in map(shingles, text_bytes(batch.column(1)))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], ["h"])
+_FREQUENT = np.int64(-(1 << 63))
 
 
 def _prefixes(frequent, percent: int):
-    """(key, text) -> a row for each prefix shingle: (h, key, n, pos), pos from 0 in the common order."""
+    """(key, text) -> a row for each prefix shingle: (h, key, at), where at holds pos (from 0 in the common order) in its
+    upper half, n in its lower one, and is negative for a frequent shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = frequent.value
@@ -95,14 +95,41 @@ def _prefixes(frequent, percent: int):
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     rank = np.where(hashes[at] == h, ranks[at], 0)
                 first = np.argsort(rank, kind="stable")[:length]  # h is sorted: it breaks ties
-                out.append((h[first], np.full(length, key), np.full(length, n, np.int32), np.arange(length, dtype=np.int32)))
+                at = (np.arange(length, dtype=np.int64) << 32) | n
+                out.append((h[first], np.full(length, key), np.where(rank[first] > 0, at | _FREQUENT, at)))
             if out:
-                h, key, n, pos = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(n), pa.array(pos)], ["h", "key", "n", "pos"])
+                h, key, at = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(at)], ["h", "key", "at"])
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _prefixes, sorted by h -> (h, key, n, pos): frequent shingles, and those that two rows have."""
+    last, known = None, False  # the row before a batch, and whether it is one of these
+
+    def rows(batch: pa.RecordBatch, stays: np.ndarray) -> pa.RecordBatch:
+        h, key, at = (x.to_numpy()[stays] for x in batch.columns)
+        n, pos = (at & 0x7FFFFFFF).astype(np.int32), (at >> 32 & 0x7FFFFFFF).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, key, n, pos)], ["h", "key", "n", "pos"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        h, stays = batch.column(0).to_numpy(), batch.column(2).to_numpy() < 0
+        equal = h[1:] == h[:-1]
+        stays[0] |= known
+        stays[1:] |= equal
+        stays[:-1] |= equal
+        last, known = batch.slice(batch.num_rows - 1), bool(stays[-1])
+        stays[-1] = False
+        yield rows(batch, stays)
+    if known:
+        yield rows(last, np.array([True]))
+
+
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(data).tobytes() for data in text_bytes(batch.column(1))]
@@ -191,11 +218,9 @@ def _lists(docs: DataFrame, reps: DataFrame, often: DataFrame, percent: int) ->
     hashes = np.array([r.h for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
     frequent = docs.sparkSession.sparkContext.broadcast((hashes[order], (len(top) - np.arange(len(top), dtype=np.int32))[order]))
-    counts = keep(docs.mapInArrow(_counted, "h long").groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"))
-    prefixes = docs.mapInArrow(_prefixes(frequent, percent), "h long, key long, n int, pos int")
-    counted = F.col("h").between(0, COUNTED - 1)
-    shared = keep(prefixes.where(counted).join(counts, "h").unionByName(prefixes.where(~counted)))
-    discard(counts)
+    prefixes = docs.mapInArrow(_prefixes(frequent, percent), "h long, key long, at long")
+    deal = F.when(F.col("at") < 0, F.pmod("key", F.lit(DEALT)))
+    shared = keep(prefixes.repartition("h", deal).sortWithinPartitions("h").mapInArrow(_met, "h long, key long, n int, pos int"))
     members = keep(shared.dropDuplicates(["h", "key"]).join(reps.select(F.col("rep").alias("key")), "key", "left_semi"))
     discard(shared)
     lists = keep(members.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h"))

@@ -33,6 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
+_LOWER_CODES = _BYTE_CODES[_LOWER]
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -76,26 +77,22 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in bytes, of the runs without ASCII white space."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    edge = np.flatnonzero(np.diff(_SPACE[data].view(np.int8)))
-    starts, ends = edge[~_SPACE[data[edge + 1]]] + 1, edge[_SPACE[data[edge + 1]]] + 1
-    if not _SPACE[data[0]]:
-        starts = np.concatenate(([0], starts))
-    if not _SPACE[data[-1]]:
-        ends = np.concatenate((ends, [len(data)]))
-    return starts, ends
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1  # starts and ends in turn
+    edges = np.concatenate(([0] * (not space[0]), edges, [len(data)] * (not space[-1]))).astype(np.int64, copy=False)
+    return edges[::2].copy(), edges[1::2].copy()
 
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit code for each word; with lower, A-Z count as a-z."""
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    if lower:
-        data = _LOWER[data]
+    letters = _LOWER_CODES if lower else _BYTE_CODES
     out, i = np.empty(len(starts), dtype=np.uint64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, side="right")))
         low, high = int(starts[i]), int(ends[j - 1])
-        out[i:j] = range_hash(prefix_sums(_BYTE_CODES[data[low:high]]), starts[i:j] - low, ends[i:j] - low)
+        out[i:j] = range_hash(prefix_sums(letters[data[low:high]]), starts[i:j] - low, ends[i:j] - low)
         i = j
     return out
 
@@ -105,7 +102,8 @@ def shingle_set(codes: np.ndarray, size: int = 5) -> np.ndarray:
     if not len(codes):
         return codes
     sums = prefix_sums(codes)
-    return np.unique(window_hashes(sums, min(size, len(codes))))
+    h = np.sort(window_hashes(sums, min(size, len(codes))))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

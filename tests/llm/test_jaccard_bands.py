@@ -61,3 +61,37 @@ def test_boilerplate_that_does_not_link_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(j, "_verified", lambda pairs, *more: (seen.append(pairs.count()), verified(pairs, *more))[1])
     out = j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert out.where("component_id <> doc_id").count() == 0 and seen == [0, 0]
+
+
+def test_prefixes_of_a_text_are_made_once(spark, monkeypatch, tmp_path):
+    """Whatever the number of branches that read them. Workers see the patch in closures alone: here, that of _prefixes."""
+    rows = texts(5, 120)
+    log = tmp_path / "log"
+    cut = j.shingles
+
+    def logged(data):
+        with open(log, "a") as f:
+            f.write("x")
+        return cut(data)
+
+    monkeypatch.setattr(j, "shingles", logged)
+    docs = spark.createDataFrame(rows, "key long, text string").repartition(3)
+    _, classes, often = j.set_classes(docs)
+    j._lists(docs, classes, often, 80)
+    assert len(log.read_text()) == len(rows)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_shingles_of_two_rows_stay_across_batches(size):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    h = sorted(rng.randrange(40) for _ in range(50)) + [77, 77, 77, 90, 95]
+    often = [x % 9 == 0 for x in h]
+    at = np.array([5 << 32 | 7] * len(h), np.int64)
+    at = np.where(often, at | j._FREQUENT, at)
+    batch = pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(range(len(h)), pa.int64()), pa.array(at)], ["h", "key", "at"])
+    out = [r for b in j._met(iter(batch.slice(i, size) for i in range(0, len(h), size))) for r in b.to_pylist()]
+    assert [r["key"] for r in out] == [i for i, x in enumerate(h) if often[i] or h.count(x) > 1]
+    assert {(r["n"], r["pos"]) for r in out} == {(7, 5)}
