@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.shared import keep
 from loomspan.llm.textscan import text_bytes
-from loomspan.llm.word_tokens import WordBpe, portions
+from loomspan.llm.word_tokens import portions, word_bpe
 
 CAPACITY = 4096
 END = 1
@@ -37,7 +37,7 @@ def default_tokenizer() -> str:
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordBpe(path)
+        tokenizer = word_bpe(path)
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             row, base = batch.column(0), 0

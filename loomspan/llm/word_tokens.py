@@ -7,6 +7,7 @@ other; words repeat, and one look-up is far cheaper than one encoding.
 from __future__ import annotations
 
 import base64
+import functools
 import string
 
 import numpy as np
@@ -49,6 +50,30 @@ class Remembered:
         return out
 
 
+class Memo(dict):
+    """Values of words by a function, computed on the first look-up, in two generations."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function, self.old = function, {}
+
+    def __missing__(self, word):
+        if len(self) >= GENERATION:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(word)
+        if value is None:
+            value = self.function(word)
+        self[word] = value
+        return value
+
+
+@functools.lru_cache(maxsize=1)
+def word_bpe(path: str) -> WordBpe:
+    """The tokenizer of a path, with the words that it remembers: one for all tasks of a Python worker."""
+    return WordBpe(path)
+
+
 class WordBpe:
     """Word ids (little-endian unsigned 32-bit, as bytes) of a byte-level BPE with word ends of the tokenizers library."""
 
@@ -58,7 +83,7 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(_byte_letters()))
-        self.words, self.bodies, self.tails = Remembered(), Remembered(), {}
+        self.words, self.bodies, self.tails = Memo(self._encode_word), Memo(self._encode_body), {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -68,33 +93,24 @@ class WordBpe:
         letters = body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
-    def learn(self, words: set[bytes]) -> None:
-        split, known = [], self.words
-        for w in known.unknown(words):
-            text = w.decode("utf-8", "replace").lower()
-            body = text.rstrip(string.punctuation)
-            # Letters below U+0250 are lower-cased and composed alike by every library; a run of marks after them
-            # is one pre-token.
-            if body.isalpha() and max(body) < "ɐ":
-                split.append((w, body, text[len(body) :]))
-            else:
-                known.new[w] = self._encode(w.decode("utf-8", "replace"))
-        bodies = self.bodies
-        for body in bodies.unknown({b for _, b, _ in split}):
-            bodies.new[body] = self._encode_body(body)
-        for w, body, tail in split:
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails.clear()
-                self.tails[tail] = self._encode(tail) if tail else b""
-            known.new[w] = bodies.new[body] + self.tails[tail]
+    def _encode_word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace").lower()
+        body = text.rstrip(string.punctuation)
+        # Letters below U+0250 are lower-cased and composed alike by every library; a run of marks after them
+        # is one pre-token.
+        if not (body.isalpha() and (body.isascii() or max(body) < "ɐ")):
+            return self._encode(word.decode("utf-8", "replace"))
+        tail = text[len(body) :]
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._encode(tail) if tail else b""
+        return self.bodies[body] + self.tails[tail]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        words = [t.split() for t in texts]  # at ASCII white space
-        self.learn(set().union(*words))
-        get = self.words.new.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]  # at ASCII white space
 
 
 class Pieces:
