@@ -41,6 +41,8 @@ DEALT = 256
 PIVOTS = 8
 #: Shingles of a member that are remembered in each list, to leave out pairs that an earlier list has.
 BEFORE = 8
+#: Bits for each end of a pair by which texts are told that are in none, and the power of two of them at most (16 MB).
+BITS, MOST_BITS = 8, 27
 
 
 def shingles(data: np.ndarray) -> np.ndarray:
@@ -130,10 +132,31 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(last, np.array([True]))
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(data).tobytes() for data in text_bytes(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "hashes"])
+def _marked(keys: DataFrame) -> tuple[np.ndarray, F.Column]:
+    """Bits in which each of keys(key) has its own set, and the number of a key's bit: BITS a key, MOST_BITS at most, so
+    that few other keys meet one that is set. A bounded table of 64 bits a row comes to the driver."""
+    n = 1 << min(MOST_BITS, max(6, (BITS * keys.count() - 1).bit_length()))
+    bit = F.pmod(F.xxhash64("key"), F.lit(n))
+    rows = keys.select(bit.alias("bit")).groupBy((F.shiftright("bit", 6)).alias("at"))
+    rows = rows.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(n >> 6, dtype=np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out, bit
+
+
+def _arrays(marks):
+    """(key, text, bit) -> (key, hashes): the sets of the texts whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        for batch in batches:
+            bit = batch.column(2).to_numpy()
+            ends = np.flatnonzero(bits[bit >> 6] >> (bit & 63) & 1)
+            texts = text_bytes(batch.column(1))
+            sets = [shingles(texts[i]).tobytes() for i in ends]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ends)), pa.array(sets, pa.binary())], ["key", "hashes"])
+
+    return run
 
 
 _RANGES = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
@@ -177,12 +200,14 @@ def _enough_in_prefixes(pairs: DataFrame, prefixes: DataFrame, percent: int) ->
 def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) that link."""
     pairs = keep(_enough_in_prefixes(pairs, prefixes, percent))
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = keep(docs.join(ends, "key", "left_semi").select("key", "text").dropDuplicates(["key"]).mapInArrow(_arrays, "key long, hashes binary"))
+    # Texts stay where they lie: only the sets of those that pairs need (and of a few more) are shuffled, once for both ends.
+    bits, bit = _marked(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    marks = docs.sparkSession.sparkContext.broadcast(bits)
+    sets = docs.select("key", "text", bit.alias("bit")).mapInArrow(_arrays(marks), "key long, hashes binary").dropDuplicates(["key"])
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
     out = keep(both.mapInArrow(_verify(percent), "a long, b long"))
-    discard(sets, pairs)
+    discard(pairs)
     return out
 
 
