@@ -12,9 +12,12 @@ import string
 
 import numpy as np
 
-#: Words in each of two generations that a worker remembers (some 250 bytes each): when one is full, the one before it
-#: is forgotten, so that words which keep coming stay.
-GENERATION = 450_000
+#: Words in each of two generations that a WordBpe remembers (some 170 bytes each) from one task of a worker to the next:
+#: when one is full, the one before it is forgotten, so that words which keep coming stay. An executor may have several
+#: workers, which keep what they know while others run. Words of more bytes than LONG are not remembered.
+GENERATION, LONG = 150_000, 64
+#: The same for vocabularies that are there for one task alone (some 250 bytes each).
+LEARNT = 450_000
 
 
 def _byte_letters() -> list[str]:
@@ -38,7 +41,7 @@ class Remembered:
 
     def unknown(self, words: set) -> list:
         """Words of which neither generation has a value; those of the older one move to the newer."""
-        if len(self.new) + len(words) > GENERATION:
+        if len(self.new) + len(words) > LEARNT:
             self.new, self.old = {}, self.new
         new, old, out = self.new, self.old, []
         for w in words:
@@ -58,13 +61,14 @@ class Memo(dict):
         self.function, self.old = function, {}
 
     def __missing__(self, word):
-        if len(self) >= GENERATION:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(word)
         if value is None:
-            value = self.function(word)
-        self[word] = value
+            value = self.function(word)  # may look up, and so remember, another word
+        if len(word) <= LONG:
+            if len(self) >= GENERATION:
+                self.old = dict(self)
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -83,7 +87,8 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(_byte_letters()))
-        self.words, self.bodies, self.tails = Memo(self._encode_word), Memo(self._encode_body), {}
+        self.words, self.tails = Memo(self._encode_word), {}
+        self.bodies = self.words  # a plain word is its own body: one memory for both holds it once
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -100,12 +105,18 @@ class WordBpe:
         # is one pre-token.
         if not (body.isalpha() and (body.isascii() or max(body) < "ɐ")):
             return self._encode(word.decode("utf-8", "replace"))
+        if (plain := body.encode()) == word:
+            return self._encode_body(body)
         tail = text[len(body) :]
+        if not tail:
+            return self.bodies[plain]
+        if len(tail) > LONG:
+            return self.bodies[plain] + self._encode(tail)
         if tail not in self.tails:
             if len(self.tails) > 10_000:
                 self.tails.clear()
-            self.tails[tail] = self._encode(tail) if tail else b""
-        return self.bodies[body] + self.tails[tail]
+            self.tails[tail] = self._encode(tail)
+        return self.bodies[plain] + self.tails[tail]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
