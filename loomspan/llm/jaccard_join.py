@@ -200,7 +200,7 @@ def _enough_in_prefixes(pairs: DataFrame, prefixes: DataFrame, percent: int) ->
 def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) that link."""
     pairs = keep(_enough_in_prefixes(pairs, prefixes, percent))
-    # Texts stay where they lie: only the sets of those that pairs need (and of a few more) are shuffled, once for both ends.
+    # Texts stay where they lie: only the sets of those that pairs need (and of a few more) are shuffled.
     bits, bit = _marked(pairs.select(F.explode(F.array("a", "b")).alias("key")))
     marks = docs.sparkSession.sparkContext.broadcast(bits)
     sets = docs.select("key", "text", bit.alias("bit")).mapInArrow(_arrays(marks), "key long, hashes binary").dropDuplicates(["key"])
