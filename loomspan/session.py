@@ -46,8 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and read back by all that use it: for tables that several branches of a plan need. It is written
-    to the shared folder as Parquet, so that each branch reads its own columns alone."""
+    to the shared folder as Parquet, so that each branch reads its own columns alone.
+
+    It is joined by sorting: Spark guesses a table's size from its files, and columns of a tree are hundreds of times as
+    large in memory, so that a guess would send all nodes through the driver to broadcast them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loomspan-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")

@@ -23,6 +23,18 @@ def test_no_branch_parses_again(spark, name):
     assert "MapInArrow" not in _plan(QUERIES[name](spark, SF))
 
 
+def test_kept_tables_are_not_broadcast_by_the_size_of_their_files(spark):
+    """A column that is the same all over takes next to nothing in a file, but a row each in a broadcast."""
+    kept = checkpointed(spark.range(300_000).selectExpr("id div 100 as page_id", "cast(id % 100 as int) as node_id"))
+    inner = kept.groupBy("page_id", "node_id").count().where("count >= 1")
+    joined = kept.where("node_id < 10").join(inner, ["page_id", "node_id"], "left_semi")
+    assert "SortMergeJoin" in _plan(joined) and "Broadcast" not in _plan(joined) and joined.count() == 30_000
+
+
+def test_no_nodes_are_broadcast(spark):
+    assert "Broadcast" not in _plan(QUERIES["page_interactive"](spark, SF))
+
+
 def test_nodes_are_dealt_once_a_round(spark):
     """What a plan changes reaches the nodes by page, so that a table dealt by page is not dealt again by page and path."""
     from loomspan.operators import versions
