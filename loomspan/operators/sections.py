@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import placeholder
-from loomspan.operators.nodes import attribute
+from loomspan.operators.nodes import attribute, located
 from loomspan.session import checkpointed
 
 # Elements that can be sections, and those whose text or picture can be replaced.
@@ -203,7 +203,7 @@ def without_sections(nodes: DataFrame, removed: DataFrame, of: DataFrame | None
     children that stay are numbered anew (child_idx). What goes is looked up in `of`, nodes themselves or a table at hand
     with the same paths, ids and links."""
     of = nodes if of is None else of
-    gone = of.where("depth > 0").join(removed, ["page_id", "path"]).select("page_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))
+    gone = located(of, removed).where("depth > 0").select("page_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))
     ids = of.select("page_id", "node_id", F.concat(F.lit("#"), attribute("id")).alias("href")).where("href is not null").join(gone, "page_id").where("node_id between a and b").select("page_id", "href")
     entries = of.where("tag = 'a'").select("page_id", "parent_id", attribute("href").alias("href")).join(ids, ["page_id", "href"], "left_semi").select("page_id", F.col("parent_id").alias("node_id"))
     menus = of.where("tag = 'li'").join(entries, ["page_id", "node_id"], "left_semi").select("page_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))

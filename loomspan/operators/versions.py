@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators import sections
-from loomspan.operators.nodes import attribute
+from loomspan.operators.nodes import attribute, located
 
 # Names of the rules, spacing properties, and values that are no step of a scale.
 ORPHANED, EMPTY_GRID, ORDERING, OFF_SCALE, DANGLING = "no_orphaned_nav_entries", "no_empty_grid_cells", "contiguous_section_ordering", "spacing_scale_invariance", "no_dangling_slot_references"
@@ -102,7 +102,7 @@ def off_scale(styles_before: DataFrame, styles_after: DataFrame) -> DataFrame:
 
 def dangling_slots(before: DataFrame, after: DataFrame, removed: DataFrame) -> DataFrame:
     """Slots of removed(page_id, path) subtrees that are still there."""
-    gone = before.join(removed.select("page_id", "path").distinct(), ["page_id", "path"]).select("page_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))
+    gone = located(before, removed).select("page_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))
     slots = slot_ids(before).join(gone, "page_id").where("node_id between a and b").select("page_id", "slot_id").distinct()
     return slot_ids(after).join(slots, ["page_id", "slot_id"], "left_semi").select("page_id", F.lit(DANGLING).alias("rule"), "path", F.concat(F.lit("Dangling slot_id reference '"), "slot_id", F.lit("' remains in tree.")).alias("detail"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import urls
 from loomspan.operators import versions
-from loomspan.operators.nodes import attribute
+from loomspan.operators.nodes import attribute, located, only_id
 from loomspan.session import checkpointed
 
 
@@ -165,7 +165,7 @@ def removal_plan(nodes: DataFrame, styles: DataFrame, removed: DataFrame) -> Dat
 
     styles(page_id, node_id, prop, value). Menu entries of the section's id go; percent widths of the siblings in a
     flex container are shared out anew; a margin moves to the sibling before; sections are numbered anew."""
-    gone = nodes.where("depth > 0").select("page_id", "path", F.col("node_id").alias("gone"), F.col("parent_id").alias("parent"), F.col("child_idx").alias("at"), attribute("id").alias("section_id")).join(removed, ["page_id", "path"]).drop("path")
+    gone = located(nodes, removed).where("depth > 0").select("page_id", F.col("node_id").alias("gone"), F.col("parent_id").alias("parent"), F.col("child_idx").alias("at"), attribute("id").alias("section_id"))
     s = lambda p, name: styles.where(F.col("prop") == p).select("page_id", "node_id", F.col("value").alias(name))
     layout = s("display", "display").join(s("flex-direction", "direction"), ["page_id", "node_id"], "full_outer").select("page_id", F.col("node_id").alias("parent"), "display", "direction")
     gone = gone.join(layout, ["page_id", "parent"], "left")
@@ -334,13 +334,15 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
 
 def remove_sections(nodes: DataFrame, removals: DataFrame, broken) -> tuple[DataFrame, DataFrame]:
     """Sections removed one after the other: removals(page_id, step, path), steps from 1 on -> the trees that are left, and
-    (page_id, applied, passed).
+    (page_id, applied, passed). With the node_id of each path, the nodes need not be dealt by path to find it.
 
     A step is planned (removal_plan), carried out (versions.reflow, then the subtrees go) and compared with the tree before
     it: broken(before, after, removed) -> (page_id, ...) names what is wrong, and a page where anything is takes no further
     step. Pages go through their steps together; a page leaves the rounds when it is done or broken, and the rounds end
     with the last page. A plan and its check read the tree of the round before as it is, with pages that ended there, as
-    they have no removals any more; the tree itself is dealt by page once a round."""
+    they have no removals any more; the tree itself is dealt by page once a round, and what goes is located once."""
+    if "node_id" not in removals.columns:
+        removals = checkpointed(removals.join(nodes.select("page_id", "path", "node_id"), ["page_id", "path"], "left"))
     last = removals.groupBy("page_id").agg(F.max("step").alias("last"))
     state = checkpointed(last.select("page_id", "last", F.lit(0).alias("applied"), F.lit(True).alias("passed")))
     left = nodes.join(last, "page_id", "left_anti")
@@ -348,13 +350,16 @@ def remove_sections(nodes: DataFrame, removals: DataFrame, broken) -> tuple[Data
     done, step = None, 0
     while not state.isEmpty():
         step += 1
-        now = checkpointed(removals.where(F.col("step") == step).join(state, "page_id", "left_semi").select("page_id", "path"))
         before = open_
+        places = only_id(before).select("page_id", "node_id", "parent_id", "depth", "subtree_end", "child_idx", "attrs")
+        taken = removals.where(F.col("step") == step).join(state, "page_id", "left_semi").select("page_id", "path", "node_id")
+        taken = checkpointed(taken.join(places, ["page_id", "node_id"], "left"))
+        now = taken.where("subtree_end is not null")
         plan = removal_plan(before, versions.inline_styles(before).drop("path"), now)
         still = before.join(state.select("page_id"), "page_id", "left_semi")
         open_ = checkpointed(_without(versions.reflow(still, plan), now, before))
         wrong = broken(before, open_, now).select("page_id").distinct().withColumn("wrong", F.lit(True))
-        turned = now.select("page_id").distinct().withColumn("turned", F.lit(1))
+        turned = taken.select("page_id").distinct().withColumn("turned", F.lit(1))
         state = state.join(turned, "page_id", "left").join(wrong, "page_id", "left").select(
             "page_id", "last", (F.col("applied") + F.coalesce("turned", F.lit(0))).alias("applied"), (F.col("turned").isNull() | F.col("wrong").isNull()).alias("passed")
         )
@@ -364,7 +369,8 @@ def remove_sections(nodes: DataFrame, removals: DataFrame, broken) -> tuple[Data
         done = finished if done is None else done.unionByName(finished)
         left = left.unionByName(open_.join(finished, "page_id", "left_semi"))
         state = state.where(~ends)
-    return left, (state if done is None else done).select("page_id", "applied", "passed")
+    # A union is joined by sorting, too, as the kept tables in it are.
+    return left.hint("merge"), (state if done is None else done).select("page_id", "applied", "passed").hint("merge")
 
 
 def _without(nodes: DataFrame, removed: DataFrame, of: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def page_sections_removed(spark, sf_dir):
     tree = checkpointed(nodes.parse_html(table(spark, sf_dir, "pages").select("page_id", F.expr(_CHAIN).alias("html"))))
     tree = checkpointed(versions.with_slots(tree).select("page_id", "node_id", "parent_id", "depth", "subtree_end", "child_idx", "tag", "path", "attrs"))
     step = F.when((F.col("tag") == "nav") & (F.col("depth") == 1), 1).when(nodes.attribute("id") == "box", 2).when(F.col("tag") == "form", 3)
-    removals = tree.select("page_id", step.alias("step"), "path").where("step is not null")
+    removals = tree.select("page_id", step.alias("step"), "path", "node_id").where("step is not null")
     left, done = workflows.remove_sections(tree, removals, versions.violations)
     links = left.where("tag = 'a'").where(nodes.attribute("href") == "#box").groupBy("page_id").agg(F.count("*").alias("links"))
     margins = versions.inline_styles(left.where("tag = 'i'")).where("prop = 'margin-bottom'").select("page_id", F.col("value").alias("margin"))

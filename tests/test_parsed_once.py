@@ -31,8 +31,9 @@ def test_kept_tables_are_not_broadcast_by_the_size_of_their_files(spark):
     assert "SortMergeJoin" in _plan(joined) and "Broadcast" not in _plan(joined) and joined.count() == 30_000
 
 
-def test_no_nodes_are_broadcast(spark):
-    assert "Broadcast" not in _plan(QUERIES["page_interactive"](spark, SF))
+@pytest.mark.parametrize("name", ["page_interactive", "page_sections_removed"])
+def test_no_nodes_are_broadcast(spark, name):
+    assert "Broadcast" not in _plan(QUERIES[name](spark, SF))
 
 
 def test_nodes_are_dealt_once_a_round(spark):
